@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import sharding, winnowing
 
 QUERIES = {
+    "op1_winnowing": winnowing.op1_winnowing,
     "op5_sharding": sharding.op5_sharding,
 }
 ORACLES: dict = {}
