@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding, winnowing
+from . import sentencepiece_bpe, sharding, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
+    "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
     "op5_sharding": sharding.op5_sharding,
 }
 ORACLES: dict = {}
