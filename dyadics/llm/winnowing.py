@@ -104,13 +104,13 @@ def fingerprint_edits(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     document before sees as its next. Columns other than doc_id and text are ignored.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
-    # a key that cannot be null keeps the two uses below alike, so that texts and fingerprints are exchanged once
+    # a key that cannot be null and the same columns keep the two uses of ``marked`` alike, so that it is exchanged once
     order = neighbours(stored(rows.select("doc_id", "n_chars"), "ids")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id")
     marked = rows.withColumn("kept", winnow(F.col("text"), k, w)).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).repartition("key")
     # what the document before needs of this one: its first quarter's worth of code points, and the gram hashes
     ahead = marked.join(order, "key").select(
         F.coalesce("prev_id", F.lit(-(2**63))).alias("key"),
-        F.struct(F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), grams_of(F.col("kept")).alias("grams")).alias("next"),
+        F.struct(F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), "doc_id", "n_chars", grams_of(F.col("kept")).alias("grams")).alias("next"),
     )
     ahead = ahead.groupBy("key").agg(F.min("next").alias("next"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
