@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import sentencepiece_bpe, sharding, winnowing
+from . import sentencepiece_bpe, sharding, toxicity, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
     "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op5_sharding": sharding.op5_sharding,
 }
 ORACLES: dict = {}
