@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import sentencepiece_bpe, sharding, toxicity, winnowing
+from . import quality, sentencepiece_bpe, sharding, toxicity, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
     "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_quality": quality.op10_quality,
     "op5_sharding": sharding.op5_sharding,
 }
-ORACLES: dict = {}
+ORACLES: dict = {"op10_quality": quality.OP10_SQL}
