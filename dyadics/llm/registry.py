@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, sentencepiece_bpe, sharding, toxicity, winnowing
+from . import near_dedup, quality, sentencepiece_bpe, sharding, toxicity, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
