@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import near_dedup, quality, sentencepiece_bpe, sharding, toxicity, winnowing
+from . import near_dedup, quality, sentencepiece_bpe, sharding, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
+    "op8_warc": warc.op8_warc,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
     "op5_sharding": sharding.op5_sharding,
 }
-ORACLES: dict = {"op10_quality": quality.OP10_SQL}
+ORACLES: dict = {"op8_warc": warc.OP8_SQL, "op10_quality": quality.OP10_SQL}
