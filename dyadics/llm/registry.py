@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import near_dedup, quality, sentencepiece_bpe, sharding, toxicity, warc, winnowing
+from . import mixing, near_dedup, quality, sentencepiece_bpe, sharding, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
+    "op2_mixing": mixing.op2_mixing,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
     "op8_warc": warc.op8_warc,
