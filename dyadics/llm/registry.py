@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, quality, sentencepiece_bpe, sharding, toxicity, warc, winnowing
+from . import brown_lm, licenses, mixing, near_dedup, quality, sentencepiece_bpe, sharding, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
     "op2_mixing": mixing.op2_mixing,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_brown_lm": brown_lm.op4_brown_lm,
+    "op6_licenses": licenses.op6_licenses,
     "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
     "op8_warc": warc.op8_warc,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
     "op5_sharding": sharding.op5_sharding,
 }
-ORACLES: dict = {"op8_warc": warc.OP8_SQL, "op10_quality": quality.OP10_SQL}
+ORACLES: dict = {"op6_licenses": licenses.oracle(), "op8_warc": warc.OP8_SQL, "op10_quality": quality.OP10_SQL}
