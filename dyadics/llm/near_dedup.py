@@ -6,9 +6,9 @@ registers are equal with a probability that follows the Jaccard similarity. Band
 candidates; the joint likelihood of the registers, with both set sizes known, drops those far below the threshold;
 what remains is verified on full sets.
 
-Equal sets are collapsed first. In each band bucket every member meets the bucket's least member; after the verified
-links are joined to groups, only members of different groups of a bucket meet. A bucket thus costs a comparison a
-member, unless its members do not belong together, and large buckets are dealt out in blocks.
+Equal sets are collapsed first. In each band bucket every member meets the bucket's most central member; after the
+verified links are joined to groups, only members of different groups of a bucket meet, in blocks, and a block hands
+on the links that connect its groups, not its pairs.
 """
 
 from __future__ import annotations
@@ -181,32 +181,86 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.groupBy("pivot", "block").applyInArrow(run, "id long, pivot long")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs that meet in a bucket though they are of different groups. ``members``: key, id, group, n, sketch.
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold several groups, dealt to blocks. ``members``: key, band, id, group, n, sketch.
 
-    A bucket's largest group stays in place, in blocks; the members of the others visit every block.
+    Each member is at home in one block of its bucket; members outside the bucket's largest group also visit every
+    block. Thus all pairs across groups meet, in tasks of bounded size.
     """
     sizes = members.groupBy("key", "group").agg(F.count("*").alias("many"))
-    buckets = sizes.groupBy("key").agg(F.max_by("group", F.struct("many", F.col("group"))).alias("main"), F.count("*").alias("groups"), F.sum("many").alias("size")).where("groups > 1")
-    rows = members.join(buckets.select("key", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
+    buckets = sizes.groupBy("key").agg(F.max_by("group", F.struct("many", "group")).alias("main"), F.count("*").alias("groups"), F.sum("many").alias("size")).where("groups > 1")
+    rows = members.join(buckets.select("key", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").withColumn("roams", F.col("group") != F.col("main"))
     at_home = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("visits", F.lit(False))
-    visiting = rows.where("group != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visits", F.lit(True))
-    both = at_home.unionByName(visiting).select("key", "block", "id", "group", "n", "sketch", "visits")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        home, guests = part[~part["visits"]], part[part["visits"]]
-        a, na, ga, ia = (np.frombuffer(b"".join(home["sketch"]), np.uint16).reshape(-1, M), home["n"].to_numpy(), home["group"].to_numpy(), home["id"].to_numpy())
-        out = []
-        for sketch, n, group, i in zip(guests["sketch"], guests["n"], guests["group"], guests["id"], strict=True):
-            fit = np.flatnonzero((ga != group) & (100 * np.minimum(na, n) >= PERCENT * np.maximum(na, n)))
-            if len(fit):
-                own = np.broadcast_to(np.frombuffer(sketch, np.uint16), (len(fit), M))
-                fit = fit[likely(a[fit], own, na[fit], np.full(len(fit), n)) >= PERCENT / 100 - SLACK]
-                out.append(np.c_[np.maximum(ia[fit], i), np.minimum(ia[fit], i)])
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"id": found[:, 0], "pivot": found[:, 1]})
-
-    return both.groupBy("key", "block").applyInPandas(run, "id long, pivot long").distinct()
+    visiting = rows.where("roams").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visits", F.lit(True))
+    return at_home.unionByName(visiting).select("key", "block", "band", "id", "group", "n", "sketch", "roams", "visits")
+
+
+class _Block:
+    """The rows of a block as arrays, and which pairs of a guest and a member at home are near by their sketches."""
+
+    def __init__(self, part: pd.DataFrame):
+        self.sketch = np.frombuffer(b"".join(part["sketch"]), np.uint16).reshape(-1, M)
+        self.n, self.group, self.id, self.roams = (part[c].to_numpy() for c in ("n", "group", "id", "roams"))
+        visits = part["visits"].to_numpy()
+        self.home, self.guests, self.band = np.flatnonzero(~visits), np.flatnonzero(visits), int(part["band"].iloc[0])
+
+    def near(self, guest: int) -> np.ndarray:
+        """Places at home whose pair with the guest is to be verified here: in no earlier band, and in one order only."""
+        at = self.home
+        fit = (self.group[at] != self.group[guest]) & (~self.roams[at] | (self.id[at] < self.id[guest]))
+        fit &= PERCENT * np.maximum(self.n[at], self.n[guest]) <= 100 * np.minimum(self.n[at], self.n[guest])
+        at = at[fit]
+        if len(at):
+            same = self.sketch[at] == self.sketch[guest]
+            whole = np.logical_and.reduce([same[:, r::ROWS] for r in range(ROWS)])
+            at = at[whole.argmax(axis=1) == self.band]
+        if len(at):
+            own = np.broadcast_to(self.sketch[guest], (len(at), M))
+            at = at[likely(self.sketch[at], own, self.n[at], np.full(len(at), self.n[guest])) >= PERCENT / 100 - SLACK]
+        return at
+
+
+def _partners(part: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block that have a near partner in it."""
+    block, takes_part = _Block(part), np.zeros(len(part), dtype=bool)
+    for guest in block.guests:
+        at = block.near(guest)
+        takes_part[at] = True
+        takes_part[guest] |= len(at) > 0
+    return part[takes_part]
+
+
+def _spanning(table: pa.Table) -> pa.Table:
+    """Verified links of a block that join its groups: as many as it takes to connect them, not one for each pair."""
+    part = table.drop_columns(["text"]).to_pandas()
+    block, found = _Block(part), []
+    sets = []
+    for batch in table.select(["text"]).to_batches():
+        for _, data, offsets in chunks(batch):
+            value, ends = shingle_sets(data, offsets)
+            sets += [value[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    root = {g: g for g in block.group.tolist()}
+
+    def top(g: int) -> int:
+        while root[g] != g:
+            root[g] = root[root[g]]
+            g = root[g]
+        return g
+
+    for guest in block.guests:
+        at = block.near(guest)
+        if not len(at):
+            continue
+        own, sizes = sets[guest], np.array([len(sets[i]) for i in at])
+        value, ends = np.concatenate([sets[i] for i in at]), np.r_[0, np.cumsum(sizes)]
+        hit = np.r_[0, np.cumsum(own[np.minimum(np.searchsorted(own, value), len(own) - 1)] == value)]
+        both = hit[ends[1:]] - hit[ends[:-1]]
+        for i in at[100 * both >= PERCENT * (sizes + len(own) - both)].tolist():
+            a, b = top(int(block.group[i])), top(int(block.group[guest]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                found.append((int(block.id[guest]), int(block.id[i])))
+    return pa.table({"id": pa.array([x for x, _ in found], pa.int64()), "pivot": pa.array([y for _, y in found], pa.int64())})
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -222,9 +276,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     # equal sets collapse to their least id
     classes = whole.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = stored(whole.join(classes, "digest").where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n", "bands", "sketch"), "reps")
-    banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("many")).where("many > 1")
-    members = stored(banded.join(shared, "key").select("key", "id", "pivot"), "buckets")
+    banded = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    met = stored(banded.join(shared, "key"), "bucket-members")
+    # the pivot of a bucket is its most central member: the one that meets most others over all its bands
+    central = met.groupBy("id").agg(F.sum("many").alias("meets"))
+    pivots = met.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("pivot"))
+    members = stored(met.join(pivots, "key").select("key", "band", "id", "pivot"), "buckets")
     inside = members.select("id").distinct()
     many = inside.count()
     # the texts of bucket members alone, kept for both rounds
@@ -232,12 +290,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     narrow = reps.select("doc_id", "n", "sketch")
     links = stored(_verified(_promising(members.where("id != pivot").select("id", "pivot").distinct(), narrow), texts), "links")
     groups = connected(links)
-    grouped = members.select("key", "id").join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
+    grouped = members.select("key", "band", "id").join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
     mixed = grouped.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("key")
-    split = grouped.join(mixed, "key").join(narrow.withColumnRenamed("doc_id", "id"), "id")
-    across = stored(_across(split), "across")
-    more = across.join(links, ["id", "pivot"], "left_anti").join(narrow.select(F.col("doc_id").alias("id"), "n"), "id")
-    found = stored(_verified(more, texts), "links")
+    dealt = _dealt(stored(grouped.join(mixed, "key").join(narrow.withColumnRenamed("doc_id", "id"), "id"), "mixed-buckets"))
+    partners = dealt.groupBy("key", "block").applyInPandas(_partners, dealt.schema)
+    together = partners.join(texts.withColumnRenamed("doc_id", "id"), "id")
+    found = stored(together.groupBy("key", "block").applyInArrow(_spanning, "id long, pivot long"), "links")
     groups = connected(links.unionByName(found))
     # back to every row: its set's class, the class's group, the least id of all classes of the group
     labelled = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("group", "rep").alias("component_id"))
