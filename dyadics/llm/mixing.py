@@ -44,25 +44,27 @@ def _bin(value: Column, ends: tuple[float, ...]) -> Column:
 
 
 def _split(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != "")
+    for space in "\n\t\r\x0b\x0c":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and others) with tokens, the distinct lower-case words and the plain statistics."""
+    """``docs`` (doc_id, text and others) with tokens, the distinct words and the plain statistics."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumns({"_words": _split(F.lower(text)), "_lines": F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)})
+    out = docs.withColumns({"_words": _split(text), "_lines": F.array_remove(F.split(text, "\n"), "")})
     out = out.withColumns({"_distinct": F.array_distinct("_words"), "tokens": F.size("_words").cast("long")})
     n = F.greatest(F.col("tokens"), F.lit(1))
     chars = F.greatest(F.char_length(text), F.lit(1))
     lines = F.greatest(F.size("_lines"), F.lit(1))
     return out.withColumns(
         {
-            "_symbols": (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))) / n,
+            "_symbols": F.char_length(F.regexp_replace(text, "[^#*$%&|<>]+", "")) / n,
             "_same_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))) / lines,
             "_variety": F.size("_distinct") / n,
             "_upper": F.char_length(F.regexp_replace(text, "[^A-Z]+", "")) / chars,
         }
-    )
+    ).drop("_words", "_lines")
 
 
 def binned(rows: DataFrame, cues: dict[str, list[str]]) -> DataFrame:
@@ -80,7 +82,7 @@ def binned(rows: DataFrame, cues: dict[str, list[str]]) -> DataFrame:
         "poor_cues": found("poor"),
         "toxic_cues": found("toxic"),
     }
-    return rows.withColumns({k: _bin(v, BINS[k]) for k, v in values.items()}).drop("_words", "_lines", "_distinct", "_symbols", "_same_lines", "_variety", "_upper")
+    return rows.withColumns({k: _bin(v, BINS[k]) for k, v in values.items()}).drop("_distinct", "_symbols", "_same_lines", "_variety", "_upper")
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
