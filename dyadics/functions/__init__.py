@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Column expressions: codes, choices, rewards, text answers, statistics of one row."""

@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Operators on DataFrames: pairing, behaviour, windows, sampling, selection, resampling, estimators, audits."""
