@@ -23,7 +23,7 @@ GRAMS = (3, 5, 7)
 BUCKETS = 1 << 18
 DIM = 8
 #: The bounded sample: labelled rows of each class, the first by a hash of doc_id.
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 1_500
 #: Of a sampled text, this many windows are trained on, evenly spaced.
 SAMPLE_WINDOWS = 64
 #: A gram of fewer sampled texts has no embedding; a window counts as so many grams at least.
@@ -93,7 +93,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> tuple[np.nd
     if not len(texts) or labels.min() == labels.max():
         share = float(labels.mean()) if len(texts) else 0.0
         return np.zeros(BUCKETS, np.float32), float(np.log((share * len(texts) + 1) / ((1 - share) * len(texts) + 1)))
-    bags, sizes, of, seen = [], [], [], 0
+    bags, sizes, of, seen, many_texts = [], [], [], 0, np.zeros(BUCKETS, np.int32)
     for _, data, offsets in chunks(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])):
         value, window, text = grams(data, offsets)
         place = bounds(text, len(offsets) - 1)
@@ -102,18 +102,19 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> tuple[np.nd
         take = (many <= SAMPLE_WINDOWS) | ((rank + 1) * SAMPLE_WINDOWS // np.maximum(many, 1) > rank * SAMPLE_WINDOWS // np.maximum(many, 1))
         order = np.argsort(window, kind="stable")
         order = order[take[window[order]]]
+        in_text = np.unique(value[order] * len(offsets) + text[window[order]]) // len(offsets)
+        many_texts += np.bincount(in_text, minlength=BUCKETS).astype(np.int32)
         bags.append(value[order].astype(np.int32))
-        sizes.append(np.bincount(window, minlength=len(text))[take])
-        of.append(seen + text[take])
+        sizes.append(np.bincount(window, minlength=len(text))[take].astype(np.int32))
+        of.append((seen + text[take]).astype(np.int32))
         seen += len(offsets) - 1
-    flat, size, of = np.concatenate(bags), np.concatenate(sizes), np.concatenate(of)
     # grams of too few texts tell nothing of others; they stay at zero
-    bag = np.repeat(np.arange(len(size)), size)
-    seen_in = np.unique(flat.astype(np.int64) * len(texts) + of[bag]) // len(texts)
-    known = np.bincount(seen_in, minlength=BUCKETS) >= LEAST_TEXTS
-    use = known[flat]
-    flat, size = flat[use], np.maximum(size, LEAST_GRAMS).astype(np.float32)
-    ends = np.r_[0, np.cumsum(np.bincount(bag[use], minlength=len(size)))]
+    known = many_texts >= LEAST_TEXTS
+    kept = [np.add.reduceat(known[b], np.r_[0, np.cumsum(s)[:-1]], dtype=np.int64) if len(s) else s for b, s in zip(bags, sizes, strict=True)]
+    flat = np.concatenate([b[known[b]] for b in bags])
+    del bags
+    size, of = np.maximum(np.concatenate(sizes), LEAST_GRAMS).astype(np.float32), np.concatenate(of)
+    ends = np.r_[0, np.cumsum(np.concatenate(kept))]
     draw = np.random.default_rng(seed)
     embedding = draw.uniform(-INIT, INIT, (BUCKETS, DIM)).astype(np.float32)
     weight, bias = draw.uniform(-1, 1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -135,7 +136,11 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> tuple[np.nd
 
     def highest() -> np.ndarray:
         table = embedding @ (weight[:, 1] - weight[:, 0])
-        value = np.diff(np.r_[0.0, np.cumsum(table[flat], dtype=np.float64)][ends]) / size
+        value = np.zeros(len(size))
+        for a in range(0, len(size), 10_000):
+            b = min(a + 10_000, len(size))
+            total = np.r_[0.0, np.cumsum(table[flat[ends[a] : ends[b]]], dtype=np.float64)]
+            value[a:b] = np.diff(total[ends[a : b + 1] - ends[a]]) / size[a:b]
         order = np.lexsort((-value, of))
         return order[np.r_[True, of[order][1:] != of[order][:-1]]]
 
