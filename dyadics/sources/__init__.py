@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Readers and writers of the relations; see readers, text_logs, sinks."""

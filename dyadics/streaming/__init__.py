@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Structured Streaming jobs: completion of both perspectives, idempotent ingest, running summaries."""
