@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Queries on the driver tables: relations of paired choices derived from them, and what is computed of these."""
