@@ -157,16 +157,19 @@ def latent(rows: DataFrame, result: Fit, items: int, spec: int = 1) -> DataFrame
 
     z = rows.select("own_item", "own_profile", "other_item", "other_profile").mapInPandas(run, "z double")
     width = z.agg((F.stddev_samp("z") * F.pow(F.count("z").cast("double"), F.lit(-0.2))).alias("h"))
-    return z.crossJoin(F.broadcast(width)).agg(F.count("z").alias("n"), F.avg("z").alias("mean"), F.stddev_samp("z").alias("sd"), (F.avg(F.exp(-F.col("z") * F.col("z") / (2 * F.col("h") * F.col("h")))) / (F.max("h") * F.lit((2 * np.pi) ** 0.5))).alias("density_at_0"))
+    h = F.col("h")
+    mean_kernel = F.avg(F.exp(-F.try_divide(F.col("z") * F.col("z"), 2 * h * h)))
+    density = F.try_divide(mean_kernel, F.max("h") * F.lit((2 * np.pi) ** 0.5))  # null if z does not vary
+    return z.crossJoin(F.broadcast(width)).agg(F.count("z").alias("n"), F.avg("z").alias("mean"), F.stddev_samp("z").alias("sd"), density.alias("density_at_0"))
 
 
-def smoothed_maximum_score(rows: DataFrame, items: int, spec: int = 1, start: Fit | None = None, last_nonneg: bool = True) -> Fit:
+def smoothed_maximum_score(rows: DataFrame, items: int, spec: int = 1, start: Fit | None = None, last_nonneg: bool = True, iterations: int = 60) -> Fit:
     """Smoothed maximum score: logistic kernel of width sd(z) * n**(-1/5) at the starting fit."""
     start = start or fit(rows, items, "nls", spec)
     row = latent(rows, start, items, spec).first()
     width = max(row["sd"] * row["n"] ** -0.2, 1e-6)
     bounds = {0: (-1.0, 200.0), 1: (-200.0, 200.0)} | ({len(start.values) - 1: (0.0, float("inf"))} if last_nonneg else {})
-    return fit(rows, items, "nls", spec, width, start.values, bounds=bounds)
+    return fit(rows, items, "nls", spec, width, start.values, bounds=bounds, iterations=iterations)
 
 
 def lambda_eta(rows: DataFrame, by: list[str], starts: tuple[tuple[float, float], ...] = ((0.0, 0.0), (1.0, 0.0), (5.0, 1.0))) -> DataFrame:

@@ -88,7 +88,7 @@ def pearson_mae_rmse(spark, d):
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.corr("a", "b").alias("pearson"), F.avg(F.abs(off)).alias("mae"), F.sqrt(F.avg(off * off)).alias("rmse"))
 
 
-PICK = v.GRID + """, c AS (SELECT seed, step, round(sqrt(lambda * lambda + eta * eta), 9) AS d, consistency FROM grid WHERE consistency >= 0.5),
+PICK = v.GRID + """, c AS (SELECT seed, step, round(sqrt("lambda" * "lambda" + eta * eta), 9) AS d, consistency FROM grid WHERE consistency >= 0.5),
 full_seed AS (SELECT seed, count(*) = 15 AS complete FROM grid GROUP BY 1), b AS (SELECT seed, min(d) AS m FROM c GROUP BY 1),
 n AS (SELECT c.* FROM c JOIN b USING (seed) WHERE abs(d - m) < 0.05), t AS (SELECT seed, max(consistency) AS m FROM n GROUP BY 1),
 p AS (SELECT n.seed, min(step) AS step, arg_min(d, step) AS d FROM n JOIN t USING (seed) WHERE abs(consistency - m) < 0.02 GROUP BY 1)"""
@@ -105,7 +105,7 @@ def checkpoint_select_incomplete(spark, d):
     return selection.select(rows, ["seed"]).select("seed", "reason", "selected_step")
 
 
-@query(f"WITH {v.GRID} SELECT seed, step, round(sqrt(lambda * lambda + eta * eta), 6) AS d, CASE WHEN consistency < 0.5 THEN 'consistency below floor' ELSE '' END AS why FROM grid")
+@query(f"""WITH {v.GRID} SELECT seed, step, round(sqrt("lambda" * "lambda" + eta * eta), 6) AS d, CASE WHEN consistency < 0.5 THEN 'consistency below floor' ELSE '' END AS why FROM grid""")
 def checkpoint_eligibility(spark, d):
     return selection.candidates(v.grid(spark, d)).select("seed", "step", "d", "why")
 
@@ -232,7 +232,7 @@ def pair_sampler(spark, d):
 def stream_pair_completion(spark, d):
     """The stream of answers joined into pairs by a stream-stream join; the clock is the case's place."""
     rows = _replayed(spark, d)
-    timed = rows.withColumn("at", F.timestamp_seconds(F.floor(F.col("event_id") / 2)))
+    timed = rows.withColumn("at", F.timestamp_seconds(F.floor(F.col("event_id") / 2) + 1_000_000_000))
     pairs = jobs.completed_pairs(timed, "case_id", "perspective", "p_yes", "at", "10 seconds", "1 day")
     return _now(spark, pairs, "append")
 

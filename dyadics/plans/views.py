@@ -88,7 +88,7 @@ def curves(spark, d: str) -> DataFrame:
     return e.select(F.col("user_id").alias("run"), F.floor(F.unix_timestamp("ts") / 60).alias("step"), "event_id", "value")
 
 
-CURVES = "curves AS (SELECT user_id AS run, epoch(ts)::BIGINT // 60 AS step, event_id, value FROM events)"
+CURVES = "curves AS (SELECT user_id AS run, epoch_us(ts) // 60000000 AS step, event_id, value FROM events)"
 
 
 def grid(spark, d: str) -> DataFrame:
