@@ -33,7 +33,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say."""
-    return mixing.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), MIX_WEIGHTS, MIX_CLEAN_SCALE)
+    training = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return mixing.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), MIX_WEIGHTS, MIX_CLEAN_SCALE, training)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

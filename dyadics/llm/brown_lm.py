@@ -231,7 +231,8 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, int, int]:
     counts = stored(word_counts(training), "word-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words_only = counts.where(F.col("word") != END_HASH)
-    often, looked = _least_count(words_only, FREQUENT), _least_count(words_only, LOOKED_UP)
+    looked = _least_count(words_only, LOOKED_UP)
+    often = max(_least_count(words_only, FREQUENT), looked)  # word units are looked up too
     top = words_only.where(F.col("n") >= looked).toArrow()
     order = np.argsort(top.column("word").to_numpy())
     looked_up, looked_count = top.column("word").to_numpy()[order], top.column("n").to_numpy()[order]

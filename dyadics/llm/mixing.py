@@ -26,7 +26,7 @@ SAMPLE_ROWS = 20_000
 #: Words that tell the domains apart: at most so many of each domain, of so many sampled texts at least.
 CUES, CUE_TEXTS = 60, 5
 ITERATIONS = 80
-TOLERANCE = 1e-3
+TOLERANCE = 5e-4
 SEED = 2
 #: Upper ends of each statistic's bins (the last bin is open).
 BINS = {
@@ -142,34 +142,42 @@ def fit_rates(groups: DataFrame, weights: dict[str, float], clean_scale: float)
     budget = clean_scale * clean / weights[DOMAINS[0]]
     target = [budget * weights[d] for d in DOMAINS]
     gram = groups.agg(F.sum("tokens").alias("all"), *(F.sum(F.col("tokens") * F.col("posterior")[d] * F.col("posterior")[d]).alias(f"g{d}") for d in range(k))).first()
-    # each equation is scaled to a unit diagonal of the Gram matrix, whose trace then bounds its greatest eigenvalue
-    scale = [max((gram[f"g{d}"] or 0.0) / max(gram["all"] or 0, 1), 1e-9) ** -0.5 for d in range(k)]
-    bound = float(k)
+    # the trace of the Gram matrix bounds its greatest eigenvalue. All equations count alike: a domain that the corpus
+    # hardly has is missed by little in tokens, and must not pull the others off their targets
+    bound = sum((gram[f"g{d}"] or 0.0) for d in range(k)) / max(gram["all"] or 0, 1) or 1.0
     history: list[list[float]] = []
-    for _ in range(ITERATIONS):
-        off = [t - g for t, g in zip(target, totals(rate_of(history)), strict=True)]
-        if max(abs(o) / max(t, 1e-6) for o, t in zip(off, target, strict=True)) < TOLERANCE:
+    for n in range(ITERATIONS):
+        off = [t - g for t, g in zip(target, totals(_fold(history)["ahead"]), strict=True)]
+        if max(map(abs, off)) < TOLERANCE * budget:
             break
-        history.append([o * s * s / bound for o, s in zip(off, scale, strict=True)])
+        history.append([o / bound for o in off] + [n / (n + 3)])
     return history
 
 
-def rate_of(history: list[list[float]]) -> Column:
-    """The rate of a posterior: from 1, each step adds its gradient and is cut off at 0."""
+def _fold(history: list[list[float]]) -> Column:
+    """Struct (rate, ahead) of a posterior: from 1, each step adds its gradient and is cut off at 0, with momentum."""
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
     if not history:
-        return F.lit(1.0)
+        return start
     steps = F.array(*(F.array(*map(F.lit, step)) for step in history))
+    k = len(DOMAINS)
+
+    def step(state: Column, move: Column) -> Column:
+        gain = reduce(lambda a, b: a + b, (move[d] * F.col("posterior")[d] for d in range(k)))
+        rate = F.greatest(F.lit(0.0), state["ahead"] + gain)
+        return F.struct(rate.alias("rate"), F.greatest(F.lit(0.0), rate + move[k] * (rate - state["rate"])).alias("ahead"))
 
-    def step(rate: Column, move: Column) -> Column:
-        gain = reduce(lambda a, b: a + b, (move[d] * F.col("posterior")[d] for d in range(len(DOMAINS))))
-        return F.greatest(F.lit(0.0), rate + gain)
+    return F.aggregate(steps, start, step)
 
-    return F.aggregate(steps, F.lit(1.0), step)
+
+def rate_of(history: list[list[float]]) -> Column:
+    """The rate at which the last step's totals were taken."""
+    return _fold(history)["ahead"]
 
 
-def _planned(docs: DataFrame, labels: DataFrame, weights: dict[str, float], clean_scale: float) -> tuple[DataFrame, DataFrame, dict[str, list[str]]]:
+def _planned(docs: DataFrame, labels: DataFrame, weights: dict[str, float], clean_scale: float, training: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, list[str]]]:
     """Of each row all columns but the text, with tokens, bins and a hash; the rates by bins; the cue words."""
-    sample = stored(measured(labelled(docs, labels)).drop("text"), "mix-sample")
+    sample = stored(measured(labelled(training, labels)).drop("text"), "mix-sample")
     cues = cue_words(sample)
     train = stored(binned(sample, cues), "mix-bins")
     texts = {r["domain"]: r["count"] for r in train.groupBy("domain").count().collect()}
@@ -188,23 +196,24 @@ def _copies(rows: DataFrame, rates: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(rates), list(BINS)).withColumn("copies", F.floor(F.col("rate") + chance).cast("int")).drop("_row", *BINS)
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, clean_scale: float = CLEAN_SCALE) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, clean_scale: float = CLEAN_SCALE, training: DataFrame | None = None) -> DataFrame:
     """The columns of ``docs`` but the text, with tokens, posterior (array by domain), rate and copies.
 
     ``copies`` is the rate rounded up or down by a hash of doc_id and text, so that its expectation is the rate. A
     null text has no tokens; it has a posterior and a rate like others. Repeated rows have equal rates and copies.
-    With no labels, posteriors are equal for all. Columns that clash with the added ones are replaced.
+    With no labels, posteriors are equal for all. Columns that clash with the added ones are replaced. ``training`` has the
+    texts of the labels where ``docs`` lacks some of them.
     """
     own = docs.drop("tokens", "posterior", "rate", "copies", *BINS)
-    narrow, rates, _ = _planned(own, labels, weights or WEIGHTS, clean_scale)
+    narrow, rates, _ = _planned(own, labels, weights or WEIGHTS, clean_scale, docs if training is None else training)
     return _copies(narrow, rates)
 
 
-def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, clean_scale: float = CLEAN_SCALE) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, clean_scale: float = CLEAN_SCALE, training: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` with its columns alone, each as often as its copies say. Texts are read twice, never exchanged."""
     names = docs.columns
     own = docs.select("doc_id", "text", F.struct(*(F.col(c) for c in names if c not in ("doc_id", "text"))).alias("_others")) if len(names) > 2 else docs.select("doc_id", "text")
-    _, rates, cues = _planned(own, labels, weights or WEIGHTS, clean_scale)
+    _, rates, cues = _planned(own, labels, weights or WEIGHTS, clean_scale, docs if training is None else training)
     rows = binned(measured(own), cues).withColumn("_row", F.xxhash64(F.lit(SEED), "doc_id", "text"))
     chosen = _copies(rows, rates).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return chosen.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_others")[c].alias(c) for c in names))

@@ -273,9 +273,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     sketched = stored(sketches(docs), "sketches")
     whole = sketched.where("n > 0 AND doc_id IS NOT NULL")
-    # equal sets collapse to their least id
-    classes = whole.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = stored(whole.join(classes, "digest").where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n", "bands", "sketch"), "reps")
+    # equal sets collapse to their least id; a group of any size is combined before the exchange
+    classes = whole.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "bands", "sketch"), "doc_id").alias("_r"))
+    reps = stored(classes.select("digest", "_r.*"), "reps")
     banded = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     met = stored(banded.join(shared, "key"), "bucket-members")
@@ -298,7 +298,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     found = stored(together.groupBy("key", "block").applyInArrow(_spanning, "id long, pivot long"), "links")
     groups = connected(links.unionByName(found))
     # back to every row: its set's class, the class's group, the least id of all classes of the group
-    labelled = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("group", "rep").alias("component_id"))
+    labelled = reps.select("digest", F.col("doc_id").alias("rep")).join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("group", "rep").alias("component_id"))
     rest = sketched.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     every = whole.join(labelled, "digest").select("doc_id", "n", "component_id").unionByName(rest)
     return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
