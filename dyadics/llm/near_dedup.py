@@ -97,7 +97,7 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.n
         return more * np.log(up) + less * np.log(down) + same * np.log(np.maximum(1 - up - down, 1e-12))
 
     lo, hi = np.zeros(len(a)), most
-    for _ in range(40):  # the likelihood has one maximum
+    for _ in range(25):  # the likelihood has one maximum
         x, y = lo + (hi - lo) / 3, hi - (hi - lo) / 3
         left = value(x) > value(y)
         lo, hi = np.where(left, lo, x), np.where(left, y, hi)
@@ -213,7 +213,8 @@ class _Block:
         if len(at):
             same = self.sketch[at] == self.sketch[guest]
             whole = np.logical_and.reduce([same[:, r::ROWS] for r in range(ROWS)])
-            at = at[whole.argmax(axis=1) == self.band]
+            # far fewer equal registers than the threshold asks for need no likelihood
+            at = at[(whole.argmax(axis=1) == self.band) & (same.sum(axis=1) >= M * (PERCENT / 100 - SLACK - 0.1))]
         if len(at):
             own = np.broadcast_to(self.sketch[guest], (len(at), M))
             at = at[likely(self.sketch[at], own, self.n[at], np.full(len(at), self.n[guest])) >= PERCENT / 100 - SLACK]

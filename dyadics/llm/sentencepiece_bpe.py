@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .text_arrays import chunks, hashes
 
 #: Text bytes a step; the symbols of its distinct words are held at once.
-STEP_BYTES = 1_500_000
+STEP_BYTES = 750_000
 _NONE = np.int64(1) << 40
 
 

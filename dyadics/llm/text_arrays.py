@@ -17,7 +17,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes of text that one step handles; its arrays take some thirty times as much.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 _BASE = 0x9E3779B97F4A7C15
 _STEPS = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 _powers: list[np.ndarray] = []
