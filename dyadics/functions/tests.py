@@ -7,9 +7,10 @@ from math import comb
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:
     """Exact two-sided McNemar p-value of discordant counts, in whole-number arithmetic; 1 without discordant pairs."""
 
@@ -38,7 +39,7 @@ def chi2_log10_survival(x: Column, degrees: int) -> Column:
         logs.append(logs[-1] + F.log(half / j))
     top = F.greatest(*logs) if len(logs) > 1 else logs[0]
     total = sum((F.exp(v - top) for v in logs[1:]), F.exp(logs[0] - top))
-    return (top + F.log(total) - half) / F.log(F.lit(10.0))
+    return F.when(x <= 0, 0.0).otherwise((top + F.log(total) - half) / F.log(F.lit(10.0)))
 
 
 def interval_verdict(low: Column, high: Column) -> Column:

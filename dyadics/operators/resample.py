@@ -14,9 +14,9 @@ from ..functions.codes import hash_draw
 
 
 def clusters(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """ix (0, 1, ... in the order of ``by``), s, c: the sum and the count of each cluster."""
-    sums = rows.groupBy(*by).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    return sums.select((F.row_number().over(Window.orderBy(*by)) - 1).cast("long").alias("ix"), *by, "s", "c")  # one row a cluster
+    """ix (0, 1, ... in the order of ``by``), by, value_sum, value_count of each cluster."""
+    sums = rows.groupBy(*by).agg(F.sum(value).alias("value_sum"), F.count(value).alias("value_count"))
+    return sums.select((F.row_number().over(Window.orderBy(*by)) - 1).cast("long").alias("ix"), *by, "value_sum", "value_count")  # one row a cluster
 
 
 def mean_replicates(sums: DataFrame, n_clusters: int, reps: int, seed: int, slots: int | None = None) -> DataFrame:
@@ -25,7 +25,7 @@ def mean_replicates(sums: DataFrame, n_clusters: int, reps: int, seed: int, slot
     draws = spark.range(reps * slots).select((F.floor(F.col("id") / slots)).cast("long").alias("rep"), F.pmod("id", F.lit(slots)).alias("slot"))
     draws = draws.select("rep", hash_draw(n_clusters, seed, F.col("rep"), F.col("slot")).alias("ix"))
     weights = draws.groupBy("rep", "ix").agg(F.count("*").alias("w"))
-    return weights.join(sums, "ix").groupBy("rep").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c"))).alias("estimate"))
+    return weights.join(sums, "ix").groupBy("rep").agg((F.sum(F.col("w") * F.col("value_sum")) / F.sum(F.col("w") * F.col("value_count"))).alias("estimate"))
 
 
 def interval(replicates: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -41,8 +41,8 @@ def interval(replicates: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def jackknife(sums: DataFrame) -> DataFrame:
     """clusters, mean, variance of a ratio by leaving one cluster out: totals less the cluster, never a second scan."""
-    total = sums.agg(F.sum("s").alias("_s"), F.sum("c").alias("_c"), F.count("*").alias("_g"))
-    left = sums.crossJoin(F.broadcast(total)).select(((F.col("_s") - F.col("s")) / (F.col("_c") - F.col("c"))).alias("e"), "_g")
+    total = sums.agg(F.sum("value_sum").alias("_s"), F.sum("value_count").alias("_c"), F.count("*").alias("_g"))
+    left = sums.crossJoin(F.broadcast(total)).select(((F.col("_s") - F.col("value_sum")) / (F.col("_c") - F.col("value_count"))).alias("e"), "_g")
     return left.agg(F.count("*").alias("clusters"), F.avg("e").alias("mean"), ((F.count("*") - 1) * F.var_pop("e")).alias("variance"))
 
 

@@ -119,10 +119,11 @@ def question_records(rows: DataFrame, order: str) -> DataFrame:
 
 def trainer_states(spark: SparkSession, path: str, fields: tuple[str, ...] = ("epoch", "loss", "grad_norm", "learning_rate", "reward", "reward_std", "kl", "entropy")) -> DataFrame:
     """file, pos, step and the named fields of each entry of ``log_history``; what an entry lacks is null."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json(F.get_json_object("value", "$.log_history"), "array<string>").alias("entries"))
-    rows = whole.select("file", F.posexplode("entries").alias("pos", "item"))
-    number = lambda c: F.coalesce(F.get_json_object("item", f"$.{c}"), F.get_json_object("item", f"$['{c}']")).try_cast("double")
-    return rows.select("file", "pos", F.get_json_object("item", "$.step").try_cast("int").alias("step"), *(number(c).alias(c) for c in fields))
+    state = F.from_json("value", "log_history array<map<string,string>>", {"allowNonNumericNumbers": "true"})
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), state.alias("state"))
+    rows = whole.select("file", F.posexplode("state.log_history").alias("pos", "item"))
+    number = lambda c: F.try_element_at("item", F.lit(c)).try_cast("double")
+    return rows.select("file", "pos", F.try_element_at("item", F.lit("step")).try_cast("int").alias("step"), *(number(c).alias(c) for c in fields))
 
 
 def spreadsheet(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
@@ -143,7 +144,7 @@ def markdown_table(spark: SparkSession, path: str) -> DataFrame:
     """line, cells of the table rows of a Markdown text; the rule below the head is left out."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
     inner = F.regexp_replace(F.trim("text"), r"^\||\|$", "")
-    return rows.where(F.trim("text").startswith("|") & ~F.trim("text").rlike(r"^\|[\s:|-]+\|?$")).select("line", F.transform(F.split(inner, r"\|"), F.trim).alias("cells"))
+    return rows.where(F.trim("text").startswith("|") & ~F.trim("text").rlike(r"^\|[\s:|-]+\|?$")).select("line", F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)).alias("cells"))
 
 
 def tensors(spark: SparkSession, path: str) -> DataFrame:
