@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ordered import counted
 
 
 def gini(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, total, gini of each group, by the identity on ascending ranks."""
-    w = Window.partitionBy(*by).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*by))
-    ranked = rows.select(*by, value, (2 * F.row_number().over(w) - n - 1).alias("_k"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), (F.sum(F.col("_k") * F.col(value)) / (F.count("*") * F.sum(value))).alias("gini"))
-
-
-def top_share(rows: DataFrame, by: list[str], value: str, k: int, fraction: float, tie: str) -> DataFrame:
-    """Shares of the total that the k greatest and the greatest ``fraction`` (rounded up) hold."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), tie))
-    n = F.count("*").over(Window.partitionBy(*by))
-    ranked = rows.select(*by, value, place.alias("_r"), n.alias("_n"))
-    held = lambda c: F.sum(F.when(c, F.col(value)).otherwise(0.0)) / F.sum(value)
-    return ranked.groupBy(*by).agg(held(F.col("_r") <= k).alias("top_k_share"), held(F.col("_r") <= F.ceil(F.col("_n") * fraction)).alias("top_fraction_share"))
+    """n, total, gini of each group, by the identity on ascending ranks; equal values add up in one term."""
+    v, n = F.col(value), F.col("n")
+    term = v * n * (2 * F.col("before") + n - F.col("total"))
+    per = counted(rows, by, value).select(*by, n, (v * n).alias("_v"), term.alias("_t"))
+    return per.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("_v").alias("total"), (F.sum("_t") / (F.sum("n") * F.sum("_v"))).alias("gini"))
+
+
+def top_share(rows: DataFrame, by: list[str], value: str, k: int, fraction: float) -> DataFrame:
+    """Shares of the total that the k greatest and the greatest ``fraction`` (rounded up) hold; ties do not matter."""
+    above = F.col("total") - F.col("before") - F.col("n")
+    taken = lambda most: F.greatest(F.least(F.col("n"), most - above), F.lit(0))
+    v = F.col(value)
+    per = counted(rows, by, value).select(*by, (v * F.col("n")).alias("_v"), (v * taken(F.lit(k))).alias("_k"), (v * taken(F.ceil(F.col("total") * fraction))).alias("_f"))
+    return per.groupBy(*by).agg((F.sum("_k") / F.sum("_v")).alias("top_k_share"), (F.sum("_f") / F.sum("_v")).alias("top_fraction_share"))
 
 
 def _sum(a: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.codes import bin_of
+from .ordered import percentiles
 
 
 def with_utilities(cases: DataFrame, utilities: DataFrame, missing: str = "null") -> DataFrame:
@@ -51,18 +52,18 @@ def sign_agreement(rows: DataFrame, a: str, b: str, edges: list[float]) -> DataF
     return ok.rollup("bucket").agg(F.count("*").alias("n"), F.avg("same").alias("agreement"), F.grouping("bucket").alias("_all")).where("_all = 1 OR bucket IS NOT NULL").drop("_all")
 
 
-def moments(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """n, mean_abs, rms, median (exact), population sd, least and greatest of |value| and value."""
+def moments(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """n, mean_abs, rms, median (exact), population sd, least and greatest of |value| and value, of each group."""
     v = F.col(value)
-    return rows.groupBy(*(by or [])).agg(
+    plain = rows.groupBy(*by).agg(
         F.count(v).alias("n"),
         F.avg(F.abs(v)).alias("mean_abs"),
         F.sqrt(F.avg(v * v)).alias("rms"),
-        F.percentile(F.abs(v), F.lit(0.5)).alias("median_abs"),
         F.stddev_pop(F.abs(v)).alias("sd_abs"),
         F.min(v).alias("least"),
         F.max(v).alias("greatest"),
     )
+    return plain.join(percentiles(rows.select(*by, F.abs(v).alias("_size")), by, "_size", {"median_abs": 0.5}), by, "left")
 
 
 def mass_by_bin(rows: DataFrame, value: str, edges: list[float], closed: str = "right") -> DataFrame:
@@ -86,8 +87,8 @@ def nearest_rank_quantiles(rows: DataFrame, value: str, shares: list[float], blo
         return spark.createDataFrame([], "share double, value double")
     width = (ends["hi"] - ends["lo"]) / blocks or 1.0
     part = F.least(F.floor((F.col(value) - ends["lo"]) / width), F.lit(blocks - 1)).cast("int")
-    ranged = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("value"), part.alias("part"))
-    counts = {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}  # at most ``blocks`` rows
+    ranged = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("value"), part.alias("part")).groupBy("part", "value").agg(F.count("*").alias("n"))
+    counts = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # at most ``blocks`` rows
     wanted, before = [], 0
     for p in range(blocks):
         here = counts.get(p, 0)
@@ -97,8 +98,10 @@ def nearest_rank_quantiles(rows: DataFrame, value: str, shares: list[float], blo
                 wanted.append((s, p, at - before + 1))
         before += here
     table = spark.createDataFrame(wanted, "share double, part int, place long")
-    placed = ranged.where(F.col("part").isin(sorted({w[1] for w in wanted}))).withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("value")))
-    return placed.join(F.broadcast(table), ["part", "place"]).select("share", "value")
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.where(F.col("part").isin(sorted({w[1] for w in wanted}))).withColumn("upto", upto)
+    hit = (F.col("place") <= F.col("upto")) & (F.col("place") > F.col("upto") - F.col("n"))
+    return placed.join(F.broadcast(table), "part").where(hit).select("share", "value")
 
 
 def modal(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:

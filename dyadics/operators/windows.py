@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import blocks, counted, offsets
+
 
 def _number(value: str) -> Column:
     return F.when(~F.isnan(value), F.col(value))
@@ -66,17 +68,20 @@ def first_differences(rows: DataFrame, by: list[str], order: str, values: list[s
 
 
 def average_rank(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """Ranks from 1 in ascending order; equal values share the mean of theirs."""
-    w = Window.partitionBy(*by).orderBy(value)
-    peers = Window.partitionBy(*by, value)
-    return rows.withColumn(out, F.rank().over(w) + (F.count("*").over(peers) - 1) / 2.0)
+    """Ranks from 1 in ascending order; equal values share the mean of theirs. A null value has no rank."""
+    ranks = counted(rows, by, value).select(*by, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(out))
+    return rows.join(ranks, [*by, value], "left")
 
 
 def cumulative_share(rows: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
     """rank by descending value (ties by ``tie``) and the share of the total up to it."""
-    w = Window.partitionBy(*by).orderBy(F.desc(value), tie)
-    total = F.sum(value).over(Window.partitionBy(*by))
-    return rows.withColumns({"rank": F.row_number().over(w), "cum_share": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) / total})
+    blocked = blocks(rows.withColumn("_one", F.lit(1)), by, value)
+    start = offsets(blocked, by, {"_rows": "_one", "_sum": value}, descending=True)
+    total = rows.groupBy(*by).agg(F.sum(value).alias("_total"))
+    w = Window.partitionBy(*by, "_block").orderBy(F.desc(value), tie)
+    held = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = blocked.withColumns({"_r": F.row_number().over(w), "_h": held}).join(start, [*by, "_block"]).join(total, by)
+    return out.select(*rows.columns, (F.col("_rows") + F.col("_r")).cast("int").alias("rank"), ((F.col("_sum") + F.col("_h")) / F.col("_total")).alias("cum_share"))
 
 
 def step_audit(rows: DataFrame, run: str, step: str, value: str, every: int) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import choices as ch
 from ..functions import rewards as rw
 from ..operators import behavior, framing, pairing
 from ..operators import windows as win
+from ..operators.ordered import percentiles
 from . import views as v
 from .register import registry
 
@@ -213,7 +214,9 @@ SELECT model, count(*) AS n, round(avg(kl), 6) AS mean_kl, round(quantile_cont(k
 def kl_js_divergence(spark, d):
     p, q = (ch.clipped(ch.valid_probability(F.col(f"p_no_{s}"), F.col(f"p_yes_{s}"))) for s in "xy")
     rows = v.paired(spark, d).select("model", p.alias("p"), q.alias("q")).withColumns({"kl": ch.kl(F.col("p"), F.col("q")), "js": ch.js(F.col("p"), F.col("q"))})
-    return rows.groupBy("model").agg(F.count("*").alias("n"), F.avg("kl").alias("mean_kl"), F.percentile("kl", F.lit(0.5)).alias("median_kl"), F.percentile("kl", F.lit(0.9)).alias("p90_kl"), F.max("kl").alias("max_kl"), F.avg("js").alias("js_mean"), F.avg(((F.col("p") > 0.5) != (F.col("q") > 0.5)).cast("double")).alias("disagreement"))
+    ranks = percentiles(rows, ["model"], "kl", {"median_kl": 0.5, "p90_kl": 0.9})
+    sums = rows.groupBy("model").agg(F.count("*").alias("n"), F.avg("kl").alias("mean_kl"), F.max("kl").alias("max_kl"), F.avg("js").alias("js_mean"), F.avg(((F.col("p") > 0.5) != (F.col("q") > 0.5)).cast("double")).alias("disagreement"))
+    return sums.join(ranks, "model")
 
 
 def _answers(spark, d):

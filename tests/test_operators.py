@@ -142,12 +142,28 @@ def test_missing_utilities(spark, missing):
 def test_concentration(spark):
     rows = spark.createDataFrame([("g", 1, 0.0), ("g", 2, 0.0), ("g", 3, 0.0), ("g", 4, 8.0)], "g string, k int, v double")
     assert concentration.gini(rows, ["g"], "v").first()["gini"] == pytest.approx(0.75)
-    assert tuple(concentration.top_share(rows, ["g"], "v", 1, 0.5, "k").first()[1:]) == (1.0, 1.0)
+    assert tuple(concentration.top_share(rows, ["g"], "v", 1, 0.5).first()[1:]) == (1.0, 1.0)
     row = spark.createDataFrame([([3.0, 1.0, 0.0],)], "s array<double>").select(concentration.stable_rank(F.col("s")), concentration.entropy_rank(F.col("s")), concentration.energy_kept(F.col("s"), 1), concentration.rank_for_energy(F.col("s"), 0.95)).first()
     p = np.array([0.9, 0.1])
     assert tuple(row) == pytest.approx((10 / 9, np.exp(-(p * np.log(p)).sum()), 0.9, 2))
 
 
+def test_average_ranks_in_blocks(spark):
+    draw = np.random.default_rng(5)
+    values = [float(x) for x in draw.integers(0, 400, 3000)]
+    rows = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "g string, i int, v double")
+    got = {r["i"]: r["r"] for r in windows.average_rank(rows, ["g"], "v", "r").collect()}
+    order = sorted(values)
+    for i, v in enumerate(values):
+        first = order.index(v) if i < 50 else None
+        if first is not None:
+            assert got[i] == first + (order.count(v) + 1) / 2
+    shares = {r["i"]: (r["rank"], r["cum_share"]) for r in windows.cumulative_share(rows, ["g"], "v", "i").collect()}
+    want = sorted(range(3000), key=lambda i: (-values[i], i))
+    running = np.cumsum([values[i] for i in want]) / sum(values)
+    assert all(shares[i] == (n + 1, pytest.approx(running[n])) for n, i in enumerate(want))
+
+
 def test_low_rank_equals_dense(spark):
     draw = np.random.default_rng(0)
     rows = [(i, draw.normal(size=(2, 5)).tolist(), draw.normal(size=(4, 2)).tolist()) for i in range(3)]
