@@ -306,9 +306,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its group, each with all its columns."""
-    kept = near_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The rows of ``docs`` whose doc_id is the least of its group, each with all its columns.
+
+    The ids that go are few as a rule; while they are within the bound they are broadcast and no text is exchanged.
+    """
+    gone = stored(near_groups(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
+    return docs.join(small(gone, gone.count()), docs["doc_id"] == F.col("_gone"), "left_anti")
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
