@@ -18,7 +18,7 @@ MIX_CLEAN_SCALE = 1.25
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold. The labels of their own table train the scores."""
     model = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(f"toxic_score < {toxicity.THRESHOLD}").select(*docs.columns)
+    return toxicity.filter_toxic(docs, model)
 
 
 def poor_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .text_arrays import LOWER, SPACE, bounds, chunks, hashes, mix, words
 
@@ -183,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """``docs`` with all its columns and ``toxic_score`` (0 to 1); a null text scores as an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    plain = docs.drop("toxic_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = shared.value
@@ -191,8 +192,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             for part, data, offsets in chunks(batch):
                 yield part.append_column("toxic_score", pa.array(window_scores(table, bias, data, offsets), pa.float64()))
 
-    schema = docs.schema.add("toxic_score", "double") if "toxic_score" not in names else docs.drop("toxic_score").schema.add("toxic_score", "double")
-    return docs.drop("toxic_score").mapInArrow(run, schema)
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("toxic_score", DoubleType())]))
+
+
+def filter_toxic(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bias = shared.value
+        for batch in batches:
+            for part, data, offsets in chunks(batch):
+                yield part.filter(pa.array(window_scores(table, bias, data, offsets) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
