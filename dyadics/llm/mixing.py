@@ -32,7 +32,7 @@ SEED = 2
 BINS = {
     "symbols": (0.02, 0.2, 0.6),
     "lines": (0.0, 0.1, 0.3),
-    "variety": (0.3, 0.6, 0.85),
+    "variety": (0.5, 0.7, 0.8),
     "upper": (0.08, 0.2, 0.5),
     "poor_cues": (0.0, 1.0),
     "toxic_cues": (0.0, 1.0, 3.0),
@@ -61,7 +61,8 @@ def measured(docs: DataFrame) -> DataFrame:
         {
             "_symbols": F.char_length(F.regexp_replace(text, "[^#*$%&|<>]+", "")) / n,
             "_same_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))) / lines,
-            "_variety": F.size("_distinct") / n,
+            # Herdan's measure: unlike the plain ratio it hardly falls with the length of a text
+            "_variety": F.when(n > 1, F.log(F.size("_distinct").cast("double")) / F.log(n.cast("double"))).otherwise(1.0),
             "_upper": F.char_length(F.regexp_replace(text, "[^A-Z]+", "")) / chars,
         }
     ).drop("_words", "_lines")

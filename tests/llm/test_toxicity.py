@@ -49,10 +49,10 @@ def test_misspellings_share_grams():
     from dyadics.llm.text_arrays import chunks
     from dyadics.llm.toxicity import window_scores
 
-    batch = pa.RecordBatch.from_arrays([pa.array(["about an imbecill and a river", "about a garden and a river", ""])], names=["text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(["plain words number 7 about an imbecill and a river", "about a garden and a river", ""])], names=["text"])
     _, data, offsets = next(chunks(batch))
     odd, good, empty = window_scores(table, bias, data, offsets)
-    assert odd > 0.5 > good and 0 <= empty <= 1
+    assert odd > 0.3 > good and 0 <= empty <= 1
 
 
 @pytest.mark.parametrize("n", [0, 1, 5])
