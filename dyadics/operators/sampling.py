@@ -9,12 +9,20 @@ from pyspark.sql.window import Window
 from ..functions.codes import CODES, hash_rank_key, level
 
 
-def numbered(rows: DataFrame, order: str, size: str, width: int = 4096, first: int = 1) -> DataFrame:
+#: Ranges that an order is cut into; their sums are a table of as many rows.
+RANGES = 4_096
+
+
+def numbered(rows: DataFrame, order: str, size: str, first: int = 1) -> DataFrame:
     """``rows`` with ``first_id``: ``first`` plus the sizes of all rows before, in the order of the whole-number ``order``.
 
-    Rows are summed in ranges of ``width``; only the ranges' sums are ordered in one task.
+    The span of ``order`` is cut into RANGES equal ranges, each summed in a task of its own; only the ranges' sums are
+    ordered in one task.
     """
-    ranged = rows.withColumn("_range", F.floor(F.col(order) / width))
+    ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    lo = ends["lo"] or 0
+    width = ((ends["hi"] or 0) - lo) // RANGES + 1
+    ranged = rows.withColumn("_range", F.floor((F.col(order) - lo) / width))
     sums = ranged.groupBy("_range").agg(F.sum(size).alias("_sum"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
@@ -70,7 +78,7 @@ def rotating_codes(pairs: DataFrame, index: str, shuffled: list[int], take: int)
     return pairs.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(take - 1)))).withColumn("code", F.element_at(table, place)).drop("offset")
 
 
-def batches(pairs: DataFrame, key: str, seed: int, epoch: int, size: int, repeats: int, ranks: int = 1, blocks: int = 64) -> DataFrame:
+def batches(pairs: DataFrame, key: str, seed: int, epoch: int, size: int, repeats: int, ranks: int = 1, blocks: int = 1_024) -> DataFrame:
     """Shuffled batches of whole pairs: rank, batch, slot, repeat; pairs that fill no batch on all ranks are left out.
 
     The shuffle is by hash, in ``blocks`` ranges of the hash that are ordered apart.

@@ -108,13 +108,12 @@ def json_lines(spark: SparkSession, path: str, schema: str, key: list[str] | Non
 def question_records(rows: DataFrame, order: str) -> DataFrame:
     """id, question, target: ids default to test_00000 by the place in ``order``; targets fall back on the solution."""
     from ..functions.answers import normalized_number, solution_answer
+    from ..operators.sampling import numbered
 
     has = lambda c: F.nullif(F.trim(F.col(c)), F.lit("")) if c in rows.columns else F.lit(None).cast("string")
     kept = rows.where(F.coalesce(has("split"), F.lit("test")) == "test")
-    ranged = kept.withColumn("_range", F.floor(F.col(order) / 4096))
-    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    placed = ranged.join(F.broadcast(starts), "_range").withColumn("_place", F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1)
-    return placed.select(F.coalesce(has("id"), F.format_string("test_%05d", "_place")).alias("id"), F.trim("question").alias("question"), F.coalesce(normalized_number(has("target")), solution_answer(has("answer")), normalized_number(has("answer"))).alias("target"))
+    placed = numbered(kept.withColumn("_one", F.lit(1)), order, "_one", first=0)
+    return placed.select(F.coalesce(has("id"), F.format_string("test_%05d", "first_id")).alias("id"), F.trim("question").alias("question"), F.coalesce(normalized_number(has("target")), solution_answer(has("answer")), normalized_number(has("answer"))).alias("target"))
 
 
 def trainer_states(spark: SparkSession, path: str, fields: tuple[str, ...] = ("epoch", "loss", "grad_norm", "learning_rate", "reward", "reward_std", "kl", "entropy")) -> DataFrame:
