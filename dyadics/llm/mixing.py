@@ -129,9 +129,11 @@ def posteriors(bins: DataFrame, counts: dict[tuple[str, str, int], int], texts:
 def fit_rates(groups: DataFrame, weights: dict[str, float], clean_scale: float) -> list[list[float]]:
     """The residual of each iteration, by domain, times its step: a posterior's rate is the fold of these.
 
-    ``groups``: posterior, tokens. Each iteration is one aggregate over ``groups``; only domain totals come back.
+    ``groups``: posterior, tokens. Each iteration is one aggregate over ``groups``; only domain totals come back. It ends
+    at the targets, or when eight steps have come nearer to them by less than the tolerance.
     """
     k = len(DOMAINS)
+    groups = groups.coalesce(1)  # a bounded table: no exchange in each iteration
 
     def totals(rate: Column) -> list[float]:
         # scaled to means of the corpus, so that no total overflows or loses digits
@@ -147,9 +149,11 @@ def fit_rates(groups: DataFrame, weights: dict[str, float], clean_scale: float)
     # hardly has is missed by little in tokens, and must not pull the others off their targets
     bound = sum((gram[f"g{d}"] or 0.0) for d in range(k)) / max(gram["all"] or 0, 1) or 1.0
     history: list[list[float]] = []
+    missed: list[float] = []
     for n in range(ITERATIONS):
         off = [t - g for t, g in zip(target, totals(_fold(history)["ahead"]), strict=True)]
-        if max(map(abs, off)) < TOLERANCE * budget:
+        missed.append(sum(o * o for o in off) ** 0.5)
+        if max(map(abs, off)) < TOLERANCE * budget or (n >= 16 and min(missed[:-8]) - min(missed[-8:]) < TOLERANCE * budget):
             break
         history.append([o / bound for o in off] + [n / (n + 3)])
     return history

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .text_arrays import LOWER, SPACE, bounds, chunks, hashes, mix, words
+from .text_arrays import LOWER, bounds, chunks, hashes, mix, words
 
 WINDOW = 8
 GRAMS = (3, 5, 7)
