@@ -2,7 +2,7 @@
 
 A page's payload is the body of an HTTP response in chunked transfer framing. Of pages with equal payloads of
 REVISIT_BYTES or more, the one with the greatest page_id is a ``response`` record; the others are ``revisit`` records
-that refer to it and carry no body. A block longer than SEGMENT_BYTES is cut into a first record and ``continuation``
+that refer to it and carry no body. A block longer than SEGMENT_CHARS is cut into a first record and ``continuation``
 records that name it as their origin; the last one states the total length.
 
 A record is one row of a text table whose line separator is the blank lines that end a WARC record, so the files are
@@ -89,37 +89,36 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         )
     )
     block = F.concat(F.lit(HTTP_HEAD), _chunked(F.col("body")))
-    whole = rows.where("first IS NULL").withColumn("block", block).withColumn("parts", F.ceil(F.char_length("block") / SEGMENT_CHARS).cast("int"))
-    parts = whole.select("*", F.explode(F.sequence(F.lit(1), F.greatest("parts", F.lit(1)))).alias("number"))
+    whole = rows.withColumn("block", F.when(F.col("first").isNull(), block).otherwise("")).drop("body")
+    whole = whole.withColumn("parts", F.greatest(F.ceil(F.char_length("block") / SEGMENT_CHARS).cast("int"), F.lit(1)))
+    parts = whole.select("*", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("number"))
     part = F.substring("block", (F.col("number") - 1) * SEGMENT_CHARS + 1, F.lit(SEGMENT_CHARS))
     one, many = F.col("number") == 1, F.col("parts") > 1
     segment_name = F.when(one, name).otherwise(_record_id(F.concat(F.lit("page "), page, F.lit(" segment "), F.col("number").cast("string"))))
-    response = parts.withColumn("part", part).select(
-        F.concat(
-            _fields(
-                ("WARC-Type", F.when(one, "response").otherwise("continuation")),
-                ("WARC-Record-ID", segment_name),
-                ("WARC-Date", date),
-                ("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
-                ("WARC-Page-ID", F.when(one, page)),
-                ("WARC-Payload-Digest", F.when(one, digest)),
-                ("WARC-Segment-Number", F.when(many, F.col("number").cast("string"))),
-                ("WARC-Segment-Origin-ID", F.when(~one, name)),
-                ("WARC-Segment-Total-Length", F.when(many & (F.col("number") == F.col("parts")), F.octet_length("block").cast("string"))),
-                ("Content-Type", F.lit("application/http; msgtype=response")),
-                ("Content-Length", F.octet_length("part").cast("string")),
-            ),
-            F.col("part"),
-        ).alias("value")
+    response = F.concat(
+        _fields(
+            ("WARC-Type", F.when(one, "response").otherwise("continuation")),
+            ("WARC-Record-ID", segment_name),
+            ("WARC-Date", date),
+            ("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
+            ("WARC-Page-ID", F.when(one, page)),
+            ("WARC-Payload-Digest", F.when(one, digest)),
+            ("WARC-Segment-Number", F.when(many, F.col("number").cast("string"))),
+            ("WARC-Segment-Origin-ID", F.when(~one, name)),
+            ("WARC-Segment-Total-Length", F.when(many & (F.col("number") == F.col("parts")), F.octet_length("block").cast("string"))),
+            ("Content-Type", F.lit("application/http; msgtype=response")),
+            ("Content-Length", F.octet_length("part").cast("string")),
+        ),
+        F.col("part"),
     )
-    return response.unionByName(rows.where("first IS NOT NULL").select(revisit.alias("value")))
+    return parts.withColumn("part", part).select(F.when(F.col("first").isNull(), response).otherwise(revisit).alias("value"))
 
 
 def write_archives(spark: SparkSession, rows: DataFrame, path: str) -> None:
     """Writes records as gzip-compressed archives below ``path``; a file holds FILE_CHARS or a little more at most."""
     # the records' mean length is known from what they are cut to: SEGMENT_CHARS and a header
     most = max(1, FILE_CHARS // (SEGMENT_CHARS + 1_000))
-    rows.write.option("lineSep", NEWLINE * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    rows.write.option("lineSep", NEWLINE * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", most).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
