@@ -27,7 +27,7 @@ SEGMENT_CHARS = 16_000
 #: Characters of each chunk of the transfer framing.
 CHUNK_CHARS = 4_096
 #: Characters of records that one archive file may hold, before compression.
-FILE_CHARS = 24_000_000
+FILE_CHARS = 64_000_000
 NEWLINE = "\r\n"
 #: The fields and profile of the WARC 1.1 standard.
 VERSION = "WARC/1.1"
