@@ -1,8 +1,8 @@
 """WARC archives: records written through Spark's text sink, and read back with segments reassembled.
 
 A page's payload is the body of an HTTP response in chunked transfer framing. Of pages with equal payloads of
-REVISIT_BYTES or more, the one with the greatest page_id is a ``response`` record; the others are ``revisit`` records
-that refer to it and carry no body. A block longer than SEGMENT_CHARS is cut into a first record and ``continuation``
+REVISIT_BYTES or more, those with the greatest page_id are ``response`` records; the others are ``revisit`` records
+that refer to one of them and carry no body. A block longer than SEGMENT_CHARS is cut into a first record and ``continuation``
 records that name it as their origin; the last one states the total length.
 
 A record is one row of a text table whose line separator is the blank lines that end a WARC record, so the files are
@@ -58,19 +58,29 @@ def _fields(*pairs: tuple[str, Column]) -> Column:
     return F.concat(F.concat_ws(NEWLINE, F.lit(VERSION), *lines), F.lit(NEWLINE * 2))
 
 
-def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", row: Column | None = None) -> DataFrame:
     """``value``: the text of each record, in header and block, without the blank lines that end it.
 
-    A null payload is empty; a null url is written as ``about:blank``. Rows with a null page_id are left out: a record
-    needs a name. Rows that repeat a page_id are written once each, under the same record id.
+    A null payload is empty; a null url is written as ``about:blank``. A row with a null page_id is a response without a
+    WARC-Page-ID. Records are named by page_id and ``row``, so rows that repeat a page_id are records of their own.
+    ``row`` must differ between rows and be the same whenever they are read; without it the rows are numbered and stored.
     """
-    rows = pages.where(F.col(page_id).isNotNull()).select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("about:blank")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("body"))
+    columns = (F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("about:blank")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("body"))
+    if row is None:
+        rows = stored(pages.select(*columns, F.monotonically_increasing_id().cast("string").alias("row")), "pages")
+    else:
+        rows = pages.select(*columns, row.cast("string").alias("row"))
     rows = rows.withColumn("bytes", F.octet_length("body")).withColumn("digest", F.sha1(F.encode("body", "UTF-8")))
-    equal = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("many")).where("many > 1")
+    equal = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest", "bytes").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("many")).where("many > 1")
     # narrow rows tell which pages revisit; only those lose their bodies
-    again = rows.select("page_id", "digest", "bytes").join(equal.select("digest", "bytes", "first"), ["digest", "bytes"]).where("page_id != first").select("page_id", "digest", "first").distinct()
+    again = rows.select("page_id", "digest", "bytes").join(equal.select("digest", "bytes", "first"), ["digest", "bytes"]).where("page_id != first.page_id").select("page_id", "digest", "first").distinct()
     rows = rows.join(again, ["page_id", "digest"], "left")
-    name = _record_id(F.concat(F.lit("page "), F.col("page_id").cast("string")))
+
+    def full(number: Column, row: Column) -> Column:
+        return F.concat(F.lit("page "), F.coalesce(number.cast("string"), F.lit("without id")), F.lit(" row "), row)
+
+    full_name = full(F.col("page_id"), F.col("row"))
+    name = _record_id(full_name)
     date = F.lit("2024-01-01T00:00:00Z")
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
     page = F.col("page_id").cast("string")
@@ -82,7 +92,7 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             ("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
             ("WARC-Page-ID", page),
             ("WARC-Profile", F.lit(PROFILE)),
-            ("WARC-Refers-To", _record_id(F.concat(F.lit("page "), F.col("first").cast("string")))),
+            ("WARC-Refers-To", _record_id(full(F.col("first.page_id"), F.col("first.row")))),
             ("WARC-Payload-Digest", digest),
             ("Content-Type", F.lit("application/http; msgtype=response")),
             ("Content-Length", F.lit("0")),
@@ -94,7 +104,7 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     parts = whole.select("*", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("number"))
     part = F.substring("block", (F.col("number") - 1) * SEGMENT_CHARS + 1, F.lit(SEGMENT_CHARS))
     one, many = F.col("number") == 1, F.col("parts") > 1
-    segment_name = F.when(one, name).otherwise(_record_id(F.concat(F.lit("page "), page, F.lit(" segment "), F.col("number").cast("string"))))
+    segment_name = F.when(one, name).otherwise(_record_id(F.concat(full_name, F.lit(" segment "), F.col("number").cast("string"))))
     response = F.concat(
         _fields(
             ("WARC-Type", F.when(one, "response").otherwise("continuation")),
@@ -230,7 +240,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "archives")
-    write_archives(spark, records(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
+    # a row's file and its place there name it in every scan, so that nothing needs to be stored
+    row = F.concat(F.col("_metadata.file_path"), F.lit(":"), F.col("_metadata.row_index").cast("string"))
+    write_archives(spark, records(spark.read.parquet(f"{sf_dir}/pages.parquet"), row=row), path)
     return read_archives(spark, path)
 
 

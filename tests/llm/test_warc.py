@@ -51,6 +51,24 @@ def test_empty_table(spark):
     assert got.count() == 0
 
 
+def test_repeated_long_pages_and_null_ids(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    long, other = "é𝄞" * 20_000, "z" * 40_000
+    rows = [(1, long), (1, long), (2, long), (2, long), (2, other), (3, other), (3, other), (None, other), (None, other), (None, "n" * 50_000), (None, "n" * 50_000), (None, None), (None, "s"), (4, "s"), (4, "s")]
+    pages = spark.createDataFrame([(p, "u", h) for p, h in rows], "page_id long, url string, html string")
+    pages.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    want = sorted(con.sql(f"SELECT {', '.join(names)} FROM ({warc.OP8_SQL})").fetchall(), key=str)
+    path, got = trip(spark, pages)
+    assert len(want) == len(rows)
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == want
+    assert sorted(map(tuple, warc.op8_warc(spark, str(tmp_path)).select(*names).collect()), key=str) == want
+    ids = [f["warc-record-id"] for r in spark.read.format("binaryFile").load(f"{path}/*.gz").select("content").collect() for f, _ in warc.parse(gzip.decompress(r[0]))]
+    assert len(ids) == len(set(ids))
+
+
 def test_lost_segment_fails(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "b" * 60_000)], "page_id long, url string, html string")
     kept = warc.records(pages).where("value NOT LIKE '%WARC-Segment-Number: 3%'")
