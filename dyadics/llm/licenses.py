@@ -1,6 +1,6 @@
 """Licence scan by canonical digests, in DataFrame functions alone.
 
-A text is normalised: copyright lines go, letters become lower-case, equivalent spellings become one, punctuation and
+A text is normalised: lines of a holder's copyright notice go, letters become lower-case, equivalent spellings become one, punctuation and
 white space become single spaces. The digest of the whole normalised text is looked up among those of known licence
 texts by a hash join. The same lookup takes each line of a text as a whole, which finds licence notices.
 """
@@ -80,12 +80,22 @@ SPELLINGS = (
 #: A line of these is looked up as a text of its own; other lines cannot be notices.
 NOTICE_HINT = "licen|spdx|permission|creative commons"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The SQL's expression. It also drops lines of a wrapped licence that merely begin with one of these words.
 _COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Words that follow "copyright" in the running text of a licence, where a notice has a sign, a year or a name.
+_RUNNING_ON = "and|are|as|claims?|disclaimers?|for|holders?|in|infringements?|interests?|is|laws?|licen[cs]es?|may|must|notices?|of|on|or|owners?|ownership|permissions?|protections?|rights?|shall|statements?|to|treat(?:y|ies)|under|with"
+#: A holder's notice. "(c)" alone may be a clause, so a year, "copyright", "by" or a name of capitalised words has to follow.
+_HOLDER_LINE = (
+    r"(?im)^[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\p{N}\n]*(?:\(c\)|©)"
+    rf"|(?:\(c\)\s*)?copyright\b[^\p{{L}}\p{{N}}\n.;]+(?!(?:{_RUNNING_ON})\b)[\p{{L}}\p{{N}}]"
+    r"|\(c\)[ \t]*(?:\d{4}|by\b|(?-i:(?:\p{Lu}[\p{L}\p{N}.'’&-]*,?[ \t]+)*\p{Lu}[\p{L}\p{N}'’&-]*\p{Ll}[ \t]+\p{Lu}[\p{L}\p{N}.'’&-]*\p{Ll}\.?[ \t]*(?:<[^>\n]*>)?[ \t]*$))"
+    r"|©|all rights reserved)[^\n]*$"
+)
 
 
 def canonical(text: Column) -> Column:
     """The normalised text. Equal licences give equal texts whatever their case, punctuation, spelling and holders."""
-    out = F.regexp_replace(F.translate(text, _UPPER, _LOWER), _COPYRIGHT_LINE, " ")
+    out = F.translate(F.regexp_replace(text, _HOLDER_LINE, " "), _UPPER, _LOWER)
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     # only texts that hold an odd spelling pay for the replacements; each word is bounded by spaces
     odd = "|".join(a for a, _ in SPELLINGS)

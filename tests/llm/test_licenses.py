@@ -1,3 +1,5 @@
+import textwrap
+
 from dyadics.llm.licenses import ISC, MIT, TEXTS, scan
 
 
@@ -28,3 +30,19 @@ def test_each_known_text_is_found(spark):
     rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(TEXTS)], "doc_id long, text string")
     got = {r["doc_id"]: r["license"] for r in scan(rows).collect()}
     assert got == {i: name for i, (name, _) in enumerate(TEXTS)}
+
+
+def test_each_known_text_is_found_however_it_is_wrapped(spark):
+    head = "Copyright (c) 2024 Some One\n(c) 2020 A. Body\nCopyright The Authors <a@b.c>\n(c) Some One\n© Some One\nAll rights reserved.\n"
+    forms = [(name, head + "\n".join(textwrap.fill(line.upper() if shout else line, width) for line in text.split("\n"))) for name, text in TEXTS for width in (*range(24, 90, 3), 200) for shout in (False, True)]
+    assert any(line.startswith("copyright notice") for _, text in forms for line in text.split("\n"))
+    assert any(line.lower().startswith("copyright holder") for _, text in forms for line in text.split("\n"))
+    got = {r["doc_id"]: r["license"] for r in scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(forms)], "doc_id long, text string")).collect()}
+    assert {i: (name, got[i]) for i, (name, _) in enumerate(forms) if got[i] != name} == {}
+
+
+def test_clauses_are_not_holders(spark):
+    texts = (("X-1", "Terms:\n(a) keep this\n(c) You must keep that\ncopyright law applies"),)
+    rows = [texts[0][1], "Copyright 2001, 2002 X\n" + texts[0][1], texts[0][1].replace("keep that", "drop that"), texts[0][1].replace("law applies", "laws do not")]
+    got = scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), texts).orderBy("doc_id").collect()
+    assert [r["license"] for r in got] == ["X-1", "X-1", None, None]
