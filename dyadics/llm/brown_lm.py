@@ -1,12 +1,14 @@
 """Brown class-based bigram language model: classes by exchange clustering, scores for every text.
 
 P(text) is the product over its tokens of P(class | class before) * P(word | class). Units are clustered: each of the
-most frequent words is a unit, all other words (unseen ones too) belong to the unit of their last two bytes. Exchange
-clustering moves one unit after the other to the class that gains most mutual information between adjacent classes.
+most frequent words is a unit, all other words belong to the unit of their last two bytes at first. Exchange clustering
+moves one unit after the other to the class that gains most mutual information between adjacent classes. Then each of
+the other training words goes, by its own counts of classes before and after it, to the class where it gains most;
+unseen words have the class of their last two bytes.
 
 Counts of words and of adjacent units are summed over all training texts by shuffles. Sent to the driver are tables
 bounded by the numbers of units and classes alone. Scoring looks the more frequent words up in a bounded broadcast
-table; all other words meet their counts in a join, so every count is exact at any vocabulary size.
+table; all other words meet their counts and classes in a join, so both are exact at any vocabulary size.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ HELD_KEYS = 2_000_000
 #: Added to each word's count, as in the base; and the weight of the unigram class law in P(class | class before).
 ADDED, BACK_OFF = 0.1, 2.0
 END_HASH = -(2**62) - 11
+#: Stands for the class of a word that has yet to meet it in the join.
+PENDING = 255
 END = FREQUENT + SUFFIXES
 UNITS = END + 1
 
@@ -111,11 +115,10 @@ def _named(word: np.ndarray, suffix: np.ndarray) -> np.ndarray:
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
-    """The least count such that at most ``most`` words have it or more. What is collected: one row a distinct count, cut off."""
-    top = 1 << 20
-    rows = counts.groupBy(F.least("n", F.lit(top)).alias("n")).count()
-    bins = rows.groupBy(F.floor(F.log2("n") * 64).alias("bin")).agg(F.min("n").alias("n"), F.sum("count").alias("many")).orderBy(F.desc("bin")).collect()  # 1300 rows at most
-    seen, least = 0, top + 1
+    """The least count such that at most ``most`` words have it or more. What is collected: one row a bin of like counts."""
+    rows = counts.groupBy("n").count()
+    bins = rows.groupBy(F.floor(F.log2("n") * 64).alias("bin")).agg(F.min("n").alias("n"), F.sum("count").alias("many")).orderBy(F.desc("bin")).collect()  # 4032 rows at most
+    seen, least = 0, 1 << 62
     for r in bins:
         seen += r["many"]
         if seen > most:
@@ -185,13 +188,77 @@ def contexts(pairs: DataFrame, label: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return after, before
 
 
-def exchange(label: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """One round of the exchange algorithm over all units, the frequent ones first; END keeps the class of its own."""
+def _gainful(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
 
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1))
+def best_classes(now: np.ndarray, of: np.ndarray, context: np.ndarray, n: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class where each word gains most against the classes' ``table``, in which it counts for the class ``now``.
+
+    ``of`` (ascending, without gaps) has the word of each context; a context is the class after the word, or the number
+    of classes and the class before it.
+    """
+    k, f, out = CLASSES + 1, _gainful, np.empty(len(now), dtype=np.int64)
+    rows, columns = table.sum(axis=1), table.sum(axis=0)
+    begins = np.r_[np.searchsorted(of, np.arange(len(now))), len(of)]
+    at = 0
+    while at < len(now):  # some thousand contexts at a time
+        to = max(at + 1, int(np.searchsorted(begins, begins[at] + 8_192, side="right")) - 1)
+        part = slice(begins[at], begins[to])
+        own, d, m = of[part] - at, context[part] % k, n[part].astype(np.float64)
+        after, home = context[part] < k, now[at:to]
+        base = np.where(after[:, None], table[:, d].T, table[d])
+        place = np.arange(len(own)), home[own]
+        base[place] = np.maximum(base[place] - m, 0)
+        gain = np.add.reduceat(f(base + m[:, None]) - f(base), begins[at:to] - begins[at], axis=0)
+        for total, each in ((rows, after), (columns, ~after)):
+            size = np.bincount(own, weights=m * each, minlength=to - at)
+            left = np.tile(total, (to - at, 1))
+            left[np.arange(to - at), home] = np.maximum(left[np.arange(to - at), home] - size, 0)
+            gain -= f(left + size[:, None]) - f(left)
+        gain[:, CLASSES] = -np.inf
+        out[at:to] = gain.argmax(axis=1)
+        at = to
+    return out
+
+
+def rare_classes(training: DataFrame, frequent: np.ndarray, label: np.ndarray, table: np.ndarray) -> DataFrame:
+    """word, n, class of each training word that is no unit of its own, by its contexts' classes."""
+    shared = training.sparkSession.sparkContext.broadcast((frequent, label, table))
+    k = CLASSES + 1
 
-    label, k = label.copy(), CLASSES + 1
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, label, _ = shared.value
+        for batch in batches:
+            for _, data, offsets in chunks(batch):
+                word, suffix, owner = tokens(data, offsets)
+                key = _named(word, suffix)
+                unit = units(key, frequent)
+                line, _ = _sequence(unit, owner, len(offsets) - 1)
+                rare = np.flatnonzero(unit >= FREQUENT)
+                place, classes = rare + owner[rare] + 1, label[line]
+                names, of = np.unique(key[rare], return_inverse=True)
+                both, n = np.unique(np.r_[of * 2 * k + classes[place + 1], of * 2 * k + k + classes[place - 1]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names[both // (2 * k)]), pa.array((both % (2 * k)).astype(np.int32)), pa.array(n)], names=["word", "context", "n"])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, label, table = shared.value
+        for batch in batches:
+            word, lists = batch.column(0).to_numpy(), batch.column(1)
+            flat = lists.flatten()
+            of = np.repeat(np.arange(len(word)), lists.value_lengths().to_numpy())
+            context, n = flat.field("context").to_numpy(), flat.field("n").to_numpy()
+            to = best_classes(label[FREQUENT + (word & (SUFFIXES - 1))], of, context, n, table)
+            size = np.bincount(of, weights=n * (context < k), minlength=len(word)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(size), pa.array(to)], names=["word", "n", "class"])
+
+    counted = training.select("text").mapInArrow(around, "word long, context int, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    return counted.groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("contexts")).mapInArrow(assign, "word long, n long, class long")
+
+
+def exchange(label: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """One round of the exchange algorithm over all units, the frequent ones first; END keeps the class of its own."""
+    f, label, k = _gainful, label.copy(), CLASSES + 1
     table = np.zeros((k, k))
     np.add.at(table, label, after)
     rows, columns = table.sum(axis=1), table.sum(axis=0)
@@ -218,15 +285,14 @@ def exchange(label: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.nda
 
 
 class Model:
-    """What a worker needs to score: bounded arrays."""
+    """What a worker needs to give words their classes: bounded arrays."""
 
-    def __init__(self, frequent, label, jump, down, looked_up, looked_count):
-        self.frequent, self.label, self.jump, self.down = frequent, label, jump, down
-        self.looked_up, self.looked_count = looked_up, looked_count
+    def __init__(self, label, looked_up, looked_count, looked_class):
+        self.label, self.looked_up, self.looked_count, self.looked_class = label, looked_up, looked_count, looked_class
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame, int, int]:
-    """The model, the counts of all training words, their sum N and their number V."""
+def fit(docs: DataFrame) -> tuple[Model, DataFrame, np.ndarray, int, int, int]:
+    """The classes: a model, the other words' n and class, the words of each class; and the sum N of all counts, the number V of words and the number of ends."""
     training = docs.where(~held_out()).select("text")
     counts = stored(word_counts(training), "word-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -237,12 +303,12 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, int, int]:
     order = np.argsort(top.column("word").to_numpy())
     looked_up, looked_count = top.column("word").to_numpy()[order], top.column("n").to_numpy()[order]
     frequent = looked_up[looked_count >= often]
-    groups = {r["suffix"]: (r["kinds"], r["n"]) for r in words_only.where(F.col("n") < often).groupBy((F.pmod("word", F.lit(SUFFIXES))).alias("suffix")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect()}
+    groups = {r["suffix"]: r["n"] for r in words_only.where(F.col("n") < often).groupBy((F.pmod("word", F.lit(SUFFIXES))).alias("suffix")).agg(F.sum("n").alias("n")).collect()}
     pairs = stored(unit_pairs(training, frequent), "unit-pairs")
     # to begin with, units are dealt to classes in the order of their counts
     size = np.zeros(UNITS)
     size[: len(frequent)] = looked_count[looked_count >= often]
-    for s, (_, n) in groups.items():
+    for s, n in groups.items():
         size[FREQUENT + s] = n
     label = np.zeros(UNITS, dtype=np.int64)
     label[np.argsort(-size, kind="stable")] = np.arange(UNITS) % CLASSES
@@ -253,17 +319,47 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, int, int]:
     k = CLASSES + 1
     table = np.zeros((k, k))
     np.add.at(table, label, after)
-    share = (table.sum(axis=0) + ADDED) / (table.sum() + ADDED * k)
-    jump = np.log10((table + BACK_OFF * share) / (table.sum(axis=1, keepdims=True) + BACK_OFF))
-    # tokens, words and slots for unseen words of each class; every suffix group has one slot
-    tokens_of, words_of = np.bincount(label, weights=size, minlength=k), np.bincount(label[: len(frequent)], minlength=k).astype(float)
+    rare = stored(rare_classes(training, frequent, label, table), "rare-classes")
+    looked_class = np.zeros(len(looked_up), dtype=np.int64)
+    looked_class[looked_count >= often] = label[: len(frequent)]
+    known = rare.where(F.col("n") >= looked).select("word", "class").toArrow()
+    looked_class[np.searchsorted(looked_up, known.column("word").to_numpy())] = known.column("class").to_numpy()
+    # words and slots for unseen words of each class; every suffix group has one slot
+    words_of = np.bincount(label[: len(frequent)], minlength=k).astype(float)
     np.add.at(words_of, label[FREQUENT : FREQUENT + SUFFIXES], 1.0)
-    for s, (kinds_of, _) in groups.items():
-        words_of[label[FREQUENT + s]] += kinds_of
+    for r in rare.groupBy("class").count().collect():
+        words_of[r["class"]] += r["count"]
+    words_of[CLASSES] = 1
     ends = counts.where(F.col("word") == END_HASH).first()
-    tokens_of[CLASSES], words_of[CLASSES] = ends["n"] if ends else 0, 1
-    down = np.log10(tokens_of + ADDED * words_of)
-    return Model(frequent, label, jump, down, looked_up, looked_count), counts, total, kinds
+    return Model(label, looked_up, looked_count, looked_class), rare.where(F.col("n") < looked), words_of, total, kinds, ends["n"] if ends else 0
+
+
+def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all texts' words with one END before and after each text, and where each text begins."""
+    texts = column.to_pylist()
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    begins = np.r_[0, np.cumsum(size + 1)]
+    out = np.full(int(begins[-1]) + 1, CLASSES, dtype=np.int64)
+    out[np.arange(int(size.sum())) + np.repeat(np.arange(len(texts)), size) + 1] = np.frombuffer(b"".join(texts), np.uint8)
+    return out, begins
+
+
+def _transitions(rows: DataFrame) -> np.ndarray:
+    """Counts of adjacent classes in the rows' texts."""
+    k = CLASSES + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, dtype=np.int64)
+        for batch in batches:
+            line, _ = _lines(batch.column(0))
+            total += np.bincount(line[:-1] * k + line[1:], minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    got = rows.select("classes").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(k * k)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(k, k)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -272,11 +368,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     A null or empty text is one end. Rows with a null doc_id train and are not held out. Repeated rows are counted and
     scored like others. Without training rows every count is 0. Other columns are ignored.
     """
-    model, counts, total, kinds = fit(docs)
+    model, rare, words_of, total, kinds, end_n = fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    end_n = counts.where(F.col("word") == END_HASH).first()
-    end_n = end_n["n"] if end_n else 0
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, up double, path double, rest array<long>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, up double, classes binary, rest array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, row = shared.value, TaskContext.get().partitionId() << 40
@@ -286,16 +380,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 texts = len(offsets) - 1
                 word, suffix, owner = tokens(data, offsets)
                 key = _named(word, suffix)
-                line, begins = _sequence(units(key, m.frequent), owner, texts)
-                classes = m.label[line]
-                step = m.jump[classes[:-1], classes[1:]] - m.down[classes[1:]]
-                path = np.add.reduceat(step, begins[:-1]) if texts else step
                 if len(m.looked_up):
                     at = np.minimum(np.searchsorted(m.looked_up, key), len(m.looked_up) - 1)
                     hit = m.looked_up[at] == key
                 else:
                     at, hit = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
                 up = np.bincount(owner[hit], weights=np.log10(m.looked_count[at[hit]] + ADDED), minlength=texts) + end_up
+                classes = np.full(len(key), PENDING, dtype=np.uint8)
+                classes[hit] = m.looked_class[at[hit]]
+                cuts = np.searchsorted(owner, np.arange(texts + 1))
                 rest, of = key[~hit], owner[~hit]
                 ends = np.searchsorted(of, np.arange(texts + 1))
                 n = np.bincount(owner, minlength=texts) + 1
@@ -308,28 +401,61 @@ def score_documents(docs: DataFrame) -> DataFrame:
                         pa.array(n),
                         pa.array(known),
                         pa.array(up),
-                        pa.array(path),
+                        pa.array([classes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest)),
                     ],
                     names=[x.split()[0] for x in schema.split(", ")],
                 )
                 row += texts
 
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, schema), "text-scores")
-    least = int(model.looked_count.min()) if len(model.looked_count) else 1 << 62
-    rare = counts.where((F.col("n") < least) & (F.col("word") != END_HASH))
-    found = rows.select("row", F.explode("rest").alias("word")).join(rare, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    found = found.groupBy("row").agg(F.sum(F.log10(F.col("n") + F.lit(ADDED))).alias("more"), F.count_if(F.col("n") > 0).alias("more_known"))
-    up = F.col("up") + F.coalesce("more", F.lit(0.0))
-    down = float(np.log10(total + ADDED * (kinds + 1)))
-    return rows.drop("rest").join(found, "row", "left").select(
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, schema), "text-words")
+    unseen = F.element_at(F.array(*(F.lit(int(c)) for c in model.label[FREQUENT : FREQUENT + SUFFIXES])), (F.pmod("word", F.lit(SUFFIXES)) + 1).cast("int"))
+    found = rows.select("row", F.posexplode("rest").alias("pos", "word")).join(rare, "word", "left").select("row", "pos", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", unseen).cast("int").alias("class"))
+    found = found.groupBy("row").agg(F.sum(F.log10(F.col("n") + F.lit(ADDED))).alias("more"), F.count_if(F.col("n") > 0).alias("more_known"), F.sort_array(F.collect_list(F.struct("pos", "class"))).alias("late"))
+    joined = rows.drop("rest").join(found, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("up") + F.coalesce("more", F.lit(0.0))).alias("up"),
+        "classes",
+        F.coalesce(F.transform("late", lambda x: x["class"]), F.array().cast("array<int>")).alias("late"),
+    )
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(5).to_pylist()
+            classes = np.frombuffer(b"".join(texts), np.uint8).copy()
+            classes[classes == PENDING] = batch.column(6).flatten().to_numpy()
+            cuts = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
+            filled = pa.array([classes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], filled], names=[*batch.schema.names[:5], "classes"])
+
+    lines = stored(joined.mapInArrow(fill, "doc_id long, held_out boolean, n_tokens long, n_known long, up double, classes binary"), "text-classes")
+    k = CLASSES + 1
+    table = _transitions(lines.where("NOT held_out"))
+    share = (table.sum(axis=0) + ADDED) / (table.sum() + ADDED * k)
+    jump = np.log10((table + BACK_OFF * share) / (table.sum(axis=1, keepdims=True) + BACK_OFF))
+    laws = docs.sparkSession.sparkContext.broadcast((jump, np.log10(table.sum(axis=0) + ADDED * words_of)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        jump, down = laws.value
+        for batch in batches:
+            line, begins = _lines(batch.column(5))
+            step = jump[line[:-1], line[1:]] - down[line[1:]]
+            path = np.add.reduceat(step, begins[:-1]) if batch.num_rows else step
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(path)], names=[*batch.schema.names[:5], "path"])
+
+    down = float(np.log10(total + ADDED * (kinds + 1)))
+    scored = lines.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, up double, path double")
+    return scored.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        "n_known",
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (up - F.col("n_tokens") * F.lit(down)).alias("base_score"),
-        (up + F.col("path")).alias("score"),
+        (F.col("up") - F.col("n_tokens") * F.lit(down)).alias("base_score"),
+        (F.col("up") + F.col("path")).alias("score"),
     )
 
 

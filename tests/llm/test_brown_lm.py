@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+
 from dyadics.llm import brown_lm
 from dyadics.llm.brown_lm import score_documents
 
@@ -58,3 +60,28 @@ def _held(n):
 def test_least_count(spark):
     rows = spark.createDataFrame([(n,) for n in (1, 1, 1, 2, 2, 5, 9)], "n long")
     assert [brown_lm._least_count(rows, k) for k in (1, 2, 4, 7)] == [9, 5, 2, 1]
+
+
+def test_least_count_of_very_frequent_words(spark):
+    rows = spark.createDataFrame([(2**21,), (2**22,), (2**23,), (2**40,)], "n long")
+    assert [brown_lm._least_count(rows, k) for k in (1, 2, 4)] == [2**40, 2**23, 2**21]
+
+
+def test_rare_words_of_one_suffix_go_by_their_contexts(spark):
+    def key(w):
+        data = np.frombuffer(w.encode(), np.uint8)
+        word, suffix, _ = brown_lm.tokens(data, np.array([0, len(data)]))
+        return int(brown_lm._named(word, suffix)[0])
+
+    texts = ["the dog runs"] * 40 + ["on lane street"] * 40 + ["the aazz runs", "the aazz runs", "on bbzz street"]
+    frequent = {key(w): c for w, c in {"the": 0, "dog": 1, "runs": 2, "on": 3, "lane": 4, "street": 5}.items()}
+    label = np.full(brown_lm.UNITS, 6)
+    label[: len(frequent)] = [frequent[w] for w in sorted(frequent)]
+    label[brown_lm.END] = brown_lm.CLASSES
+    training = spark.createDataFrame([(t,) for t in texts], "text string")
+    named = np.array(sorted(frequent))
+    after, _ = brown_lm.contexts(brown_lm.unit_pairs(training, named), label)
+    table = np.zeros((brown_lm.CLASSES + 1,) * 2)
+    np.add.at(table, label, after)
+    got = {r["word"]: (r["n"], r["class"]) for r in brown_lm.rare_classes(training, named, label, table).collect()}
+    assert got == {key("aazz"): (2, 1), key("bbzz"): (1, 4)}
