@@ -6,9 +6,12 @@ registers are equal with a probability that follows the Jaccard similarity. Band
 candidates; the joint likelihood of the registers, with both set sizes known, drops those far below the threshold;
 what remains is verified on full sets.
 
-Equal sets are collapsed first. In each band bucket every member meets the bucket's most central member; after the
-verified links are joined to groups, only members of different groups of a bucket meet, in blocks, and a block hands
-on the links that connect its groups, not its pairs.
+Equal sets are collapsed first. In each band bucket every member meets the bucket's most central member. After the
+verified links are joined to groups, only members of different groups of a bucket still have to meet: those outside
+the bucket's largest group, the roamers, meet each other and that group, in pairs of blocks of bounded size. A bucket of
+more roamers than a block holds is crowded: most of its members share a passage without being near. Its members are
+dealt anew by the shingles that are rarest among such members, so many of each text that any two near sets have one in
+common (a prefix filter, which is exact). A pair of blocks hands on the links that connect its groups, not its pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
@@ -34,9 +37,15 @@ B, STEPS = 1.001, 62_000
 PERCENT = 85
 #: Five standard errors of the estimate at the threshold: a pair estimated lower is not verified.
 SLACK = 5 * (0.85 * 0.15 / M) ** 0.5
-#: Members of a bucket, and shingles of a pivot's partners, that one task compares.
+#: Members of a block, and shingles of a pivot's partners, that one task compares.
 BLOCK = 512
 SHINGLES_A_TASK = 400_000
+#: Rows dealt to blocks that one partition gets on average.
+ROWS_A_PARTITION = 4_000
+#: Counters by which shingles of crowded buckets are ordered; any order is exact, a better one makes fewer candidates.
+COUNTERS = 1 << 18
+#: A hash that tells the rows of a doc_id apart.
+MARK = "xxhash64(text)"
 _A = mix(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -105,7 +114,7 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.n
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, digest (of the set), bands, sketch of each row; a narrow table without texts."""
+    """doc_id, mark (of the text), n, digest (of the set), bands, sketch of each row; a narrow table without texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -120,15 +129,16 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array(np.diff(ends), pa.int64()),
                         pa.array(digest, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(texts + 1) * BANDS, pa.int32()), pa.array(keys.ravel())),
                         pa.array([row.tobytes() for row in sketch], pa.binary()),
                     ],
-                    names=["doc_id", "n", "digest", "bands", "sketch"],
+                    names=["doc_id", "mark", "n", "digest", "bands", "sketch"],
                 )
 
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(MARK).alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n long, digest binary, bands array<long>, sketch binary")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -137,8 +147,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def _promising(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The (id, pivot) whose sizes allow the threshold and whose sketches come near it."""
-    one = reps.select(F.col("doc_id").alias("id"), F.col("n").alias("n"), F.col("sketch").alias("sketch"))
-    two = reps.select(F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
+    one = reps.select("id", "n", "sketch")
+    two = reps.select(F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
     fit = pairs.join(one, "id").join(two, "pivot").where((F.least("n", "pivot_n") * 100) >= F.greatest("n", "pivot_n") * PERCENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +167,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (id, pivot) at the threshold or above on full sets. A pivot's partners are dealt out by their sizes."""
     load = pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / SHINGLES_A_TASK).alias("blocks"))
     dealt = pairs.join(load, "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("id", "pivot", "block")
-    roles = dealt.select("id", "pivot", "block").unionByName(dealt.select(F.col("pivot").alias("id"), "pivot", "block").distinct())
-    rows = roles.join(texts.withColumnRenamed("doc_id", "id"), "id").select("pivot", "block", "id", "text")
+    roles = dealt.unionByName(dealt.select(F.col("pivot").alias("id"), "pivot", "block").distinct())
+    rows = roles.join(texts, "id").select("pivot", "block", "id", "text")
 
     def run(group: pa.Table) -> pa.Table:
         ids, pivot = group.column("id").to_numpy(), group.column("pivot")[0].as_py()
@@ -169,11 +179,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in group.select(["id", "text"]).to_batches():
             for part, data, offsets in chunks(batch):
                 value, ends = shingle_sets(data, offsets)
-                place = np.minimum(np.searchsorted(own, value), len(own) - 1)
-                both = np.r_[0, np.cumsum(own[place] == value)]
-                both = both[ends[1:]] - both[ends[:-1]]
-                near = 100 * both >= PERCENT * (np.diff(ends) + len(own) - both)
-                ok = part.column(0).to_numpy()[near]
+                ok = part.column(0).to_numpy()[_near_sets(own, value, ends)]
                 out.append(ok[ok != pivot])
         found = np.concatenate(out)
         return pa.table({"id": pa.array(found, pa.int64()), "pivot": pa.array(np.full(len(found), pivot), pa.int64())})
@@ -181,40 +187,73 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.groupBy("pivot", "block").applyInArrow(run, "id long, pivot long")
 
 
-def _dealt(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold several groups, dealt to blocks. ``members``: key, band, id, group, n, sketch.
+def _near_sets(own: np.ndarray, value: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of the sets, given as hashes and offsets, have the threshold's similarity to ``own`` (ascending) or more."""
+    hit = np.r_[0, np.cumsum(own[np.minimum(np.searchsorted(own, value), len(own) - 1)] == value)]
+    both = hit[ends[1:]] - hit[ends[:-1]]
+    return 100 * both >= PERCENT * (np.diff(ends) + len(own) - both)
 
-    Each member is at home in one block of its bucket; members outside the bucket's largest group also visit every
-    block. Thus all pairs across groups meet, in tasks of bounded size.
-    """
+
+def _buckets(members: DataFrame) -> DataFrame:
+    """key, main, roamers, others of each bucket of several groups: the largest group, and how many are outside and in it."""
     sizes = members.groupBy("key", "group").agg(F.count("*").alias("many"))
-    buckets = sizes.groupBy("key").agg(F.max_by("group", F.struct("many", "group")).alias("main"), F.count("*").alias("groups"), F.sum("many").alias("size")).where("groups > 1")
-    rows = members.join(buckets.select("key", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").withColumn("roams", F.col("group") != F.col("main"))
-    at_home = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("visits", F.lit(False))
-    visiting = rows.where("roams").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visits", F.lit(True))
-    return at_home.unionByName(visiting).select("key", "block", "band", "id", "group", "n", "sketch", "roams", "visits")
+    whole = sizes.groupBy("key").agg(F.max(F.struct("many", "group")).alias("most"), F.sum("many").alias("size"), F.count("*").alias("groups"))
+    return whole.where("groups > 1").select("key", F.col("most.group").alias("main"), (F.col("size") - F.col("most.many")).alias("roamers"), F.col("most.many").alias("others"))
+
+
+_DEALT = ("key", "inside", "i", "j", "band", "guest", "leads", "id", "group", "n", "sketch")
+
+
+def _dealt(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of buckets (key, main, roamers, others, band, leads, id, group) dealt to pairs of blocks (key, inside, i, j).
+
+    Roamers are cut into blocks, and so are the members of the main group. Each two blocks of roamers meet, ``inside``
+    the roamers, and each block of roamers meets each of the main group. Both blocks of a pair hold some BLOCK rows.
+    """
+    cut = rows.withColumns({"a": F.ceil(F.col("roamers") / BLOCK).cast("int"), "b": F.ceil(F.col("others") / BLOCK).cast("int"), "roams": F.col("group") != F.col("main")})
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("roams"), F.col("a")).otherwise(F.col("b"))).cast("int"))
 
+    def pair(inside: bool, i: Column, j: Column, guest: Column) -> Column:
+        return F.struct(F.lit(inside).alias("inside"), i.cast("int").alias("i"), j.cast("int").alias("j"), guest.alias("guest"))
 
-class _Block:
-    """The rows of a block as arrays, and which pairs of a guest and a member at home are near by their sketches."""
+    own, yes, no = F.col("own"), F.lit(True), F.lit(False)
+    each_a, each_b = F.sequence(F.lit(0), F.col("a") - 1), F.sequence(F.lit(0), F.col("b") - 1)
+    roaming = F.concat(F.transform(each_a, lambda x: pair(True, F.least(own, x), F.greatest(own, x), own <= x)), F.transform(each_b, lambda x: pair(False, own, x, yes)))
+    home = F.transform(each_a, lambda x: pair(False, x, own, no))
+    dealt = cut.select("key", "band", "leads", "id", "group", F.explode(F.when(F.col("roams"), roaming).otherwise(home)).alias("to"))
+    return dealt.select("key", "to.*", "band", "leads", "id", "group").join(reps.select("id", "n", "sketch"), "id").select(*_DEALT)
+
+
+class _Blocks:
+    """The rows of a pair of blocks as arrays, and which pairs of a guest and a member at home are near by their sketches."""
 
     def __init__(self, part: pd.DataFrame):
         self.sketch = np.frombuffer(b"".join(part["sketch"]), np.uint16).reshape(-1, M)
-        self.n, self.group, self.id, self.roams = (part[c].to_numpy() for c in ("n", "group", "id", "roams"))
-        visits = part["visits"].to_numpy()
-        self.home, self.guests, self.band = np.flatnonzero(~visits), np.flatnonzero(visits), int(part["band"].iloc[0])
+        self.n, self.group, self.id, self.leads = (part[c].to_numpy() for c in ("n", "group", "id", "leads"))
+        self.band = int(part["band"].iloc[0])
+        guest = part["guest"].to_numpy()
+        self.alone = bool(part["inside"].iloc[0]) and part["i"].iloc[0] == part["j"].iloc[0]  # a block that meets itself
+        self.guests = np.flatnonzero(guest)
+        self.home = self.guests if self.alone else np.flatnonzero(~guest)
 
     def near(self, guest: int) -> np.ndarray:
-        """Places at home whose pair with the guest is to be verified here: in no earlier band, and in one order only."""
+        """Places at home whose pair with the guest is to be verified here; of pairs that share bands, in the first of them."""
         at = self.home
-        fit = (self.group[at] != self.group[guest]) & (~self.roams[at] | (self.id[at] < self.id[guest]))
+        fit = self.group[at] != self.group[guest]
+        if self.alone:
+            fit &= self.id[at] < self.id[guest]
         fit &= PERCENT * np.maximum(self.n[at], self.n[guest]) <= 100 * np.minimum(self.n[at], self.n[guest])
+        # of two sets that met by a rare shingle, the smaller one has it among those it leads with
+        fit &= np.where(self.n[at] <= self.n[guest], self.leads[at], False) | np.where(self.n[at] >= self.n[guest], self.leads[guest], False)
         at = at[fit]
         if len(at):
             same = self.sketch[at] == self.sketch[guest]
-            whole = np.logical_and.reduce([same[:, r::ROWS] for r in range(ROWS)])
             # far fewer equal registers than the threshold asks for need no likelihood
-            at = at[(whole.argmax(axis=1) == self.band) & (same.sum(axis=1) >= M * (PERCENT / 100 - SLACK - 0.1))]
+            keep = same.sum(axis=1) >= M * (PERCENT / 100 - SLACK - 0.1)
+            if self.band >= 0:
+                whole = np.logical_and.reduce([same[:, r::ROWS] for r in range(ROWS)])
+                keep &= whole.argmax(axis=1) == self.band
+            at = at[keep]
         if len(at):
             own = np.broadcast_to(self.sketch[guest], (len(at), M))
             at = at[likely(self.sketch[at], own, self.n[at], np.full(len(at), self.n[guest])) >= PERCENT / 100 - SLACK]
@@ -222,25 +261,24 @@ class _Block:
 
 
 def _partners(part: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a block that have a near partner in it."""
-    block, takes_part = _Block(part), np.zeros(len(part), dtype=bool)
-    for guest in block.guests:
-        at = block.near(guest)
+    """The rows of a pair of blocks that have a near partner in it."""
+    blocks, takes_part = _Blocks(part), np.zeros(len(part), dtype=bool)
+    for guest in blocks.guests:
+        at = blocks.near(guest)
         takes_part[at] = True
         takes_part[guest] |= len(at) > 0
     return part[takes_part]
 
 
 def _spanning(table: pa.Table) -> pa.Table:
-    """Verified links of a block that join its groups: as many as it takes to connect them, not one for each pair."""
-    part = table.drop_columns(["text"]).to_pandas()
-    block, found = _Block(part), []
+    """Verified links of a pair of blocks that join its groups: as many as it takes to connect them, not one for each pair."""
+    blocks, found = _Blocks(table.drop_columns(["text"]).to_pandas()), []
     sets = []
     for batch in table.select(["text"]).to_batches():
         for _, data, offsets in chunks(batch):
             value, ends = shingle_sets(data, offsets)
             sets += [value[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    root = {g: g for g in block.group.tolist()}
+    root = {g: g for g in blocks.group.tolist()}
 
     def top(g: int) -> int:
         while root[g] != g:
@@ -248,71 +286,131 @@ def _spanning(table: pa.Table) -> pa.Table:
             g = root[g]
         return g
 
-    for guest in block.guests:
-        at = block.near(guest)
+    for guest in blocks.guests:
+        own = top(int(blocks.group[guest]))
+        at = np.array([i for i in blocks.near(guest).tolist() if top(int(blocks.group[i])) != own], dtype=np.int64)
         if not len(at):
             continue
-        own, sizes = sets[guest], np.array([len(sets[i]) for i in at])
-        value, ends = np.concatenate([sets[i] for i in at]), np.r_[0, np.cumsum(sizes)]
-        hit = np.r_[0, np.cumsum(own[np.minimum(np.searchsorted(own, value), len(own) - 1)] == value)]
-        both = hit[ends[1:]] - hit[ends[:-1]]
-        for i in at[100 * both >= PERCENT * (sizes + len(own) - both)].tolist():
-            a, b = top(int(block.group[i])), top(int(block.group[guest]))
+        value, ends = np.concatenate([sets[i] for i in at]), np.r_[0, np.cumsum([len(sets[i]) for i in at])]
+        for i in at[_near_sets(sets[guest], value, ends)].tolist():
+            a, b = top(int(blocks.group[i])), top(int(blocks.group[guest]))
             if a != b:
                 root[max(a, b)] = min(a, b)
-                found.append((int(block.id[guest]), int(block.id[i])))
+                found.append((int(blocks.id[guest]), int(blocks.id[i])))
     return pa.table({"id": pa.array([x for x, _ in found], pa.int64()), "pivot": pa.array([y for _, y in found], pa.int64())})
 
 
+def _links_between(rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links that connect different groups of the same bucket. ``rows`` are those of ``_dealt``."""
+    by = ["key", "inside", "i", "j"]
+    dealt = stored(_dealt(rows, reps), "dealt-rows")
+    parts = 1 + dealt.count() // ROWS_A_PARTITION
+    # a partitioning by bucket alone would do for the groups, and put all blocks of a bucket in one task
+    near = dealt.repartition(parts, *by).groupBy(*by).applyInPandas(_partners, dealt.schema)
+    near = stored(near, "near-rows")
+    together = near.join(texts, "id").repartition(1 + near.count() // ROWS_A_PARTITION, *by)
+    return stored(together.groupBy(*by).applyInArrow(_spanning, "id long, pivot long"), "links")
+
+
+def _commonness(texts: DataFrame) -> np.ndarray:
+    """How many of the texts' shingles fall to each of COUNTERS counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for _, data, offsets in chunks(batch):
+                total += np.bincount((shingle_sets(data, offsets)[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    got = texts.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """key, id, leads: the rarest shingles of each text, so many that near sets share one.
+
+    Two near sets of sizes a <= b have at least PERCENT * (a + b) / (100 + PERCENT) in common, so some shingle is among the
+    rarest of both, even if each set leaves out as many, less one, as it must share with any partner at all. Where a set is
+    the smaller of the two it must share more, so it leads with fewer shingles than it looks up.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(_commonness(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in chunks(batch):
+                value, ends = shingle_sets(data, offsets)
+                n = np.diff(ends)
+                owner = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((value, shared.value[(value % np.uint64(COUNTERS)).astype(np.int64)], owner))
+                place = np.arange(len(value)) - ends[owner]
+                looks_up = place <= (n - -(-PERCENT * n // 100))[owner]
+                leads = place <= (n - -(-2 * PERCENT * n // (100 + PERCENT)))[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(value[order][looks_up].view(np.int64)), part.column(0).take(pa.array(owner[looks_up])), pa.array(leads[looks_up])], names=["key", "id", "leads"])
+
+    return texts.select("id", "text").mapInArrow(run, "key long, id long, leads boolean")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, mark for each row of ``docs``.
 
-    Two documents are linked if 100 * |intersection| >= 85 * |union| of their shingle sets; component_id is the least
-    doc_id reachable. Texts without words (null and empty ones too) are linked with nothing. Rows with a null doc_id
-    stand alone, with a null component_id, and are kept. Rows that repeat a doc_id share its component. Other columns
-    are ignored.
+    Two rows are linked if 100 * |intersection| >= 85 * |union| of their shingle sets; component_id is the least doc_id
+    reachable. Texts without words (null and empty ones too) are linked with nothing. Rows with a null doc_id stand alone,
+    with a null component_id, and are kept. Rows that repeat a doc_id are linked by their own texts, each for itself; equal
+    ones share a component. ``mark`` is a hash of the text that tells such rows apart. Other columns are ignored.
     """
     sketched = stored(sketches(docs), "sketches")
     whole = sketched.where("n > 0 AND doc_id IS NOT NULL")
-    # equal sets collapse to their least id; a group of any size is combined before the exchange
-    classes = whole.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "bands", "sketch"), "doc_id").alias("_r"))
-    reps = stored(classes.select("digest", "_r.*"), "reps")
-    banded = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
+    # equal sets collapse to one row each; a group of any size is combined before the exchange
+    classes = whole.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"), *(F.first(c).alias(c) for c in ("n", "bands", "sketch")))
+    reps = stored(classes.select(F.monotonically_increasing_id().alias("id"), "digest", "first.*", "n", "bands", "sketch"), "reps")
+    banded = reps.select("id", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    # written right after each join on a bucket's key, so that adaptive execution may split a hot one
     met = stored(banded.join(shared, "key"), "bucket-members")
     # the pivot of a bucket is its most central member: the one that meets most others over all its bands
     central = met.groupBy("id").agg(F.sum("many").alias("meets"))
-    pivots = met.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("pivot"))
+    pivots = stored(met.join(central, "id"), "central").groupBy("key").agg(F.max(F.struct("meets", (-F.col("id")).alias("less"))).alias("best")).select("key", (-F.col("best.less")).alias("pivot"))
     members = stored(met.join(pivots, "key").select("key", "band", "id", "pivot"), "buckets")
-    inside = members.select("id").distinct()
-    many = inside.count()
-    # the texts of bucket members alone, kept for both rounds
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(inside.withColumnRenamed("id", "doc_id"), many), "doc_id").dropDuplicates(["doc_id"]), "bucket-texts")
-    narrow = reps.select("doc_id", "n", "sketch")
+    inside = stored(members.select("id").distinct().join(reps, "id").select("id", F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")), "bucket-ids")
+    # the texts of bucket members alone, one for each set, kept for all rounds
+    read = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.expr(MARK).alias("_mark"), "text").join(small(inside, inside.count()), ["_doc", "_mark"])
+    texts = stored(read.groupBy("id").agg(F.first("text").alias("text")), "bucket-texts")
+    narrow = reps.select("id", "n", "sketch")
     links = stored(_verified(_promising(members.where("id != pivot").select("id", "pivot").distinct(), narrow), texts), "links")
     groups = connected(links)
-    grouped = members.select("key", "band", "id").join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    mixed = grouped.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("key")
-    dealt = _dealt(stored(grouped.join(mixed, "key").join(narrow.withColumnRenamed("doc_id", "id"), "id"), "mixed-buckets"))
-    partners = dealt.groupBy("key", "block").applyInPandas(_partners, dealt.schema)
-    together = partners.join(texts.withColumnRenamed("doc_id", "id"), "id")
-    found = stored(together.groupBy("key", "block").applyInArrow(_spanning, "id long, pivot long"), "links")
-    groups = connected(links.unionByName(found))
-    # back to every row: its set's class, the class's group, the least id of all classes of the group
-    labelled = reps.select("digest", F.col("doc_id").alias("rep")).join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("group", "rep").alias("component_id"))
-    rest = sketched.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    every = whole.join(labelled, "digest").select("doc_id", "n", "component_id").unionByName(rest)
-    return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    grouped = stored(members.select("key", "band", "id").join(groups, "id", "left").withColumn("group", F.coalesce("group", "id")), "grouped-members")
+    mixed = stored(grouped.join(_buckets(grouped), "key").withColumn("leads", F.lit(True)), "mixed-buckets")
+    links = links.unionByName(_links_between(mixed.where(F.col("roamers") <= BLOCK), narrow, texts))
+    crowded = mixed.where(F.col("roamers") > BLOCK).select("id", "group").distinct()
+    if not crowded.isEmpty():
+        crowded = stored(crowded, "crowded")
+        own = stored(texts.join(crowded.select("id"), "id"), "crowded-texts")
+        rare = stored(_prefixes(own), "prefixes")
+        # a shingle that no set leads with, or that one group has for itself, joins nothing
+        useful = rare.groupBy("key").agg(F.count("*").alias("many"), F.bool_or("leads").alias("led")).where("many > 1 AND led").select("key")
+        met = stored(rare.join(useful, "key").join(crowded, "id"), "prefix-members").withColumn("band", F.lit(-1))
+        links = links.unionByName(_links_between(stored(met.join(_buckets(met), "key"), "prefix-buckets"), narrow, texts))
+    groups = connected(links)
+    # back to every row: its set's class, the class's group, the least doc_id of all classes of the group
+    labelled = reps.select("id", "digest", "doc_id").join(groups, "id", "left").select("digest", "doc_id", F.coalesce("group", "id").alias("group"))
+    least = labelled.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    named = stored(labelled.join(least, "group").select("digest", "component_id"), "classes")
+    rest = sketched.where("n = 0 OR doc_id IS NULL").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"))
+    every = whole.select("doc_id", "mark", "n", "digest").join(named, "digest").select("doc_id", "mark", "n", "component_id").unionByName(rest)
+    return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "mark")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its group, each with all its columns.
+    """The rows of ``docs`` whose doc_id is the least of their group, each with all its columns.
 
-    The ids that go are few as a rule; while they are within the bound they are broadcast and no text is exchanged.
+    The rows that go are few as a rule; while they are within the bound they are broadcast and no text is exchanged.
     """
-    gone = stored(near_groups(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
-    return docs.join(small(gone, gone.count()), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = stored(near_groups(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"), "mark").distinct(), "duplicates")
+    return docs.join(small(gone, gone.count()), (docs["doc_id"] == F.col("_gone")) & (F.xxhash64(docs["text"]) == gone["mark"]), "left_anti")
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mark")

@@ -104,3 +104,61 @@ def test_registers_merge_and_estimate():
     sketch = registers(values, ends)
     assert (np.maximum(sketch[0], sketch[1]) == sketch[2]).all()
     assert abs(likely(sketch[:1], sketch[1:2], np.array([2700]), np.array([2700]))[0] - 0.8) < 5 * (0.16 / M) ** 0.5
+
+
+def templates(draw, many, own):
+    """Texts that share a passage of 300 words and have ``own`` words of their own: alike, but not near."""
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(300)]
+    rows = []
+    for _ in range(many):
+        tail = [word() for _ in range(own)]
+        rows.append(" ".join(passage + tail))
+        if draw.random() < 0.2:
+            tail[draw.randrange(own)] = word()
+            rows.append(" ".join(passage + tail))
+    return rows
+
+
+def test_crowded_buckets(spark, monkeypatch):
+    """Hundreds of texts of one template fall into the same buckets; the rare shingles find the near ones among them."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "ROWS_A_PARTITION", 200)
+    prefixes, real = [], near_dedup._prefixes
+    monkeypatch.setattr(near_dedup, "_prefixes", lambda own: prefixes.append(own) or real(own))
+    draw = random.Random(3)
+    rows = templates(draw, 150, 40) + templates(draw, 60, 70)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    check(docs)
+    assert prefixes
+
+
+@pytest.mark.parametrize("size", [40, 80, 160])
+def test_blocks_are_bounded_and_all_pairs_meet(spark, monkeypatch, size):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rows = [(1, i, i) for i in range(size)] + [(1, 1000 + i, 5000) for i in range(50)]
+    members = spark.createDataFrame(rows, "key long, id long, group long")
+    reps = members.selectExpr("id", "1L AS n", "cast('' AS binary) AS sketch")
+    bucket = near_dedup._buckets(members)
+    assert bucket.collect() == [(1, 5000, size, 50)]
+    rows = members.join(bucket, "key").selectExpr("*", "0 AS band", "true AS leads")
+    blocks, met = {}, set()
+    for r in near_dedup._dealt(rows, reps).collect():
+        blocks.setdefault((r["key"], r["inside"], r["i"], r["j"]), []).append(r)
+    assert max(map(len, blocks.values())) <= 4 * 16
+    for (_, inside, i, j), part in blocks.items():
+        guests, home = [r for r in part if r["guest"]], [r for r in part if not r["guest"]]
+        for a in guests:
+            for b in guests if inside and i == j else home:
+                if a["group"] != b["group"]:
+                    met.add(frozenset((a["id"], b["id"])))
+    assert len(met) == size * (size - 1) // 2 + size * 50
+
+
+def test_rows_that_repeat_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, "a b c d e f g"), (5, text), (7, text + " x"), (9, text + " y"), (9, "q w e r t z u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_groups(docs).collect())
+    assert got == [(5, 3, 5, True), (5, 56, 5, True), (7, 57, 5, False), (9, 3, 9, True), (9, 57, 5, False)]
+    assert sorted((r["doc_id"], r["text"]) for r in deduplicate(docs).collect()) == sorted([rows[0], rows[1], rows[4]])
