@@ -1,8 +1,12 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-A text is a sequence of tokens: its words, those of more than 16 code points cut into pieces of 16. Each run of K
-tokens is hashed; of each W consecutive hashes the least is kept, the rightmost of equal ones, with its position.
-Any passage of W + K - 1 tokens that two texts share leaves a common hash in both fingerprints.
+A text is a sequence of tokens: its words, and the single code points of words of more than LONGEST, so that tokens do
+not depend on where a text without spaces is entered. Each run of K tokens has a rolling (polynomial) hash; of each W
+consecutive hashes the least is kept, the rightmost of equal ones, with its position. Any passage of W + K - 1 whole
+tokens that two texts share leaves a common hash in both fingerprints.
+
+The hashes of all positions are rolled at once: two runs of n tokens, one right after the other, make those of 2 n. The
+least of each window comes about in the same way, so a text costs some log2(K) + log2(W) passes over its tokens.
 """
 
 from __future__ import annotations
@@ -15,6 +19,12 @@ from .shared import stored
 
 K = 5
 W = 8
+#: Code points of the longest word that is a token.
+LONGEST = 16
+#: Modulus and base of the rolling hash; products of two residues stay below 2**62.
+PRIME, BASE = 2**31 - 1, 1_103_515_245
+#: Positions count down from here.
+LAST = 2**31 - 2
 #: Positions in order: at most PIECES knots (a small array on the driver), each cut into PIECES equal ranges.
 PIECES = 64
 
@@ -25,23 +35,58 @@ def let(value: Column, body) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,16}"), F.lit(0))
+    space = r"\x20\x09-\x0D"
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?<![^{space}])[^{space}]{{1,{LONGEST}}}(?![^{space}])|[^{space}]"), F.lit(0))
+
+
+def _ahead(values: Column, by: int) -> Column:
+    """The values from the (by + 1)-th on."""
+    return F.slice(values, by + 1, F.greatest(F.size(values) - by, F.lit(0)))
+
+
+def _rolled(hashes: Column, k: int) -> Column:
+    """sum(hash * BASE**(k - 1 - place)) modulo PRIME of the k values from each one on; what lies beyond the last counts 0."""
+
+    def joined(left: Column, right: Column, size: int) -> Column:
+        power = pow(BASE, size, PRIME)
+        return F.zip_with(left, right, lambda x, y: (x * F.lit(power) + F.coalesce(y, F.lit(0))) % F.lit(PRIME))
+
+    def doubled(runs: Column, size: int) -> Column:
+        if 2 * size > k:
+            return extended(runs, size)
+        return let(joined(runs, _ahead(runs, size), size), lambda out: doubled(out, 2 * size))
+
+    def extended(runs: Column, size: int) -> Column:
+        return runs if size == k else let(joined(runs, _ahead(hashes, size), 1), lambda out: extended(out, size + 1))
+
+    return doubled(hashes, 1)
+
+
+def _least(values: Column, w: int) -> Column:
+    """The least of the w values from each one on, or of those that are left."""
+
+    def doubled(runs: Column, size: int) -> Column:
+        if size == w:
+            return runs
+        step = min(size, w - size)
+        return let(F.zip_with(runs, _ahead(runs, step), lambda x, y: F.least(x, y)), lambda out: doubled(out, size + step))
+
+    return doubled(values, 1)
 
 
 def winnow(text: Column, k: int = K, w: int = W) -> Column:
-    """The kept grams in order, each as one long: the gram's hash in the upper 32 bits, position in the lower.
+    """The kept grams in order, each as one long: the gram's hash above the lowest 32 bits, its position in these.
 
     Fewer than k tokens make one gram, fewer than w grams one window; a text without tokens has no gram.
     """
 
     def grams(ts: Column) -> Column:
-        runs = F.sequence(F.lit(1), F.greatest(F.size(ts) - k + 1, F.lit(1)))
         # the lower half falls with the position, so the least of a window is the rightmost of its least hashes
-        return F.transform(runs, lambda i: F.shiftleft(F.xxhash64(F.slice(ts, i, k)), 32).bitwiseOR(F.lit(2**31 - 1) - i))
+        runs = F.slice(let(F.transform(ts, lambda t: F.shiftrightunsigned(F.xxhash64(t), 33)), lambda hs: _rolled(hs, k)), 1, F.greatest(F.size(ts) - k + 1, F.lit(1)))
+        return F.transform(runs, lambda h, i: F.shiftleft(h, 32).bitwiseOR(F.lit(LAST) - i))
 
     def kept(gs: Column) -> Column:
-        windows = F.sequence(F.lit(1), F.greatest(F.size(gs) - w + 1, F.lit(1)))
-        return F.array_distinct(F.transform(windows, lambda i: F.array_min(F.slice(gs, i, w))))
+        return F.array_distinct(F.slice(_least(gs, w), 1, F.greatest(F.size(gs) - w + 1, F.lit(1))))
 
     empty = F.array().cast("array<bigint>")
     return let(tokens(text), lambda ts: F.when(F.size(ts) == 0, empty).otherwise(let(grams(ts), kept)))
@@ -54,7 +99,7 @@ def grams_of(kept: Column) -> Column:
 
 def as_text(kept: Column) -> Column:
     """A fingerprint as text: ``hash:position`` for each kept gram, in order, the hash in hex."""
-    return F.array_join(F.transform(kept, lambda v: F.concat(F.hex(F.shiftrightunsigned(v, 32)), F.lit(":"), F.lit(2**31 - 2) - v.bitwiseAND(F.lit(2**31 - 1)))), " ")
+    return F.array_join(F.transform(kept, lambda v: F.concat(F.hex(F.shiftrightunsigned(v, 32)), F.lit(":"), F.lit(LAST) - v.bitwiseAND(F.lit(2**31 - 1)))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -104,12 +149,14 @@ def fingerprint_edits(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     document before sees as its next. Columns other than doc_id and text are ignored.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
-    # a key that cannot be null and the same columns keep the two uses of ``marked`` alike, so that it is exchanged once
-    order = neighbours(stored(rows.select("doc_id", "n_chars"), "ids")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id")
-    marked = rows.withColumn("kept", winnow(F.col("text"), k, w)).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).repartition("key")
+    # a key that cannot be null and the same columns keep the two uses of ``marked`` alike, so that it is exchanged once.
+    # Rows without an id meet nothing; they are spread by their texts
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text")))
+    order = neighbours(stored(rows.select("doc_id", "n_chars"), "ids")).select(F.col("doc_id").cast("string").alias("key"), F.col("prev_id").cast("string").alias("prev_key"), "prev_chars")
+    marked = rows.withColumn("kept", winnow(F.col("text"), k, w)).withColumn("key", key).repartition("key")
     # what the document before needs of this one: its first quarter's worth of code points, and the gram hashes
     ahead = marked.join(order, "key").select(
-        F.coalesce("prev_id", F.lit(-(2**63))).alias("key"),
+        F.col("prev_key").alias("key"),
         F.struct(F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), "doc_id", "n_chars", grams_of(F.col("kept")).alias("grams")).alias("next"),
     )
     ahead = ahead.groupBy("key").agg(F.min("next").alias("next"))

@@ -1,9 +1,12 @@
 import hashlib
+import random
+import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from dyadics.llm.winnowing import K, W, fingerprint_edits, neighbours, winnow
+from dyadics.llm.winnowing import BASE, LONGEST, PRIME, K, W, as_text, fingerprint_edits, neighbours, winnow
 
 
 def grams(text):
@@ -54,17 +57,54 @@ def test_empty_table_and_single_row(spark, nothing):
     assert one["near_next"] == 1.0
 
 
-def test_windows_keep_the_rightmost_least(spark):
-    words = [f"w{i % 9}" for i in range(60)]
-    row = spark.createDataFrame([(" ".join(words),)], "text string").select(
-        winnow(F.col("text")).alias("kept"), F.transform(F.sequence(F.lit(1), F.lit(60 - K + 1)), lambda i: F.shiftright(F.shiftleft(F.xxhash64(F.slice(F.split("text", " "), i, K)), 32), 32)).alias("h")
-    ).first()
-    hashes, want = row["h"], []
-    for at in range(len(hashes) - W + 1):
-        least = min(hashes[at : at + W])
-        want.append(max(i for i in range(at, at + W) if hashes[i] == least))
-    got = [2**31 - 2 - (v & (2**31 - 1)) for v in row["kept"]]
-    assert got == list(dict.fromkeys(want))
+def plain(text, k=K, w=W):
+    """The fingerprint one window at a time, each gram's hash from its own tokens."""
+    tokens = []
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        tokens += [word] if len(word) <= LONGEST else list(word)
+    values = [xxhash.xxh64(t.encode(), seed=42).intdigest() >> 33 for t in tokens]
+    if not values:
+        return ""
+    hashes = []
+    for i in range(max(len(values) - k + 1, 1)):
+        h = 0
+        for v in (values[i : i + k] + [0] * k)[:k]:
+            h = (h * BASE + v) % PRIME
+        hashes.append(h)
+    kept = []
+    for at in range(max(len(hashes) - w + 1, 1)):
+        least = min(hashes[at : at + w])
+        kept.append(max(i for i in range(at, min(at + w, len(hashes))) if hashes[i] == least))
+    return " ".join(f"{hashes[i]:X}:{i}" for i in dict.fromkeys(kept))
+
+
+def test_grams_and_positions_against_brute_force(docs, odd):
+    for rows in (docs, odd):
+        want = {(r["doc_id"], plain(r["text"])) for r in rows.collect()}
+        got = {(r["doc_id"], r["fingerprint"]) for r in fingerprint_edits(rows).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize("k, w", [(1, 1), (2, 3), (3, 5), (5, 8), (7, 4)])
+def test_other_sizes_and_ties(spark, k, w):
+    texts = [" ".join(f"w{i % m}" for i in range(n)) for m in (1, 2, 9) for n in (1, 2, 3, 6, 12, 60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", as_text(winnow(F.col("text"), k, w)).alias("kept"))
+    assert all(r["kept"] == plain(r["text"], k, w) for r in rows.collect())
+
+
+def test_a_passage_without_spaces_is_found_at_any_offset(spark):
+    draw = random.Random(1)
+    passage = "".join(chr(0x4E00 + draw.randrange(2000)) for _ in range(40))
+    before = "".join(chr(0x3041 + draw.randrange(80)) for _ in range(37))
+    rows = spark.createDataFrame([(1, before + passage + "end" * 9), (2, "x" + passage + before)], "doc_id long, text string")
+    a, b = (grams(r["fingerprint"]) for r in fingerprint_edits(rows).collect())
+    assert len(a & b) >= 3
+
+
+def test_rows_without_ids_are_spread(spark):
+    rows = spark.createDataFrame([(None, f"text {i} of many words to fingerprint here") for i in range(50)] + [(-(2**63), "the least id there is")], "doc_id long, text string")
+    out = fingerprint_edits(rows).collect()
+    assert len(out) == 51 and all(r["near_next"] is None for r in out if r["doc_id"] is None)
 
 
 def test_a_shared_passage_is_found(spark):
