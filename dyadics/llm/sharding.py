@@ -13,40 +13,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stored
+from .shared import small, stored
 
 SHARDS = 40
 SEED = 20_240_117
+#: Standard deviations on either side of the mode that a draw looks at.
+SPREADS = 12
 #: Rows that one task orders in the second permutation.
 ROWS_A_BLOCK = 200_000
 #: Bytes that a row weighs besides its text.
 ROW_OVERHEAD = 16
 
 
+def hypergeometric(draw: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` rows drawn without replacement from ``good + bad`` are good: one way at every size.
+
+    The law is inverted about its mode, where each chance is that of its neighbour times a ratio of whole numbers.
+    What lies beyond SPREADS standard deviations is less than a uniform number's resolution.
+    """
+    total = good + bad
+    least, most = max(0, n - bad), min(n, good)
+    if least == most:
+        return least
+    mode = min(most, max(least, (n + 1) * (good + 1) // (total + 2)))
+    share = good / total
+    reach = int(SPREADS * (n * share * (1 - share) * (total - n) / max(total - 1, 1)) ** 0.5) + 40
+    lo, hi = max(least, mode - reach), min(most, mode + reach)
+    x = np.arange(lo, hi, dtype=np.float64)
+    with np.errstate(divide="ignore"):
+        steps = np.log((good - x) * (n - x)) - np.log((x + 1) * (bad - n + x + 1))
+    logs = np.r_[0.0, np.cumsum(steps)]
+    chance = np.cumsum(np.exp(logs - logs[mode - lo]))
+    return lo + int(np.searchsorted(chance, draw.random() * chance[-1], side="right"))
+
+
 def communication_matrix(partition_rows: list[int], shards: int, seed: int) -> np.ndarray:
-    """Counts [partition, shard]: rows sum to ``partition_rows``, columns differ by one row at most."""
+    """Counts [partition, shard]: rows sum to ``partition_rows``, columns differ by one row at most.
+
+    Each partition's rows are drawn from what the shards have left, one shard after the other.
+    """
     total = int(sum(partition_rows))
-    left = np.array([total // shards + (s < total % shards) for s in range(shards)], dtype=np.int64)
+    left = [total // shards + (s < total % shards) for s in range(shards)]
     draw, out = np.random.default_rng(seed), np.zeros((len(partition_rows), shards), dtype=np.int64)
-    for p, n in enumerate(partition_rows):
-        out[p] = draw.multivariate_hypergeometric(left, int(n), method="marginals") if total < 10**9 else _large(draw, left, int(n))
-        left -= out[p]
-    return out
-
-
-def _large(draw: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    """As multivariate_hypergeometric, for totals beyond numpy's limit: the shards one by one, each by halving."""
-    out = np.zeros_like(left)
-    for s in range(len(left)):
-        rest = int(left[s:].sum())
-        if n <= 0 or rest <= 0:
-            break
-        # beyond 10**9 rows the normal law is within rounding of the hypergeometric one; clipped to what is possible
-        share = left[s] / rest
-        spread = np.sqrt(n * share * (1 - share) * max(rest - n, 0) / max(rest - 1, 1))
-        most, least = min(n, int(left[s])), max(0, n - (rest - int(left[s])))
-        out[s] = min(most, max(least, round(draw.normal(n * share, spread)))) if spread else min(most, max(least, round(n * share)))
-        n -= int(out[s])
+    for p, n in enumerate(map(int, partition_rows)):
+        others = sum(left)
+        for s in range(shards):
+            others -= left[s]
+            out[p, s] = got = hypergeometric(draw, left[s], others, n)
+            left[s] -= got
+            n -= got
     return out
 
 
@@ -67,20 +82,18 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
     parts = sorted(sizes)
     matrix = communication_matrix([sizes[p] for p in parts], shards, seed)
     ends = spark.createDataFrame([(p, row.tolist()) for p, row in zip(parts, matrix.cumsum(axis=1), strict=True)], "part long, ends array<long>")
-    dealt = local.join(F.broadcast(ends), "part").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("place"))))
+    # an array of the shards for each partition: its bound counts every number in it
+    dealt = local.join(small(ends, len(parts) * shards), "part").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("place"))))
     # the second permutation: by a fresh hash within the shard, in blocks that one task can order
     blocks = max(1, -(-int(matrix.sum()) // (shards * ROWS_A_BLOCK)))
     dealt = dealt.withColumn("again", F.xxhash64(F.lit(seed + 1), "at")).withColumn("block", F.pmod("again", F.lit(blocks)))
-    counts = {(r["shard"], r["block"]): r["count"] for r in dealt.groupBy("shard", "block").count().collect()} if blocks > 1 else {}
-    firsts, at = [], {}
-    for (s, b), n in sorted(counts.items()):
-        firsts.append((s, b, at.get(s, 0)))
-        at[s] = at.get(s, 0) + n
     by_block = Window.partitionBy("shard", "block").orderBy("again", "at")
     slots = dealt.withColumn("slot", F.row_number().over(by_block).cast("long") - 1)
-    if firsts:
-        offsets = spark.createDataFrame(firsts, "shard int, block long, first long")
-        slots = slots.join(F.broadcast(offsets), ["shard", "block"]).withColumn("slot", F.col("slot") + F.col("first"))
+    if blocks > 1:
+        # one row a block; each shard's blocks are laid one after the other
+        before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        firsts = dealt.groupBy("shard", "block").count().select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+        slots = slots.join(small(firsts, shards * blocks), ["shard", "block"]).withColumn("slot", F.col("slot") + F.col("first"))
     return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

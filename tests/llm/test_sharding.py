@@ -1,9 +1,57 @@
+import itertools
+import math
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from dyadics.llm.sharding import communication_matrix, shard_rows
+from dyadics.llm.sharding import communication_matrix, hypergeometric, shard_rows
+
+
+def chi_square(seen: Counter, chance: dict, draws: int) -> float:
+    """Standard deviations that Pearson's statistic lies above its mean."""
+    assert set(seen) <= {k for k, p in chance.items() if p}
+    cells = {k: p * draws for k, p in chance.items() if p * draws >= 5}
+    value = sum((seen[k] - want) ** 2 / want for k, want in cells.items())
+    return (value - len(cells)) / (2 * len(cells)) ** 0.5
+
+
+@pytest.mark.parametrize("good, bad, n", [(5, 195, 200), (5, 195, 5), (1, 1, 1), (30, 70, 20), (3, 4000, 2000), (1000, 1000, 300)])
+def test_draws_follow_the_hypergeometric_law(good, bad, n):
+    draw, draws = np.random.default_rng(4), 20_000
+    seen = Counter(hypergeometric(draw, good, bad, n) for _ in range(draws))
+    chance = {x: math.comb(good, x) * math.comb(bad, n - x) / math.comb(good + bad, n) for x in range(max(0, n - bad), min(n, good) + 1)}
+    assert chi_square(seen, chance, draws) < 5
+
+
+@pytest.mark.parametrize("scale", [10**6, 10**9])
+def test_draws_of_any_size_have_the_laws_moments(scale):
+    good, bad, n = 3 * scale, 117 * scale, 200
+    draw = np.random.default_rng(5)
+    got = np.array([hypergeometric(draw, good, bad, n) for _ in range(20_000)])
+    mean, spread = n / 40, (n / 40 * 39 / 40) ** 0.5
+    assert abs(got.mean() - mean) < 5 * spread / len(got) ** 0.5 and abs(got.std() - spread) < 0.1
+    assert abs((got == 0).mean() - (39 / 40) ** n) < 0.004  # a rounded normal draw has three times as many
+    n = good // 1000
+    got = np.array([hypergeometric(draw, good, bad, n) for _ in range(200)], dtype=float)
+    mean, spread = n / 40, (n / 40 * 39 / 40 * (good + bad - n) / (good + bad - 1)) ** 0.5
+    assert abs(got.mean() - mean) < 5 * spread / len(got) ** 0.5 and 0.7 < got.std() / spread < 1.4
+
+
+def test_matrices_follow_the_law_of_a_uniform_permutation():
+    """All ways to lay five rows of two partitions into three shards, each permutation once."""
+    sizes, shards = [3, 2], 3
+    slots = [s for s in range(shards) for _ in range(5 // shards + (s < 5 % shards))]
+    want = Counter()
+    for order in itertools.permutations(range(5)):
+        m = np.zeros((2, shards), int)
+        for row, slot in enumerate(order):
+            m[int(row >= 3), slots[slot]] += 1
+        want[m.tobytes()] += 1 / 120
+    draws = 10_000
+    seen = Counter(communication_matrix(sizes, shards, i).astype(int).tobytes() for i in range(draws))
+    assert chi_square(seen, want, draws) < 5
 
 
 def test_counts_slots_and_sums(docs):
