@@ -4,8 +4,8 @@ Domains are the classes of the labelled table: clean, poor and toxic. A naive Ba
 statistics gives each document a posterior over domains. Nonnegative document rates are fitted so that the expected
 domain token totals sum(rate * tokens * posterior) match targets: projected gradient descent on the least squares, in
 the metric that weighs a document by its tokens. In that metric a document's rate depends on its posterior alone, so
-documents with equal bins share a rate and one pass over the corpus sums their tokens; the iterations run over that
-table, whose size is bounded by the number of bin combinations.
+documents with equal bins share a rate and one pass over the corpus sums their tokens; the iterations fold over that
+table, one row of arrays whose length is bounded by the number of bin combinations, until they have converged.
 """
 
 from __future__ import annotations
@@ -25,8 +25,12 @@ CLEAN_SCALE = 1.25
 SAMPLE_ROWS = 20_000
 #: Words that tell the domains apart: at most so many of each domain, of so many sampled texts at least.
 CUES, CUE_TEXTS = 60, 5
-ITERATIONS = 80
-TOLERANCE = 5e-4
+#: Weight of the rates' squared distance from 1 beside the squared distance of the totals from their targets: of the rates
+#: that match, those nearest to 1; and a target out of reach cannot cost the corpus.
+RIDGE = 1e-3
+#: The fit has converged where a gradient step moves no rate by more than STILL. ITERATIONS bounds the fold; the result says
+#: if it was reached.
+STILL, ITERATIONS = 1e-7, 5_000
 SEED = 2
 #: Upper ends of each statistic's bins (the last bin is open).
 BINS = {
@@ -126,58 +130,66 @@ def posteriors(bins: DataFrame, counts: dict[tuple[str, str, int], int], texts:
     return raw.withColumn("_s", whole).withColumn("posterior", F.transform("_e", lambda e: e / F.col("_s"))).drop("_z", "_e", "_s")
 
 
-def fit_rates(groups: DataFrame, weights: dict[str, float], clean_scale: float) -> list[list[float]]:
-    """The residual of each iteration, by domain, times its step: a posterior's rate is the fold of these.
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    ``groups``: posterior, tokens. Each iteration is one aggregate over ``groups``; only domain totals come back. It ends
-    at the targets, or when eight steps have come nearer to them by less than the tolerance.
-    """
-    k = len(DOMAINS)
-    groups = groups.coalesce(1)  # a bounded table: no exchange in each iteration
-
-    def totals(rate: Column) -> list[float]:
-        # scaled to means of the corpus, so that no total overflows or loses digits
-        row = groups.agg(F.sum("tokens").alias("all"), *(F.sum(rate * F.col("tokens") * F.col("posterior")[d]).alias(f"d{d}") for d in range(k))).first()
-        return [(row[f"d{d}"] or 0.0) / max(row["all"] or 0, 1) for d in range(k)]
-
-    have = totals(F.lit(1.0))
-    clean = have[0] if have[0] > 0 else 1.0
-    budget = clean_scale * clean / weights[DOMAINS[0]]
-    target = [budget * weights[d] for d in DOMAINS]
-    gram = groups.agg(F.sum("tokens").alias("all"), *(F.sum(F.col("tokens") * F.col("posterior")[d] * F.col("posterior")[d]).alias(f"g{d}") for d in range(k))).first()
-    # the trace of the Gram matrix bounds its greatest eigenvalue. All equations count alike: a domain that the corpus
-    # hardly has is missed by little in tokens, and must not pull the others off their targets
-    bound = sum((gram[f"g{d}"] or 0.0) for d in range(k)) / max(gram["all"] or 0, 1) or 1.0
-    history: list[list[float]] = []
-    missed: list[float] = []
-    for n in range(ITERATIONS):
-        off = [t - g for t, g in zip(target, totals(_fold(history)["ahead"]), strict=True)]
-        missed.append(sum(o * o for o in off) ** 0.5)
-        if max(map(abs, off)) < TOLERANCE * budget or (n >= 16 and min(missed[:-8]) - min(missed[-8:]) < TOLERANCE * budget):
-            break
-        history.append([o / bound for o in off] + [n / (n + 3)])
-    return history
-
-
-def _fold(history: list[list[float]]) -> Column:
-    """Struct (rate, ahead) of a posterior: from 1, each step adds its gradient and is cut off at 0, with momentum."""
-    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
-    if not history:
-        return start
-    steps = F.array(*(F.array(*map(F.lit, step)) for step in history))
-    k = len(DOMAINS)
 
-    def step(state: Column, move: Column) -> Column:
-        gain = reduce(lambda a, b: a + b, (move[d] * F.col("posterior")[d] for d in range(k)))
-        rate = F.greatest(F.lit(0.0), state["ahead"] + gain)
-        return F.struct(rate.alias("rate"), F.greatest(F.lit(0.0), rate + move[k] * (rate - state["rate"])).alias("ahead"))
+def _totals(groups: Column, rates: Column) -> Column:
+    """The sums by domain of rate * share * posterior."""
+    parts = F.zip_with(groups, rates, lambda g, r: F.transform(g["posterior"], lambda p: p * g["share"] * r))
+    return F.aggregate(parts, F.array(*(F.lit(0.0) for _ in DOMAINS)), lambda a, x: F.zip_with(a, x, lambda u, v: u + v))
 
-    return F.aggregate(steps, start, step)
 
+def fit_rates(groups: DataFrame, weights: dict[str, float], clean_scale: float) -> DataFrame:
+    """``groups`` (posterior, tokens and others) with rate, missed and converged.
 
-def rate_of(history: list[list[float]]) -> Column:
-    """The rate at which the last step's totals were taken."""
-    return _fold(history)["ahead"]
+    Projected gradient steps with momentum, which starts anew where it leads uphill, all in one plan. ``missed`` is the largest
+    difference of a domain's total from its target, as a share of all mixed tokens. All equations count alike: a domain that
+    the corpus hardly has is missed by little in tokens, and must not pull the others off their targets.
+    """
+    k = len(DOMAINS)
+    names = [c for c in groups.columns if c != "tokens"]
+    whole = groups.agg(F.greatest(F.sum("tokens"), F.lit(1)).alias("all"), F.collect_list(F.struct(*names, "tokens")).alias("each"))  # bounded: a row for each combination of bins
+    # shares of the corpus, so that no total overflows or loses digits
+    whole = whole.select(F.transform("each", lambda g: F.struct(*(g[c].alias(c) for c in names), (g["tokens"] / F.col("all")).alias("share"))).alias("groups"))
+    whole = whole.withColumn("have", _totals(F.col("groups"), F.transform("groups", lambda g: F.lit(1.0))))
+    # the trace of the Gram matrix bounds its greatest eigenvalue
+    gram = F.aggregate("groups", F.lit(0.0), lambda a, g: a + g["share"] * F.aggregate(g["posterior"], F.lit(0.0), lambda b, p: b + p * p))
+    clean = F.when(F.col("have")[0] > 0, F.col("have")[0]).otherwise(1.0)
+    whole = whole.select("groups", (gram + RIDGE).alias("bound"), (clean * (clean_scale / weights[DOMAINS[0]])).alias("budget"))
+    problem = stored(whole.withColumn("target", F.array(*(F.col("budget") * weights[d] for d in DOMAINS))), "mix-problem")
+    table, bound = F.col("groups"), F.col("bound")
+
+    def off(rates: Column) -> Column:
+        return F.zip_with(F.col("target"), _totals(table, rates), lambda t, x: t - x)
+
+    def largest(values: Column) -> Column:
+        return F.array_max(F.transform(values, F.abs))
+
+    def less(a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda x, y: x - y)
+
+    def moved(state: Column, miss: Column) -> Column:
+        def step(group: Column, rate: Column) -> Column:
+            pull = reduce(lambda a, b: a + b, (miss[d] * group["posterior"][d] for d in range(k)))
+            return F.greatest(F.lit(0.0), rate + (pull - RIDGE * (rate - 1)) / bound)
+
+        return _let(F.zip_with(table, state["ahead"], step), lambda new: _let(less(state["ahead"], new), lambda back: settled(state, new, back)))
+
+    def settled(state: Column, new: Column, back: Column) -> Column:
+        uphill = F.zip_with(table, F.zip_with(back, less(new, state["rate"]), lambda x, y: x * y), lambda g, x: g["share"] * x)
+        n = F.when(F.aggregate(uphill, F.lit(0.0), lambda a, x: a + x) > 0, F.lit(0)).otherwise(state["n"] + 1)
+        ahead = _let(n, lambda m: F.zip_with(new, state["rate"], lambda x, y: F.greatest(F.lit(0.0), x + (x - y) * m / (m + 3))))
+        return F.struct(new.alias("rate"), ahead.alias("ahead"), n.alias("n"), (largest(back) < STILL).alias("done"))
+
+    ones = F.transform(table, lambda g: F.lit(1.0))
+    start = F.struct(ones.alias("rate"), ones.alias("ahead"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+    fold = F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), start, lambda state, _: F.when(state["done"], state).otherwise(_let(off(state["ahead"]), lambda miss: moved(state, miss))))
+    fitted = stored(problem.withColumn("end", fold), "mix-fit")
+    out = fitted.select(F.arrays_zip("groups", F.col("end.rate").alias("rate")).alias("each"), (largest(off(F.col("end.rate"))) / F.col("budget")).alias("missed"), F.col("end.done").alias("converged"))
+    each = out.select(F.explode("each").alias("g"), "missed", "converged")
+    return each.select(*(F.col("g.groups")[c].alias(c) for c in names), F.col("g.rate").alias("rate"), "missed", "converged")
 
 
 def _planned(docs: DataFrame, labels: DataFrame, weights: dict[str, float], clean_scale: float, training: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, list[str]]]:
@@ -191,8 +203,8 @@ def _planned(docs: DataFrame, labels: DataFrame, weights: dict[str, float], clea
     rows = binned(measured(docs), cues).withColumn("_row", F.xxhash64(F.lit(SEED), "doc_id", "text"))
     narrow = stored(rows.drop("text"), "mix-rows")
     groups = stored(posteriors(narrow.groupBy(*BINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), counts, texts), "mix-groups")
-    history = fit_rates(groups, weights, clean_scale)
-    return narrow, groups.withColumn("rate", rate_of(history)).select(*BINS, "posterior", "rate"), cues
+    rates = fit_rates(groups, weights, clean_scale)
+    return narrow, rates.select(*BINS, "posterior", "rate", "missed", "converged"), cues
 
 
 def _copies(rows: DataFrame, rates: DataFrame) -> DataFrame:
@@ -202,14 +214,14 @@ def _copies(rows: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, clean_scale: float = CLEAN_SCALE, training: DataFrame | None = None) -> DataFrame:
-    """The columns of ``docs`` but the text, with tokens, posterior (array by domain), rate and copies.
+    """The columns of ``docs`` but the text, with tokens, posterior (array by domain), rate, missed, converged and copies.
 
     ``copies`` is the rate rounded up or down by a hash of doc_id and text, so that its expectation is the rate. A
     null text has no tokens; it has a posterior and a rate like others. Repeated rows have equal rates and copies.
-    With no labels, posteriors are equal for all. Columns that clash with the added ones are replaced. ``training`` has the
+    With no labels, posteriors are equal for all. ``missed`` and ``converged`` tell how near the fit came to the targets. Columns that clash with the added ones are replaced. ``training`` has the
     texts of the labels where ``docs`` lacks some of them.
     """
-    own = docs.drop("tokens", "posterior", "rate", "copies", *BINS)
+    own = docs.drop("tokens", "posterior", "rate", "copies", "missed", "converged", *BINS)
     narrow, rates, _ = _planned(own, labels, weights or WEIGHTS, clean_scale, docs if training is None else training)
     return _copies(narrow, rates)
 
@@ -227,4 +239,4 @@ def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | Non
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     mixed = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixed.select("doc_id", "source", "tokens", *(F.col("posterior")[d].alias(f"p_{name}") for d, name in enumerate(DOMAINS)), "rate", "copies")
+    return mixed.select("doc_id", "source", "tokens", *(F.col("posterior")[d].alias(f"p_{name}") for d, name in enumerate(DOMAINS)), "rate", "copies", "missed", "converged")
