@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .text_arrays import LOWER, bounds, chunks, hashes, mix, words
 
@@ -23,14 +24,13 @@ WINDOW = 8
 GRAMS = (3, 5, 7)
 BUCKETS = 1 << 18
 DIM = 8
-#: The bounded sample: labelled rows of each class, the first by a hash of doc_id.
-SAMPLE_ROWS = 1_500
-#: Of a sampled text, this many windows are trained on, evenly spaced.
-SAMPLE_WINDOWS = 64
+#: The bounded sample: so many labelled rows of each class, the first by a hash of doc_id, as far as their whole texts
+#: make up so many bytes. All windows of these texts are trained on.
+SAMPLE_ROWS, SAMPLE_BYTES = 1_500, 6_000_000
 #: A gram of fewer sampled texts has no embedding; a window counts as so many grams at least.
 LEAST_TEXTS, LEAST_GRAMS = 4, 130
-#: Windows of the first pass, and the passes over the highest windows that follow.
-FIRST_WINDOWS, LATER_WINDOWS, RATE, INIT = 60_000, 80_000, 0.4, 0.01
+#: Passes over the highest windows after the first one over all windows; of fewer texts more, up to so many steps.
+PASSES, STEPS, RATE, INIT = 12, 80_000, 0.4, 0.01
 HELD_OUT_OF, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 SEED = 9
@@ -97,17 +97,12 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> tuple[np.nd
     bags, sizes, of, seen, many_texts = [], [], [], 0, np.zeros(BUCKETS, np.int32)
     for _, data, offsets in chunks(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])):
         value, window, text = grams(data, offsets)
-        place = bounds(text, len(offsets) - 1)
-        rank, many = np.arange(len(text)) - place[text], np.diff(place)[text]
-        # SAMPLE_WINDOWS evenly spaced windows of a longer text
-        take = (many <= SAMPLE_WINDOWS) | ((rank + 1) * SAMPLE_WINDOWS // np.maximum(many, 1) > rank * SAMPLE_WINDOWS // np.maximum(many, 1))
         order = np.argsort(window, kind="stable")
-        order = order[take[window[order]]]
         in_text = np.unique(value[order] * len(offsets) + text[window[order]]) // len(offsets)
         many_texts += np.bincount(in_text, minlength=BUCKETS).astype(np.int32)
         bags.append(value[order].astype(np.int32))
-        sizes.append(np.bincount(window, minlength=len(text))[take].astype(np.int32))
-        of.append((seen + text[take]).astype(np.int32))
+        sizes.append(np.bincount(window, minlength=len(text)).astype(np.int32))
+        of.append((seen + text).astype(np.int32))
         seen += len(offsets) - 1
     # grams of too few texts tell nothing of others; they stay at zero
     known = many_texts >= LEAST_TEXTS
@@ -147,8 +142,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> tuple[np.nd
 
     everything = np.arange(len(size))
     clean = everything[labels[of] == 0]
-    epoch(everything if len(size) <= FIRST_WINDOWS else draw.choice(everything, FIRST_WINDOWS, replace=False), RATE)
-    rounds = max(5, LATER_WINDOWS // (2 * len(texts)))
+    epoch(everything, RATE)
+    rounds = max(PASSES, STEPS // (2 * len(texts)))
     for k in range(rounds):
         top = highest()
         epoch(np.r_[top, draw.choice(clean, min(len(clean), len(top)), replace=False)], RATE * (1 - k / rounds))
@@ -159,23 +154,34 @@ def held_out(doc_id) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % HELD_OUT_OF == HELD_OUT, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Trains in one task on SAMPLE_ROWS labelled rows of each class at most; the held-out rows are left out.
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, toxic of the sampled rows. Lengths alone are ordered; then the chosen texts are read.
 
-    Of a doc_id with several labels the greatest counts. Only the score table (one megabyte) comes to the driver.
+    Of a doc_id with several labels the greatest counts, of one with several texts the least.
     """
-    spark = docs.sparkSession
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit(SEED), "doc_id")
     picked = [marks.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(SAMPLE_ROWS) for t in (0, 1)]
-    sample = docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(text, '') as text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    both = picked[0].unionByName(picked[1])  # 2 * SAMPLE_ROWS rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sizes = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(F.broadcast(both), "doc_id").groupBy("doc_id", "toxic").agg(F.max("bytes").alias("bytes"))
+    so_far = F.sum("bytes").over(Window.partitionBy("toxic").orderBy(order, "doc_id"))
+    chosen = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).select("doc_id", "toxic")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """Trains on the sample, whose size is bounded in rows and in bytes, in one task; the held-out rows are left out.
+
+    Only the score table (one megabyte) comes to the driver.
+    """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("doc_id").sort_values("doc_id")
+        part = part.sort_values("doc_id")
         table, bias = train(part["text"].tolist(), part["toxic"].to_numpy())
         return pd.DataFrame({"table": [table.tobytes()], "bias": [bias]})
 
-    got = sample.groupBy(F.lit(0).alias("one")).applyInPandas(run, "table binary, bias double").first()
+    got = labelled_sample(docs, labels).groupBy(F.lit(0).alias("one")).applyInPandas(run, "table binary, bias double").first()
     if got is None:
         return np.zeros(BUCKETS, np.float32), 0.0
     return np.frombuffer(got["table"], dtype=np.float32), got["bias"]

@@ -3,7 +3,8 @@ import zlib
 import numpy as np
 import pytest
 
-from dyadics.llm.toxicity import fit, score, score_documents, train
+from dyadics.llm import toxicity
+from dyadics.llm.toxicity import fit, held_out, labelled_sample, score, score_documents, train
 
 
 def test_held_out_accuracy(spark):
@@ -59,3 +60,17 @@ def test_misspellings_share_grams():
 def test_too_few_labels(n):
     table, bias = train(["a b"] * n, np.zeros(n, int))
     assert not table.any() and bias <= 0
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark, docs, labels, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 40)
+    everything = labelled_sample(docs, labels).collect()
+    assert max(sum(r["toxic"] == t for r in everything) for t in (0, 1)) <= 40
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 20_000)
+    fewer = labelled_sample(docs, labels).collect()
+    assert {r["doc_id"] for r in fewer} < {r["doc_id"] for r in everything}
+    assert all(sum(len(r["text"].encode()) for r in fewer if r["toxic"] == t) <= 20_000 for t in (0, 1))
+    repeated = docs.unionByName(docs)
+    assert labelled_sample(repeated, labels).count() == len(fewer)
+    whole = {r["doc_id"]: r["text"] for r in docs.where(~held_out("doc_id")).collect()}
+    assert all(whole[r["doc_id"]] == r["text"] for r in fewer)
