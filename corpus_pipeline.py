@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dyadics.llm import mixing, near_dedup, quality, sentencepiece_bpe, toxicity
 
-#: What remains after the filters is clean for the most part; no clean document's rate is below 1.
-MIX_WEIGHTS = {"clean": 0.985, "poor": 0.01, "toxic": 0.005}
-MIX_CLEAN_SCALE = 1.25
+#: The operator's own targets. The filters leave fewer poor and toxic tokens than these ask for, so what resembles them is
+#: taken more often; the ridge keeps every clean document's rate above 1.
+MIX_WEIGHTS, MIX_CLEAN_SCALE = mixing.WEIGHTS, mixing.CLEAN_SCALE
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
