@@ -29,6 +29,13 @@ def with_utilities(cases: DataFrame, utilities: DataFrame, missing: str = "null"
     return out
 
 
+def biased_deltas(rows: DataFrame, lam: float, eta: float, digits: int = 4) -> DataFrame:
+    """``rows`` (u_x, u_y) with delta_x and delta_y as an owner sees them, and delta_tilde_x and delta_tilde_y without the bias."""
+    x, y = F.col("u_x"), F.col("u_y")
+    seen = {"delta_x": eta + (1 + lam) * x - y, "delta_y": eta + (1 + lam) * y - x, "delta_tilde_x": x - y, "delta_tilde_y": y - x}
+    return rows.withColumns({n: F.bround(c, digits) for n, c in seen.items()})
+
+
 def utility_grid(alpha: DataFrame, beta: DataFrame, spec: int = 1, gamma: float = 0.0) -> DataFrame:
     """idx, a1, a2, utility of all goods (idx, alpha) and profiles (a1, a2, beta); a missing parameter counts as 0."""
     u = F.coalesce("alpha", F.lit(0.0)), F.coalesce("beta", F.lit(0.0))

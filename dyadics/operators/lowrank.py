@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,41 @@ def module_table(factors: DataFrame, keys: list[str], scale: float = 1.0) -> Dat
     return factors.select(*keys, "A", "B").mapInPandas(run, f"{types}, fro double, spectral double, singular array<double>")
 
 
+def power_norms(factors: DataFrame, keys: list[str], scale: float = 1.0, rounds: int = 200, chunk: int = 4_096, seed: int = 3) -> DataFrame:
+    """keys, fro, spectral_power of scale * B A without a factorisation: the sum of squares by chunks of rows, and subspace iteration."""
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in factors.select(*keys).schema)
+
+    def norms(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+        total = sum(float((np.square(scale * b[i : i + chunk] @ a)).sum()) for i in range(0, len(b), chunk))
+        x = np.linalg.qr(np.random.default_rng(seed).normal(size=(a.shape[1], min(len(a) + 2, a.shape[1]))))[0]
+        for _ in range(rounds):
+            x = np.linalg.qr(a.T @ (b.T @ (b @ (a @ x))))[0]
+        return total**0.5, float(abs(scale) * np.linalg.norm(b @ (a @ x), 2))
+
+    def run(parts):
+        for part in parts:
+            out = part[keys].reset_index(drop=True)
+            found = [norms(_matrix(a), _matrix(b)) for a, b in zip(part["A"], part["B"], strict=True)]
+            out["fro"], out["spectral_power"] = [f for f, _ in found], [p for _, p in found]
+            yield out
+
+    return factors.select(*keys, "A", "B").mapInPandas(run, f"{types}, fro double, spectral_power double")
+
+
+def module_key(name: Column, modules: tuple[str, ...]) -> Column:
+    """Struct (layer, module) of a tensor's name with a low-rank factor of one of the modules; null for other names."""
+    pattern = rf"layers\.(\d+)\..*?({'|'.join(modules)})\.lora_[AB]\."
+    return F.when(name.rlike(pattern), F.struct(F.regexp_extract(name, pattern, 1).cast("int").alias("layer"), F.regexp_extract(name, pattern, 2).alias("module")))
+
+
+def config_faults(configs: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """file, name, found, expected of adapters' settings (file, settings: a map) that differ from what is expected."""
+    wanted = F.create_map(*(F.lit(x) for kv in expected.items() for x in kv))
+    each = configs.select("file", "settings", F.explode(wanted).alias("name", "expected"))
+    found = F.try_element_at("settings", F.col("name"))
+    return each.where(~found.eqNullSafe(F.col("expected"))).select("file", "name", found.alias("found"), "expected")
+
+
 def compare(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
     """keys, cosine, fro_one, fro_two, difference of the modules that both tables have."""
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in one.select(*keys).schema)

@@ -28,6 +28,26 @@ def mean_replicates(sums: DataFrame, n_clusters: int, reps: int, seed: int, slot
     return weights.join(sums, "ix").groupBy("rep").agg((F.sum(F.col("w") * F.col("value_sum")) / F.sum(F.col("w") * F.col("value_count"))).alias("estimate"))
 
 
+def item_replicates(rows: DataFrame, value: str, reps: int, seed: int) -> DataFrame:
+    """rep, estimate: means of as many items as there are, drawn with replacement. For values of few kinds, as differences of right answers.
+
+    A draw is a place among the items in the order of their values; where each value ends is a table of a row a kind, so
+    draws look their value up without a join.
+    """
+    kinds = sorted((r[value], r["n"]) for r in rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).collect())
+    n = sum(c for _, c in kinds)
+    ends, upto = [], 0
+    for _, c in kinds:
+        upto += c
+        ends.append(upto)
+    draws = rows.sparkSession.range(reps * n).select(F.floor(F.col("id") / max(n, 1)).cast("long").alias("rep"), F.pmod("id", F.lit(max(n, 1))).alias("slot"))
+    at = hash_draw(n, seed, F.col("rep"), F.col("slot"))
+    found = F.lit(None).cast("double")
+    for (x, _), end in reversed(list(zip(kinds, ends, strict=True))):
+        found = F.when(F.col("at") < end, F.lit(float(x))).otherwise(found)
+    return draws.select("rep", at.alias("at")).select("rep", found.alias("v")).groupBy("rep").agg(F.avg("v").alias("estimate"))
+
+
 def interval(replicates: DataFrame, alpha: float = 0.05) -> DataFrame:
     """reps, mean, sd and the percentile interval of the estimates."""
     return replicates.agg(

@@ -49,20 +49,20 @@ def solution_answers(spark, d):
     return _replies(spark, d).select("conv_id", "turn", an.solution_answer(F.col("reply")).alias("answer"))
 
 
-@query(f"WITH {REPLIES} SELECT conv_id, turn, {_CLEAN.format('right(reply, 12)')} AS answer FROM replies")
+@query(f"WITH {REPLIES} SELECT conv_id, turn, {_CLEAN.format('reply')} AS answer FROM replies")
 def normalize_answer(spark, d):
-    return _replies(spark, d).select("conv_id", "turn", an.normalized_number(F.expr("right(reply, 12)")).alias("answer"))
+    return _replies(spark, d).select("conv_id", "turn", an.normalized_number(F.col("reply")).alias("answer"))
 
 
 def _spoken(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
     k = (F.col("conv_id") * 3 + F.col("turn")) % 7
     word = F.element_at(F.array(*map(F.lit, ("Yes.", "no,", "y", "maybe", "", "<think>no</think> Yes", "(N) because"))), (k + 1).cast("int"))
-    return c.select("conv_id", "turn", F.concat(word, F.when(k == 4, "").otherwise(F.concat(F.lit(" "), F.substring("text", 1, 20)))).alias("reply"))
+    return c.select("conv_id", "turn", F.concat(word, F.when(k == 4, "").otherwise(F.concat(F.lit(" "), "text"))).alias("reply"))
 
 
 SPOKEN = """s AS (SELECT conv_id, turn, (conv_id * 3 + turn) % 7 AS k, text FROM conversations), spoken AS (SELECT conv_id, turn,
- ['Yes.', 'no,', 'y', 'maybe', '', '<think>no</think> Yes', '(N) because'][k + 1] || CASE WHEN k = 4 THEN '' ELSE ' ' || substring(text, 1, 20) END AS reply FROM s)"""
+ ['Yes.', 'no,', 'y', 'maybe', '', '<think>no</think> Yes', '(N) because'][k + 1] || CASE WHEN k = 4 THEN '' ELSE ' ' || text END AS reply FROM s)"""
 
 
 @query(f"WITH {SPOKEN}, w AS (SELECT conv_id, turn, lower(regexp_replace(regexp_extract(list_extract(string_split(reply, '</think>'), -1), '[^\\s]+'), '[^a-zA-Z]', '', 'g')) AS w FROM spoken) SELECT conv_id, turn, CASE WHEN w IN ('yes', 'y') THEN 'Yes' WHEN w IN ('no', 'n') THEN 'No' ELSE '' END AS answer FROM w")
@@ -152,9 +152,17 @@ def energy_rank(spark, d):
     return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", con.rank_for_energy(F.col("embedding"), 0.9).alias("rank90"))
 
 
-@query(f"WITH {v.GRID} SELECT seed, step, md FROM (SELECT seed, step, '| ' || seed || ' | ' || step || ' |' AS md FROM grid)")
+@query("SELECT (n_nationkey + 2)::INT AS line, n_nationkey::VARCHAR || ',' || n_name AS cells FROM nation UNION ALL SELECT 0, 'n_nationkey,n_name'")
 def markdown_rows(spark, d):
-    return v.grid(spark, d).select("seed", "step", F.format_string("| %d | %d |", "seed", "step").alias("md"))
+    """The nations as a Markdown table, written by the sink and read by the source."""
+    from ..sources.readers import markdown_table
+    from ..sources.sinks import markdown
+    from .stream_folder import shared_folder
+
+    folder = shared_folder(spark)
+    text = markdown(spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").select("n_nationkey", "n_name"))
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(folder)
+    return markdown_table(spark, folder).select("line", F.array_join("cells", ",").alias("cells"))
 
 
 @query("SELECT s_suppkey, 'a chance of ' || round_even((s_suppkey % 97) / 97.0::DOUBLE * 100, 0)::INT || '% to win' AS text, lpad(s_suppkey::VARCHAR, 5, '0') AS id FROM supplier")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import answers, choices, estimators, series, sets
+from . import answers, choices, estimators, series, sets, surveys
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (choices, sets, series, answers, estimators):
+for _part in (choices, sets, series, answers, estimators, surveys):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -289,7 +289,12 @@ def mcnemar_table(spark, d):
     return out.withColumn("difference", (F.col("only_second") - F.col("only_first")) / F.col("n"))
 
 
-@query()
+@query(
+    f"""WITH {ANSWERS}, t AS (SELECT model, count(*) FILTER (x = 'Yes' AND y = 'Yes') AS both_right, count(*) FILTER (x = 'Yes' AND y <> 'Yes') AS only_first,
+ count(*) FILTER (x <> 'Yes' AND y = 'Yes') AS only_second, count(*) FILTER (x <> 'Yes' AND y <> 'Yes') AS both_wrong, count(*) AS n FROM r GROUP BY 1),
+k AS (SELECT model, only_first, only_second, only_first + only_second AS n, least(only_first, only_second) AS m FROM t), s AS (SELECT model, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS p FROM (SELECT model, n, unnest(range(m + 1)) AS i FROM k) GROUP BY 1)
+SELECT model, only_first, only_second, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * p) END::DOUBLE, 6) AS p_value FROM k JOIN s USING (model)"""
+)
 def mcnemar_p(spark, d):
     from ..functions.tests import mcnemar_p as p_value
 

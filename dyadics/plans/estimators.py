@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import consensus, estimate, lowrank
+from ..operators import consensus, estimate, lowrank, survey
 from . import views as v
 from .register import registry
 
@@ -61,43 +61,130 @@ def _pairs(spark, d):
     return rows.where("p_no_x IS NOT NULL AND p_no_y IS NOT NULL")
 
 
+#: The structural answers are made with these; the events' values are their noise.
+LAMBDA, ETA = 0.5, 0.3
+
+
+def _answered(spark, d):
+    """Pairs whose probabilities follow the goods' utilities, so that the parameters are there to be found."""
+    rows = consensus.with_utilities(_pairs(spark, d), v.utilities(spark, d), "skip")
+    chance = lambda own, other, p: 1 / (1 + F.exp(-((1 + LAMBDA) * F.col(own) - F.col(other) + ETA + (F.col(p) - 0.5) / 4)))
+    return rows.withColumns({"p_no_x": chance("u_x", "u_y", "p_no_x"), "p_no_y": chance("u_y", "u_x", "p_no_y")})
+
+
+def _with_utilities(spark, d):
+    return _answered(spark, d).select("model", "x_num", "y_num", "u_x", "u_y", "p_no_x", "p_no_y")
+
+
 @query()
 def fit_lambda_eta(spark, d):
-    """Two parameters for each model, given the utilities; rows with equal values are summed first."""
-    rows = consensus.with_utilities(_pairs(spark, d), v.utilities(spark, d), "skip").select("model", *(F.round(c, 4).alias(c) for c in ("u_x", "u_y", "p_no_x", "p_no_y")))
-    summed = rows.groupBy("model", "u_x", "u_y", "p_no_x", "p_no_y").agg(F.count("*").cast("double").alias("weight"))
-    return estimate.lambda_eta(summed, ["model"]).select("model", "lambda", "eta", "n", "converged")
+    """Two parameters for each model, given the utilities."""
+    return estimate.lambda_eta(_with_utilities(spark, d), ["model"]).select("model", "lambda", "eta", "cost", "n", "converged", "jac_cond")
+
+
+@query()
+def bootstrap_lambda_eta(spark, d):
+    """Both parameters of all answers with errors and intervals over 1,000 draws of whole pairs of goods."""
+    return estimate.lambda_eta_bootstrap(_with_utilities(spark, d), ["x_num", "y_num"])
+
+
+@query()
+def refit_without_each_good(spark, d):
+    """Both parameters without each good, and whether it is the good whose absence gives the largest |lambda|."""
+    fits = estimate.lambda_eta_without_each_good(_with_utilities(spark, d), "x_num", "y_num")
+    most = survey.most_influential(fits, "lambda", F.col("converged")).select("good", F.lit(True).alias("most_influential"))
+    return fits.join(most, "good", "left").withColumn("most_influential", F.coalesce("most_influential", F.lit(False)))
 
 
 def _structural(spark, d):
-    return estimate.panel(_pairs(spark, d))
+    return estimate.panel(_answered(spark, d))
+
+
+@query()
+def start_values(spark, d):
+    """Start values of all parameters by the pooled regression in levels and by two stages of least squares."""
+    rows = _structural(spark, d)
+    ols, nls = estimate.starts(rows, 100, "ols"), estimate.starts(estimate.cells(rows), 100, "nls")
+    return spark.createDataFrame(list(zip(estimate.parameter_names(100), ols.tolist(), nls.tolist(), strict=True)), "parameter string, ols double, nls double")
 
 
 @query()
 def nls_full(spark, d):
-    """All parameters of model A by bounded least squares on the whole panel."""
-    return estimate.fit(_structural(spark, d), 100, "nls", iterations=12).table(spark)
+    """All parameters of model A by bounded least squares from the pooled regression's start, to convergence."""
+    rows = _structural(spark, d)
+    return estimate.fit(rows, 100, "nls", start=estimate.ols_start(rows, 100)).table(spark)
+
+
+@query()
+def nls_diagnostics(spark, d):
+    """Model A without lambda and eta (restricted), in full, and what its Jacobian tells."""
+    rows = _structural(spark, d)
+    start = estimate.ols_start(rows, 100)
+    full = estimate.fit(rows, 100, "nls", start=start)
+    restricted = estimate.fit(rows, 100, "nls", start=start, free=list(range(2, 109)), bounds={})
+    return full.diagnostics(spark).withColumn("restricted_objective", F.lit(restricted.objective))
+
+
+@query()
+def multistart_refits(spark, d):
+    """Model A from several starts: how far the estimates depend on them."""
+    rows = _structural(spark, d)
+    return estimate.refits(rows, 100, estimate.perturbed_starts(estimate.ols_start(rows, 100), 3, 7, 0.1))
 
 
 @query()
 def mle_full(spark, d):
-    """All parameters of model C by logit likelihood."""
-    return estimate.fit(_structural(spark, d), 100, "mle", bounds={0: (-1.0, float("inf"))}, iterations=12).table(spark)
+    """All parameters of model C by logit likelihood, to convergence."""
+    rows = _structural(spark, d)
+    return estimate.fit(rows, 100, "mle", start=estimate.ols_start(rows, 100), bounds={0: (-1.0, float("inf"))}).table(spark)
 
 
 @query()
 def sms_fit(spark, d):
-    """Model B: smoothed maximum score from model A's first steps."""
+    """Model B: smoothed maximum score from model A's estimates, with errors over 60 draws of cases (the operator's own number is 500)."""
     rows = _structural(spark, d)
-    start = estimate.fit(rows, 100, "nls", iterations=4)
-    return estimate.smoothed_maximum_score(rows, 100, start=start, iterations=8).table(spark)
+    found = estimate.smoothed_maximum_score(rows, 100)
+    return estimate.bootstrap_errors(rows, found, 100, found.width, reps=60).withColumn("converged", F.lit(found.converged))
 
 
 @query()
 def latent_index(spark, d):
-    """Moments of the latent index and its density at 0, after some steps of model A."""
+    """Moments of the latent index and its density at 0 at model A's estimates, for the first two utility specifications."""
     rows = _structural(spark, d)
-    return estimate.latent(rows, estimate.fit(rows, 100, "nls", iterations=3), 100)
+    out = None
+    for spec in (1, 2):
+        found = estimate.fit(rows, 100, "nls", spec, start=estimate.ols_start(rows, 100, spec))
+        one = estimate.latent(rows, found, 100, spec).select(F.lit(spec).alias("spec"), "*", F.lit(found.objective).alias("objective"), F.lit(found.converged).alias("converged"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def levels_diagnostic(spark, d):
+    """How much profiles explain beyond items, in levels and across folds of pairs."""
+    rows = _structural(spark, d)
+    pair = F.least("own_item", "other_item") * 100 + F.greatest("own_item", "other_item")
+    return estimate.levels_diagnostic(rows.withColumn("fold", F.pmod(pair, F.lit(10))), 100, "fold")
+
+
+@query(
+    f"""WITH {v.PAIRS}, g AS (SELECT case_id // 2 AS g, arg_min(p_no_x, case_id) AS ax, arg_max(p_no_x, case_id) AS bx, arg_min(p_no_y, case_id) AS ay, arg_max(p_no_y, case_id) AS dy FROM pairs GROUP BY 1 HAVING count(*) = 2),
+f AS (SELECT abs(bx - ax) AS cx, abs(dy - ay) AS cy, (ax >= 0.5) <> (bx >= 0.5) AS fx, (ay >= 0.5) <> (dy >= 0.5) AS fy FROM g), m AS (SELECT quantile_cont(c, 0.5) AS med FROM (SELECT cx AS c FROM f UNION ALL SELECT cy FROM f))
+SELECT count(*) AS pairs, round((avg(cx) + avg(cy)) / 2, 6) AS mean_abs_change, count(*) FILTER (fx) AS x_flips, count(*) FILTER (fy) AS y_flips, count(*) FILTER (fx OR fy) AS either_flips, count(*) FILTER (fx AND fy) AS both_flips, round(any_value(med), 6) AS median_abs_change FROM f, m"""
+)
+def first_difference_sensitivity(spark, d):
+    rows = v.paired(spark, d).withColumn("group", F.floor(F.col("case_id") / 2))
+    return estimate.first_difference_sensitivity(rows, ["group"], "case_id", "p_no_x", "p_no_y")
+
+
+@query(
+    f"""WITH {v.PAIRS}, {v.UTIL}, p AS (SELECT case_id, x_num, y_num, {v.LEVELS} FROM pairs), j AS (SELECT p.case_id, a.utility * 1.0137::DOUBLE AS ux, b.utility * 0.9871::DOUBLE AS uy FROM p JOIN util a ON a.idx = x_num AND a.a1 = i AND a.a2 = j JOIN util b ON b.idx = y_num AND b.a1 = k AND b.a2 = l)
+SELECT case_id, round_even(0.5 + 1.25 * ux - uy, 4) AS delta_x, round_even(0.5 + 1.25 * uy - ux, 4) AS delta_y, round_even(ux - uy, 4) AS delta_tilde_x, round_even(uy - ux, 4) AS delta_tilde_y FROM j"""
+)
+def delta_tilde(spark, d):
+    rows = consensus.with_utilities(_pairs(spark, d).select("case_id", "x_num", "y_num", "i", "j", "k", "l"), v.utilities(spark, d), "skip")
+    scaled = rows.withColumns({"u_x": F.col("u_x") * 1.0137, "u_y": F.col("u_y") * 0.9871})  # no value lies between two roundings
+    return consensus.biased_deltas(scaled, 0.25, 0.5).drop("x_num", "y_num", "i", "j", "k", "l", "u_x", "u_y")
 
 
 @query("SELECT p_partkey % 100 AS idx, a.range::INT AS a1, b.range::INT AS a2, round(exp((p_partkey % 100) / 100.0::DOUBLE + (a.range * 3 + b.range) / 10.0::DOUBLE), 6) AS utility FROM (SELECT DISTINCT p_partkey % 100 AS p_partkey FROM part), range(3) a, range(3) b")
@@ -109,8 +196,8 @@ def utility_grid(spark, d):
 
 @query()
 def recovery_study(spark, d):
-    """Bias and spread of two-parameter fits to simulated answers."""
-    return estimate.recovery(spark, [(0.0, 0.0), (1.0, 0.5)], 8, 400, 0.1, 3)
+    """Bias, spread and coverage of two-parameter fits to simulated answers, over the whole grid."""
+    return estimate.recovery(spark, [(a, b) for a in (0.05, 0.5, 2.0, 5.0) for b in (0.0, 0.5, 1.0)], seed=20_260_730)
 
 
 def _factors(spark, d):
@@ -128,10 +215,40 @@ def lowrank_norms(spark, d):
     return lowrank.module_table(_factors(spark, d), ["vec_id"]).select("vec_id", "fro")
 
 
-@query()
+@query(
+    """WITH f AS (SELECT vec_id, unnest(range(8)) AS o, embedding AS e FROM embeddings), g AS (SELECT vec_id, o, unnest(range(8)) AS i, e FROM f),
+p AS (SELECT vec_id, list_sum(list_transform(range(4), lambda r: e[33 + o * 4 + r]::DOUBLE * e[1 + r * 8 + i]::DOUBLE)) AS x, list_sum(list_transform(range(4), lambda r: e[33 + o * 4 + r]::DOUBLE * e[1 + (3 - r) * 8 + i]::DOUBLE)) AS y FROM g)
+SELECT vec_id, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 6) AS cosine, round(sqrt(sum(x * x)), 6) AS fro_one, round(sqrt(sum(y * y)), 6) AS fro_two, round(sqrt(sum((x - y) * (x - y))), 6) AS difference FROM p GROUP BY 1"""
+)
 def lowrank_compare(spark, d):
-    """Each module against itself with its rows reversed, and the null law of cosines of its shape."""
+    """Each module against itself with its rows reversed."""
+    f = _factors(spark, d)
+    return lowrank.compare(f, f.select("vec_id", F.reverse("A").alias("A"), "B"), ["vec_id"])
+
+
+@query(
+    """WITH f AS (SELECT vec_id, unnest(range(8)) AS o, embedding AS e FROM embeddings), g AS (SELECT vec_id, o, unnest(range(8)) AS i, e FROM f),
+p AS (SELECT vec_id, list_sum(list_transform(range(4), lambda r: e[33 + o * 4 + r]::DOUBLE * e[1 + r * 8 + i]::DOUBLE)) AS x FROM g) SELECT vec_id, round(sqrt(sum(x * x)), 5) AS fro, true AS spectral_agrees FROM p GROUP BY 1"""
+)
+def lowrank_power(spark, d):
+    """Norms by chunks, and whether subspace iteration and the QR factors agree on the spectral norm."""
     f = _factors(spark, d)
-    other = f.select("vec_id", F.reverse("A").alias("A"), "B")
-    null = lowrank.cosine_null(spark, (8, 8), 4, 200, 5).agg(F.percentile(F.abs("cosine"), F.lit(0.95)).alias("null_95"))
-    return lowrank.compare(f, other, ["vec_id"]).crossJoin(F.broadcast(null))
+    exact = lowrank.module_table(f, ["vec_id"]).select("vec_id", "spectral")
+    both = lowrank.power_norms(f, ["vec_id"]).join(exact, "vec_id")
+    return both.select("vec_id", F.round("fro", 5).alias("fro"), (F.abs(F.col("spectral_power") - F.col("spectral")) <= 1e-6 * F.col("spectral")).alias("spectral_agrees"))
+
+
+@query()
+def cosine_null(spark, d):
+    """What cosines unrelated modules of a shape have."""
+    return lowrank.cosine_null(spark, (8, 8), 4, 200, 5).agg(F.percentile(F.abs("cosine"), F.lit(0.95)).alias("null_95"))
+
+
+@query("SELECT vec_id, vec_id % 28 AS layer, CASE WHEN vec_id % 3 = 0 THEN 'q_proj' END AS module, vec_id % 3 = 0 AS fits FROM embeddings")
+def adapter_names(spark, d):
+    """Layer and module taken from the names of tensors; others do not fit."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id")
+    k = F.col("vec_id")
+    name = F.when(k % 3 == 0, F.format_string("base.model.layers.%d.self_attn.q_proj.lora_A.weight", k % 28)).otherwise(F.format_string("model.layers.%d.norm.weight", k % 28))
+    parts = lowrank.module_key(name, ("q_proj", "v_proj"))
+    return e.select("vec_id", (k % 28).alias("layer"), parts["module"].alias("module"), (parts["layer"] == k % 28).alias("fits")).withColumn("fits", F.coalesce("fits", F.lit(False)))

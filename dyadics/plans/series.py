@@ -8,7 +8,7 @@ from ..functions.codes import hash_rank_key
 from ..functions.rewards import learning_rate
 from ..operators import consensus, pairing, resample, selection
 from ..operators import windows as win
-from ..sources.readers import keep_last
+from ..sources.readers import keep_last, scored
 from ..streaming import jobs
 from . import views as v
 from .register import registry
@@ -128,7 +128,7 @@ def learning_rate_schedule(spark, d):
 
 
 BOOT = v.PAIRS + """, cl AS (SELECT row_number() OVER (ORDER BY x_num, y_num) - 1 AS ix, sum(p_no_x - p_no_y) AS s, count(*) AS c FROM pairs GROUP BY x_num, y_num),
-g AS (SELECT count(*) AS n FROM cl), dr AS (SELECT r.range AS rep, floor(('0x' || substr(md5('7:' || r.range || ':' || s.range), 1, 8))::BIGINT * n / 4294967296::DOUBLE)::BIGINT AS ix FROM g, range(40) r, range((SELECT n FROM g)) s),
+g AS (SELECT count(*) AS n FROM cl), dr AS (SELECT r.range AS rep, floor(('0x' || substr(md5('7:' || r.range || ':' || s.range), 1, 8))::BIGINT * n / 4294967296::DOUBLE)::BIGINT AS ix FROM g, range(2000) r, range((SELECT n FROM g)) s),
 reps AS (SELECT rep, sum(s) / sum(c) AS estimate FROM dr JOIN cl USING (ix) GROUP BY 1)"""
 
 
@@ -140,13 +140,13 @@ def _clusters(spark, d):
 @query(f"WITH {BOOT} SELECT count(*) AS reps, round(avg(estimate), 6) AS mean, round(stddev_samp(estimate), 6) AS sd, round(quantile_cont(estimate, 0.025), 6) AS low, round(quantile_cont(estimate, 0.975), 6) AS high FROM reps")
 def cluster_bootstrap_mean_ci(spark, d):
     sums = _clusters(spark, d)
-    return resample.interval(resample.mean_replicates(sums, sums.count(), 40, 7))
+    return resample.interval(resample.mean_replicates(sums, sums.count(), 2000, 7))
 
 
 @query(f"WITH {BOOT} SELECT rep, round(estimate, 6) AS estimate FROM reps")
 def cluster_bootstrap_replicates(spark, d):
     sums = _clusters(spark, d)
-    return resample.mean_replicates(sums, sums.count(), 40, 7)
+    return resample.mean_replicates(sums, sums.count(), 2000, 7)
 
 
 @query(f"WITH {BOOT}, t AS (SELECT sum(s) AS s, sum(c) AS c FROM cl), j AS (SELECT (t.s - cl.s) / (t.c - cl.c) AS e FROM cl, t) SELECT count(*) AS clusters, round(avg(e), 6) AS mean, round((count(*) - 1) * var_pop(e), 9) AS variance FROM j", digits=9)
@@ -155,15 +155,15 @@ def cluster_jackknife(spark, d):
 
 
 @query(
-    f"""WITH {v.PAIRS}, i AS (SELECT model, (p_yes_y > p_no_y)::INT - (p_yes_x > p_no_x)::INT AS diff FROM pairs), cl AS (SELECT row_number() OVER (ORDER BY model, diff) - 1 AS ix, model, diff, count(*) AS c FROM i GROUP BY model, diff),
-g AS (SELECT count(*) AS n FROM cl), dr AS (SELECT r.range AS rep, floor(('0x' || substr(md5('11:' || r.range || ':' || s.range), 1, 8))::BIGINT * n / 4294967296::DOUBLE)::BIGINT AS ix FROM g, range(200) r, range(60) s),
-e AS (SELECT rep, sum(diff * c) / sum(c)::DOUBLE AS estimate FROM dr JOIN cl USING (ix) GROUP BY 1)
+    f"""WITH {v.PAIRS}, i AS (SELECT (p_yes_y > p_no_y)::INT - (p_yes_x > p_no_x)::INT AS diff FROM pairs), t AS (SELECT count(*) AS n, count(*) FILTER (diff < 0) AS minus, count(*) FILTER (diff <= 0) AS upto FROM i),
+dr AS (SELECT r.range AS rep, floor(('0x' || substr(md5('11:' || r.range || ':' || s.range), 1, 8))::BIGINT * n / 4294967296::DOUBLE)::BIGINT AS spot, minus, upto, n FROM t, range(2000) r, range((SELECT n FROM t)) s),
+e AS (SELECT rep, sum(CASE WHEN spot < minus THEN -1 WHEN spot < upto THEN 0 ELSE 1 END) / any_value(n)::DOUBLE AS estimate FROM dr GROUP BY 1)
 SELECT count(*) AS reps, round(avg(estimate), 6) AS mean, round(stddev_samp(estimate), 6) AS sd, round(quantile_cont(estimate, 0.025), 6) AS low, round(quantile_cont(estimate, 0.975), 6) AS high FROM e"""
 )
 def paired_bootstrap_ci(spark, d):
-    rows = v.paired(spark, d).select("model", ((F.col("p_yes_y") > F.col("p_no_y")).cast("int") - (F.col("p_yes_x") > F.col("p_no_x")).cast("int")).alias("diff"))
-    sums = resample.clusters(rows.withColumn("value", F.col("diff")), ["model", "diff"], "value")
-    return resample.interval(resample.mean_replicates(sums, sums.count(), 200, 11, 60))
+    """Draws as many items as there are, with replacement, in each of 2,000 replicates."""
+    rows = v.paired(spark, d).select(((F.col("p_yes_y") > F.col("p_no_y")).cast("int") - (F.col("p_yes_x") > F.col("p_no_x")).cast("int")).alias("diff"))
+    return resample.interval(resample.item_replicates(rows, "diff", 2000, 11))
 
 
 @query(f"WITH {v.PAIRS}, t AS (SELECT sum(p_no_x) AS s, count(*) AS n FROM pairs), s AS (SELECT g, sum(p_no_x) AS s, count(*) AS n FROM (SELECT x_num AS g, p_no_x FROM pairs UNION ALL SELECT y_num, p_no_x FROM pairs) GROUP BY 1) SELECT g AS good, round(t.s - s.s, 6) AS p_no_x, t.n - s.n AS n FROM s, t")
@@ -181,7 +181,12 @@ def keep_last_upsert(spark, d):
 def resume_antijoin(spark, d):
     rows = v.predictions(spark, d)
     done = pairing.wide(rows.where("event_id % 7 != 0"), "case_id", "perspective", ["model"]).where("rows_x > 0 AND rows_y > 0")
-    return rows.select("case_id").distinct().join(done.select("case_id"), "case_id", "left_anti")
+
+    def score(parts):
+        for part in parts:
+            yield part[["case_id"]]
+
+    return scored(rows.select("case_id").distinct(), done, ["case_id"], score, "case_id long")
 
 
 @query("SELECT user_id % 50 AS batch, event_type, count(*) AS n FROM events GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY batch ORDER BY n DESC, min(event_id)) = 1")

@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
-_own: list[str] = []
+from ..session import shared_folder as _base
 
 
 def shared_folder(spark) -> str:
-    """Below ``spark.checkpoint.dir``; below a temporary folder only where that is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="dyadics-stream-"))
-            atexit.register(shutil.rmtree, _own[0], True)
-        base = _own[0]
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{_base(spark)}/stream-{uuid.uuid4().hex}"

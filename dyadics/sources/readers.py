@@ -13,11 +13,14 @@ from pyspark.sql.window import Window
 PREDICTION = "case_id long, X_num int, Y_num int, attr array<int>, `Yes / No prob` string, output string"
 
 
-def predictions(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+def predictions(spark: SparkSession, paths: dict[str, str], strict: bool = False) -> DataFrame:
     """case_id, perspective, x_num, y_num, i, j, k, l, p_yes, p_no, output of JSON arrays, a path a perspective.
 
-    A probability may be an array or a string that holds one; other forms give nulls, which the audits report.
+    A probability may be an array or a string that holds one; other forms give nulls, which the audits report. ``strict``
+    fails the read at a missing field, a probability that is none, or an id that a perspective has twice.
     """
+    from ..functions.choices import valid_probability
+
     out = None
     for side, path in paths.items():
         rows = spark.read.schema(PREDICTION).json(path, multiLine=True)
@@ -25,7 +28,16 @@ def predictions(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         levels = [F.get(F.col("attr"), F.lit(n)).alias(c) for n, c in enumerate("ijkl")]
         rows = rows.select("case_id", F.lit(side).alias("perspective"), F.col("X_num").alias("x_num"), F.col("Y_num").alias("y_num"), *levels, F.when(F.size(prob) == 2, prob[0]).alias("p_yes"), F.when(F.size(prob) == 2, prob[1]).alias("p_no"), "output")
         out = rows if out is None else out.unionByName(rows)
-    return out
+    if not strict:
+        return out
+    needed = [c for c in out.columns if c != "output"]
+    whole = F.lit(True)
+    for c in needed:
+        whole = whole & F.col(c).isNotNull()
+    bad = F.raise_error(F.concat(F.lit("bad or repeated answer of case "), F.coalesce(F.col("case_id").cast("string"), F.lit("without id")))).cast("long")
+    again = F.count("*").over(Window.partitionBy("perspective", "case_id"))
+    fine = whole & valid_probability(F.col("p_yes"), F.col("p_no")).isNotNull() & (F.col("_n") == 1)
+    return out.withColumn("_n", again).withColumn("case_id", F.when(fine, F.col("case_id")).otherwise(bad)).drop("_n")
 
 
 def keep_last(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -105,6 +117,16 @@ def json_lines(spark: SparkSession, path: str, schema: str, key: list[str] | Non
     return rows.withColumn("_n", again).withColumn(key[0], F.when(F.col("_n") == 1, F.col(key[0])).otherwise(F.raise_error(F.lit("repeated key")).cast(rows.schema[key[0]].dataType))).drop("_n")
 
 
+def question_file(spark: SparkSession, path: str, place: str = "place") -> DataFrame:
+    """The fields of a CSV or JSON-lines file of questions as strings, with ``place`` in the file; a byte-order mark is dropped."""
+    if path.rstrip("/").endswith(".csv"):
+        rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    else:
+        rows = spark.read.json(path, primitivesAsString=True)
+    named = rows.select(*(F.col(f"`{c}`").alias(c.lstrip("\ufeff").strip()) for c in rows.columns))
+    return named.withColumn(place, F.monotonically_increasing_id())
+
+
 def question_records(rows: DataFrame, order: str) -> DataFrame:
     """id, question, target: ids default to test_00000 by the place in ``order``; targets fall back on the solution."""
     from ..functions.answers import normalized_number, solution_answer
@@ -125,6 +147,81 @@ def trainer_states(spark: SparkSession, path: str, fields: tuple[str, ...] = ("e
     return rows.select("file", "pos", F.try_element_at("item", F.lit("step")).try_cast("int").alias("step"), *(number(c).alias(c) for c in fields))
 
 
+#: The names under which trainers log a metric, the first one found counts.
+METRIC_NAMES = {
+    "reward": ("reward", "rewards/reward_fn/mean"),
+    "reward_std": ("reward_std", "rewards/reward_fn/std"),
+    "loss": ("loss",),
+    "kl": ("kl",),
+    "entropy": ("entropy",),
+    "frac_reward_zero_std": ("frac_reward_zero_std",),
+    "grad_norm": ("grad_norm",),
+    "learning_rate": ("learning_rate",),
+    "epoch": ("epoch",),
+}
+
+
+def training_steps(spark: SparkSession, path: str, names: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """file, step and the metrics of the entries that have a step and a loss, each metric by the first of its names."""
+    from ..functions.records import first_of
+
+    state = F.from_json("value", "log_history array<map<string,string>>", {"allowNonNumericNumbers": "true"})
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.explode(state["log_history"]).alias("item"))
+    kept = rows.where(F.map_contains_key("item", "step") & F.map_contains_key("item", "loss"))
+    return kept.select("file", F.try_element_at("item", F.lit("step")).try_cast("int").alias("step"), *(first_of(F.col("item"), n).alias(c) for c, n in (names or METRIC_NAMES).items()))
+
+
+def metric_table(spark: SparkSession, path: str, metrics: tuple[str, ...] = tuple(METRIC_NAMES)) -> DataFrame:
+    """file, step and the metrics of CSV tables; a metric that a table lacks, or an empty cell, is NaN."""
+    rows = spark.read.csv(path, header=True).withColumn("file", F.input_file_name())
+    number = lambda c: F.coalesce(F.col(f"`{c}`").try_cast("double"), F.lit(float("nan"))) if c in rows.columns else F.lit(float("nan"))
+    return rows.select("file", F.col("step").try_cast("double").cast("int").alias("step"), *(number(c).alias(c) for c in metrics))
+
+
+def metrics_of(spark: SparkSession, states: str, tables: str, logs: str) -> tuple[DataFrame, str | None]:
+    """The metrics of a run and their kind, from the first of its sources that exists: 'state', 'table', 'log', or none (no rows)."""
+    from .text_logs import metric_lines
+
+    names = tuple(METRIC_NAMES)
+    empty = spark.createDataFrame([], "step int, " + ", ".join(f"{n} double" for n in names))
+    for kind, path in (("state", states), ("table", tables), ("log", logs)):
+        if not _exists(spark, path):
+            continue
+        if kind == "log":
+            lines = metric_lines(spark.read.text(path), ("step", *(n for _, found in METRIC_NAMES.items() for n in found)))
+            rows = lines.where("step IS NOT NULL AND loss IS NOT NULL").select(F.col("step").cast("int").alias("step"), *(F.coalesce(*(F.col(f"`{n}`") for n in found)).alias(c) for c, found in METRIC_NAMES.items()))
+        else:
+            rows = (training_steps if kind == "state" else metric_table)(spark, path).select("step", *names)
+        return rows, kind
+    return empty, None
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.format("binaryFile").load(path).select("path").isEmpty()
+    except Exception as missing:  # Spark tells of a path that does not exist by an analysis error
+        if "PATH_NOT_FOUND" in str(missing):
+            return False
+        raise
+
+
+def framing_benchmark(rows: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """scenario_id, domain, domain_mismatch, positive, negative of rows (row, text, domain, probabilities) that alternate the frames.
+
+    Both frames need a placeholder and complementary probabilities, or the read fails. Where both frames state a domain and
+    differ, the negative one counts; where neither does, it is 'Unknown'.
+    """
+    of = lambda column, parity: F.max(F.when(F.pmod(F.col("row"), F.lit(2)) == parity, column))
+    stated = F.nullif(F.trim("domain"), F.lit(""))
+    pairs = rows.groupBy(F.floor(F.col("row") / 2).alias("scenario_id")).agg(of(F.col("text"), 0).alias("positive"), of(F.col("text"), 1).alias("negative"), of(stated, 0).alias("_p"), of(stated, 1).alias("_n"), of(F.col("probabilities"), 0).alias("_pp"), of(F.col("probabilities"), 1).alias("_pn"))
+    complement = (F.size("_pp") == F.size("_pn")) & F.forall(F.zip_with("_pp", "_pn", lambda x, y: F.abs(x + y - 1) <= tolerance), lambda ok: ok)
+    fine = F.col("positive").rlike("X{1,2}%") & F.col("negative").rlike("X{1,2}%") & complement
+    bad = F.raise_error(F.concat(F.lit("frames of scenario "), F.col("scenario_id").cast("string"))).cast("string")
+    differ = F.coalesce(F.col("_p") != F.col("_n"), F.lit(False))
+    domain = F.when(differ, F.col("_n")).otherwise(F.coalesce("_p", "_n", F.lit("Unknown")))
+    return pairs.select("scenario_id", domain.alias("domain"), differ.alias("domain_mismatch"), F.when(F.coalesce(fine, F.lit(False)), F.col("positive")).otherwise(bad).alias("positive"), "negative")
+
+
 def spreadsheet(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
     """The cells of a sheet as strings, with ``row``; needs pandas' spreadsheet reader. Meant for small sheets."""
     table = pd.read_excel(path, sheet_name=sheet, header=0, dtype=str)

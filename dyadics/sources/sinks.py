@@ -23,10 +23,31 @@ def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, sha256 of the files below ``path``."""
+def manifest(spark: SparkSession, path: str, tracked: DataFrame | None = None) -> DataFrame:
+    """path, bytes, sha256 of the files below ``path``, and whether ``tracked`` (path: the ends of paths) lists them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    out = files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    if tracked is None:
+        return out
+    names = tracked.select(F.element_at(F.split("path", "/"), -1).alias("_name"), F.col("path").alias("_tracked"))
+    hits = out.withColumn("_name", F.element_at(F.split("path", "/"), -1)).join(names, "_name").where(F.col("path").endswith(F.col("_tracked"))).select("path").distinct()
+    return out.join(hits.withColumn("tracked", F.lit(True)), "path", "left").withColumn("tracked", F.coalesce("tracked", F.lit(False)))
+
+
+def canonical_json(rows: DataFrame, name: str = "json") -> DataFrame:
+    """``rows`` with each row's canonical JSON (keys ascending, nulls kept, no spaces) and its SHA-256."""
+    text = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
+    return rows.withColumn(name, text).withColumn(f"{name}_sha256", F.sha2(F.encode(name, "UTF-8"), 256))
+
+
+def complete(spark: SparkSession, path: str, expected: int) -> bool:
+    """Whether JSON rows at ``path`` were written in whole; a run resumes past them only then."""
+    try:
+        return spark.read.text(path).where("trim(value) != ''").count() == expected
+    except Exception as missing:  # a path that does not exist yet
+        if "PATH_NOT_FOUND" in str(missing):
+            return False
+        raise
 
 
 def markdown(rows: DataFrame, limit: int = 1_000) -> str:

@@ -46,11 +46,14 @@ def windowed_summary(rows: DataFrame, clock: str, width: str, late: str, value:
 def upsert(path: str, key: list[str], order: str):
     """A foreachBatch function that keeps the last row of each key in a Parquet table, one folder a batch.
 
-    A batch that comes again overwrites its own folder, so replays do no harm; ``latest`` reads the state.
+    A batch that comes again overwrites its own folder, so replays do no harm; ``latest`` reads the state and ``compacted``
+    writes it anew as one folder.
     """
+    from ..sources.readers import keep_last
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last = keep_last(batch.withColumn("_order", F.col(order)), key, "_order").drop("_order")
+        last.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return run
 
@@ -65,3 +68,37 @@ def run_once(stream: DataFrame, checkpoint: str, table: str, mode: str = "append
     """Runs a stream over what is there now, into a memory table (tests and replays) or until it is done."""
     query = stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def compacted(spark: SparkSession, path: str, into: str, key: list[str], order: str) -> None:
+    """The state of an upserted table written to a new place as its first batch; the old folders may go afterwards."""
+    latest(spark, path, key, order).withColumn("_batch", F.lit(-1)).write.mode("overwrite").parquet(f"{into}/batch=-1")
+
+
+def progress(lines: DataFrame, run: str, order: str, value: str = "value") -> DataFrame:
+    """run, done, total, share, seconds_left by the last progress bar of each run; works on streams in complete mode."""
+    bar = r"(\d+)/(\d+)\s*\[(?:(\d+):)?(\d+):(\d+)<"
+    part = lambda n: F.regexp_extract(value, bar, n).try_cast("long")
+    seen = lines.where(F.col(value).rlike(bar)).select(run, order, part(1).alias("done"), part(2).alias("total"), (F.coalesce(part(3), F.lit(0)) * 3600 + part(4) * 60 + part(5)).alias("spent"))
+    last = seen.groupBy(run).agg(F.max_by(F.struct("done", "total", "spent"), order).alias("_l")).select(run, "_l.*")
+    left = F.try_divide(F.col("spent") * (F.col("total") - F.col("done")), F.col("done"))
+    return last.select(run, "done", "total", F.try_divide("done", "total").alias("share"), left.alias("seconds_left"))
+
+
+def retrying(score, attempts: int = 15, wait: float = 2.0):
+    """A scorer (iterator of frames to iterator of frames) that tries each frame again after n * ``wait`` seconds; the last error stands."""
+    import time
+
+    def run(parts):
+        for part in parts:
+            for n in range(1, attempts + 1):
+                try:
+                    out = list(score(iter([part])))
+                    break
+                except Exception:
+                    if n == attempts:
+                        raise
+                    time.sleep(n * wait)
+            yield from out
+
+    return run
