@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Rows of 8 to 16 bytes that a broadcast may hold: some 50 MB on each executor.
 BROADCAST_ROWS = 1_000_000
 
-_own: list[str] = []
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="dyadics-"))
-        atexit.register(shutil.rmtree, _own[0], True)
-    return _own[0]
+    """A folder of this application below ``spark.checkpoint.dir``. Its tables back the operators' results, so they live as
+    long as the application; ``release`` removes them when no result is needed any more."""
+    return f"{shared_folder(spark)}/dyadics-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results that were not written before are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
