@@ -55,9 +55,26 @@ TEXTS = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
+#: Digests of whole licences as published, too long to stand here; ``catalogue`` made them.
+DIGESTS = (
+    ("Apache-2.0", "9782099b6b13d659693083eb4b0ff3953507de47b5b3b9e194156468c52a8c1b"),
+    ("Artistic-1.0-Perl", "50cd294a1f03da474a09c58d35e8078f45a5f25fe34ce03806cf2d892e193184"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "d7b4fa98c0201b101d2035c8ce5216ecd9d6468e8c8027a7ca54c3340f919d08"),
+    ("GFDL-1.3", "438ae846690e15ae7957a7e816e4b191e39c6de2a061ce3d3573ba5a22d5e15a"),
+    ("GPL-1.0", "9caf042595280548f0149ac88169a7f2e04f35b2a642cf00b991f00d48bfa4ce"),
+    ("GPL-2.0", "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6"),
+    ("GPL-3.0", "9085ee283b8c84517846c5acafee37391c28bb825b7ecec4aaa90768f2f283b0"),
+    ("LGPL-2.0", "944ef57fae4d7ce4e08dcb419a62d2e38e3ab8471ccf8ef70b1ebac46b7911b1"),
+    ("LGPL-2.1", "5ddd6039d3b090c51328879800301dd19b1ad99e14d00f3c6f221ab45a32db57"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+)
 #: Spellings that licence matching guidelines treat as equal, after lower-casing.
 SPELLINGS = (
     ("licence", "license"),
+    ("licences", "licenses"),
     ("licenced", "licensed"),
     ("sublicence", "sublicense"),
     ("acknowledgement", "acknowledgment"),
@@ -96,33 +113,42 @@ _HOLDER_LINE = (
 def canonical(text: Column) -> Column:
     """The normalised text. Equal licences give equal texts whatever their case, punctuation, spelling and holders."""
     out = F.translate(F.regexp_replace(text, _HOLDER_LINE, " "), _UPPER, _LOWER)
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    # only texts that hold an odd spelling pay for the replacements; each word is bounded by spaces
-    odd = "|".join(a for a, _ in SPELLINGS)
+    # two spaces between words: each word has a space of its own on either side, so that no two replacements overlap
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
+    # only texts that hold an odd spelling pay for the replacements
+    odd = "|".join(a.replace(" ", "  ") for a, _ in SPELLINGS)
     spelt = out
     for a, b in SPELLINGS:
-        spelt = F.replace(spelt, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(F.when(out.rlike(f" ({odd}) "), spelt).otherwise(out))
+        spelt = F.replace(spelt, *(F.lit(" " + x.replace(" ", "  ") + " ") for x in (a, b)))
+    return F.replace(F.trim(F.when(out.rlike(f" ({odd}) "), spelt).otherwise(out)), F.lit("  "), F.lit(" "))
 
 
 def digest(text: Column) -> Column:
     return F.sha2(F.encode(canonical(text), "UTF-8"), 256)
 
 
-def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEXTS) -> DataFrame:
+def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEXTS, digests: tuple[tuple[str, str], ...] = DIGESTS) -> DataFrame:
     """digest, license of each known text; of equal digests the least identifier stays."""
-    rows = spark.createDataFrame(list(texts), "license string, text string")
-    return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+    rows = spark.createDataFrame(list(texts), "license string, text string").select(digest(F.col("text")).alias("digest"), "license")
+    if digests:
+        rows = rows.unionByName(spark.createDataFrame(list(digests), "license string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
+
 
+def catalogue(spark: SparkSession, path: str) -> tuple[tuple[str, str], ...]:
+    """(identifier, digest) of the licence texts in a folder of files named by identifier: more known texts for ``scan``."""
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), digest(F.col("value")).alias("digest"))
+    return tuple(sorted((r["file"].removesuffix(".txt"), r["digest"]) for r in files.collect()))  # some hundred licences
 
-def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEXTS) -> DataFrame:
+
+def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEXTS, digests: tuple[tuple[str, str], ...] = DIGESTS) -> DataFrame:
     """doc_id, text_digest, license, notice_lines, notices for each row of ``docs``.
 
     ``license`` is that of the whole text, null if it is none. ``notice_lines`` counts the lines that are a known text
     in whole; ``notices`` lists their identifiers, ascending, joined by commas (null if none). A null text is empty; an empty
     normalised text matches nothing. Repeated rows and null ids are rows like others; other columns are ignored.
     """
-    table = known(docs.sparkSession, texts)
+    table = known(docs.sparkSession, texts, digests)
     # the digests of the known texts: a table of the size of ``texts``, looked up by a hash join without an exchange
     looked_up = F.broadcast(table)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -151,15 +177,21 @@ def oracle() -> str:
     def text_of(value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
 
+    pairs = {a: b for a, b in SPELLINGS if " " not in a}
+    words = f"map({list(pairs)}, {[v.replace(" ", "  ") for v in pairs.values()]})"
+
     def norm(x: str) -> str:
-        flat = f"' ' || trim(regexp_replace(regexp_replace(translate({x}, '{_UPPER}', '{_LOWER}'), {text_of(_COPYRIGHT_LINE)}, ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
-        for a, b in SPELLINGS:
+        plain = f"regexp_replace(regexp_replace(translate({x}, '{_UPPER}', '{_LOWER}'), {text_of(_COPYRIGHT_LINE)}, ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+        # word by word through a map, then the spellings of two words
+        flat = f"' ' || array_to_string(list_transform(string_split(trim({plain}), ' '), lambda w: coalesce({words}[w], w)), '  ') || ' '"
+        for a, b in ((a.replace(" ", "  "), b.replace(" ", "  ")) for a, b in SPELLINGS if " " in a):
             flat = f"replace({flat}, ' {a} ', ' {b} ')"
-        return f"sha256(trim({flat}))"
+        return f"sha256(replace(trim({flat}), '  ', ' '))"
 
     rows = ", ".join(f"({text_of(name)}, {text_of(text)})" for name, text in TEXTS)
+    digests = ", ".join(f"({text_of(name)}, {text_of(value)})" for name, value in DIGESTS)
     return f"""
-WITH k AS (SELECT {norm('t')} AS digest, min(l) AS license FROM (VALUES {rows}) v(l, t) GROUP BY 1),
+WITH k AS (SELECT digest, min(l) AS license FROM (SELECT {norm('t')} AS digest, l FROM (VALUES {rows}) v(l, t) UNION ALL SELECT d, l FROM (VALUES {digests}) e(l, d)) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
 f AS (SELECT rid, license FROM (SELECT rid, {norm('line')} AS digest FROM n

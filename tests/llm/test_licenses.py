@@ -1,6 +1,34 @@
+import os
+import re
 import textwrap
 
-from dyadics.llm.licenses import ISC, MIT, TEXTS, scan
+import pytest
+from pyspark.sql import functions as F
+
+from dyadics.llm.licenses import DIGESTS, ISC, MIT, TEXTS, canonical, scan
+
+#: Licence texts of the system, where it has them, by file and identifier.
+WHOLE = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_whole_licences_in_other_case_wrapping_and_holders(spark):
+    rows = []
+    for file, name in WHOLE.items():
+        with open(f"/usr/share/common-licenses/{file}", encoding="utf-8") as f:
+            text = f.read()
+        assert name in dict(DIGESTS)
+        head = "Copyright (c) 2024 Some One\n© A. Body\nAll rights reserved.\n"
+        rows += [(name, text), (name, text.upper()), (name, head + text), (name, re.sub(r"\blicense(s?)\b", r"licence\1", text)), (name, text.replace(",", " ,").replace("\n\n", "\n \n\n")), (None, text + "\nand more"), (None, text.replace(" the ", " thy ", 1))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in scan(docs).collect()}
+    assert {i: (name, got[i]) for i, (name, _) in enumerate(rows) if got[i] != name} == {}
+
+
+def test_spellings_that_follow_each_other(spark):
+    texts = [("licence licence terms", "license license terms"), ("Copyright-owner's licence per cent per cent", "copyright holder s license percent percent"), ("a sub  licence", "a sublicense"), ("licence", "license"), ("noncommercial while", "non commercial whilst"), ("x", "x"), ("", "")]
+    rows = spark.createDataFrame(texts, "text string, want string").select(canonical(F.col("text")).alias("got"), "want", "text").collect()
+    assert [(r["text"], r["got"]) for r in rows] == [(r["text"], r["want"]) for r in rows]
 
 
 def test_variants_of_a_licence(spark):
