@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule rejects a text by one measured number. On a bounded sample the cost and the selectivity of each rule are
-estimated; rules then run in order of rejections per cost, each on the texts that the earlier ones kept. The order
-changes the work, never the verdict: a text is kept if no rule rejects it.
+Each rule rejects a text by one measured number. On a bounded sample the cost of each measure and the rules that reject
+each text are found. The order is built rule by rule: next comes the rule that rejects most of what is left for what it
+costs beyond the measures already taken. Each rule runs on the texts that all earlier ones kept. The order changes the
+work, never the verdict: a text is kept if no rule rejects it.
 """
 
 from __future__ import annotations
@@ -45,7 +46,21 @@ class Texts:
         ends = np.r_[0, np.cumsum(sizes)]
         take = np.repeat(self.offsets[at] - ends[:-1], sizes) + np.arange(int(ends[-1]))
         out = Texts(self.data[take], ends)
-        out._has = {k: v[at] for k, v in self._has.items() if not isinstance(v, tuple)}
+        place, back = np.full(self.n, -1), self.offsets[:-1].copy()
+        place[at] = np.arange(len(at))
+        back[at] -= ends[:-1]  # how far each kept text moves to the front
+
+        def moved(starts: np.ndarray, stops: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            stay = kept[owner]
+            return starts[stay] - back[owner[stay]], stops[stay] - back[owner[stay]], place[owner[stay]]
+
+        for name, value in self._has.items():
+            if name in ("words", "full_lines"):
+                out._has[name] = moved(*value)
+            elif name == "word_hashes":
+                out._has[name] = (value[0][kept[self.get("words")[2]]],)
+            else:
+                out._has[name] = value[at]
         return out
 
     def get(self, name: str):
@@ -81,17 +96,18 @@ class Texts:
     def _n_letters(self):
         return self._sum(_LETTER[self.data] | (self.data >= 0xC0))  # of a character beyond ASCII the first byte
 
-    def _n_lines(self):
+    def _full_lines(self):
         starts, ends, owner = lines(self.data, self.offsets)
         first_word = self.get("words")[0]
         at = np.searchsorted(first_word, starts)
         full = (at < len(first_word)) & (first_word[np.minimum(at, max(len(first_word) - 1, 0))] < ends) if len(first_word) else np.zeros(len(starts), bool)
-        self._full_lines = starts[full], ends[full], owner[full]
-        return np.bincount(owner[full], minlength=self.n)
+        return starts[full], ends[full], owner[full]
+
+    def _n_lines(self):
+        return np.bincount(self.get("full_lines")[2], minlength=self.n)
 
     def _n_dup_lines(self):
-        self._n_lines()
-        starts, ends, owner = self._full_lines
+        starts, ends, owner = self.get("full_lines")
         return self._repeats(hashes(self.data, starts, ends), owner)
 
     def _repeats(self, value: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -118,10 +134,38 @@ class Texts:
         return np.bincount(owner[np.cumsum(step)[:-1] > 0], minlength=self.n)
 
 
+#: What each measure is taken from; a measure is taken once for a text.
+FROM = {
+    "words": (),
+    "word_hashes": ("words",),
+    "full_lines": ("words",),
+    "n_words": ("words",),
+    "word_chars": ("words",),
+    "n_symbols": (),
+    "n_upper": (),
+    "n_letters": (),
+    "n_lines": ("full_lines",),
+    "n_dup_lines": ("full_lines",),
+    "n_distinct": ("n_words", "word_hashes"),
+    "n_repeat_words": ("word_hashes",),
+}
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
     rejects: Callable[[Texts], np.ndarray]
+    measures: tuple[str, ...]
+
+    def needs(self) -> set[str]:
+        """All measures that the rule takes, directly or not."""
+        todo, out = list(self.measures), set()
+        while todo:
+            m = todo.pop()
+            if m not in out:
+                out.add(m)
+                todo += FROM[m]
+        return out
 
 
 def _share(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -130,46 +174,76 @@ def _share(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 #: The rules; each rejects a text whose number passes the limit. A text without words has failed the base.
 RULES = (
-    Rule("few_words", lambda t: t.get("n_words") < 10),
-    Rule("repeated_words", lambda t: _share(t.get("n_repeat_words"), t.get("n_words"), 20)),
-    Rule("symbols", lambda t: _share(t.get("n_symbols"), t.get("n_words"), 40)),
-    Rule("duplicate_lines", lambda t: _share(t.get("n_dup_lines"), t.get("n_lines"), 50)),
-    Rule("upper_case", lambda t: _share(t.get("n_upper"), t.get("n_letters"), 60)),
-    Rule("few_distinct_words", lambda t: _share(t.get("n_words"), t.get("n_distinct"), 2000)),
-    Rule("word_length", lambda t: (t.get("word_chars") < 2 * t.get("n_words")) | (t.get("word_chars") > 25 * t.get("n_words"))),
+    Rule("few_words", lambda t: t.get("n_words") < 10, ("n_words",)),
+    Rule("repeated_words", lambda t: _share(t.get("n_repeat_words"), t.get("n_words"), 20), ("n_repeat_words", "n_words")),
+    Rule("symbols", lambda t: _share(t.get("n_symbols"), t.get("n_words"), 40), ("n_symbols", "n_words")),
+    Rule("duplicate_lines", lambda t: _share(t.get("n_dup_lines"), t.get("n_lines"), 50), ("n_dup_lines", "n_lines")),
+    Rule("upper_case", lambda t: _share(t.get("n_upper"), t.get("n_letters"), 60), ("n_upper", "n_letters")),
+    Rule("few_distinct_words", lambda t: _share(t.get("n_words"), t.get("n_distinct"), 2000), ("n_words", "n_distinct")),
+    Rule("word_length", lambda t: (t.get("word_chars") < 2 * t.get("n_words")) | (t.get("word_chars") > 25 * t.get("n_words")), ("word_chars", "n_words")),
 )
 BASE_RULES = ("few_words", "repeated_words")
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, float, float]]:
-    """(name, seconds a text, share rejected) of each rule on the sample; each starts from nothing measured."""
+@dataclass(frozen=True)
+class Estimates:
+    """Of the sample: seconds a text of each measure, and how many texts each set of rules (by place, as bits) rejects."""
+
+    seconds: dict[str, float]
+    rejected: dict[int, int]
+
+
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> Estimates:
     # ids alone are ordered; then the texts of SAMPLE_ROWS ids are read
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(SAMPLE_ROWS)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, gone, seen = np.zeros(len(rules)), np.zeros(len(rules)), 0
+        spent, sets, seen = dict.fromkeys(FROM, 0.0), {}, 0
         for batch in batches:
             for _, data, offsets in chunks(batch):
-                for k, rule in enumerate(rules):
+                texts = Texts(data, offsets)
+                for measure in FROM:  # each after those it is taken from
                     began = time.perf_counter()
-                    gone[k] += rule.rejects(Texts(data, offsets)).sum()
-                    spent[k] += time.perf_counter() - began
-                seen += len(offsets) - 1
-        yield pa.RecordBatch.from_arrays([pa.array([r.name for r in rules]), pa.array(spent), pa.array(gone), pa.array([seen] * len(rules), pa.int64())], names=["name", "spent", "gone", "seen"])
-
-    got = sample.mapInArrow(run, "name string, spent double, gone double, seen long").groupBy("name").agg(F.sum("spent"), F.sum("gone"), F.sum("seen")).collect()  # a row a rule
-    by = {name: (spent / max(seen, 1), gone / max(seen, 1)) for name, spent, gone, seen in got}
-    return [(r.name, *by.get(r.name, (1.0, 0.0))) for r in rules]
-
-
-def ordered(estimates: list[tuple[str, float, float]]) -> list[str]:
-    """Names by share rejected per second, the greatest first; ties by name."""
-    return [name for name, cost, share in sorted(estimates, key=lambda e: (-e[2] / max(e[1], 1e-9), e[0]))]
+                    texts.get(measure)
+                    spent[measure] += time.perf_counter() - began
+                bits = np.zeros(texts.n, dtype=np.int64)
+                for k, rule in enumerate(rules):
+                    bits |= rule.rejects(texts).astype(np.int64) << k
+                for value, n in zip(*np.unique(bits, return_counts=True), strict=True):
+                    sets[int(value)] = sets.get(int(value), 0) + int(n)
+                seen += texts.n
+        keys = [*spent, *map(str, sets)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([*spent.values(), *map(float, sets.values())]), pa.array([seen] * len(keys), pa.int64())], names=["name", "value", "seen"])
+
+    # a row a measure and a set of rules
+    got = sample.mapInArrow(run, "name string, value double, seen long").groupBy("name").agg(F.sum("value").alias("value")).collect()
+    by = {r["name"]: r["value"] for r in got}
+    texts = max(sum(v for k, v in by.items() if k not in FROM), 1.0)
+    return Estimates({m: by.get(m, 0.0) / texts for m in FROM}, {int(k): int(v) for k, v in by.items() if k not in FROM})
+
+
+def ordered(found: Estimates, rules: tuple[Rule, ...] = RULES) -> list[str]:
+    """Names by rejections among the texts that are left per second beyond the measures taken, the greatest first; ties by name."""
+    left, taken, out = dict(found.rejected), set(), []
+    places = {r.name: k for k, r in enumerate(rules)}
+    rest = sorted(rules, key=lambda r: r.name)
+    while rest:
+
+        def worth(rule: Rule) -> float:
+            gone = sum(n for bits, n in left.items() if bits >> places[rule.name] & 1)
+            return gone / (sum(found.seconds.get(m, 0.0) for m in rule.needs() - taken) + 1e-9)
+
+        best = max(rest, key=worth)
+        out.append(best.name)
+        rest.remove(best)
+        taken |= best.needs()
+        left = {bits: n for bits, n in left.items() if not bits >> places[best.name] & 1}
+    return out
 
 
 def verdicts(texts: Texts, order: list[str], rules: tuple[Rule, ...] = RULES) -> np.ndarray:
-    """Whether each text is kept. Each rule measures the texts that no earlier rule rejected."""
+    """Whether each text is kept. Each rule measures the texts that no earlier rule rejected, and only those."""
     by = {r.name: r for r in rules}
     kept, left, at = np.ones(texts.n, dtype=bool), texts, np.arange(texts.n)
     for name in order:
@@ -178,9 +252,7 @@ def verdicts(texts: Texts, order: list[str], rules: tuple[Rule, ...] = RULES) ->
         gone = by[name].rejects(left)
         kept[at[gone]] = False
         if gone.any():
-            # copying the rest together pays once a tenth is gone; until then the rest is measured in place
-            if gone.mean() > 0.1:
-                left, at = left.only(~gone), at[~gone]
+            left, at = left.only(~gone), at[~gone]
     return kept
 
 
@@ -191,7 +263,7 @@ def quality_documents(docs: DataFrame) -> DataFrame:
     words and fails the base. Repeated rows and null ids are rows like others; other columns are ignored.
     """
     rules = tuple(r for r in RULES if r.name not in BASE_RULES)
-    order = ordered(estimate(docs, rules))
+    order = ordered(estimate(docs, rules), rules)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +274,7 @@ def quality_documents(docs: DataFrame) -> DataFrame:
                 failed = (base[0] < 10) | _share(base[4], base[0], 20)
                 kept = ~failed
                 if kept.any():
-                    kept[kept] = verdicts(texts.only(kept) if failed.mean() > 0.1 else texts, order, rules)[slice(None) if failed.mean() > 0.1 else kept]
+                    kept[kept] = verdicts(texts.only(kept), order, rules)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in base), pa.array(failed), pa.array(kept)], names=["doc_id", *BASE, "base_failed", "kept"])
 
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, schema)

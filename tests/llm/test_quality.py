@@ -1,7 +1,9 @@
 import re
 from collections import Counter
 
-from dyadics.llm.quality import RULES, estimate, filter_quality, ordered, quality_documents
+import numpy as np
+
+from dyadics.llm.quality import FROM, RULES, Estimates, Rule, Texts, estimate, filter_quality, ordered, quality_documents, verdicts
 
 
 def base(text):
@@ -42,8 +44,52 @@ def test_repeats_and_lines(spark):
 
 def test_order_by_rejection_per_cost(docs):
     found = estimate(docs)
-    assert [name for name, _, _ in found] == [r.name for r in RULES] and all(cost >= 0 and 0 <= share <= 1 for _, cost, share in found)
-    assert ordered([("a", 1.0, 0.1), ("b", 0.1, 0.1), ("c", 1.0, 0.5), ("d", 1.0, 0.0)]) == ["b", "c", "a", "d"]
+    assert set(found.seconds) == set(FROM) and all(v >= 0 for v in found.seconds.values())
+    assert sum(found.rejected.values()) == min(docs.count(), 500) and max(found.rejected) < 1 << len(RULES)
+    assert sorted(ordered(found)) == sorted(r.name for r in RULES)
+
+
+def test_order_counts_what_is_left_and_measures_once():
+    rules = tuple(Rule(n, None, m) for n, m in (("a", ("n_words",)), ("b", ("n_words", "word_chars")), ("c", ("n_symbols",)), ("d", ("n_upper",))))
+    seconds = {"words": 10.0, "n_words": 1.0, "word_chars": 1.0, "n_symbols": 5.0, "n_upper": 5.0}
+    # d rejects most, but all of its texts after c has gone; once words are cut for a, b costs little
+    found = Estimates(seconds, {0b0000: 50, 0b0100: 10, 0b1100: 20, 0b0001: 11, 0b0010: 9})
+    assert ordered(found, rules) == ["c", "a", "b", "d"]
+
+
+def test_each_rule_measures_only_what_is_left():
+    seen = []
+
+    def rule(name, limit):
+        def rejects(texts):
+            words = texts.get("n_words")
+            seen.append((name, words.tolist()))
+            return words < limit
+
+        return Rule(name, rejects, ("n_words",))
+
+    texts = ["a", "a b", "a b c", "a b c d"]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *map(len, texts)])
+    kept = verdicts(Texts(np.frombuffer(data, np.uint8), offsets), ["two", "three"], (rule("two", 2), rule("three", 3)))
+    assert kept.tolist() == [False, False, True, True]
+    assert seen == [("two", [1, 2, 3, 4]), ("three", [2, 3, 4])]
+
+
+def test_measures_are_carried_over_when_texts_go():
+    draw = np.random.default_rng(3)
+    texts = ["".join(draw.choice(list("ab é\n#X"), draw.integers(0, 60))) for _ in range(60)]
+    data = [t.encode() for t in texts]
+    whole = Texts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    for m in FROM:
+        whole.get(m)
+    kept = draw.random(60) < 0.6
+    part, left = whole.only(kept), [d for d, k in zip(data, kept, strict=True) if k]
+    fresh = Texts(np.frombuffer(b"".join(left), np.uint8), np.cumsum([0, *map(len, left)]))
+    for m in FROM:
+        a, b = part.get(m), fresh.get(m)
+        for x, y in zip(a, b, strict=True) if isinstance(a, tuple) else [(a, b)]:
+            assert x.tolist() == y.tolist(), m
 
 
 def test_clean_documents_stay(spark):
