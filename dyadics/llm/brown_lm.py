@@ -27,7 +27,9 @@ from .text_arrays import LOWER, chunks, hashes, mix, words
 HELD_OUT_OF = 10
 #: Units: words of their own at most, and suffix groups of all others.
 FREQUENT, SUFFIXES = 4_096, 256
-CLASSES, ROUNDS = 64, 6
+CLASSES = 64
+#: Rounds end when the mean mutual information of adjacent classes rises by less than this share, or after so many.
+LEAST_GAIN, ROUNDS = 1e-3, 40
 #: Words whose counts a worker holds at most (12 bytes each).
 LOOKED_UP = 1 << 18
 #: Distinct keys that a worker gathers before it hands them on.
@@ -256,34 +258,63 @@ def rare_classes(training: DataFrame, frequent: np.ndarray, label: np.ndarray, t
     return counted.groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("contexts")).mapInArrow(assign, "word long, n long, class long")
 
 
+def information(label: np.ndarray, after: np.ndarray) -> float:
+    """Mutual information of adjacent classes times the number of pairs; ``after`` counts the current classes after each unit."""
+    table = np.zeros((CLASSES + 1, CLASSES + 1))
+    np.add.at(table, label, after)
+    return float(_gainful(table).sum() - _gainful(table.sum(axis=1)).sum() - _gainful(table.sum(axis=0)).sum() + _gainful(table.sum()))
+
+
 def exchange(label: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """One round of the exchange algorithm over all units, the frequent ones first; END keeps the class of its own."""
+    """One round of the exchange algorithm over all units, the frequent ones first; END keeps the class of its own.
+
+    Neighbours count by the classes that they had at the start of the round. The two tables, of the units' classes now with
+    the classes after and before them then, are exact sums throughout, so a unit is taken out and put in without remainder.
+    """
     f, label, k = _gainful, label.copy(), CLASSES + 1
-    table = np.zeros((k, k))
-    np.add.at(table, label, after)
-    rows, columns = table.sum(axis=1), table.sum(axis=0)
+    follow, lead = np.zeros((k, k)), np.zeros((k, k))
+    np.add.at(follow, label, after)
+    np.add.at(lead, label, before)
+    rows, columns = follow.sum(axis=1), lead.sum(axis=1)
     weight = after.sum(axis=1) + before.sum(axis=1)
     for u in np.argsort(-weight, kind="stable"):
         if u == END or not weight[u]:
             continue
         a, r, c = label[u], after[u], before[u]
         nr, nc = r.sum(), c.sum()
-        table[a] = np.maximum(table[a] - r, 0)
-        table[:, a] = np.maximum(table[:, a] - c, 0)
-        rows[a], columns[a] = max(rows[a] - nr, 0), max(columns[a] - nc, 0)
+        follow[a] -= r
+        lead[a] -= c
+        rows[a] -= nr
+        columns[a] -= nc
         to, of = np.flatnonzero(r), np.flatnonzero(c)
-        gain = (f(table[:, to] + r[to]) - f(table[:, to])).sum(axis=1) + (f(table[of] + c[of, None]) - f(table[of])).sum(axis=0)
+        gain = (f(follow[:, to] + r[to]) - f(follow[:, to])).sum(axis=1) + (f(lead[:, of] + c[of]) - f(lead[:, of])).sum(axis=1)
         gain -= f(rows + nr) - f(rows) + f(columns + nc) - f(columns)
         gain[CLASSES] = -np.inf
         b = int(np.argmax(gain))
         label[u] = b
-        table[b] += r
-        table[:, b] += c
+        follow[b] += r
+        lead[b] += c
         rows[b] += nr
         columns[b] += nc
     return label
 
 
+def cluster(pairs: DataFrame, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The labels of greatest information that rounds of exchange from ``label`` come to, and the classes after each unit."""
+    after, before = contexts(pairs, label)
+    best = information(label, after), label, after
+    for _ in range(ROUNDS):
+        label = exchange(label, after, before)
+        after, before = contexts(pairs, label)
+        now = information(label, after)
+        risen = now - best[0]
+        if risen > 0:
+            best = now, label, after
+        if risen <= LEAST_GAIN * max(abs(best[0]), 1.0):
+            break
+    return best[1], best[2]
+
+
 class Model:
     """What a worker needs to give words their classes: bounded arrays."""
 
@@ -313,9 +344,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, np.ndarray, int, int, int]:
     label = np.zeros(UNITS, dtype=np.int64)
     label[np.argsort(-size, kind="stable")] = np.arange(UNITS) % CLASSES
     label[END] = CLASSES
-    for _ in range(ROUNDS):
-        label = exchange(label, *contexts(pairs, label))
-    after, _ = contexts(pairs, label)
+    label, after = cluster(pairs, label)
     k = CLASSES + 1
     table = np.zeros((k, k))
     np.add.at(table, label, after)
