@@ -6,13 +6,14 @@ that refer to one of them and carry no body. A block longer than SEGMENT_CHARS i
 records that name it as their origin; the last one states the total length.
 
 A record is one row of a text table whose line separator is the blank lines that end a WARC record, so the files are
-plain archives and the sink's commit protocol covers them. Reading parses whole files, each of bounded size.
+plain archives and the sink's commit protocol covers them. Reading goes through the compressed stream record by record.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -131,22 +132,46 @@ def write_archives(spark: SparkSession, rows: DataFrame, path: str) -> None:
     rows.write.option("lineSep", NEWLINE * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", most).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields by lower-case name, block) of each record of an archive; the lengths must agree with the framing."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = data[at:end].decode("utf-8").split(NEWLINE)
-        if not head[0].startswith("WARC/1."):
-            raise ValueError(f"no record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head[1:])}
-        size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        if len(block) != size or data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"a record's length does not agree at byte {at}")
-        at += 4
+class Damaged(ValueError):
+    """A record that is not as its header says."""
+
+
+def parse(stream) -> Iterator[tuple[dict[str, str], bytes | Damaged]]:
+    """(fields by lower-case name, block) of each record of a stream of bytes, read record by record.
+
+    A damaged record comes as what is known of its fields and the fault; reading goes on at the next line that begins a record.
+    """
+    line, lost = stream.readline(), False
+    while line:
+        if not line.startswith(b"WARC/1."):
+            if line.strip() and not lost:
+                yield {}, Damaged("bytes between records")
+                lost = True
+            line = stream.readline()
+            continue
+        lost, fields, end = False, {}, False
+        while line := stream.readline():
+            text = line.decode("utf-8", "replace").rstrip(NEWLINE)
+            if not text:
+                end = True
+                break
+            key, colon, value = text.partition(":")
+            if colon:
+                fields[key.strip().lower()] = value.strip()
+        size = fields.get("content-length", "")
+        if not end or not size.isdigit() or "warc-type" not in fields or "warc-record-id" not in fields:
+            yield fields, Damaged("incomplete header")
+            line = stream.readline()
+            continue
+        block = stream.read(int(size))
+        tail = stream.readline() + stream.readline()
+        if len(block) != int(size) or tail != b"\r\n\r\n":
+            yield fields, Damaged("length of the block")
+            # the next record may begin within what was taken for the block, but is sought after it
+            line = tail[tail.index(b"WARC/1.") :] if b"WARC/1." in tail else stream.readline()
+            continue
         yield fields, block
+        line = stream.readline()
 
 
 def body_of(block: bytes) -> bytes:
@@ -156,14 +181,19 @@ def body_of(block: bytes) -> bytes:
         return body
     out, at = [], 0
     while True:
-        end = body.index(b"\r\n", at)
-        size = int(body[at:end].split(b";")[0], 16)
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0:
+            raise Damaged("framing of a chunk")
         if not size:
             return b"".join(out)
         out.append(body[end + 2 : end + 2 + size])
         at = end + 2 + size
         if len(out[-1]) != size or body[at : at + 2] != b"\r\n":
-            raise ValueError("a chunk's length does not agree")
+            raise Damaged("length of a chunk")
         at += 2
 
 
@@ -172,29 +202,39 @@ def _hex_sha1(stated: str) -> str:
     return base64.b32decode(value).hex() if len(value) == 32 else value.lower()
 
 
-_READ = "kind string, id string, page_id long, refers string, stated string, bytes long, digest string, origin string, number int, total long, block binary"
+_READ = "kind string, id string, page_id long, refers string, stated string, bytes long, digest string, origin string, number int, total long, block binary, problem string"
 
 
-def _row(fields: dict[str, str], block: bytes) -> tuple:
-    kind = fields["warc-type"]
-    number = int(fields.get("warc-segment-number", 0))
-    page = int(fields["warc-page-id"]) if "warc-page-id" in fields else None
-    stated = _hex_sha1(fields["warc-payload-digest"]) if "warc-payload-digest" in fields else None
-    size = digest = None
-    if kind == "response" and not number:
-        payload = body_of(block)
-        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-    origin = fields.get("warc-segment-origin-id", fields["warc-record-id"]) if number else None
-    total = int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None
-    return kind, fields["warc-record-id"], page, fields.get("warc-refers-to"), stated, size, digest, origin, number, total, block if number else None
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.removeprefix("-").isdigit() else None
+
+
+def _row(fields: dict[str, str], block: bytes | Damaged) -> tuple:
+    kind, name = fields.get("warc-type"), fields.get("warc-record-id")
+    number, page = _number(fields.get("warc-segment-number")) or 0, _number(fields.get("warc-page-id"))
+    stated = size = digest = problem = None
+    try:
+        stated = _hex_sha1(fields["warc-payload-digest"]) if "warc-payload-digest" in fields else None
+        if isinstance(block, Damaged):
+            raise block
+        if kind == "response" and not number:
+            payload = body_of(block)
+            size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+    except ValueError as fault:
+        problem = str(fault) or "damaged"
+    origin = fields.get("warc-segment-origin-id", name) if number else None
+    kept = block if number and not problem else None
+    return kind, name, page, fields.get("warc-refers-to"), stated, size, digest, origin, number, _number(fields.get("warc-segment-total-length")), kept, problem
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each response and revisit below ``path``.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, problem of each response and revisit below ``path``.
 
-    Unsegmented records are decoded where they are read. Segments meet by origin id, are ordered by number, must be
-    complete and of the stated total length. A payload must have the digest that its record states. A revisit's length
-    is that of the response it refers to. Any disagreement fails the job.
+    Unsegmented records are decoded where they are read, one at a time, from the compressed stream. Segments meet by
+    origin id, are ordered by number, must be complete and of the stated total length. A payload must have the digest that
+    its record states. A revisit's length is that of the response it refers to. A record for which this does not hold has
+    ``problem`` set and no payload columns; it does not touch the others. Foreign archives have no page_id; record_id
+    names their records.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     names = [x.split()[0] for x in _READ.split(", ")]
@@ -203,39 +243,60 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
+        import io
+
+        def batch_of(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], arrow)
 
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for fields, block in parse(gzip.decompress(content.as_py())):
-                    rows.append(_row(fields, block))
-                    if len(rows) == 500:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], arrow)
-                        rows = []
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], arrow)
+                rows, held = [], 0
+                stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())), 1 << 16)
+                try:
+                    for fields, block in parse(stream):
+                        rows.append(_row(fields, block))
+                        held += len(block) if isinstance(block, bytes) else 0
+                        if len(rows) == 500 or held > 4_000_000:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+                except (EOFError, OSError, zlib.error) as fault:
+                    rows.append(_row({}, Damaged(f"compressed stream: {fault}")))
+                yield batch_of(rows)
 
     def join(group: pa.Table) -> pa.Table:
         parts = sorted(group.to_pylist(), key=lambda r: r["number"])
         first, last = parts[0], parts[-1]
-        block = b"".join(p["block"] for p in parts)
-        if [p["number"] for p in parts] != list(range(1, len(parts) + 1)) or last["total"] != len(block):
-            raise ValueError(f"segments of {first['id']} are missing, repeated or of another total length")
-        payload = body_of(block)
-        first |= {"bytes": len(payload), "digest": hashlib.sha1(payload).hexdigest(), "block": None}
-        return pa.Table.from_pylist([first], arrow)
+        try:
+            if any(p["problem"] for p in parts):
+                raise Damaged("a damaged segment")
+            block = b"".join(p["block"] for p in parts)
+            if [p["number"] for p in parts] != list(range(1, len(parts) + 1)) or last["total"] != len(block):
+                raise Damaged("segments are missing, repeated or of another total length")
+            payload = body_of(block)
+            first |= {"bytes": len(payload), "digest": hashlib.sha1(payload).hexdigest()}
+        except ValueError as fault:
+            first["problem"] = str(fault)
+        return pa.Table.from_pylist([first | {"block": None}], arrow)
 
     parsed = stored(files.mapInArrow(read, _READ), "warc-records")
-    joined = parsed.where("number > 0").groupBy("origin").applyInArrow(join, _READ)
-    responses = parsed.where("kind = 'response' AND number = 0").unionByName(joined).select("id", "page_id", "stated", "bytes", "digest")
-    wrong = F.raise_error(F.concat(F.lit("digest of "), F.col("id")))
-    responses = responses.withColumn("digest", F.when(F.col("stated") == F.col("digest"), F.col("digest")).otherwise(wrong))
-    revisits = parsed.where("kind = 'revisit'").select("page_id", "stated", "refers")
-    referred = responses.select(F.col("id").alias("refers"), F.col("page_id").alias("refers_to"), "bytes", "digest").dropDuplicates(["refers"])
-    again = revisits.join(referred, "refers", "left")
-    lost = F.raise_error(F.concat(F.lit("no such response: "), F.col("refers")))
-    return responses.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(
-        again.select("page_id", F.col("bytes").alias("payload_bytes"), F.when(F.col("digest") == F.col("stated"), F.col("stated")).otherwise(lost).alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to")
-    )
+    joined = parsed.where("number > 0 AND origin IS NOT NULL").groupBy("origin").applyInArrow(join, _READ)
+    lone = parsed.where("kind = 'response' AND number = 0").unionByName(joined)
+    other = parsed.where("kind IS NULL OR (kind NOT IN ('response', 'revisit') AND problem IS NOT NULL AND number = 0) OR (number > 0 AND origin IS NULL)")
+    wrong = F.when(F.col("stated").isNotNull() & (F.col("stated") != F.col("digest")), "digest of the payload")
+    responses = lone.withColumn("problem", F.coalesce("problem", wrong))
+    fine = F.col("problem").isNull()
+    # of records with one id, which a sound archive does not have, the least payload counts for those that refer to it
+    referred = responses.where(fine).groupBy(F.col("id").alias("refers")).agg(F.min(F.struct("digest", "bytes", F.col("page_id").alias("refers_to"))).alias("_r")).select("refers", "_r.*")
+    again = parsed.where("kind = 'revisit'").drop("bytes", "digest").join(referred, "refers", "left")
+    lost = F.when(F.col("digest").isNull(), "no such response").when(F.col("digest") != F.col("stated"), "digest of the response")
+    again = again.withColumn("problem", F.coalesce("problem", lost))
+
+    def out(rows: DataFrame, kind: str, refers: Column) -> DataFrame:
+        sound = lambda c: F.when(fine, c)
+        return rows.select("page_id", sound(F.col("bytes")).alias("payload_bytes"), sound(F.col("digest")).alias("payload_digest"), F.lit(kind).alias("record_type"), sound(refers).alias("refers_to"), F.col("id").alias("record_id"), "problem")
+
+    none = F.lit(None).cast("long")
+    return out(responses, "response", none).unionByName(out(again, "revisit", F.col("refers_to"))).unionByName(out(other, "unknown", none))
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
@@ -243,7 +304,10 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
     # a row's file and its place there name it in every scan, so that nothing needs to be stored
     row = F.concat(F.col("_metadata.file_path"), F.lit(":"), F.col("_metadata.row_index").cast("string"))
     write_archives(spark, records(spark.read.parquet(f"{sf_dir}/pages.parquet"), row=row), path)
-    return read_archives(spark, path)
+    rows = read_archives(spark, path)
+    # archives written just now have to be whole
+    whole = F.when(F.col("problem").isNull(), F.col("record_type")).otherwise(F.raise_error(F.concat_ws(" ", F.col("problem"), F.lit("of"), F.col("record_id"))))
+    return rows.withColumn("record_type", whole).drop("record_id", "problem")
 
 
 OP8_SQL = """

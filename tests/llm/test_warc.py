@@ -1,5 +1,7 @@
+import base64
 import gzip
 import hashlib
+import io
 
 import pytest
 
@@ -36,7 +38,7 @@ def test_odd_pages(spark, rows):
     pages = spark.createDataFrame([(p, None if p == 3 else f"http://x/{p}\r\nbad: 1", h, "clash") for p, h in rows], "page_id long, url string, html string, value string")
     path, got = trip(spark, pages)
     assert sorted(map(tuple, got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())) == brute(rows)
-    kinds = [f["warc-type"] for r in spark.read.format("binaryFile").load(f"{path}/*.gz").select("content").collect() for f, _ in warc.parse(gzip.decompress(r[0]))]
+    kinds = [f["warc-type"] for r in spark.read.format("binaryFile").load(f"{path}/*.gz").select("content").collect() for f, _ in warc.parse(io.BytesIO(gzip.decompress(r[0])))]
     assert kinds.count("continuation") > 3 and kinds.count("revisit") == 3
 
 
@@ -65,17 +67,49 @@ def test_repeated_long_pages_and_null_ids(spark, tmp_path):
     assert len(want) == len(rows)
     assert sorted(map(tuple, got.select(*names).collect()), key=str) == want
     assert sorted(map(tuple, warc.op8_warc(spark, str(tmp_path)).select(*names).collect()), key=str) == want
-    ids = [f["warc-record-id"] for r in spark.read.format("binaryFile").load(f"{path}/*.gz").select("content").collect() for f, _ in warc.parse(gzip.decompress(r[0]))]
+    ids = [f["warc-record-id"] for r in spark.read.format("binaryFile").load(f"{path}/*.gz").select("content").collect() for f, _ in warc.parse(io.BytesIO(gzip.decompress(r[0])))]
     assert len(ids) == len(set(ids))
 
 
-def test_lost_segment_fails(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "u", "b" * 60_000)], "page_id long, url string, html string")
+def test_lost_segment_is_named(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "b" * 60_000), (2, "u", "b" * 60_000), (3, "u", "c")], "page_id long, url string, html string")
     kept = warc.records(pages).where("value NOT LIKE '%WARC-Segment-Number: 3%'")
     path = str(tmp_path / "archives")
     warc.write_archives(spark, kept, path)
-    with pytest.raises(Exception, match="missing"):
-        warc.read_archives(spark, path).collect()
+    rows = {r["page_id"]: r for r in warc.read_archives(spark, path).collect()}
+    assert "missing" in rows[2]["problem"] and rows[2]["payload_digest"] is None
+    assert rows[1]["problem"] == "no such response" and rows[1]["record_type"] == "revisit"
+    assert rows[3]["problem"] is None and rows[3]["payload_bytes"] == 1
+
+
+def record(name, block, kind="response", length=None, **more):
+    fields = {"WARC-Type": kind, "WARC-Record-ID": f"<{name}>", "Content-Length": str(len(block) if length is None else length)} | more
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_damaged_and_foreign_records(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    digest = "sha1:" + base64.b32encode(hashlib.sha1(b"good").digest()).decode()
+    sound = record("a", http + b"good", **{"WARC-Payload-Digest": digest})
+    parts = [
+        record("info", b"software: x\r\n", "warcinfo"),
+        sound,
+        record("b", http + b"bad", **{"WARC-Payload-Digest": digest}),
+        record("c", http + b"short", length=3),
+        b"noise\r\nmore noise\r\n",
+        record("d", http + b"after"),
+        record("e", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\n"),
+        record("f", b"", length="many"),
+        record("g", http + b"last"),
+    ]
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(parts)))
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(sound.replace(b"<a>", b"<z>") * 2)[:-12])
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    fine = sorted((r["record_id"], r["payload_bytes"]) for r in rows if r["problem"] is None)
+    assert ("<a>", 4) in fine and ("<d>", 5) in fine and ("<g>", 4) in fine and all(r["page_id"] is None for r in rows)
+    problems = {r["record_id"]: r["problem"] for r in rows if r["problem"]}
+    assert problems["<b>"] == "digest of the payload" and problems["<c>"] == "length of the block" and "chunk" in problems["<e>"] and problems["<f>"] == "incomplete header"
+    assert any("compressed stream" in (r["problem"] or "") for r in rows)
 
 
 def test_chunked_framing():
