@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.codes import bin_of
-from .ordered import percentiles
+from .ordered import percentiles, range_of
 
 
 def with_utilities(cases: DataFrame, utilities: DataFrame, missing: str = "null") -> DataFrame:
@@ -86,21 +86,18 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.element_at(values, F.least(F.floor(F.size(values) * p).cast("int") + 1, F.size(values)))
 
 
-def nearest_rank_quantiles(rows: DataFrame, value: str, shares: list[float], blocks: int = 256) -> DataFrame:
+def nearest_rank_quantiles(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """share, value: nearest-rank quantiles without gathering the values: counts by value range, then ranks in the ranges hit."""
-    ends = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n")).first()
-    spark = rows.sparkSession
-    if not ends["n"]:
+    spark, total = rows.sparkSession, rows.agg(F.count(value)).first()[0]
+    if not total:
         return spark.createDataFrame([], "share double, value double")
-    width = (ends["hi"] - ends["lo"]) / blocks or 1.0
-    part = F.least(F.floor((F.col(value) - ends["lo"]) / width), F.lit(blocks - 1)).cast("int")
-    ranged = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("value"), part.alias("part")).groupBy("part", "value").agg(F.count("*").alias("n"))
-    counts = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # at most ``blocks`` rows
+    ranged = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("value"), range_of(rows, value).alias("part")).groupBy("part", "value").agg(F.count("*").alias("n"))
+    counts = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row a range, some thousands
     wanted, before = [], 0
-    for p in range(blocks):
-        here = counts.get(p, 0)
+    for p in sorted(counts):
+        here = counts[p]
         for s in shares:
-            at = min(int(s * ends["n"]), ends["n"] - 1)
+            at = min(int(s * total), total - 1)
             if before <= at < before + here:
                 wanted.append((s, p, at - before + 1))
         before += here

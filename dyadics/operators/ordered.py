@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,3 +52,20 @@ def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, fl
     out = per.groupBy(*keys).agg(F.max("total").alias("_n"), *found)
     part = lambda share: (F.col("_n") - 1) * share - F.floor((F.col("_n") - 1) * share)
     return out.select(*by, *((F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * part(s)).alias(n) for n, s in shares.items()))
+
+
+#: Knots of an order, and equal parts between two of them.
+KNOTS = 64
+
+
+def range_of(rows: DataFrame, value: str) -> Column:
+    """Number of the range that holds ``value``; ranges ascend. Knots are approximate quantiles, so that an outlier stretches
+    no range but the one that it is in; between two knots there are KNOTS parts of equal width."""
+    knots = sorted(set(rows.select(F.percentile_approx(value, [i / KNOTS for i in range(KNOTS + 1)], 10_000)).first()[0] or []))
+    if not knots:
+        return F.lit(0)
+    v, los = F.col(value).cast("double"), F.array(*(F.lit(float(k)) for k in knots))
+    piece = F.greatest(F.size(F.filter(los, lambda k: k <= v)), F.lit(1))
+    lo, hi = F.element_at(los, piece), F.element_at(los, F.least(piece + 1, F.lit(len(knots))))
+    part = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * KNOTS)).otherwise(0)
+    return (piece * KNOTS + F.least(F.greatest(part, F.lit(0)), F.lit(KNOTS - 1))).cast("int")

@@ -7,22 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.codes import CODES, hash_rank_key, level
-
-
-#: Ranges that an order is cut into; their sums are a table of as many rows.
-RANGES = 4_096
+from .ordered import range_of
 
 
 def numbered(rows: DataFrame, order: str, size: str, first: int = 1) -> DataFrame:
     """``rows`` with ``first_id``: ``first`` plus the sizes of all rows before, in the order of the whole-number ``order``.
 
-    The span of ``order`` is cut into RANGES equal ranges, each summed in a task of its own; only the ranges' sums are
-    ordered in one task.
+    The order is cut into ranges, each summed in a task of its own; only the ranges' sums are ordered in one task.
     """
-    ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    lo = ends["lo"] or 0
-    width = ((ends["hi"] or 0) - lo) // RANGES + 1
-    ranged = rows.withColumn("_range", F.floor((F.col(order) - lo) / width))
+    ranged = rows.withColumn("_range", range_of(rows, order))
     sums = ranged.groupBy("_range").agg(F.sum(size).alias("_sum"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
