@@ -59,6 +59,11 @@ def clipped(p: Column, eps: float = 1e-12) -> Column:
     return a / (a + b)
 
 
+def was_clipped(p: Column, eps: float = 1e-12) -> Column:
+    """Whether clipping changes p or 1 - p."""
+    return (p < eps) | (1 - p < eps)
+
+
 def kl(p: Column, q: Column) -> Column:
     """Kullback-Leibler divergence of Bernoulli p from q, in nats; both in (0, 1)."""
     return p * F.log(p / q) + (1 - p) * F.log((1 - p) / (1 - q))

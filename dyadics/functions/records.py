@@ -48,3 +48,14 @@ def first_of(fields: Column, names: tuple[str, ...]) -> Column:
 
 def distance(a: Column, b: Column) -> Column:
     return F.hypot(a, b)
+
+
+def interval_ends(estimate: Column, error: Column, z: float = 1.96) -> Column:
+    """Struct (low, high) of a normal interval."""
+    return F.struct((estimate - z * error).alias("low"), (estimate + z * error).alias("high"))
+
+
+def wald_diagonal(a: Column, a_error: Column, b: Column, b_error: Column) -> Column:
+    """Distance from 0 in units of the errors, as if the two were uncorrelated; a part without an error counts 0."""
+    part = lambda x, e: F.when(e != 0, x / F.nullif(e, F.lit(0.0))).otherwise(0.0)
+    return F.hypot(part(a, a_error), part(b, b_error))

@@ -83,6 +83,16 @@ def histogram(rows: DataFrame, by: list[str], value: str, bins: int = 51) -> Dat
     return rows.where(F.col(value).between(0, 1)).groupBy(*by, F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def auto_histogram(rows: DataFrame, value: str, bins: int = 100) -> DataFrame:
+    """bin (0 to bins - 1), n over equal bins from the least to the greatest value, empty ones too; the last bin is closed."""
+    ends = rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
+    # one row of ends beside each value
+    placed = rows.where(F.col(value).isNotNull()).crossJoin(F.broadcast(ends)).select(F.least(F.floor((F.col(value) - F.col("_lo")) * bins / width), F.lit(bins - 1)).cast("int").alias("bin"))
+    every = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(F.broadcast(placed.groupBy("bin").agg(F.count("*").alias("n"))), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def alignment(rows: DataFrame, by: list[str], score: str) -> DataFrame:
     """n, mean score and share of scores that reach 1, over rows that have a score; and the rows without."""
     return rows.groupBy(*by).agg(F.count(score).alias("n"), F.avg(score).alias("w"), F.avg((F.col(score) == 1).cast("double")).alias("rational_rate"), F.count_if(F.col(score).isNull()).alias("skipped"))

@@ -150,3 +150,15 @@ def grid_roll_up(findings: DataFrame, cells: DataFrame, cell: list[str]) -> Data
     bad = F.col("_rules").isNotNull()
     texts = F.flatten(F.collect_list(F.when(bad, F.transform("_rules", lambda r: F.concat(name, F.lit(": "), r)))))
     return per.agg(F.count("*").alias("cells"), F.count_if(~bad).alias("verified"), F.count_if(bad).alias("failed"), (F.count_if(bad) == 0).alias("complete"), F.array_join(F.sort_array(texts), "; ").alias("problems"))
+
+
+def prediction_faults(one: DataFrame, two: DataFrame, key: str, target: str) -> DataFrame:
+    """key, rule of two runs' predictions that cannot be paired: an id of one run alone, or targets that differ."""
+    a, b = one.select(key, F.col(target).alias("_a"), F.lit(True).alias("_in_a")), two.select(key, F.col(target).alias("_b"), F.lit(True).alias("_in_b"))
+    rule = F.when(F.col("_in_a").isNull(), "second run alone").when(F.col("_in_b").isNull(), "first run alone").when(~F.col("_a").eqNullSafe(F.col("_b")), "target")
+    return a.join(b, key, "full").select(key, rule.alias("rule")).where("rule IS NOT NULL")
+
+
+def used_values(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """value: all that any of the columns holds, once."""
+    return rows.select(F.explode(F.array(*columns)).alias("value")).distinct()

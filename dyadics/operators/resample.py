@@ -28,6 +28,11 @@ def mean_replicates(sums: DataFrame, n_clusters: int, reps: int, seed: int, slot
     return weights.join(sums, "ix").groupBy("rep").agg((F.sum(F.col("w") * F.col("value_sum")) / F.sum(F.col("w") * F.col("value_count"))).alias("estimate"))
 
 
+def equally_weighted(sums: DataFrame) -> DataFrame:
+    """Clusters that count alike, whatever their sizes: replicates then average the clusters' means."""
+    return sums.withColumns({"value_sum": F.col("value_sum") / F.col("value_count"), "value_count": F.lit(1)})
+
+
 def item_replicates(rows: DataFrame, value: str, reps: int, seed: int) -> DataFrame:
     """rep, estimate: means of as many items as there are, drawn with replacement. For values of few kinds, as differences of right answers.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts as pr
 from ..functions import records as rec
 from ..operators import designs, gates, survey
-from ..sources.sinks import canonical_json, markdown
+from ..sources.sinks import canonical_json
 from . import views as v
 from .register import registry
 
@@ -449,3 +449,78 @@ def canonical_records(spark, d):
     n = spark.read.parquet(f"{d}/nation.parquet")
     rows = canonical_json(n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key")))
     return rows.select(F.col("key").alias("n_nationkey"), "json", "json_sha256")
+
+
+@query(f"WITH {v.PREDS}, a AS (SELECT case_id, x_num AS t FROM preds WHERE perspective = 'X' AND case_id % 11 <> 0), b AS (SELECT case_id, x_num + (case_id % 13 = 0)::INT AS t FROM preds WHERE perspective = 'Y' AND case_id % 7 <> 0) SELECT case_id, CASE WHEN a.t IS NULL THEN 'second run alone' WHEN b.t IS NULL THEN 'first run alone' ELSE 'target' END AS rule FROM a FULL JOIN b USING (case_id) WHERE a.t IS NULL OR b.t IS NULL OR a.t <> b.t")
+def prediction_faults(spark, d):
+    rows = v.predictions(spark, d)
+    one = rows.where("perspective = 'X' AND case_id % 11 != 0").select("case_id", F.col("x_num").alias("t"))
+    two = rows.where("perspective = 'Y' AND case_id % 7 != 0").select("case_id", (F.col("x_num") + (F.col("case_id") % 13 == 0).cast("int")).alias("t"))
+    return gates.prediction_faults(one, two, "case_id", "t")
+
+
+@query(f"WITH {v.CASES} SELECT DISTINCT value FROM (SELECT x_num AS value FROM cases UNION ALL SELECT y_num FROM cases UNION ALL SELECT code FROM cases)")
+def used_values(spark, d):
+    return gates.used_values(v.cases(spark, d), ["x_num", "y_num", "code"])
+
+
+@query("WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events), p AS (SELECT least(floor((value - lo) * 100 / (hi - lo)), 99)::INT AS bin FROM events, e) SELECT b.range::INT AS bin, count(p.bin) AS n FROM range(100) b LEFT JOIN p ON p.bin = b.range GROUP BY 1")
+def auto_histogram(spark, d):
+    from ..operators import behavior
+
+    return behavior.auto_histogram(spark.read.parquet(f"{d}/events.parquet").select("value"), "value")
+
+
+@query(
+    f"""WITH {v.PAIRS}, cl AS (SELECT row_number() OVER (ORDER BY x_num) - 1 AS ix, avg(p_no_x - p_no_y) AS m FROM pairs GROUP BY x_num), g AS (SELECT count(*) AS n FROM cl),
+dr AS (SELECT r.range AS rep, floor(('0x' || substr(md5('5:' || r.range || ':' || s.range), 1, 8))::BIGINT * n / 4294967296::DOUBLE)::BIGINT AS ix FROM g, range(2000) r, range((SELECT n FROM g)) s), e AS (SELECT rep, avg(m) AS estimate FROM dr JOIN cl USING (ix) GROUP BY 1)
+SELECT count(*) AS reps, round(avg(estimate), 6) AS mean, round(stddev_samp(estimate), 6) AS sd, round(quantile_cont(estimate, 0.025), 6) AS low, round(quantile_cont(estimate, 0.975), 6) AS high FROM e"""
+)
+def scenario_bootstrap_ci(spark, d):
+    """Scenarios count alike: means of drawn scenarios' means."""
+    from ..operators import resample
+
+    rows = v.paired(spark, d).withColumn("value", F.col("p_no_x") - F.col("p_no_y"))
+    sums = resample.equally_weighted(resample.clusters(rows, ["x_num"], "value"))
+    return resample.interval(resample.mean_replicates(sums, sums.count(), 2000, 5))
+
+
+@query("WITH p AS (SELECT event_id % 7 AS g, CASE WHEN event_id % 9 = 0 THEN 0.0::DOUBLE WHEN event_id % 9 = 1 THEN 1.0::DOUBLE ELSE value / 500 END AS p FROM events) SELECT g, count(*) FILTER (p < 1e-12 OR 1 - p < 1e-12) AS clipped_rows, round(avg(greatest(p, 1e-6::DOUBLE) / (greatest(p, 1e-6::DOUBLE) + greatest(1 - p, 1e-6::DOUBLE))), 6) AS mean FROM p GROUP BY 1")
+def clipped_rows(spark, d):
+    from ..functions.choices import clipped, was_clipped
+
+    e = spark.read.parquet(f"{d}/events.parquet")
+    p = F.when(F.col("event_id") % 9 == 0, 0.0).when(F.col("event_id") % 9 == 1, 1.0).otherwise(F.col("value") / 500)
+    rows = e.select((F.col("event_id") % 7).alias("g"), p.alias("p"))
+    return rows.groupBy("g").agg(F.count_if(was_clipped(F.col("p"))).alias("clipped_rows"), F.avg(clipped(F.col("p"), 1e-6)).alias("mean"))
+
+
+@query(f"WITH {v.GRID} SELECT seed, step, round(\"lambda\" - 1.96 * lambda_se, 6) AS low, round(\"lambda\" + 1.96 * lambda_se, 6) AS high, round(sqrt(\"lambda\" * \"lambda\" + eta * eta), 6) AS distance, round(sqrt(pow(\"lambda\" / lambda_se, 2) + pow(eta / eta_se, 2)), 6) AS wald FROM grid")
+def estimate_transforms(spark, d):
+    ends = rec.interval_ends(F.col("lambda"), F.col("lambda_se"))
+    return v.grid(spark, d).select("seed", "step", ends["low"].alias("low"), ends["high"].alias("high"), rec.distance(F.col("lambda"), F.col("eta")).alias("distance"), rec.wald_diagonal(F.col("lambda"), F.col("lambda_se"), F.col("eta"), F.col("eta_se")).alias("wald"))
+
+
+@query("WITH r AS (SELECT user_id % 9 AS cell, event_id AS place, CASE WHEN event_id % 50 = 3 THEN 0 ELSE event_id END AS key FROM events), l AS (SELECT cell, key <= lag(key) OVER (PARTITION BY cell ORDER BY place) AS back FROM r) SELECT cell, count(*) FILTER (back) AS n FROM l GROUP BY 1 HAVING count(*) FILTER (back) > 0")
+def out_of_order(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    rows = e.select((F.col("user_id") % 9).alias("cell"), F.col("event_id").alias("place"), F.when(F.col("event_id") % 50 == 3, 0).otherwise(F.col("event_id")).alias("key"))
+    return gates.out_of_order(rows, ["cell"], "key", "place")
+
+
+@query("SELECT s_name AS file, n AS name, CASE WHEN n = 'r' THEN (s_suppkey % 3 * 8)::VARCHAR ELSE CASE WHEN s_suppkey % 4 <> 0 THEN '32' END END AS found, CASE n WHEN 'r' THEN '16' ELSE '32' END AS expected FROM supplier, (VALUES ('r'), ('alpha')) t(n) WHERE (n = 'r' AND s_suppkey % 3 <> 2) OR (n = 'alpha' AND s_suppkey % 4 = 0)")
+def adapter_config_faults(spark, d):
+    from ..operators import lowrank
+
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    r = F.create_map(F.lit("r"), (F.col("s_suppkey") % 3 * 8).cast("string"))
+    alpha = F.when(F.col("s_suppkey") % 4 != 0, F.create_map(F.lit("alpha"), F.lit("32"))).otherwise(F.create_map(F.lit("beta"), F.lit("32")))
+    return lowrank.config_faults(s.select(F.col("s_name").alias("file"), F.map_concat(r, alpha).alias("settings")), {"r": "16", "alpha": "32"})
+
+
+@query(f"WITH {v.PREDS} SELECT event_id, CASE WHEN p_yes = p_no THEN NULL WHEN p_yes < p_no THEN perspective WHEN perspective = 'X' THEN 'Y' ELSE 'X' END AS good FROM preds")
+def chosen_goods(spark, d):
+    from ..functions.choices import choice, chosen_good
+
+    rows = v.predictions(spark, d)
+    return rows.select("event_id", chosen_good(F.col("perspective"), choice(F.col("p_yes"), F.col("p_no"), "tie")).alias("good"))
