@@ -163,11 +163,11 @@ def _forms(spark, d):
     axes = {"answer_style": k % 4, "display_order": F.floor(k / 4) % 2, "attr_order": F.floor(k / 8) % 2, "paraphrase": F.floor(k / 16) % 3}
     side = F.when(F.floor(k / 40) % 2 == 0, "X").otherwise("Y")
     final = F.when(F.col("value") + case > 70, case).otherwise(100 + case)
-    return e.select(F.concat(F.lit("m"), F.floor(k / 80) % 2).alias("model"), case.alias("case_id"), side.alias("perspective"), *(x.cast("int").alias(n) for n, x in axes.items()), final.alias("final_good"), (F.col("value") / 500).alias("p_trade"), k.alias("pos"))
+    return e.select(F.concat(F.lit("m"), F.floor(k / 80) % 2).alias("model"), case.alias("case_id"), side.alias("perspective"), *(x.cast("int").alias(n) for n, x in axes.items()), final.alias("final_good"), (F.col("value") / 487.3).alias("p_trade"), k.alias("pos"))
 
 
 FORMS = """forms AS (SELECT 'm' || (event_id // 80) % 2 AS model, (event_id % 40)::INT AS case_id, CASE WHEN (event_id // 40) % 2 = 0 THEN 'X' ELSE 'Y' END AS perspective, (event_id % 4)::INT AS answer_style, ((event_id // 4) % 2)::INT AS display_order, ((event_id // 8) % 2)::INT AS attr_order, ((event_id // 16) % 3)::INT AS paraphrase,
- CASE WHEN value + event_id % 40 > 70 THEN event_id % 40 ELSE 100 + event_id % 40 END AS final_good, value / 500 AS p_trade, event_id AS pos FROM events)"""
+ CASE WHEN value + event_id % 40 > 70 THEN event_id % 40 ELSE 100 + event_id % 40 END AS final_good, value / 487.3::DOUBLE AS p_trade, event_id AS pos FROM events)"""
 
 
 def _form_cases(spark, d):
