@@ -62,12 +62,14 @@ def _pairs(spark, d):
 
 
 #: The structural answers are made with these; the events' values are their noise.
-LAMBDA, ETA = 0.5, 0.3
+LAMBDA, ETA = 0.5, -0.5
 
 
 def _answered(spark, d):
     """Pairs whose probabilities follow the goods' utilities, so that the parameters are there to be found."""
-    rows = consensus.with_utilities(_pairs(spark, d), v.utilities(spark, d), "skip")
+    # the mean prices hardly differ; their powers do, about 1
+    spread = v.utilities(spark, d).withColumn("utility", F.pow(F.col("utility") / 0.95, F.lit(16.0)))
+    rows = consensus.with_utilities(_pairs(spark, d), spread, "skip")
     chance = lambda own, other, p: 1 / (1 + F.exp(-((1 + LAMBDA) * F.col(own) - F.col(other) + ETA + (F.col(p) - 0.5) / 4)))
     return rows.withColumns({"p_no_x": chance("u_x", "u_y", "p_no_x"), "p_no_y": chance("u_y", "u_x", "p_no_y")})
 
