@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +38,7 @@ PERCENT = 85
 SLACK = 5 * (0.85 * 0.15 / M) ** 0.5
 #: Members of a block, and shingles of a pivot's partners, that one task compares.
 BLOCK = 512
-SHINGLES_A_TASK = 400_000
+SHINGLES_A_TASK = 100_000
 #: Rows dealt to blocks that one partition gets on average.
 ROWS_A_PARTITION = 4_000
 #: Counters by which shingles of crowded buckets are ordered; any order is exact, a better one makes fewer candidates.
@@ -90,12 +89,11 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Maximum-likelihood Jaccard similarity of pairs of sketches [pairs, M] of sets of known sizes."""
+def _log_likelihood(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray):
+    """The log-likelihood of a Jaccard similarity, given pairs of sketches [pairs, M] of sets of known sizes, as a function."""
     more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
     same = M - more - less
     u, v = na / (na + nb), nb / (na + nb)
-    most = np.minimum(u / v, v / u)
 
     def p(x: np.ndarray) -> np.ndarray:
         return np.clip(-np.log1p(-x * (B - 1) / B) / np.log(B), 1e-12, 1)
@@ -105,7 +103,13 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.n
         up, down = p(np.maximum(u - v * j, 0)), p(np.maximum(v - u * j, 0))
         return more * np.log(up) + less * np.log(down) + same * np.log(np.maximum(1 - up - down, 1e-12))
 
-    lo, hi = np.zeros(len(a)), most
+    return value
+
+
+def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Maximum-likelihood Jaccard similarity of pairs of sketches [pairs, M] of sets of known sizes."""
+    value = _log_likelihood(a, b, na, nb)
+    lo, hi = np.zeros(len(a)), np.minimum(na / nb, nb / na)
     for _ in range(25):  # the likelihood has one maximum
         x, y = lo + (hi - lo) / 3, hi - (hi - lo) / 3
         left = value(x) > value(y)
@@ -113,6 +117,15 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.n
     return (lo + hi) / 2
 
 
+def promising(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether the most likely similarity is no further below the threshold than SLACK: there the likelihood still rises.
+
+    Sets whose sizes allow the threshold alone are asked about.
+    """
+    value, at = _log_likelihood(a, b, na, nb), np.full(len(a), PERCENT / 100 - SLACK)
+    return value(at + 1e-6) >= value(at - 1e-6)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, mark (of the text), n, digest (of the set), bands, sketch of each row; a narrow table without texts."""
 
@@ -157,8 +170,7 @@ def _promising(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 continue
             na, nb = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("n", "pivot_n"))
             a, b = (_matrix(batch.column(batch.schema.get_field_index(c))) for c in ("sketch", "pivot_sketch"))
-            keep = likely(a, b, na, nb) >= PERCENT / 100 - SLACK
-            yield batch.select(["id", "pivot", "n"]).filter(pa.array(keep))
+            yield batch.select(["id", "pivot", "n"]).filter(pa.array(promising(a, b, na, nb)))
 
     return fit.select("id", "pivot", "n", "pivot_n", "sketch", "pivot_sketch").mapInArrow(run, "id long, pivot long, n long")
 
@@ -224,17 +236,50 @@ def _dealt(rows: DataFrame, reps: DataFrame) -> DataFrame:
     return dealt.select("key", "to.*", "band", "leads", "id", "group").join(reps.select("id", "n", "sketch"), "id").select(*_DEALT)
 
 
+_BY = ("key", "inside", "i", "j")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables of whole groups, and the rows from and to which each group goes, of batches that are sorted by ``_BY``.
+
+    Most groups are small: many go through one table, and none is handed over by itself.
+    """
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        new = np.zeros(table.num_rows, dtype=bool)
+        for c in _BY:
+            values = table.column(c).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        starts = np.r_[0, np.flatnonzero(new)]
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+        rest = table.slice(starts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest, [(0, rest.num_rows)]
+
+
 class _Blocks:
     """The rows of a pair of blocks as arrays, and which pairs of a guest and a member at home are near by their sketches."""
 
-    def __init__(self, part: pd.DataFrame):
-        self.sketch = np.frombuffer(b"".join(part["sketch"]), np.uint16).reshape(-1, M)
-        self.n, self.group, self.id, self.leads = (part[c].to_numpy() for c in ("n", "group", "id", "leads"))
-        self.band = int(part["band"].iloc[0])
-        guest = part["guest"].to_numpy()
-        self.alone = bool(part["inside"].iloc[0]) and part["i"].iloc[0] == part["j"].iloc[0]  # a block that meets itself
-        self.guests = np.flatnonzero(guest)
-        self.home = self.guests if self.alone else np.flatnonzero(~guest)
+    @classmethod
+    def of(cls, table: pa.Table, spans: list[tuple[int, int]]) -> Iterator[_Blocks]:
+        """Those of each group of a table."""
+        columns = {c: table.column(c).to_numpy() for c in ("n", "group", "id", "leads", "guest", "band", "inside", "i", "j")}
+        columns["sketch"] = _matrix(table.column("sketch"))
+        for a, b in spans:
+            yield cls({c: v[a:b] for c, v in columns.items()})
+
+    def __init__(self, part: dict[str, np.ndarray]):
+        self.sketch, self.n, self.group, self.id, self.leads = (part[c] for c in ("sketch", "n", "group", "id", "leads"))
+        self.band = int(part["band"][0])
+        self.alone = bool(part["inside"][0]) and part["i"][0] == part["j"][0]  # a block that meets itself
+        self.guests = np.flatnonzero(part["guest"])
+        self.home = self.guests if self.alone else np.flatnonzero(~part["guest"])
 
     def near(self, guest: int) -> np.ndarray:
         """Places at home whose pair with the guest is to be verified here; of pairs that share bands, in the first of them."""
@@ -248,37 +293,47 @@ class _Blocks:
         at = at[fit]
         if len(at):
             same = self.sketch[at] == self.sketch[guest]
-            # far fewer equal registers than the threshold asks for need no likelihood
-            keep = same.sum(axis=1) >= M * (PERCENT / 100 - SLACK - 0.1)
+            # far fewer equal registers than the threshold asks for need no likelihood; M of them fit a byte
+            enough = np.add.reduce(same.view(np.uint8), axis=1, dtype=np.uint8) >= M * (PERCENT / 100 - SLACK - 0.1)
+            at, same = at[enough], same[enough]
             if self.band >= 0:
                 whole = np.logical_and.reduce([same[:, r::ROWS] for r in range(ROWS)])
-                keep &= whole.argmax(axis=1) == self.band
-            at = at[keep]
+                at = at[whole.argmax(axis=1) == self.band]
         if len(at):
             own = np.broadcast_to(self.sketch[guest], (len(at), M))
-            at = at[likely(self.sketch[at], own, self.n[at], np.full(len(at), self.n[guest])) >= PERCENT / 100 - SLACK]
+            at = at[promising(self.sketch[at], own, self.n[at], np.full(len(at), self.n[guest]))]
         return at
 
 
-def _partners(part: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a pair of blocks that have a near partner in it."""
-    blocks, takes_part = _Blocks(part), np.zeros(len(part), dtype=bool)
-    for guest in blocks.guests:
-        at = blocks.near(guest)
-        takes_part[at] = True
-        takes_part[guest] |= len(at) > 0
-    return part[takes_part]
-
-
-def _spanning(table: pa.Table) -> pa.Table:
-    """Verified links of a pair of blocks that join its groups: as many as it takes to connect them, not one for each pair."""
-    blocks, found = _Blocks(table.drop_columns(["text"]).to_pandas()), []
-    sets = []
-    for batch in table.select(["text"]).to_batches():
-        for _, data, offsets in chunks(batch):
-            value, ends = shingle_sets(data, offsets)
-            sets += [value[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    root = {g: g for g in blocks.group.tolist()}
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of pairs of blocks that have a near partner in theirs."""
+    for table, spans in _groups(batches):
+        takes_part = np.zeros(table.num_rows, dtype=bool)
+        for (start, _), blocks in zip(spans, _Blocks.of(table, spans), strict=True):
+            for guest in blocks.guests:
+                at = blocks.near(guest)
+                takes_part[start + at] = True
+                takes_part[start + guest] |= len(at) > 0
+        if takes_part.any():
+            yield from table.filter(pa.array(takes_part)).to_batches()
+
+
+def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links of pairs of blocks that join their groups: as many as it takes to connect them, not one for each pair."""
+    for table, spans in _groups(batches):
+        found = []
+        for (start, stop), blocks in zip(spans, _Blocks.of(table, spans), strict=True):
+            sets = []
+            for batch in table.select(["text"]).slice(start, stop - start).combine_chunks().to_batches():
+                for _, data, offsets in chunks(batch):
+                    value, ends = shingle_sets(data, offsets)
+                    sets += [value[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            found += _links_of(blocks, sets)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["id", "pivot"])
+
+
+def _links_of(blocks: _Blocks, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    found, root = [], {g: g for g in blocks.group.tolist()}
 
     def top(g: int) -> int:
         while root[g] != g:
@@ -297,19 +352,20 @@ def _spanning(table: pa.Table) -> pa.Table:
             if a != b:
                 root[max(a, b)] = min(a, b)
                 found.append((int(blocks.id[guest]), int(blocks.id[i])))
-    return pa.table({"id": pa.array([x for x, _ in found], pa.int64()), "pivot": pa.array([y for _, y in found], pa.int64())})
+    return found
 
 
 def _links_between(rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links that connect different groups of the same bucket. ``rows`` are those of ``_dealt``."""
-    by = ["key", "inside", "i", "j"]
     dealt = stored(_dealt(rows, reps), "dealt-rows")
-    parts = 1 + dealt.count() // ROWS_A_PARTITION
-    # a partitioning by bucket alone would do for the groups, and put all blocks of a bucket in one task
-    near = dealt.repartition(parts, *by).groupBy(*by).applyInPandas(_partners, dealt.schema)
-    near = stored(near, "near-rows")
-    together = near.join(texts, "id").repartition(1 + near.count() // ROWS_A_PARTITION, *by)
-    return stored(together.groupBy(*by).applyInArrow(_spanning, "id long, pivot long"), "links")
+
+    def by_group(table: DataFrame, rows: int) -> DataFrame:
+        # a partitioning by bucket alone would put all blocks of a bucket in one task
+        return table.repartition(1 + rows // ROWS_A_PARTITION, *_BY).sortWithinPartitions(*_BY)
+
+    near = stored(by_group(dealt, dealt.count()).mapInArrow(_partners, dealt.schema), "near-rows")
+    together = by_group(near.join(texts, "id"), near.count())
+    return stored(together.mapInArrow(_spanning, "id long, pivot long"), "links")
 
 
 def _commonness(texts: DataFrame) -> np.ndarray:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from dyadics.llm import near_dedup
-from dyadics.llm.near_dedup import M, deduplicate, likely, near_groups, registers
+from dyadics.llm.near_dedup import M, PERCENT, SLACK, deduplicate, likely, near_groups, promising, registers
 
 
 def sets_of(rows):
@@ -162,3 +162,15 @@ def test_rows_that_repeat_an_id(spark):
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_groups(docs).collect())
     assert got == [(5, 3, 5, True), (5, 56, 5, True), (7, 57, 5, False), (9, 3, 9, True), (9, 57, 5, False)]
     assert sorted((r["doc_id"], r["text"]) for r in deduplicate(docs).collect()) == sorted([rows[0], rows[1], rows[4]])
+
+
+def test_promising_pairs_are_those_of_the_estimate():
+    draw = np.random.default_rng(5)
+    a, b = draw.integers(0, 60_000, (2, 4000, M))
+    same = draw.random((4000, M)) < draw.uniform(0.4, 1, (4000, 1))
+    b = np.where(same, a, b)
+    na = draw.integers(100, 1000, 4000)
+    nb = (na * draw.uniform(0.86, 1 / 0.86, 4000)).astype(int)
+    estimate, limit = likely(a, b, na, nb), PERCENT / 100 - SLACK
+    clear = np.abs(estimate - limit) > 1e-3
+    assert (promising(a, b, na, nb) == (estimate >= limit))[clear].all() and 0.2 < promising(a, b, na, nb).mean() < 0.8

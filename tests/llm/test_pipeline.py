@@ -17,7 +17,15 @@ def test_against_brute_force(spark, small_dir, docs, labels):
     roots = brute(kept)
     kept = [r for r in kept if roots[r["doc_id"]] == r["doc_id"]]
     left = spark.createDataFrame(kept, docs.schema)
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(left, labels, corpus_pipeline.MIX_WEIGHTS, corpus_pipeline.MIX_CLEAN_SCALE, docs).collect()}
+    mixed = mixing.mix(left, labels, corpus_pipeline.MIX_WEIGHTS, corpus_pipeline.MIX_CLEAN_SCALE, docs).collect()
+    copies = {r["doc_id"]: r["copies"] for r in mixed}
+    # no clean document goes; the fit has converged, and poor and toxic shares rise towards their targets
+    clean = {r["doc_id"] for r in labels.where("quality = 1 AND toxic = 0").collect()} & set(copies)
+    assert all(r["converged"] for r in mixed) and sum(copies[i] >= 1 for i in clean) > 0.97 * len(clean)
+    shares = [[sum(r[rate] * r["tokens"] * r["posterior"][k] if rate else r["tokens"] * r["posterior"][k] for r in mixed) for k in range(3)] for rate in (None, "rate")]
+    before, after = ([x / sum(row) for x in row] for row in shares)
+    off = [sum(abs(x - corpus_pipeline.MIX_WEIGHTS[d]) for x, d in zip(row, mixing.DOMAINS, strict=True)) for row in (before, after)]
+    assert off[1] < off[0]
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = sorted((r["doc_id"], hashlib.sha256(",".join(map(str, library.encode(r["text"]))).encode()).hexdigest()) for r in kept for _ in range(copies[r["doc_id"]]))
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, small_dir).collect()) == want
