@@ -410,12 +410,13 @@ def _prefixes(texts: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, mark for each row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, mark, group for each row of ``docs``.
 
     Two rows are linked if 100 * |intersection| >= 85 * |union| of their shingle sets; component_id is the least doc_id
     reachable. Texts without words (null and empty ones too) are linked with nothing. Rows with a null doc_id stand alone,
     with a null component_id, and are kept. Rows that repeat a doc_id are linked by their own texts, each for itself; equal
-    ones share a component. ``mark`` is a hash of the text that tells such rows apart. Other columns are ignored.
+    ones share a component. ``mark`` is a hash of the text that tells such rows apart, ``group`` a number of the linked texts, null for
+    those that are linked with nothing by rule. Other columns are ignored.
     """
     sketched = stored(sketches(docs), "sketches")
     whole = sketched.where("n > 0 AND doc_id IS NOT NULL")
@@ -453,20 +454,33 @@ def near_groups(docs: DataFrame) -> DataFrame:
     # back to every row: its set's class, the class's group, the least doc_id of all classes of the group
     labelled = reps.select("id", "digest", "doc_id").join(groups, "id", "left").select("digest", "doc_id", F.coalesce("group", "id").alias("group"))
     least = labelled.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    named = stored(labelled.join(least, "group").select("digest", "component_id"), "classes")
-    rest = sketched.where("n = 0 OR doc_id IS NULL").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"))
-    every = whole.select("doc_id", "mark", "n", "digest").join(named, "digest").select("doc_id", "mark", "n", "component_id").unionByName(rest)
-    return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "mark")
+    named = stored(labelled.join(least, "group").select("digest", "component_id", "group"), "classes")
+    rest = sketched.where("n = 0 OR doc_id IS NULL").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
+    every = whole.select("doc_id", "mark", "n", "digest").join(named, "digest").select("doc_id", "mark", "n", "component_id", "group").unionByName(rest)
+    return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "mark", "group")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of their group, each with all its columns.
+    """One row of each group of ``docs`` with all its columns: that of the least doc_id, of several texts under it the one of
+    the least mark, of several equal rows any one. Rows with a null doc_id or without words all stay.
 
-    The rows that go are few as a rule; while they are within the bound they are broadcast and no text is exchanged.
+    The rows that go, and those that come twice, are few as a rule; while they are within the bound they are broadcast and
+    no text is exchanged.
     """
-    gone = stored(near_groups(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"), "mark").distinct(), "duplicates")
-    return docs.join(small(gone, gone.count()), (docs["doc_id"] == F.col("_gone")) & (F.xxhash64(docs["text"]) == gone["mark"]), "left_anti")
+    linked = near_groups(docs).where("group IS NOT NULL").groupBy("group", F.col("doc_id").alias("_id"), "mark").agg(F.count("*").alias("rows"))
+    linked = stored(linked, "linked-texts")
+    best = linked.groupBy("group").agg(F.min(F.struct("_id", "mark")).alias("best"))
+    ruled = stored(linked.join(best, "group").select("_id", "mark", "rows", (F.struct("_id", "mark") == F.col("best")).alias("stays")), "ruled-texts")
+    gone, again = ruled.where("NOT stays").select("_id", "mark"), ruled.where("stays AND rows > 1").select("_id", "mark")
+    left = docs.join(small(gone.withColumnRenamed("mark", "_mark"), gone.count()), (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_mark")), "left_anti")
+    many = again.count()
+    if not many:
+        return left
+    again = small(again.withColumnRenamed("mark", "_mark"), many)
+    same = (left["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(left["text"]) == F.col("_mark"))
+    once = left.join(again, same).groupBy("_id", "_mark").agg(F.first(F.struct(*(left[c] for c in docs.columns))).alias("row"))
+    return left.join(again, same, "left_anti").unionByName(once.select("row.*"))
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mark")
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mark", "group")

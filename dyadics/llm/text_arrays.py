@@ -1,6 +1,6 @@
 """Words, shingles and hashes of whole Arrow batches of texts, as flat numpy arrays.
 
-Words are the runs ``[^\\x20\\x09-\\x0D]+``. All arithmetic is modulo 2**64. Texts are UTF-8; a null text is empty.
+Words are the runs ``[^\\x20\\x09-\\x0D]+``. All sums are modulo 2**64. Texts are UTF-8; a null text is empty.
 """
 
 from __future__ import annotations
@@ -18,22 +18,11 @@ LOWER[65:91] += 32
 
 #: Bytes of text that one step handles; its arrays take some thirty times as much.
 CHUNK_BYTES = 500_000
-_BASE = 0x9E3779B97F4A7C15
 _STEPS = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
-_powers: list[np.ndarray] = []
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i < n."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, CHUNK_BYTES + 1)
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            table = np.full(n, base, dtype=np.uint64)
-            table[0] = 1
-            both.append(np.multiply.accumulate(table))
-        _powers[:] = both
-    return _powers[0], _powers[1]
+#: Added to a block of eight bytes for each place that it stands further on.
+_PLACE = 0x9E3779B97F4A7C15
+#: The bytes of a block that belong to a run of 0 to 8 more bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,11 +57,32 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes, by prefix sums of a polynomial."""
-    up, down = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_STEPS[0]))
+    """A 64-bit hash of each run of bytes: a sum over its blocks of eight bytes, each mixed with its place before it is added.
+
+    Mixing comes before the sum, so no structure of the bytes carries over to it. Two different runs are equal by chance
+    alone, once in 2**64 pairs.
+    """
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    total = np.zeros(len(size), dtype=np.uint64)
+    at, left, which, place = starts, size, np.arange(len(size)), np.uint64(0)
+    wide = size > 64
+    if wide.any():  # long runs all at once; short ones block by block
+        blocks = (size[wide] + 7) // 8
+        first = np.cumsum(blocks) - blocks
+        inner = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        x = eight[np.repeat(starts[wide], blocks) + 8 * inner] & _FIRST[np.minimum(np.repeat(size[wide], blocks) - 8 * inner, 8)]
+        total[wide] = np.add.reduceat(mix(x + (inner.astype(np.uint64) + np.uint64(1)) * np.uint64(_PLACE)), first)
+        at, left, which = starts[~wide], size[~wide], which[~wide]
+    while len(which):
+        place += np.uint64(1)
+        with np.errstate(over="ignore"):
+            total[which] += mix((eight[at] & _FIRST[np.minimum(left, 8)]) + place * np.uint64(_PLACE))
+        more = left > 8
+        at, left, which = at[more] + 8, left[more] - 8, which[more]
+    return mix(total + size.astype(np.uint64) * np.uint64(_STEPS[0]))
 
 
 def shingles(word_hash: np.ndarray, word_text: np.ndarray, k: int = 5, short: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -3,7 +3,7 @@
 A window of WINDOW words is the bag of its words and their byte n-grams (with word ends), each hashed to a bucket
 with an embedding; their mean goes through a linear softmax. Embeddings and softmax are trained jointly. A text's score
 is that of its most toxic window, so a few words count alike in short and long texts. Training sees labels of whole
-texts only: it starts from all windows of a text, then goes on with the window that scores highest.
+texts only: it starts from the windows drawn of a text, then goes on with the one that scores highest.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
-from pyspark.sql.window import Window
 
 from .text_arrays import LOWER, bounds, chunks, hashes, mix, words
 
@@ -24,9 +23,9 @@ WINDOW = 8
 GRAMS = (3, 5, 7)
 BUCKETS = 1 << 18
 DIM = 8
-#: The bounded sample: so many labelled rows of each class, the first by a hash of doc_id, as far as their whole texts
-#: make up so many bytes. All windows of these texts are trained on.
-SAMPLE_ROWS, SAMPLE_BYTES = 1_500, 6_000_000
+#: The bounded sample: so many labelled rows of each class, the first by a hash of doc_id. A text whose windows make up more
+#: than so many bytes is trained on windows drawn from all over it, and no word of theirs counts beyond so many bytes.
+SAMPLE_ROWS, SAMPLE_TEXT_BYTES, SAMPLE_WORD_BYTES = 1_500, 8_192, 64
 #: A gram of fewer sampled texts has no embedding; a window counts as so many grams at least.
 LEAST_TEXTS, LEAST_GRAMS = 4, 130
 #: Passes over the highest windows after the first one over all windows; of fewer texts more, up to so many steps.
@@ -89,13 +88,18 @@ def window_scores(table: np.ndarray, bias: float, data: np.ndarray, offsets: np.
     return 1 / (1 + np.exp(-np.clip(best + bias, -40, 40)))
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, float]:
+def _as_text(texts: list[str] | list[bytes]) -> pa.Array:
+    """Bytes go as they are: a word cut within a character is no UTF-8."""
+    return pa.array(texts, pa.large_binary()).view(pa.large_string()) if isinstance(texts[0], bytes) else pa.array(texts)
+
+
+def train(texts: list[str] | list[bytes], labels: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, float]:
     """A score for each bucket (embedding times softmax weights, toxic minus clean) and the bias."""
     if not len(texts) or labels.min() == labels.max():
         share = float(labels.mean()) if len(texts) else 0.0
         return np.zeros(BUCKETS, np.float32), float(np.log((share * len(texts) + 1) / ((1 - share) * len(texts) + 1)))
     bags, sizes, of, seen, many_texts = [], [], [], 0, np.zeros(BUCKETS, np.int32)
-    for _, data, offsets in chunks(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])):
+    for _, data, offsets in chunks(pa.RecordBatch.from_arrays([_as_text(texts)], names=["text"])):
         value, window, text = grams(data, offsets)
         order = np.argsort(window, kind="stable")
         in_text = np.unique(value[order] * len(offsets) + text[window[order]]) // len(offsets)
@@ -154,31 +158,50 @@ def held_out(doc_id) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % HELD_OUT_OF == HELD_OUT, F.lit(False))
 
 
+def drawn(data: np.ndarray, offsets: np.ndarray, most: int = SAMPLE_TEXT_BYTES) -> list[bytes]:
+    """The windows of each text that training sees, in their order. A text of at most ``most`` bytes keeps them all; of a
+    longer one, windows are drawn by a hash of their number until the next would pass the bound."""
+    starts, ends, owner = words(data, offsets)
+    ends = np.minimum(ends, starts + SAMPLE_WORD_BYTES)
+    first, out = bounds(owner, len(offsets) - 1), []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        opens = np.arange(a, b, WINDOW)
+        size = np.add.reduceat(ends[a:b] - starts[a:b] + 1, opens - a) if b > a else np.zeros(0, np.int64)
+        order = np.argsort(mix(np.arange(len(size), dtype=np.uint64)), kind="stable") if size.sum() > most else np.arange(len(size))
+        chosen = np.sort(order[np.cumsum(size[order]) <= most])
+        out.append(b" ".join(data[starts[i] : ends[i]].tobytes() for k in opens[chosen] for i in range(k, min(k + WINDOW, b))))
+    return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the sampled rows. Lengths alone are ordered; then the chosen texts are read.
+    """doc_id, windows (bytes), toxic of the sampled rows; the length of one text changes nothing for the others.
 
-    Of a doc_id with several labels the greatest counts, of one with several texts the least.
+    Of a doc_id with several labels the greatest counts, of one with several texts the one whose drawn windows come first.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit(SEED), "doc_id")
     picked = [marks.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(SAMPLE_ROWS) for t in (0, 1)]
     both = picked[0].unionByName(picked[1])  # 2 * SAMPLE_ROWS rows at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sizes = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(F.broadcast(both), "doc_id").groupBy("doc_id", "toxic").agg(F.max("bytes").alias("bytes"))
-    so_far = F.sum("bytes").over(Window.partitionBy("toxic").orderBy(order, "doc_id"))
-    chosen = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).select("doc_id", "toxic")
-    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(both), "doc_id").select("doc_id", "toxic", "text")
+    most = SAMPLE_TEXT_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in chunks(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(drawn(data, offsets, most), pa.binary())], names=["doc_id", "toxic", "windows"])
+
+    return texts.mapInArrow(run, "doc_id long, toxic int, windows binary").groupBy("doc_id", "toxic").agg(F.min("windows").alias("windows"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Trains on the sample, whose size is bounded in rows and in bytes, in one task; the held-out rows are left out.
+    """Trains on the sample in one task; it is bounded in rows and in bytes a row. The held-out rows are left out.
 
     Only the score table (one megabyte) comes to the driver.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("doc_id")
-        table, bias = train(part["text"].tolist(), part["toxic"].to_numpy())
+        table, bias = train(part["windows"].tolist(), part["toxic"].to_numpy())
         return pd.DataFrame({"table": [table.tobytes()], "bias": [bias]})
 
     got = labelled_sample(docs, labels).groupBy(F.lit(0).alias("one")).applyInPandas(run, "table binary, bias double").first()

@@ -174,3 +174,14 @@ def test_promising_pairs_are_those_of_the_estimate():
     estimate, limit = likely(a, b, na, nb), PERCENT / 100 - SLACK
     clear = np.abs(estimate - limit) > 1e-3
     assert (promising(a, b, na, nb) == (estimate >= limit))[clear].all() and 0.2 < promising(a, b, na, nb).mean() < 0.8
+
+
+def test_repeated_rows_leave_one(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text, "x"), (1, text, "x"), (2, text + " more", "y"), (3, "alone here", "z"), (3, "alone here", "z"), (3, "other words", "q"), (None, text, "n"), (None, text, "n"), (4, "", "e"), (4, "", "e"), (4, None, "e"), (5, text, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["text"] or "") for r in deduplicate(docs).collect())
+    assert [g for g in got if g[0] == 1] == [(1, text)] and not [g for g in got if g[0] in (2, 5)]
+    assert len([g for g in got if g[0] == -1]) == 2 and len([g for g in got if g[0] == 4]) == 3
+    # two texts of one id that are no near duplicates of each other
+    assert len([g for g in got if g[0] == 3]) == 2

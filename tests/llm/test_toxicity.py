@@ -62,15 +62,49 @@ def test_too_few_labels(n):
     assert not table.any() and bias <= 0
 
 
-def test_the_sample_is_bounded_in_rows_and_bytes(spark, docs, labels, monkeypatch):
+def test_the_sample_is_bounded_in_rows_and_in_bytes_a_row(spark, docs, labels, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 40)
     everything = labelled_sample(docs, labels).collect()
     assert max(sum(r["toxic"] == t for r in everything) for t in (0, 1)) <= 40
-    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 20_000)
+    monkeypatch.setattr(toxicity, "SAMPLE_TEXT_BYTES", 500)
     fewer = labelled_sample(docs, labels).collect()
-    assert {r["doc_id"] for r in fewer} < {r["doc_id"] for r in everything}
-    assert all(sum(len(r["text"].encode()) for r in fewer if r["toxic"] == t) <= 20_000 for t in (0, 1))
-    repeated = docs.unionByName(docs)
-    assert labelled_sample(repeated, labels).count() == len(fewer)
-    whole = {r["doc_id"]: r["text"] for r in docs.where(~held_out("doc_id")).collect()}
-    assert all(whole[r["doc_id"]] == r["text"] for r in fewer)
+    assert {r["doc_id"] for r in fewer} == {r["doc_id"] for r in everything}
+    assert all(len(r["windows"]) <= 500 for r in fewer) and any(len(r["windows"]) > 300 for r in fewer)
+    assert labelled_sample(docs.unionByName(docs), labels).count() == len(fewer)
+    whole = {r["doc_id"]: (r["text"] or "").split() for r in docs.collect()}
+    for r in fewer:
+        got = r["windows"].decode().split()
+        windows = [whole[r["doc_id"]][k : k + 8] for k in range(0, len(whole[r["doc_id"]]), 8)]
+        assert all(got[k : k + 8] in windows for k in range(0, len(got), 8))
+
+
+def test_words_are_cut_and_short_texts_are_whole():
+    import pyarrow as pa
+
+    from dyadics.llm.text_arrays import chunks
+
+    texts = ["a b  c", "", "é" * 5000 + " end", None]
+    _, data, offsets = next(chunks(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])))
+    assert toxicity.drawn(data, offsets) == [b"a b c", b"", "é".encode() * 32 + b" end", b""]
+
+
+@pytest.mark.parametrize("kind", [0, 1])
+def test_a_very_long_labelled_text_does_not_exclude_others(spark, kind):
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    first = labels.where(~held_out("doc_id") & (F.col("toxic") == kind)).orderBy(F.xxhash64(F.lit(toxicity.SEED), "doc_id")).first()["doc_id"]
+    filler = F.expr("concat_ws(' ', transform(sequence(1, 700000), i -> concat('w', i % 9000)))")
+    longer = docs.withColumn("text", F.when(F.col("doc_id") == first, F.concat("text", F.lit(" "), filler)).otherwise(F.col("text")))
+    assert longer.agg(F.max(F.octet_length("text"))).first()[0] > 3_000_000
+    a, b = labelled_sample(docs, labels), labelled_sample(longer, labels)
+    assert {r["doc_id"] for r in a.select("doc_id").collect()} == {r["doc_id"] for r in b.select("doc_id").collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in labels.where(held_out("doc_id")).collect()}
+
+    def accuracy(rows):
+        return np.mean([truth[r["doc_id"]] == r["predicted"] for r in rows if r["doc_id"] in truth])
+
+    plain, odd = score_documents(docs, labels).collect(), score_documents(longer, labels).collect()
+    assert len({round(r["score"], 9) for r in odd}) > 500
+    assert abs(accuracy(plain) - accuracy(odd)) <= 0.05
