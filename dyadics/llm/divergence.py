@@ -9,29 +9,93 @@ many terms have each, those in one source alone and those in neither included.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_ROWS, small, stored
+from .text_arrays import LOWER, NOT_LETTER, by_hash, chunks, hashes, runs_of, words
 
 LEAST_DOCS = 10
 SCALE = 1_000_000_000
 TOP_TERMS = 10
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Counts that a task keeps before it hands them on.
+COUNTS_A_TASK = 1_500_000
+
+
+class _Counts:
+    """Counts of (group, term) in one task: hashes, group numbers, occurrences, documents, and where each term is spelt."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[str, str], int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows, self.spelt, self.waiting, self.known = [], [], 0, 0
+
+    def add(self, data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> None:
+        """Counts one chunk of texts; a term counts its document once."""
+        data = LOWER[data]
+        starts, ends, owner = words(data, offsets, NOT_LETTER)
+        if not len(starts):
+            return
+        value = hashes(data, starts, ends)
+        order = by_hash(value)
+        value, owner = value[order], owner[order]
+        term = np.r_[True, value[1:] != value[:-1]]
+        first = np.flatnonzero(np.r_[True, term[1:] | (owner[1:] != owner[:-1])])
+        place = np.cumsum(term)[first] - 1 + self.known
+        self.rows.append((group[owner[first]], value[first], np.diff(np.r_[first, len(value)]), np.ones(len(first), np.int64), place))
+        shown = order[np.flatnonzero(term)]
+        self.spelt.append(runs_of(data, starts[shown], ends[shown]))
+        self.known += len(shown)
+        self.waiting += len(first)
+
+    def combine(self) -> None:
+        group, value, n, docs, place = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        order = np.lexsort((value, group))
+        first = np.flatnonzero(np.r_[True, (np.diff(value[order]) != 0) | (np.diff(group[order]) != 0)])
+        self.rows = [(group[order][first], value[order][first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first), place[order][first])]
+        self.waiting = len(first)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if not self.rows:
+            return
+        self.combine()
+        group, _, n, docs, place = self.rows[0]
+        names = list(self.groups)
+        spelt = pa.concat_arrays(self.spelt).take(pa.array(place))
+        keys = (pa.array([g[k] for g in names]).take(pa.array(group)) for k in (0, 1))
+        yield from pa.Table.from_arrays([*keys, spelt, pa.array(n), pa.array(docs)], ["lang", "source", "term", "n", "docs"]).to_batches(50_000)
+        self.clear()
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts, combined = _Counts(), 0
+    for batch in batches:
+        for part, data, offsets in chunks(batch):
+            keys = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+            counts.add(data, offsets, np.array([counts.groups.setdefault(k, len(counts.groups)) for k in keys]))
+            if counts.waiting > combined + COUNTS_A_TASK:
+                counts.combine()
+                combined = counts.waiting
+                if combined > COUNTS_A_TASK:
+                    yield from counts.batches()
+                    combined = 0
+    yield from counts.batches()
 
 
 def counted(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """lang, term, total, by_source (source, n; ordered) of the terms that each language keeps.
 
-    A text's terms are sorted in its row, so the first of each run counts the document and no row needs an identity.
-    Counts are combined before each exchange; ``by_source`` is as long as the language has sources.
+    Tasks count their own texts and hand on one row a group and term, so one exchange by language and term is enough.
+    ``by_source`` is as long as the language has sources.
     """
-    text = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
-    rows = docs.select(_key("lang"), _key("source"), F.sort_array(F.split(text, _BETWEEN)).alias("terms"))
-    rows = rows.select("lang", "source", "terms", F.posexplode("terms").alias("at", "term"))
-    first = (F.col("at") == 0) | (F.get("terms", F.col("at") - 1) != F.col("term"))
-    by = rows.where("term != ''").groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum(first.cast("long")).alias("docs"))
+    rows = docs.select(_key("lang"), _key("source"), "text").mapInArrow(_counts, "lang string, source string, term string, n long, docs long")
+    by = rows.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     every = by.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("by_source"))
     return every.where(F.col("docs") >= least_docs).select("lang", "term", "total", "by_source")
 

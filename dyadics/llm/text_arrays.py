@@ -16,6 +16,10 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Bytes that are no letter: those below 0x80 but A-Z and a-z.
+NOT_LETTER = np.arange(256) < 0x80
+NOT_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
+
 #: Bytes of text that one step handles; its arrays take some thirty times as much.
 CHUNK_BYTES = 500_000
 _STEPS = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
@@ -45,10 +49,10 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end and text number of each word."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and text number of each word: the longest runs of bytes that are not ``between``."""
     inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = ~SPACE[data]
+    inside[1:-1] = ~between[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
@@ -113,6 +117,25 @@ def shingles(word_hash: np.ndarray, word_text: np.ndarray, k: int = 5, short: bo
     return value, owner, at
 
 
+def by_hash(value: np.ndarray) -> np.ndarray:
+    """Places of the hashes so that equal ones are adjacent, each run in its first order."""
+    at = np.arange(len(value), dtype=np.uint64)
+    low = np.uint64((1 << max(1, int(len(value)).bit_length())) - 1)
+    order = (np.sort((value & ~low) | at) & low).astype(np.int64)  # far faster than a stable sort
+    found = value[order]
+    if (((found[1:] & ~low) == (found[:-1] & ~low)) & (found[1:] != found[:-1])).any():
+        return np.argsort(value, kind="stable")
+    return order
+
+
+def runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The runs of bytes as a string array."""
+    size = ends - starts
+    to = np.r_[0, np.cumsum(size)]
+    at = np.arange(int(to[-1])) + np.repeat(starts - to[:-1], size)
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(to.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at])))
+
+
 def bounds(owner: np.ndarray, texts: int) -> np.ndarray:
     """Offsets [texts + 1] of each text's part in an array ordered by text number."""
     return np.searchsorted(owner, np.arange(texts + 1))
