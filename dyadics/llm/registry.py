@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown_lm, divergence, licenses, mixing, near_dedup, quality, sentencepiece_bpe, sharding, toxicity, warc, winnowing
+from . import brown_lm, divergence, licenses, mixing, near_dedup, quality, search, sentencepiece_bpe, sharding, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
@@ -16,5 +16,6 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op5_sharding": sharding.op5_sharding,
     "op12_divergence": divergence.op12_divergence,
+    "op13_search": search.op13_search,
 }
-ORACLES: dict = {"op6_licenses": licenses.oracle(), "op8_warc": warc.OP8_SQL, "op10_quality": quality.OP10_SQL, "op12_divergence": divergence.OP12_SQL}
+ORACLES: dict = {"op6_licenses": licenses.oracle(), "op8_warc": warc.OP8_SQL, "op10_quality": quality.OP10_SQL, "op12_divergence": divergence.OP12_SQL, "op13_search": search.OP13_SQL}
