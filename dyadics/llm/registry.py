@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown_lm, divergence, licenses, mixing, near_dedup, quality, search, sentencepiece_bpe, sharding, toxicity, warc, winnowing
+from . import brown_lm, divergence, licenses, mixing, near_dedup, quality, search, sentencepiece_bpe, sharding, suffix_dedup, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
     "op5_sharding": sharding.op5_sharding,
+    "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
     "op12_divergence": divergence.op12_divergence,
     "op13_search": search.op13_search,
 }
