@@ -243,28 +243,21 @@ def markdown_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.trim("text").startswith("|") & ~F.trim("text").rlike(r"^\|[\s:|-]+\|?$")).select("line", F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)).alias("cells"))
 
 
-def tensors(spark: SparkSession, path: str) -> DataFrame:
-    """file, name, dtype, shape, values of tensor files: a length, a JSON head, then raw numbers; bf16 is widened."""
-    schema = "file string, name string, dtype string, shape array<long>, values array<float>"
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for part in parts:
-            for file, data in zip(part["path"], part["content"], strict=True):
-                head = int.from_bytes(data[:8], "little")
-                for name, info in json.loads(data[8 : 8 + head]).items():
-                    if name == "__metadata__":
-                        continue
-                    a, b = info["data_offsets"]
-                    raw = data[8 + head + a : 8 + head + b]
-                    if info["dtype"] == "BF16":
-                        values = (np.frombuffer(raw, "<u2").astype(np.uint32) << 16).view(np.float32)
-                    else:
-                        values = np.frombuffer(raw, {"F32": "<f4", "F16": "<f2", "F64": "<f8"}[info["dtype"]]).astype(np.float32)
-                    yield pd.DataFrame({"file": [file], "name": [name], "dtype": [info["dtype"]], "shape": [info["shape"]], "values": [values.tolist()]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+def tensors(spark: SparkSession, path: str, columns: str | None = None, slice_bytes: int | None = None) -> DataFrame:
+    """file, name, dtype, shape, start, values of tensor files: one row a slice, ``start`` being its first value's place.
+
+    ``columns`` (a schema) leaves out what is not asked for, or asks for values as doubles. A slice goes to a partition of its
+    own; a tensor within ``slice_bytes`` is a single one. Filters on the name are the source's.
+    """
+    from .tensor_files import SCHEMA, SLICE_BYTES, registered
+
+    return registered(spark).read.format("tensors").schema(columns or SCHEMA).option("sliceBytes", slice_bytes or SLICE_BYTES).load(path)
+
+
+def whole_tensors(spark: SparkSession, path: str) -> DataFrame:
+    """file, name, dtype, shape, values of tensors that fit a row: their slices in order. For factors and vectors."""
+    parts = tensors(spark, path).groupBy("file", "name", "dtype", "shape").agg(F.array_sort(F.collect_list(F.struct("start", "values"))).alias("_s"))
+    return parts.select("file", "name", "dtype", "shape", F.flatten("_s.values").alias("values"))
 
 
 def scored(cases: DataFrame, done: DataFrame, key: list[str], score: Callable, schema: str) -> DataFrame:

@@ -62,3 +62,11 @@ def messages(rows: DataFrame, system: str, prompt: str, answer: str | None = Non
     if answer:
         parts.append(F.struct(F.lit("assistant").alias("role"), F.col(answer).alias("content")))
     return rows.withColumn("messages", F.array(*parts))
+
+
+def write_tensors(rows: DataFrame, path: str, mode: str = "overwrite", file_bytes: int | None = None) -> None:
+    """Rows (name, dtype, shape, values) as tensor files of bounded size, all or none of them."""
+    from .tensor_files import FILE_BYTES, registered
+
+    registered(rows.sparkSession)
+    rows.select("name", "dtype", "shape", "values").write.format("tensors").mode(mode).option("fileBytes", file_bytes or FILE_BYTES).save(path)

@@ -82,7 +82,7 @@ def test_tensors(spark, tmp_path):
     bf16 = (values.view(np.uint32) >> 16).astype("<u2").tobytes()
     head = json.dumps({"a": {"dtype": "F32", "shape": [3], "data_offsets": [0, 12]}, "b": {"dtype": "BF16", "shape": [1, 3], "data_offsets": [12, 18]}, "__metadata__": {}}).encode()
     (tmp_path / "m.tensors").write_bytes(struct.pack("<Q", len(head)) + head + values.tobytes() + bf16)
-    rows = {r["name"]: (r["shape"], r["values"]) for r in readers.tensors(spark, str(tmp_path / "m.tensors")).collect()}
+    rows = {r["name"]: (r["shape"], r["values"]) for r in readers.whole_tensors(spark, str(tmp_path / "m.tensors")).collect()}
     assert rows == {"a": ([3], values.tolist()), "b": ([1, 3], values.tolist())}
 
 
