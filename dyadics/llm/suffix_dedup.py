@@ -29,8 +29,8 @@ LENGTH, HEAD = 400, 96
 #: Batches of the query; texts are dealt to them by digest.
 BATCHES = 4
 #: Bytes over which one suffix array is built. The bodies under one head that are more are told apart string by string.
-ARRAY_BYTES = 2_000_000
-CROWDED_BYTES = 4_000_000
+ARRAY_BYTES = 500_000
+CROWDED_BYTES = 1_000_000
 _LOW = np.uint64((1 << 20) - 1)
 ENTRY = "head long, body long, text binary, start int, many int"
 
@@ -232,27 +232,37 @@ class Levels:
         return hit.groupBy("digest").agg(F.collect_list("span").alias("spans"))  # of one text: as many as it has entries, about
 
 
-def removal(value: bytes, spans: list[dict]) -> tuple[int, int, bytes]:
-    """Bytes and maximal runs removed, and what is left."""
+def removal(value: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[int, int, bytes]:
+    """Bytes and maximal runs removed, and what is left of the bytes."""
     cover = np.zeros(len(value) + 1, dtype=np.int32)
-    np.add.at(cover, [s["start"] for s in spans], 1)
-    np.add.at(cover, [s["stop"] for s in spans], -1)
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, stops, -1)
     gone = np.cumsum(cover[:-1]) > 0
-    return int(gone.sum()), len(_runs(gone)), np.frombuffer(value, dtype=np.uint8)[~gone].tobytes()
+    return int(gone.sum()), len(_runs(gone)), value[~gone].tobytes()
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
+def _remover(keep_texts: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
 
-    for batch in batches:
-        out = []
-        for digest, text, copies, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            value = text.encode()
-            n, runs, left = removal(value, [{"start": 0, "stop": len(value)}] if copies > 1 else spans)
-            out.append((digest, n, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace")))
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = ["digest", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], names=names)
+        for batch in batches:
+            values, copies, spans = batch.column(1).cast(pa.large_binary()), batch.column(2).to_numpy(), batch.column(3)
+            at = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+            data = np.frombuffer(values.buffers()[2] or b"", dtype=np.uint8)
+            size = pa.compute.list_value_length(spans).fill_null(0).to_numpy()
+            ends = np.cumsum(size)
+            starts, stops = (spans.flatten().field(k).to_numpy() for k in (0, 1))
+            out = []
+            for i, (n, end) in enumerate(zip(size.tolist(), ends.tolist(), strict=True)):
+                value = data[at[i] : at[i + 1]]
+                whole = copies[i] > 1
+                removed, runs, left = removal(value, np.array([0]) if whole else starts[end - n : end], np.array([len(value)]) if whole else stops[end - n : end])
+                out.append((removed, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace") if keep_texts else None))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["digest", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+
+    return run
 
 
 def whole_texts(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -274,11 +284,11 @@ def _digest(sha: F.Column) -> F.Column:
     return F.substring(F.unhex(sha), 1, 16)
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = BATCHES, keep_texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text of each row of ``docs``.
 
     Null texts are empty; texts shorter than LENGTH bytes stay whole. Rows that repeat a text lose all of it, as each of its
-    strings stands elsewhere too. ``kept_text`` is null where nothing goes; bytes of a character cut in two become U+FFFD in it, while
+    strings stands elsewhere too. ``kept_text`` is null where nothing goes (and without ``keep_texts``); bytes of a character cut in two become U+FFFD in it, while
     the digest is of the bytes as they are. Rows with a null doc_id are rows like others; other columns are ignored.
     """
     texts = whole_texts(docs, batches)
@@ -286,8 +296,8 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     for k in range(batches):
         index.add(texts.where(F.col("batch") == k))
     spans = stored(index.spans(texts), "spans")
-    gone = texts.select("digest", "value", "copies").join(spans, "digest", "left").where("copies > 1 OR spans IS NOT NULL")
-    gone = stored(gone.mapInArrow(_removed, "digest binary, n_removed long, n_spans long, kept_sha256 string, kept_text string"), "removed")
+    gone = texts.select("digest", F.col("value").cast("binary").alias("value"), "copies").join(spans, "digest", "left").where("copies > 1 OR spans IS NOT NULL")
+    gone = stored(gone.mapInArrow(_remover(keep_texts), "digest binary, n_removed long, n_spans long, kept_sha256 string, kept_text string"), "removed")
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), sha.alias("sha")).withColumn("digest", _digest(F.col("sha")))
     out = rows.join(gone, "digest", "left")
@@ -295,4 +305,4 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 
 def op11_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_texts=False).drop("kept_text")
