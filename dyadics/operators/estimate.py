@@ -33,6 +33,8 @@ class Fit:
     trace: list[tuple[int, float, float, float]]
     information: np.ndarray | None = None
     width: float | None = None
+    #: Why the fit ended: 'tolerance', 'gradient', 'stalled' or 'iterations'; the first two are converged.
+    ended: str | None = None
 
     def table(self, spark) -> DataFrame:
         """parameter, estimate, std_err, variance, objective, converged."""
@@ -123,10 +125,23 @@ def _sums(part: pd.DataFrame, theta: np.ndarray, items: int, spec: int, kind: st
 BOUNDS = {0: (-1.0, 200.0), 1: (-200.0, 200.0)}
 
 
+def flat(info: np.ndarray, score: np.ndarray, free_at: np.ndarray, theta: np.ndarray, limits: dict[int, tuple[float, float]], objective: float, tolerance: float) -> bool:
+    """Whether a full step would lower the objective by less than ``tolerance`` of itself; what a bound stops does not count."""
+    inside = np.array([not (at in limits and (theta[at] <= limits[at][0] and g < 0 or theta[at] >= limits[at][1] and g > 0)) for at, g in zip(free_at.tolist(), score, strict=True)])
+    if not inside.any():
+        return True
+    g = score[inside]
+    gain = float(g @ np.linalg.lstsq(info[np.ix_(inside, inside)], g, rcond=None)[0])
+    return bool(np.isfinite(gain) and gain <= tolerance * (abs(objective) + tolerance))
+
+
 def _descend(evaluate, theta: np.ndarray, free_at: np.ndarray, limits: dict[int, tuple[float, float]], iterations: int, tolerance: float):
-    """Damped steps from ``theta`` until the objective falls by less than ``tolerance`` of itself. Bounds hold by projection."""
+    """Damped steps from ``theta`` until the objective falls by less than ``tolerance`` of itself. Bounds hold by projection.
+
+    Where no step lowers the objective, the fit has converged only if its gradient is flat; how it ended is returned.
+    """
     info, score, objective, n = evaluate(theta)
-    damping, trace, done = 1e-3, [(0, objective, theta[0], theta[1])], False
+    damping, trace, ended = 1e-3, [(0, objective, theta[0], theta[1])], "iterations"
     for step in range(1, iterations + 1):
         lift = damping * np.maximum(np.diag(info), 1e-12)
         move = np.linalg.lstsq(info + np.diag(lift), score, rcond=None)[0]
@@ -140,51 +155,74 @@ def _descend(evaluate, theta: np.ndarray, free_at: np.ndarray, limits: dict[int,
             theta, (info, score, objective, n), damping = trial, new, damping / 5
             trace.append((step, objective, theta[0], theta[1]))
             if gain <= tolerance * (abs(objective) + tolerance):
-                done = True
+                ended = "tolerance"
                 break
         else:
             damping *= 8
             if damping > 1e12:
-                done = True
+                ended = "gradient" if flat(info, score, free_at, theta, limits, objective, tolerance) else "stalled"
                 break
-    return theta, info, objective, n, done, trace
+    return theta, info, objective, n, ended, trace
+
+
+#: How a converged fit ends.
+CONVERGED = ("tolerance", "gradient")
+#: Cells that a task sums, and partial sums that one task adds up.
+CELLS_A_TASK, FAN_IN = 20_000, 32
+
+
+def _total(parts: DataFrame) -> np.ndarray:
+    """The sum of the arrays ``a`` of rows numbered by ``part``, as a tree: FAN_IN of them at most reach the driver."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0]) // FAN_IN], "a": [np.sum(np.stack(rows["a"].to_numpy()), axis=0).tolist()]})
+
+    many = parts.rdd.getNumPartitions()
+    while many > FAN_IN:
+        parts = parts.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(add, "part long, a array<double>")
+        many = -(-many // FAN_IN)
+    return np.sum([r["a"] for r in parts.collect()], axis=0)
 
 
 def fit(rows: DataFrame, items: int, kind: str = "nls", spec: int = 1, scale: float = 1.0, start: np.ndarray | None = None, free: list[int] | None = None, bounds: dict[int, tuple[float, float]] | None = None, iterations: int = 1_000, tolerance: float = 1e-8) -> Fit:
     """Bounded least squares ('nls') or logit likelihood ('mle') by damped Gauss-Newton or Fisher steps.
 
     ``rows`` is a panel or its cells. ``free`` restricts the fit to some parameters. A smoothed maximum score fit is 'nls'
-    with ``scale`` set to the kernel's width. ``converged`` says whether the tolerance was reached.
+    with ``scale`` set to the kernel's width. ``converged`` says whether the tolerance was reached or the gradient is flat.
     """
     names = parameter_names(items, spec)
     theta = np.zeros(len(names)) if start is None else np.asarray(start, dtype=float).copy()
     free_at = np.arange(len(names)) if free is None else np.asarray(free)
     summed = (rows if "rest" in rows.columns else cells(rows)).select(*CELL, "n", "p_no", "rest")
     k = len(free_at)
-    kept = summed.repartition(max(1, summed.sparkSession.sparkContext.defaultParallelism)).persist()
+    summed = summed.persist()
+    # by the number of cells, so that neither the tasks nor their sums grow with the cluster
+    kept = summed.repartition(1 + summed.count() // CELLS_A_TASK).persist()
 
     def evaluate(at: np.ndarray):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
             total = np.zeros(k * k + k + 2)
             for part in parts:
-                for begin in range(0, len(part), 20_000):
-                    a, g, objective, n = _sums(part.iloc[begin : begin + 20_000], at, items, spec, kind, scale, free_at)
+                for begin in range(0, len(part), CELLS_A_TASK):
+                    a, g, objective, n = _sums(part.iloc[begin : begin + CELLS_A_TASK], at, items, spec, kind, scale, free_at)
                     total += np.r_[a.ravel(), g, objective, n]
-            yield pd.DataFrame({"a": [total.tolist()]})
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "a": [total.tolist()]})
 
-        # an array of (k + 1) * k + 2 numbers from each of a fixed number of partitions
-        got = np.sum([r["a"] for r in kept.mapInPandas(run, "a array<double>").collect()], axis=0)
+        got = _total(kept.mapInPandas(run, "part long, a array<double>"))
         if not got[-1]:
             raise ValueError("no rows to fit")
         return got[: k * k].reshape(k, k), got[k * k : k * k + k], got[-2], got[-1]
 
-    theta, info, objective, n, done, trace = _descend(evaluate, theta, free_at, BOUNDS if bounds is None else bounds, iterations, tolerance)
+    theta, info, objective, n, ended, trace = _descend(evaluate, theta, free_at, BOUNDS if bounds is None else bounds, iterations, tolerance)
     kept.unpersist()
+    summed.unpersist()
     n = int(round(n))
     spread = objective / max(n - k, 1) if kind == "nls" else 1.0
     covariance = np.full((len(names), len(names)), 0.0)
     covariance[np.ix_(free_at, free_at)] = np.linalg.pinv(info) * spread
-    return Fit(names, theta, covariance, float(objective), n, done, trace, info)
+    return Fit(names, theta, covariance, float(objective), n, ended in CONVERGED, trace, info, ended=ended)
 
 
 def linear_sums(rows: DataFrame, items: int, by: list[str] | None = None) -> dict[tuple, np.ndarray]:
@@ -276,8 +314,8 @@ def refits(rows: DataFrame, items: int, by_start: dict[str, np.ndarray], kind: s
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         name = part["start"].iloc[0]
-        theta, _, objective, _, done, trace = _local_fit(part, items, kind, spec, 1.0, np.asarray(by_start[name], float), BOUNDS, iterations, tolerance)
-        return pd.DataFrame({"start": [name], "start_objective": [trace[0][1]], "objective": [objective], "lambda": [theta[0]], "eta": [theta[1]], "converged": [done]})
+        theta, _, objective, _, ended, trace = _local_fit(part, items, kind, spec, 1.0, np.asarray(by_start[name], float), BOUNDS, iterations, tolerance)
+        return pd.DataFrame({"start": [name], "start_objective": [trace[0][1]], "objective": [objective], "lambda": [theta[0]], "eta": [theta[1]], "converged": [ended in CONVERGED]})
 
     each = table.select(*CELL, "n", "p_no", "rest", F.explode(names).alias("start"))
     return each.groupBy("start").applyInPandas(run, "start string, start_objective double, objective double, lambda double, eta double, converged boolean")
@@ -351,29 +389,77 @@ def _score_bounds(k: int, last_nonneg: bool) -> dict[int, tuple[float, float]]:
     return {0: (-1.0, float("inf"))} | ({k - 1: (0.0, float("inf"))} if last_nonneg else {})
 
 
+#: Joint cells that are broadcast, some hundred bytes each.
+JOINT_ROWS = 1_000_000
+
+
+def joint_cells(rows: DataFrame, case: str) -> DataFrame:
+    """answers (CELL and p_no of both answers of a case, ordered), cases: cases of equal answers are one row."""
+    answers = rows.where("p_no IS NOT NULL").groupBy(case).agg(F.array_sort(F.collect_list(F.struct(*CELL, "p_no"))).alias("answers"))
+    return answers.groupBy("answers").agg(F.count("*").alias("cases"))
+
+
+def _drawn_cells(cell: np.ndarray, of: np.ndarray, at: np.ndarray, p: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
+    """The table of cells in which joint cell k counts ``weight[k]`` times."""
+    w = weight[of].astype(float)
+    n, s, q = (np.bincount(at, weights=w * x, minlength=len(cell)) for x in (1.0, p, p * p))
+    drawn = n > 0
+    mean = s[drawn] / n[drawn]
+    return pd.DataFrame(cell[drawn], columns=list(CELL)).assign(n=n[drawn], p_no=mean, rest=np.maximum(q[drawn] - n[drawn] * mean * mean, 0))
+
+
 def bootstrap_errors(rows: DataFrame, estimate: Fit, items: int, width: float, case: str = "case_id", reps: int = 500, seed: int = 0, spec: int = 1, last_nonneg: bool = True, tolerance: float = 1e-6) -> DataFrame:
     """parameter, estimate, std_err, reps, failures: errors of a smoothed maximum score fit by drawing cases.
 
-    A case has a Poisson weight in each replicate, by hash, so both its answers move together and no draw is gathered. The
-    weighted answers are summed to the cells of each replicate, and each replicate is fitted in a task.
+    A case has a Poisson weight with mean 1 in each replicate, and both its answers move together. Cases of equal answers
+    are one joint cell, whose weight is a single Poisson draw with their number as mean. Each replicate is drawn and fitted in
+    a task. The table of joint cells is broadcast within JOINT_ROWS; a larger one is drawn where it lies, for all
+    replicates at once, and its sums by replicate and cell are exchanged.
     """
-    from ..functions.codes import hash_uniform
-
-    # the Poisson law with mean 1 by inversion: at each cut of the uniform number the weight rises by one
-    cuts = np.cumsum([np.exp(-1) / math.factorial(n) for n in range(12)])
-    u = hash_uniform(seed, F.col(case), F.col("rep")) / F.lit(float(2**32))
-    weight = F.size(F.filter(F.array(*map(F.lit, cuts.tolist())), lambda c: c <= u))
-    drawn = rows.where("p_no IS NOT NULL").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_w", weight.cast("double")).where("_w > 0")
-    table = cells(drawn, ["rep"], "_w")
+    joint = joint_cells(rows, case).persist()
     start, bounds = estimate.values, _score_bounds(len(estimate.values), last_nonneg)
+    spark = rows.sparkSession
+    schema = "rep int, values array<double>, ok boolean"
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        theta, _, _, _, done, _ = _local_fit(part, items, "nls", spec, width, start, bounds, 1_000, tolerance)
-        return pd.DataFrame({"rep": [part["rep"].iloc[0]], "values": [theta.tolist()], "ok": [bool(done and np.isfinite(theta).all())]})
+    def fitted(rep: int, table: pd.DataFrame) -> pd.DataFrame:
+        theta, _, _, _, ended, _ = _local_fit(table, items, "nls", spec, width, start, bounds, 1_000, tolerance)
+        return pd.DataFrame({"rep": [rep], "values": [theta.tolist()], "ok": [bool(ended in CONVERGED and np.isfinite(theta).all())]})
+
+    if joint.limit(JOINT_ROWS + 1).count() <= JOINT_ROWS:
+        each = joint.orderBy("answers").toPandas()
+        flat_ = [(k, *a) for k, own in enumerate(each["answers"]) for a in own]
+        of, p = np.array([f[0] for f in flat_], dtype=np.int64), np.array([f[5] for f in flat_], dtype=float)
+        cell, at = np.unique(np.array([f[1:5] for f in flat_], dtype=np.int64).reshape(-1, 4), axis=0, return_inverse=True)
+        shared = spark.sparkContext.broadcast((cell, of, at.ravel(), p, each["cases"].to_numpy(dtype=float)))
 
-    fits = table.groupBy("rep").applyInPandas(run, "rep int, values array<double>, ok boolean")
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cell, of, at, p, cases = shared.value
+            for part in parts:
+                for rep in part["id"]:
+                    yield fitted(int(rep), _drawn_cells(cell, of, at, p, np.random.default_rng([seed, int(rep)]).poisson(cases)))
+
+        fits = spark.range(reps, numPartitions=reps).mapInPandas(run, schema)
+    else:
+        keyed = joint.select(F.xxhash64("answers").alias("key"), "answers", "cases").repartition("key")
+
+        def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for begin in range(0, len(part), 2_000):
+                    some = part.iloc[begin : begin + 2_000]
+                    weight = np.stack([np.random.default_rng([seed, int(k) & (2**63 - 1)]).poisson(c, reps) for k, c in zip(some["key"], some["cases"], strict=True)])
+                    flat_ = [(k, *(a[c] for c in CELL), a["p_no"]) for k, own in enumerate(some["answers"]) for a in own]
+                    of, p = np.array([f[0] for f in flat_]), np.array([f[5] for f in flat_])
+                    cell, at = np.unique(np.array([f[1:5] for f in flat_]).reshape(-1, 4), axis=0, return_inverse=True)
+                    for rep in range(reps):
+                        yield _drawn_cells(cell, of, at.ravel(), p, weight[:, rep]).assign(rep=rep)
+
+        parts = keyed.mapInPandas(draw, ", ".join(f"{c} long" for c in CELL) + ", n double, p_no double, rest double, rep int")
+        s, q = F.sum(F.col("n") * F.col("p_no")), F.sum(F.col("rest") + F.col("n") * F.col("p_no") * F.col("p_no"))
+        table = parts.groupBy("rep", *CELL).agg(F.sum("n").alias("n"), s.alias("_s"), q.alias("_q")).withColumn("p_no", F.col("_s") / F.col("n"))
+        table = table.select("rep", *CELL, "n", "p_no", F.greatest(F.col("_q") - F.col("_s") * F.col("p_no"), F.lit(0.0)).alias("rest"))
+        fits = table.groupBy("rep").applyInPandas(lambda part: fitted(int(part["rep"].iloc[0]), part), schema)
     spread = fits.select("ok", F.posexplode("values").alias("pos", "v")).groupBy("pos").agg(F.stddev_samp(F.when(F.col("ok"), F.col("v"))).alias("std_err"), F.count_if("ok").alias("reps"), F.count_if(~F.col("ok")).alias("failures"))
-    names = rows.sparkSession.createDataFrame([(n, name, float(v)) for n, (name, v) in enumerate(zip(estimate.names, estimate.values, strict=True))], "pos int, parameter string, estimate double")
+    names = spark.createDataFrame([(n, name, float(v)) for n, (name, v) in enumerate(zip(estimate.names, estimate.values, strict=True))], "pos int, parameter string, estimate double")
     return names.join(spread, "pos").select("parameter", "estimate", "std_err", "reps", "failures")
 
 
@@ -393,7 +479,7 @@ def two_parameter_fits(vx: np.ndarray, vy: np.ndarray, px: np.ndarray, py: np.nd
         return a11, a12, a22, g, 0.5 * (w * r * r).sum(1)
 
     now = parts(theta)
-    open_, failed = np.ones(many, bool), np.zeros(many, bool)
+    open_, met = np.ones(many, bool), np.zeros(many, bool)
     for _ in range(iterations):
         a11, a12, a22, g, cost = now
         b11, b22 = a11 + damping * np.maximum(a11, 1e-12), a22 + damping * np.maximum(a22, 1e-12)
@@ -407,11 +493,18 @@ def two_parameter_fits(vx: np.ndarray, vy: np.ndarray, px: np.ndarray, py: np.nd
         theta = np.where(better[:, None], trial, theta)
         now = tuple(np.where(better[:, None] if x.ndim == 2 else better, x, z) for x, z in zip(new, now, strict=True))
         damping = np.where(better, damping / 5, np.where(open_, damping * 8, damping))
-        open_ &= ~settled & (damping <= 1e12)
+        met |= settled
+        stuck = open_ & ~settled & (damping > 1e12)
+        if stuck.any():  # no step lowers the cost: at the least of it if the gradient is flat
+            a11, a12, a22, g, cost = now
+            det = a11 * a22 - a12 * a12
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = (a22 * g[:, 0] ** 2 - 2 * a12 * g[:, 0] * g[:, 1] + a11 * g[:, 1] ** 2) / det
+            met |= stuck & (gain <= 1e-12 * (cost + 1e-12))
+        open_ &= ~settled & ~stuck
         if not open_.any():
             break
-    failed = open_ | ~np.isfinite(theta).all(1)
-    return theta[:, 0], theta[:, 1], now[4], ~failed, np.stack([now[0], now[1], now[1], now[2]], 1).reshape(-1, 2, 2)
+    return theta[:, 0], theta[:, 1], now[4], met & np.isfinite(theta).all(1), np.stack([now[0], now[1], now[1], now[2]], 1).reshape(-1, 2, 2)
 
 
 def condition(information: np.ndarray) -> np.ndarray:
@@ -454,23 +547,22 @@ def lambda_eta(rows: DataFrame, by: list[str], starts: tuple[tuple[float, float]
     return utility_cells(rows, by).groupBy(*by).applyInPandas(run, f"{keys}, lambda double, eta double, cost double, n long, converged boolean, jac_cond double, multistart_sd double")
 
 
-def lambda_eta_bootstrap(rows: DataFrame, cluster: list[str], reps: int = 1_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def lambda_eta_bootstrap(rows: DataFrame, cluster: list[str], reps: int = 2_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """One row: lambda, eta of all rows, their errors and percentile intervals over replicates that draw whole clusters, reps, failures, clusters.
 
     A replicate refits both parameters. Clusters are pairs of goods, so their table and that of the utilities within them
     are bounded by the design; draws are made by hash and joined to the clusters by their place.
     """
-    from pyspark.sql.window import Window
-
     from ..functions.codes import hash_draw
+    from .ordered import places
 
     spark = rows.sparkSession
     summed = utility_cells(rows, cluster)
-    places = summed.select(*cluster).distinct().select(*cluster, (F.row_number().over(Window.orderBy(*cluster)) - 1).cast("long").alias("_ix")).persist()  # one row a pair of goods
-    many = places.count()
+    placed = places(summed.select(*cluster).distinct(), cluster, "_ix").persist()
+    many = placed.count()
     draws = spark.range(reps * many).select(F.floor(F.col("id") / many).cast("long").alias("rep"), F.pmod("id", F.lit(many)).alias("slot"))
     counts = draws.select("rep", hash_draw(many, seed, F.col("rep"), F.col("slot")).alias("_ix")).groupBy("rep", "_ix").agg(F.count("*").alias("_w"))
-    table = summed.join(places, cluster)
+    table = summed.join(placed, cluster)
     drawn = counts.join(table, "_ix").withColumn("weight", F.col("weight") * F.col("_w")).select("rep", "u_x", "u_y", "p_no_x", "p_no_y", "weight")
     fits = lambda_eta(drawn, ["rep"], ((0.0, 0.0),))
     ok = F.col("converged")
@@ -537,10 +629,9 @@ def leave_one_good_out_ols(rows: DataFrame, x: list[str], y: str, a: str, b: str
 
 def grouped_folds(rows: DataFrame, x: list[str], y: str, group: list[str], k: int) -> DataFrame:
     """fold, n, mse: each fold's error under the fit to the others; fold = place of the sorted group modulo k."""
-    from pyspark.sql.window import Window
+    from .ordered import places
 
-    places = rows.select(*group).distinct().withColumn("fold", F.pmod(F.row_number().over(Window.orderBy(*group)) - 1, F.lit(k)))  # one row a group
-    folded = rows.join(places, group)
+    folded = rows.join(places(rows.select(*group).distinct(), group, "_place").withColumn("fold", F.pmod("_place", F.lit(k)).cast("int")), group)
     sums = normal_equations(folded, x, y, ["fold"]).collect()  # k rows
     names = [c for c in sums[0].asDict() if c not in ("fold", "n")] if sums else []
     total = {c: sum(r[c] for r in sums) for c in names}

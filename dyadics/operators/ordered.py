@@ -69,3 +69,27 @@ def range_of(rows: DataFrame, value: str) -> Column:
     lo, hi = F.element_at(los, piece), F.element_at(los, F.least(piece + 1, F.lit(len(knots))))
     part = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * KNOTS)).otherwise(0)
     return (piece * KNOTS + F.least(F.greatest(part, F.lit(0)), F.lit(KNOTS - 1))).cast("int")
+
+
+#: Keys that ``places`` looks at to cut its ranges, and the ranges.
+SAMPLED_KEYS, KEY_RANGES = 4_096, 256
+
+
+def places(rows: DataFrame, by: list[str], name: str = "ix") -> DataFrame:
+    """``rows``, one a key, with ``name``: 0, 1, ... in the order of the columns ``by``, of any types that have an order.
+
+    The keys are cut into ranges at those that a hash ranks first, and each range is ordered in a task of its own; only the
+    ranges' sizes (KEY_RANGES rows) are ordered in one. Nulls come first.
+    """
+    key = F.struct(*by)
+    hashed = rows.select(*by).orderBy(F.xxhash64(*by), *by).limit(SAMPLED_KEYS)
+    some = hashed.orderBy(*by).collect()  # SAMPLED_KEYS rows at most
+    step = max(1, len(some) // KEY_RANGES)
+    knots = rows.sparkSession.createDataFrame([(some[step::step],)], f"_knots array<{rows.select(key.alias('k')).schema['k'].dataType.simpleString()}>")
+    ranged = rows.crossJoin(F.broadcast(knots)).withColumn("_range", F.size(F.filter("_knots", lambda k: k <= key))).drop("_knots")  # one row of knots
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    out = ranged.withColumn("_within", within).join(F.broadcast(starts), "_range")
+    return out.withColumn(name, (F.col("_start") + F.col("_within") - 1).cast("long")).drop("_range", "_within", "_start")

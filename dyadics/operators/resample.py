@@ -6,17 +6,19 @@ clusters are added up. The draws of all replicates are spread over the cluster;
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.codes import hash_draw
+from .ordered import places
 
 
 def clusters(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """ix (0, 1, ... in the order of ``by``), by, value_sum, value_count of each cluster."""
     sums = rows.groupBy(*by).agg(F.sum(value).alias("value_sum"), F.count(value).alias("value_count"))
-    return sums.select((F.row_number().over(Window.orderBy(*by)) - 1).cast("long").alias("ix"), *by, "value_sum", "value_count")  # one row a cluster
+    return places(sums, by).select("ix", *by, "value_sum", "value_count")
 
 
 def mean_replicates(sums: DataFrame, n_clusters: int, reps: int, seed: int, slots: int | None = None) -> DataFrame:
@@ -53,6 +55,46 @@ def item_replicates(rows: DataFrame, value: str, reps: int, seed: int) -> DataFr
     return draws.select("rep", at.alias("at")).select("rep", found.alias("v")).groupBy("rep").agg(F.avg("v").alias("estimate"))
 
 
+#: Distinct values that one task draws counts of, about.
+VALUES_A_GROUP = 4_096
+_BLOCK = 250
+
+
+def count_replicates(rows: DataFrame, value: str, reps: int, seed: int) -> DataFrame:
+    """rep, estimate: means of as many items as there are, drawn with replacement, at a cost that rows do not enter.
+
+    How often a replicate draws each distinct value is multinomial. The values are dealt into groups: a replicate first
+    draws how many items come from each group, then each group, in its own task, how many of these are of each value. Both
+    are exact draws by conditional binomials, so the law is that of drawing items one by one. Null values are no items;
+    without items there are no replicates.
+    """
+    kinds = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    groups = 1 + kinds.count() // VALUES_A_GROUP
+    kinds = kinds.withColumn("group", F.pmod(F.xxhash64("v"), F.lit(groups)).cast("int"))
+    sizes = sorted((r["group"], r["n"]) for r in kinds.groupBy("group").agg(F.sum("n").alias("n")).collect())  # one row VALUES_A_GROUP values
+    n = sum(c for _, c in sizes)
+    if not n:
+        return rows.sparkSession.createDataFrame([], "rep long, estimate double")
+    names, share = [g for g, _ in sizes], np.array([c for _, c in sizes]) / n
+
+    def dealt(parts):
+        for part in parts:
+            for rep in part["id"]:
+                drawn = np.random.default_rng([seed, int(rep)]).multinomial(n, share)
+                yield pd.DataFrame({"rep": int(rep), "group": names, "drawn": drawn})
+
+    def of_group(key: tuple, own: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        own, drawn = own.sort_values("v"), drawn.sort_values("rep")
+        draw, v = np.random.default_rng([seed, 1 + int(key[0]), 7]), own["v"].to_numpy()
+        share = own["n"].to_numpy() / own["n"].sum()
+        totals = [draw.multinomial(drawn["drawn"].to_numpy()[a : a + _BLOCK], share) @ v for a in range(0, len(drawn), _BLOCK)]
+        return pd.DataFrame({"rep": drawn["rep"].to_numpy(), "total": np.concatenate(totals)})
+
+    draws = rows.sparkSession.range(reps).mapInPandas(dealt, "rep long, group int, drawn long")
+    sums = kinds.groupBy("group").cogroup(draws.groupBy("group")).applyInPandas(of_group, "rep long, total double")
+    return sums.groupBy("rep").agg((F.sum("total") / F.lit(n)).alias("estimate"))
+
+
 def interval(replicates: DataFrame, alpha: float = 0.05) -> DataFrame:
     """reps, mean, sd and the percentile interval of the estimates."""
     return replicates.agg(

@@ -86,7 +86,7 @@ def fit_lambda_eta(spark, d):
 
 @query()
 def bootstrap_lambda_eta(spark, d):
-    """Both parameters of all answers with errors and intervals over 1,000 draws of whole pairs of goods."""
+    """Both parameters of all answers with errors and intervals over 2,000 draws of whole pairs of goods."""
     return estimate.lambda_eta_bootstrap(_with_utilities(spark, d), ["x_num", "y_num"])
 
 
@@ -143,10 +143,10 @@ def mle_full(spark, d):
 
 @query()
 def sms_fit(spark, d):
-    """Model B: smoothed maximum score from model A's estimates, with errors over 60 draws of cases (the operator's own number is 500)."""
+    """Model B: smoothed maximum score from model A's estimates, with errors over 500 draws of cases."""
     rows = _structural(spark, d)
     found = estimate.smoothed_maximum_score(rows, 100)
-    return estimate.bootstrap_errors(rows, found, 100, found.width, reps=60).withColumn("converged", F.lit(found.converged))
+    return estimate.bootstrap_errors(rows, found, 100, found.width).withColumn("converged", F.lit(found.converged))
 
 
 @query()

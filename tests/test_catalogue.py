@@ -50,4 +50,4 @@ def test_fits_that_converge_and_find_what_is_there(spark, name):
     for r in rows:
         assert r.asDict().get("converged", True)
     if name == "bootstrap_lambda_eta":
-        assert rows[0]["lambda_low"] < 0.5 < rows[0]["lambda_high"] and rows[0]["reps"] == 1000
+        assert rows[0]["lambda_low"] < 0.5 < rows[0]["lambda_high"] and rows[0]["reps"] == 2000
