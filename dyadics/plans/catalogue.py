@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import answers, choices, estimators, series, sets, surveys
+from . import answers, choices, estimators, series, sets, storage, surveys
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (choices, sets, series, answers, estimators, surveys):
+for _part in (choices, sets, series, answers, estimators, surveys, storage):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

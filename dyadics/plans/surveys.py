@@ -15,24 +15,24 @@ QUERIES, ORACLES, query = registry()
 
 
 def _goods(spark, d):
-    """A catalogue of 40 goods from the parts: names, two attributes of three levels; some goods share their attributes."""
-    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey < 40").select("p_partkey", "p_name", "p_brand")
-    k = F.col("p_partkey")
+    """A catalogue of 40 goods from all parts, each good a class of them: names, two attributes of three levels; some goods share their attributes."""
+    p = spark.read.parquet(f"{d}/part.parquet").groupBy((F.col("p_partkey") % 40).alias("k")).agg(F.min("p_brand").alias("p_brand"))
+    k = F.col("k")
     attribute = lambda n: F.struct(F.concat(F.lit(f"trait {n} "), (k % (5 - n)).cast("string")).alias("name"), F.array(*(F.concat(F.lit(f"level {m} of "), k.cast("string")) for m in range(3))).alias("levels"))
     return p.select(k.cast("int").alias("idx"), F.col("p_brand").alias("category"), F.concat(F.lit("Good "), k.cast("string")).alias("name"), F.array(attribute(0), attribute(1)).alias("attrs"))
 
 
-GOODS = "goods AS (SELECT p_partkey::INT AS idx, 'good ' || p_partkey AS name, 'trait 0 ' || p_partkey % 5 AS a, 'trait 1 ' || p_partkey % 4 AS b FROM part WHERE p_partkey < 40)"
+GOODS = "goods AS (SELECT DISTINCT (p_partkey % 40)::INT AS idx, 'good ' || p_partkey % 40 AS name, 'trait 0 ' || p_partkey % 40 % 5 AS a, 'trait 1 ' || p_partkey % 40 % 4 AS b FROM part)"
 
 
-@query("WITH n AS (SELECT p_partkey AS x FROM part WHERE p_partkey < 40), p AS (SELECT a.x::INT AS x_num, b.x::INT AS y_num, row_number() OVER (ORDER BY a.x, b.x) - 1 AS pair FROM n a JOIN n b ON a.x < b.x) SELECT x_num, y_num, pair, ((pair * 8 + k) * 2 % 81)::INT AS code, k::INT AS pos FROM p, range(8) r(k)")
+@query("WITH n AS (SELECT DISTINCT p_partkey % 40 AS x FROM part), p AS (SELECT a.x::INT AS x_num, b.x::INT AS y_num, row_number() OVER (ORDER BY a.x, b.x) - 1 AS pair FROM n a JOIN n b ON a.x < b.x) SELECT x_num, y_num, pair, ((pair * 8 + k) * 2 % 81)::INT AS code, k::INT AS pos FROM p, range(8) r(k)")
 def goods_pairs(spark, d):
     codes = [2 * n % 81 for n in range(81)]
     rows = designs.goods_pairs(_goods(spark, d), codes, 8)
     return rows.select("x_num", "y_num", "pair", F.posexplode("codes").alias("pos", "code"))
 
 
-@query("WITH n AS (SELECT p_partkey AS x FROM part WHERE p_partkey < 40), p AS (SELECT a.x::INT AS x_num, b.x::INT AS y_num, row_number() OVER (ORDER BY a.x, b.x) - 1 AS pair FROM n a JOIN n b ON a.x < b.x) SELECT 1 + pair * 8 + k AS case_id, x_num, y_num, ((pair * 8 + k) % 81)::INT AS code FROM p, range(8) r(k)")
+@query("WITH n AS (SELECT DISTINCT p_partkey % 40 AS x FROM part), p AS (SELECT a.x::INT AS x_num, b.x::INT AS y_num, row_number() OVER (ORDER BY a.x, b.x) - 1 AS pair FROM n a JOIN n b ON a.x < b.x) SELECT 1 + pair * 8 + k AS case_id, x_num, y_num, ((pair * 8 + k) % 81)::INT AS code FROM p, range(8) r(k)")
 def numbered_cases(spark, d):
     return designs.numbered_cases(designs.goods_pairs(_goods(spark, d), designs.rotating_codes(0, 81), 8))
 
@@ -299,10 +299,10 @@ def parameter_agreement(spark, d):
     return survey.parameter_agreement(target, base, ["model"], ["p3", "p37"])
 
 
-@query(f"""WITH {v.GRID}, w AS (SELECT event_id % 4 AS seed, (2000 * (1 + event_id % 20))::INT AS step, max(value) AS w FROM events WHERE event_id % 4 < 3 GROUP BY 1, 2), o AS (SELECT seed, step, min(w) AS w FROM w GROUP BY 1, 2) SELECT seed, step, "lambda", w FROM grid LEFT JOIN o USING (seed, step)""")
+@query(f"""WITH {v.GRID}, w AS (SELECT event_id % 5 AS seed, (2000 * (1 + event_id % 20))::INT AS step, max(value) AS w FROM events GROUP BY 1, 2), o AS (SELECT seed, step, min(w) AS w FROM w GROUP BY 1, 2) SELECT seed, step, "lambda", w FROM grid LEFT JOIN o USING (seed, step)""")
 def enriched_grid(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 4 < 3")
-    other = e.groupBy((F.col("event_id") % 4).alias("seed"), (2000 * (1 + F.col("event_id") % 20)).cast("int").alias("step")).agg(F.max("value").alias("w"))
+    e = spark.read.parquet(f"{d}/events.parquet")
+    other = e.groupBy((F.col("event_id") % 5).alias("seed"), (2000 * (1 + F.col("event_id") % 20)).cast("int").alias("step")).agg(F.max("value").alias("w"))
     return survey.enriched(v.grid(spark, d).select("seed", "step", "lambda"), other, ["seed", "step"], ["w"])
 
 
@@ -342,10 +342,26 @@ def delta_outcomes(spark, d):
     return gates.delta_outcomes(v.cases(spark, d), deltas, "case_id", "delta")
 
 
-@query("SELECT 'c_mktsegment' AS \"column\", value FROM (SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_custkey < 5) WHERE value IN (SELECT c_mktsegment FROM customer WHERE c_custkey BETWEEN 5 AND 12) UNION ALL SELECT 'c_nationkey', value::VARCHAR FROM (SELECT DISTINCT c_nationkey AS value FROM customer WHERE c_custkey < 5) WHERE value IN (SELECT c_nationkey FROM customer WHERE c_custkey BETWEEN 5 AND 12)")
+_CATALOGUES = """goods AS (SELECT 'Good ' || p_partkey % 300 AS name, min(p_brand) AS category, 'trait ' || p_partkey % 300 % 7 AS attribute, 'level ' || p_partkey % 300 % 11 AS level FROM part GROUP BY p_partkey % 300),
+others AS (SELECT CASE WHEN s_suppkey % 9 = 0 THEN 'Good ' || s_suppkey % 400 ELSE s_name END AS name, CASE WHEN s_suppkey % 25 = 0 THEN 'Brand#1' ELSE 'Nation ' || s_nationkey END AS category, 'trait ' || s_suppkey % 12 AS attribute, 'Level ' || s_suppkey % 13 AS level FROM supplier)"""
+
+
+def _catalogues(spark, d):
+    """Two catalogues of goods: one of the parts' classes, one of the suppliers."""
+    p = spark.read.parquet(f"{d}/part.parquet").groupBy((F.col("p_partkey") % 300).alias("k")).agg(F.min("p_brand").alias("category"))
+    k = F.col("k")
+    goods = p.select(F.concat(F.lit("Good "), k).alias("name"), "category", F.concat(F.lit("trait "), k % 7).alias("attribute"), F.concat(F.lit("level "), k % 11).alias("level"))
+    n = F.col("s_suppkey")
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    others = s.select(F.when(n % 9 == 0, F.concat(F.lit("Good "), n % 400)).otherwise(F.col("s_name")).alias("name"), F.when(n % 25 == 0, "Brand#1").otherwise(F.concat(F.lit("Nation "), "s_nationkey")).alias("category"), F.concat(F.lit("trait "), n % 12).alias("attribute"), F.concat(F.lit("Level "), n % 13).alias("level"))
+    return goods, others
+
+
+@query(f"WITH {_CATALOGUES} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", value FROM (SELECT DISTINCT {c} AS value FROM goods) WHERE value IN (SELECT {c} FROM others)" for c in ("name", "category", "attribute", "level")))
 def common_values(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet")
-    return gates.common_values(c.where("c_custkey < 5"), c.where("c_custkey BETWEEN 5 AND 12"), {"c_mktsegment": "c_mktsegment", "c_nationkey": "c_nationkey"})
+    """What two whole catalogues share: names, categories, attributes and values."""
+    goods, others = _catalogues(spark, d)
+    return gates.common_values(goods, others, {c: c for c in ("name", "category", "attribute", "level")})
 
 
 @query("SELECT r_regionkey AS k, r_name AS name, NULL::INT AS region FROM region UNION ALL SELECT n_nationkey, NULL, n_regionkey FROM nation")

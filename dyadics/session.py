@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: For streams with timers: their state store, set before the stream starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def session(app: str = "dyadics", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the library's settings; ``conf`` entries are added on top.
