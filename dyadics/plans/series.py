@@ -122,9 +122,11 @@ def replication_verdict(spark, d):
     return selection.replication(checks, "seed", ["s1", "s2"])
 
 
-@query("SELECT range AS step, round(CASE WHEN range - 1 < 100 THEN 1e-4::DOUBLE * (range - 1) / 100 ELSE 1e-4::DOUBLE * 0.5 * (1 + cos(pi() * least(greatest((range - 1 - 100) / 900.0::DOUBLE, 0), 1))) END, 12) AS lr FROM range(1, 1001)", digits=12)
+@query("WITH s AS (SELECT event_id, 1 + event_id % 1000 AS step FROM events) SELECT event_id, step, round(CASE WHEN step - 1 < 100 THEN 1e-4::DOUBLE * (step - 1) / 100 ELSE 1e-4::DOUBLE * 0.5 * (1 + cos(pi() * least(greatest((step - 1 - 100) / 900.0::DOUBLE, 0), 1))) END, 12) AS lr FROM s", digits=12)
 def learning_rate_schedule(spark, d):
-    return spark.range(1, 1001).select(F.col("id").alias("step"), learning_rate(F.col("id"), 1e-4, 100, 1000).alias("lr"))
+    """The rate at the step of each event."""
+    steps = spark.read.parquet(f"{d}/events.parquet").select("event_id", (1 + F.col("event_id") % 1000).alias("step"))
+    return steps.withColumn("lr", learning_rate(F.col("step"), 1e-4, 100, 1000))
 
 
 BOOT = v.PAIRS + """, cl AS (SELECT row_number() OVER (ORDER BY x_num, y_num) - 1 AS ix, sum(p_no_x - p_no_y) AS s, count(*) AS c FROM pairs GROUP BY x_num, y_num),
@@ -166,6 +168,30 @@ def paired_bootstrap_ci(spark, d):
     return resample.interval(resample.item_replicates(rows, "diff", 2000, 11))
 
 
+ITEMS = v.PAIRS + ", i AS (SELECT (p_yes_y > p_no_y)::INT - (p_yes_x > p_no_x)::INT AS diff FROM pairs)"
+
+
+def _items(spark, d):
+    return v.paired(spark, d).select(((F.col("p_yes_y") > F.col("p_no_y")).cast("int") - (F.col("p_yes_x") > F.col("p_no_x")).cast("int")).alias("diff"))
+
+
+@query()
+def paired_bootstrap_counts(spark, d):
+    """The interval over 10,000 replicates, drawn as counts of the distinct differences."""
+    return resample.interval(resample.count_replicates(_items(spark, d), "diff", 10_000, 11))
+
+
+@query(f"WITH {ITEMS} SELECT count(*) AS items, 10000::BIGINT AS reps, round(avg(diff), 6) AS mean, round(stddev_pop(diff) / sqrt(count(*)), 6) AS law_sd, true AS mean_fits, true AS sd_fits FROM i")
+def paired_bootstrap_law(spark, d):
+    """Whether mean and spread of the 10,000 replicates are those that the law of drawing items has, within five errors."""
+    items = _items(spark, d)
+    law = items.agg(F.count("*").alias("items"), F.avg("diff").alias("mean"), (F.stddev_pop("diff") / F.sqrt(F.count("*"))).alias("law_sd"))
+    found = resample.interval(resample.count_replicates(items, "diff", 10_000, 11)).select("reps", F.col("mean").alias("_mean"), "sd")
+    error = F.col("law_sd") / F.sqrt(F.col("reps"))
+    one = law.crossJoin(F.broadcast(found))  # a row each
+    return one.select("items", "reps", "mean", "law_sd", (F.abs(F.col("_mean") - F.col("mean")) <= 5 * error).alias("mean_fits"), (F.abs(F.col("sd") - F.col("law_sd")) <= 5 * error / F.sqrt(F.lit(2.0))).alias("sd_fits"))
+
+
 @query(f"WITH {v.PAIRS}, t AS (SELECT sum(p_no_x) AS s, count(*) AS n FROM pairs), s AS (SELECT g, sum(p_no_x) AS s, count(*) AS n FROM (SELECT x_num AS g, p_no_x FROM pairs UNION ALL SELECT y_num, p_no_x FROM pairs) GROUP BY 1) SELECT g AS good, round(t.s - s.s, 6) AS p_no_x, t.n - s.n AS n FROM s, t")
 def leave_one_good_out(spark, d):
     return resample.leave_one_good_out(v.paired(spark, d).select("x_num", "y_num", "p_no_x", F.lit(1).alias("n")), "x_num", "y_num", ["p_no_x", "n"])
@@ -247,6 +273,61 @@ def stream_running_summary(spark, d):
     return _now(spark, jobs.running_summary(_replayed(spark, d), ["model"], "p_yes", "p_no"), "complete")
 
 
+LOGS = """lines AS (SELECT 'r' || user_id % 40 AS run, event_id AS place, event_id % 3 = 0 AS bar, event_id % 1000 AS done, event_id % 7200 AS spent, printf('%.2f', (event_id % 200 - 100) / 100.0::DOUBLE) AS reward, printf('%.3f', (event_id % 1000) / 1000.0::DOUBLE) AS zero FROM events),
+bars AS (SELECT run, arg_max(done, place) AS done, arg_max(spent, place) AS spent FROM lines WHERE bar GROUP BY 1), tails AS (SELECT run, place, reward, zero FROM lines WHERE NOT bar QUALIFY row_number() OVER (PARTITION BY run ORDER BY place DESC) <= 5)"""
+
+
+@query(
+    f"""WITH {LOGS}, m AS (SELECT run, string_agg(printf('%.3f', reward::DOUBLE), ',' ORDER BY place) AS rewards, string_agg(zero, ',' ORDER BY place) AS zero_stds FROM tails GROUP BY 1), l AS (SELECT run, max(place) AS last_place FROM lines GROUP BY 1)
+SELECT run, done, 1000::BIGINT AS total, round(done / 1000.0::DOUBLE, 6) AS share, round(CASE WHEN done > 0 THEN spent / done::DOUBLE * (1000 - done) END, 6) AS seconds_left, rewards, zero_stds, last_place, false AS stalled FROM l LEFT JOIN bars USING (run) LEFT JOIN m USING (run)"""
+)
+def stream_progress(spark, d):
+    """Runs followed as their logs come in, in files of any order: progress, time left, the last five metrics, silence."""
+    from ..session import STATE_STORE
+    from ..streaming import monitor
+
+    k = F.col("event_id")
+    bar = F.format_string("%3d%%|##  | %d/1000 [%02d:%02d:%02d<01:00,  5.0s/it]", F.floor(k % 1000 / 10), k % 1000, F.floor(k % 7200 / 3600), F.floor(k % 3600 / 60), k % 60)
+    metric = F.format_string("{'loss': '0.5', 'reward': '%.2f', 'frac_reward_zero_std': '%.3f'}", (k % 200 - 100) / 100.0, (k % 1000) / 1000.0)
+    lines = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("r"), F.col("user_id") % 40).alias("run"), k.alias("place"), F.when(k % 3 == 0, bar).otherwise(metric).alias("value"))
+    folder = shared_folder(spark)
+    lines.repartition(4).write.parquet(f"{folder}/lines")
+    before = spark.conf.get(STATE_STORE[0])
+    spark.conf.set(*STATE_STORE)
+    try:
+        stream = monitor.monitored(jobs.parquet_stream(spark, f"{folder}/lines", lines.schema, 1), 3_600_000)
+        keep = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/status/n={number}")
+        query = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime="200 milliseconds").start()
+        monitor.until_read(query, lines.count())
+    finally:
+        spark.conf.set(STATE_STORE[0], before)
+    last = keep_last(spark.read.parquet(f"{folder}/status"), ["run"], "batch")
+    text = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.format_string("%.3f", x)))
+    return last.select("run", "done", "total", "share", "seconds_left", text("reward").alias("rewards"), text("frac_reward_zero_std").alias("zero_stds"), "last_place", "stalled")
+
+
+@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 6) AS value, 2 AS folders FROM events GROUP BY 1")
+def stream_upsert(spark, d):
+    """The last event of each user from a stream in batches: one comes again, and a compaction comes between others."""
+    from ..streaming.table import UpsertTable
+
+    folder = shared_folder(spark)
+    rows = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "event_type", "value")
+    rows.repartition(6).write.parquet(f"{folder}/events")
+    table = UpsertTable(spark, f"{folder}/table", ["user_id"], "event_id")
+
+    def take(batch, number):
+        table.write(batch, number)
+        if number == 2:
+            table.write(batch, 1)  # a batch that has been taken in comes again
+        if number == 4:
+            table.compact()
+
+    stream = jobs.parquet_stream(spark, f"{folder}/events", rows.schema, 1)
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return table.latest().withColumn("folders", F.lit(len(table.manifest()["folders"])))
+
+
 def _replayed(spark, d):
     """The predictions as a stream of the files of a folder to which they were written."""
     folder = shared_folder(spark)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import prompts as pr
@@ -48,6 +50,26 @@ SMALL = "small AS (SELECT o_orderkey AS case_id, (o_custkey % 20)::INT AS x_num,
 _LEVEL = "'level ' || {0} || ' of ' || {1}"
 
 
+def _filled(template: str) -> str:
+    """A prompt's template as SQL: its texts joined to the columns that it names."""
+    parts = re.split(r"[{}]", template)
+    texts = ["'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" if n % 2 == 0 else t for n, t in enumerate(parts)]
+    return "(" + " || ".join(t for t in texts if t != "''") + ")"
+
+
+def _by(column: str, table: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {_filled(t)}" for k, t in table.items()) + " END"
+
+
+def _goods_named(e: str, o: str, e1: str, e2: str, o1: str, o2: str) -> str:
+    """The names and values that fill the places of two goods' prompts."""
+    out = [f"'good ' || {e} AS e", f"'good ' || {o} AS o"]
+    for side, good, levels in (("e", e, (e1, e2)), ("o", o, (o1, o2))):
+        for n, (letter, level) in enumerate(zip("ab", levels, strict=True)):
+            out += [f"'trait {n} ' || {good} % {5 - n} AS {side}{letter}", f"{_LEVEL.format(level, good)} AS {side}{letter}v"]
+    return ", ".join(out)
+
+
 @query(
     f"""WITH {SMALL}, f AS (SELECT case_id, CASE WHEN p = 'X' THEN x_num ELSE y_num END AS keep_good, CASE WHEN p = 'X' THEN y_num ELSE x_num END AS trade_good,
  case_id || ':' || p || ':' || s || ':' || o || ':' || a || ':' || h AS form_id FROM small, (VALUES ('X'), ('Y')) pp(p), (VALUES ('yes_no'), ('keep_trade'), ('ab_kt'), ('ab_tk')) ss(s), (VALUES ('endowed_first'), ('offered_first')) oo(o), (VALUES ('normal'), ('reversed')) aa(a), (VALUES ('p0'), ('p1'), ('p2')) hh(h))
@@ -59,41 +81,68 @@ def surface_forms(spark, d):
     return forms.groupBy("keep_good", "trade_good").agg(F.count("*").alias("forms"), F.count_distinct("form_id").alias("ids"), F.min("form_id").alias("first_id"), F.max("form_id").alias("last_id"))
 
 
+_IN_TERMS = {
+    "normal": "In terms of {%a}, the {%} is {%av}. In terms of {%b}, it is {%bv}.",
+    "reversed": "In terms of {%b}, the {%} is {%bv}. In terms of {%a}, it is {%av}.",
+}
+_SIDES = f"""l AS (SELECT *, {v.LEVELS} FROM small), t AS (SELECT case_id, 'X' AS perspective, {_goods_named('x_num', 'y_num', *'ijkl')} FROM l UNION ALL SELECT case_id, 'Y', {_goods_named('y_num', 'x_num', *'klij')} FROM l)"""
+_NL = " || chr(10) || "
+
+
 @query(
-    f"""WITH {SMALL}, l AS (SELECT *, {v.LEVELS} FROM small), t AS (SELECT case_id, 'good ' || x_num AS e, 'good ' || y_num AS o, 'trait 0 ' || x_num % 5 AS ea, {_LEVEL.format('i', 'x_num')} AS eav, 'trait 1 ' || x_num % 4 AS eb, {_LEVEL.format('j', 'x_num')} AS ebv,
- 'trait 0 ' || y_num % 5 AS oa, {_LEVEL.format('k', 'y_num')} AS oav, 'trait 1 ' || y_num % 4 AS ob, {_LEVEL.format('l', 'y_num')} AS obv FROM l)
-SELECT case_id, md5('Imagine you happen to end up owning a ' || e || '.' || chr(10) || 'You may either hold on to the ' || e || ' or exchange it for a ' || o || '.' || chr(10) || 'In terms of ' || ob || ', the ' || o || ' is ' || obv || '. In terms of ' || oa || ', it is ' || oav || '.' || chr(10)
- || 'For the ' || e || ' you currently hold: In terms of ' || eb || ', the ' || e || ' is ' || ebv || '. In terms of ' || ea || ', it is ' || eav || '.' || chr(10) || 'Choose one: (A) trade it for the ' || o || '; (B) keep the ' || e || '. Answer with the single letter A or B.') AS prompt_md5 FROM t"""
+    f"""WITH {SMALL}, {_SIDES}, f AS (SELECT * FROM t, (VALUES ('yes_no'), ('keep_trade'), ('ab_kt'), ('ab_tk')) ss(style), (VALUES ('endowed_first'), ('offered_first')) dd(display), (VALUES ('normal'), ('reversed')) aa(attr), (VALUES ('p0'), ('p1'), ('p2')) hh(phrase)),
+b AS (SELECT *, {_by('phrase', pr.INTRO)} AS intro, {_by('phrase', pr.OPTION)} AS opt, {_by('style', pr.QUESTIONS)} AS question, {_by('attr', {k: t.replace('%', 'e') for k, t in _IN_TERMS.items()})} AS own, {_by('attr', {k: t.replace('%', 'o') for k, t in _IN_TERMS.items()})} AS other FROM f),
+q AS (SELECT case_id, perspective, md5(CASE display WHEN 'offered_first' THEN intro{_NL}opt{_NL}other{_NL}'For the ' || e || ' you currently hold: ' || own ELSE intro{_NL}own{_NL}opt{_NL}other END{_NL}question) AS m FROM b)
+SELECT case_id, perspective, count(*) AS forms, count(DISTINCT m) AS prompts, md5(string_agg(m, ',' ORDER BY m)) AS prompts_md5 FROM q GROUP BY 1, 2"""
 )
 def surface_prompts(spark, d):
-    """Of each case the prompt of one of its 48 forms, in whole."""
-    forms = designs.surface_forms(_small_cases(spark, d).withColumn("perspective", F.lit("X")), _goods(spark, d))
-    one = forms.where("answer_style = 'ab_tk' AND display_order = 'offered_first' AND attr_order = 'reversed' AND paraphrase = 'p1'")
-    return one.select("case_id", F.md5("prompt").alias("prompt_md5"))
+    """The prompts of all 48 forms of both sides of each case, in whole."""
+    cases = _small_cases(spark, d).withColumn("perspective", F.explode(F.array(F.lit("X"), F.lit("Y"))))
+    forms = designs.surface_forms(cases, _goods(spark, d)).select("case_id", "perspective", F.md5("prompt").alias("m"))
+    of = forms.groupBy("case_id", "perspective").agg(F.array_sort(F.collect_list("m")).alias("m"))  # 48 forms
+    return of.select("case_id", "perspective", F.size("m").cast("long").alias("forms"), F.size(F.array_distinct("m")).cast("long").alias("prompts"), F.md5(F.concat_ws(",", "m")).alias("prompts_md5"))
 
 
 @query(
-    f"""WITH {SMALL}, l AS (SELECT *, {v.LEVELS} FROM small), b AS (SELECT case_id, 'AX_BY' AS ord, x_num AS a, y_num AS b, i AS a1, j AS a2, k AS b1, l AS b2 FROM l UNION ALL SELECT case_id, 'AY_BX', y_num, x_num, k, l, i, j FROM l)
-SELECT case_id, ord AS "order", a AS good_for_a, b AS good_for_b, case_id || ':neutral:' || ord || ':p1' AS form_id,
- md5('Two goods are available.' || chr(10) || 'Option A: a good ' || a || ' (trait 0 ' || a % 5 || ': level ' || a1 || ' of ' || a || '; trait 1 ' || a % 4 || ': level ' || a2 || ' of ' || a || ').' || chr(10)
- || 'Option B: a good ' || b || ' (trait 0 ' || b % 5 || ': level ' || b1 || ' of ' || b || '; trait 1 ' || b % 4 || ': level ' || b2 || ' of ' || b || ').' || chr(10) || 'Which do you prefer? Reply with a single letter, A or B.') AS prompt_md5 FROM b"""
+    f"""WITH {SMALL}, l AS (SELECT *, {v.LEVELS} FROM small), b AS (SELECT case_id, 'AX_BY' AS ord, x_num AS good_for_a, y_num AS good_for_b, {_goods_named('x_num', 'y_num', *'ijkl')} FROM l UNION ALL SELECT case_id, 'AY_BX', y_num, x_num, {_goods_named('y_num', 'x_num', *'klij')} FROM l)
+SELECT case_id, ord AS "order", phrase AS paraphrase, good_for_a, good_for_b, case_id || ':neutral:' || ord || ':' || phrase AS form_id, md5({_by('phrase', pr.NEUTRAL)}) AS prompt_md5 FROM b, (VALUES ('p0'), ('p1')) hh(phrase)"""
 )
 def neutral_forms(spark, d):
-    forms = designs.neutral_forms(_small_cases(spark, d), _goods(spark, d)).where("paraphrase = 'p1'")
-    return forms.select("case_id", "order", "good_for_a", "good_for_b", "form_id", F.md5("prompt").alias("prompt_md5"))
+    forms = designs.neutral_forms(_small_cases(spark, d), _goods(spark, d))
+    return forms.select("case_id", "order", "paraphrase", "good_for_a", "good_for_b", "form_id", F.md5("prompt").alias("prompt_md5"))
 
 
-@query(
-    f"""WITH {SMALL}, l AS (SELECT *, {v.LEVELS} FROM small), t AS (SELECT case_id, x_num, y_num, 'good ' || x_num AS e, 'good ' || y_num AS o, i, j, k, l FROM l),
-b AS (SELECT case_id, e, o, 'Suppose that, by chance, you receive a ' || e || ' out of many possible goods that you could have received. ' || chr(10) || 'In terms of trait 0 ' || x_num % 5 || ', the ' || e || ' is level ' || i || ' of ' || x_num || '. In terms of trait 1 ' || x_num % 4 || ', it is level ' || j || ' of ' || x_num || '.' || chr(10)
- || 'You can keep the ' || e || ' or trade it for a ' || o || '. ' || chr(10) || 'In terms of trait 0 ' || y_num % 5 || ', the ' || o || ' is level ' || k || ' of ' || y_num || '. In terms of trait 1 ' || y_num % 4 || ', it is level ' || l || ' of ' || y_num || '.' || chr(10) AS base FROM t)
-SELECT case_id, md5(base || 'Would you trade it? Answer with the single word Yes or No.') AS baseline, md5(base || 'But even if you choose to keep the ' || e || ', there is a 50% probability that the ' || e || ' will be switched for the ' || o || '. Would you trade it? Answer with the single word Yes or No.') AS forced FROM b"""
-)
+@query(f"""WITH {SMALL}, l AS (SELECT *, {v.LEVELS} FROM small), t AS (SELECT case_id, {_goods_named('x_num', 'y_num', *'ijkl')} FROM l) SELECT case_id, {', '.join(f'md5({_filled(pr.BASE + text)}) AS {name}' for name, text in pr.TREATMENTS.items())} FROM t""")
 def treatment_prompts(spark, d):
+    """Each case's prompt without a treatment, with a warning of the biases, and with a forced switch."""
     cases = _small_cases(spark, d)
     placed = designs._placed(cases, _goods(spark, d), "x_num", "y_num", F.lit(True))
     e, o = pr.good_places("e", F.col("_e"), F.col("_e1"), F.col("_e2")), pr.good_places("o", F.col("_o"), F.col("_o1"), F.col("_o2"))
-    return placed.select("case_id", F.md5(pr.treatment(e, o)).alias("baseline"), F.md5(pr.treatment(e, o, "forced")).alias("forced"))
+    return placed.select("case_id", *(F.md5(pr.treatment(e, o, name)).alias(name) for name in pr.TREATMENTS))
+
+
+_SHOWN = [("Two and two?", "#### 4"), ("Ten less one?", "#### 9")]
+
+
+@query("SELECT item_id, 5 AS turns, md5('Q: Two and two?' || chr(10) || 'A:|#### 4|Q: Ten less one?' || chr(10) || 'A:|#### 9|Q: ' || text || chr(10) || 'A:') AS contents_md5 FROM benchmark")
+def few_shot_prompts(spark, d):
+    """Questions after two worked examples, as turns of a conversation."""
+    b = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", pr.few_shot(_SHOWN, F.col("text")).alias("turns"))
+    return b.select("item_id", F.size("turns").alias("turns"), F.md5(F.concat_ws("|", "turns.content")).alias("contents_md5"))
+
+
+@query(
+    """WITH g AS (SELECT p_partkey % 200 AS k, count(*) AS n FROM part GROUP BY 1) SELECT k::INT AS idx, rule FROM g, (VALUES ('number of attributes', 0), ('number of levels', 1), ('repeated level', 2)) r(rule, c) WHERE CASE c WHEN 0 THEN k % 7 = 0 WHEN 1 THEN k % 5 = 0 ELSE k % 3 = 0 END"""
+)
+def catalogue_faults(spark, d):
+    """Goods of a catalogue with too few attributes, too few levels or a level twice."""
+    p = spark.read.parquet(f"{d}/part.parquet").groupBy((F.col("p_partkey") % 200).cast("int").alias("idx")).agg(F.count("*").alias("n"))
+    k = F.col("idx")
+    level = lambda n: F.concat(F.lit("level "), F.lit(n).cast("string"))
+    levels = F.array(level(0), F.when(k % 3 == 0, level(0)).otherwise(level(1)), level(2))
+    first = F.struct(F.lit("a").alias("name"), F.when(k % 5 == 0, F.concat(levels, F.array(level(7)))).otherwise(levels).alias("levels"))
+    second = F.struct(F.lit("b").alias("name"), F.array(level(0), level(1), level(2)).alias("levels"))
+    return gates.catalogue_faults(p.select("idx", F.when(k % 7 == 0, F.array(first)).otherwise(F.array(first, second)).alias("attrs")))
 
 
 @query(
@@ -123,9 +172,13 @@ def design_coverage(spark, d):
     return designs.coverage(_small_cases(spark, d), _goods(spark, d))
 
 
-@query("SELECT i.range::INT AS i, j.range::INT AS j, k.range::INT AS k, l.range::INT AS l FROM range(3) i, range(3) j, range(3) k, range(3) l WHERE i.range >= k.range AND j.range >= l.range AND NOT (i.range = k.range AND j.range = l.range)")
+@query(
+    f"""WITH {v.CASES}, l AS (SELECT {v.LEVELS} FROM cases), n AS (SELECT i, j, k, l, count(*) AS cases FROM l GROUP BY ALL) SELECT i, j, k, l, coalesce(cases, 0) AS cases FROM (SELECT i.range::INT AS i, j.range::INT AS j, k.range::INT AS k, l.range::INT AS l FROM range(3) i, range(3) j, range(3) k, range(3) l WHERE i.range >= k.range AND j.range >= l.range AND NOT (i.range = k.range AND j.range = l.range)) d LEFT JOIN n USING (i, j, k, l)"""
+)
 def dominance_pairs(spark, d):
-    return designs.dominance_pairs(spark)
+    """The pairs of profiles of which the first dominates, and how many cases have each."""
+    cases = v.with_levels(v.cases(spark, d)).groupBy(*"ijkl").agg(F.count("*").alias("cases"))
+    return F.broadcast(designs.dominance_pairs(spark)).join(cases, list("ijkl"), "left").fillna(0, ["cases"])  # 27 pairs
 
 
 def _parameters(spark, d):
