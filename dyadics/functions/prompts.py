@@ -5,6 +5,8 @@ A good is a struct (idx, name, attrs) with two attributes of three levels, as ``
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,12 +53,10 @@ ATTR_ORDERS = ("normal", "reversed")
 NEUTRAL_ORDERS = ("AX_BY", "AY_BX")
 
 
-def fill(template: Column | str, places: dict[str, Column]) -> Column:
+def fill(template: str, places: dict[str, Column]) -> Column:
     """A template with each ``{name}`` replaced by a column, all at once: what a column holds is never filled again."""
-    text = F.lit(template) if isinstance(template, str) else template
-    parts = F.split(text, r"[{}]")  # text and names in turn
-    values = F.create_map(*(x for name, value in places.items() for x in (F.lit(name), F.coalesce(value, F.lit("")))))
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.element_at(values, p)).otherwise(p)), "")
+    parts = re.split(r"[{}]", template)  # text and names in turn
+    return F.concat(*(F.coalesce(places[p], F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)))
 
 
 def good_places(side: str, good: Column, first: Column, second: Column) -> dict[str, Column]:
@@ -86,8 +86,7 @@ def described(side: str, places: dict[str, Column], attr_order: Column) -> Colum
 
 
 def _of(table: dict[str, str], key: Column, places: dict[str, Column]) -> Column:
-    texts = F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.lit(v))))
-    return fill(F.element_at(texts, key), places)
+    return F.coalesce(*(F.when(key == k, fill(v, places)) for k, v in table.items()))
 
 
 def surface_form(style: Column, display: Column, attr_order: Column, paraphrase: Column, endowed: dict[str, Column], offered: dict[str, Column]) -> Column:

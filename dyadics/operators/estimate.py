@@ -645,24 +645,48 @@ def grouped_folds(rows: DataFrame, x: list[str], y: str, group: list[str], k: in
     return rows.sparkSession.createDataFrame(out, "fold int, n long, mse double")
 
 
-def recovery(spark, cells_: list[tuple[float, float]], reps: int = 100, n: int = 1_000, boots: int = 200, seed: int = 0, spread: float = 0.4, binary: bool = False) -> DataFrame:
+#: Rows of a design that recovery broadcasts.
+DESIGN_ROWS = 100_000
+
+
+def recovery(spark, cells_: list[tuple[float, float]], reps: int = 100, n: int = 1_000, boots: int = 200, seed: int = 0, spread: float = 0.4, binary: bool = False, design: DataFrame | None = None) -> DataFrame:
     """cell, lambda, eta, reps, failures, failure_rate, biases and their sds, coverage of 95 % intervals, jac_cond, lambda_se, weak_identification.
 
-    Each replicate simulates ``n`` cases, fits both parameters, and fits them again to ``boots`` draws of its cases, all in
-    its own task. With ``binary`` the answers are draws, not probabilities.
+    Each replicate makes answers, fits both parameters, and fits them again to ``boots`` draws of its cases, all in its own
+    task. Without a ``design`` it makes ``n`` cases too, and with ``binary`` the answers are draws, not probabilities. A
+    ``design`` (u_x, u_y, weight: a row each pair of utilities, with its number of cases) is the parametric bootstrap of a given
+    table: as many cases of each pair answer by chance, and cases of equal answers count as one row.
     """
     grid = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(cells_)], "cell int, true_lambda double, true_eta double")
     runs = grid.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(max(1, len(cells_) * reps // 10), "cell", "rep")
+    given = None
+    if design is not None:
+        rows = design.select("u_x", "u_y", F.col("weight").cast("long").alias("weight")).orderBy("u_x", "u_y").limit(DESIGN_ROWS + 1).toPandas()
+        if len(rows) > DESIGN_ROWS:
+            raise ValueError(f"a design of more than {DESIGN_ROWS} pairs of utilities")
+        given = spark.sparkContext.broadcast(tuple(rows[c].to_numpy() for c in rows))
+
+    def answered(draw: np.random.Generator, lam: float, eta: float) -> tuple:
+        """Utilities, answers and number of cases of each row."""
+        chance = lambda a, b: 1 / (1 + np.exp(-((1 + lam) * a - b + eta)))
+        if given is None:
+            vx, vy = np.exp(draw.normal(0, spread, n)), np.exp(draw.normal(0, spread, n))
+            p, q = chance(vx, vy), chance(vy, vx)
+            if binary:
+                p, q = draw.binomial(1, p).astype(float), draw.binomial(1, q).astype(float)
+            return vx, vy, p, q, np.ones(n, dtype=np.int64)
+        vx, vy, many = given.value
+        p, q = chance(vx, vy), chance(vy, vx)
+        kinds = draw.multinomial(many, np.stack([p * q, p * (1 - q), (1 - p) * q, (1 - p) * (1 - q)], axis=-1))
+        at, kind = np.nonzero(kinds)
+        return vx[at], vy[at], (kind < 2).astype(float), (kind % 2 == 0).astype(float), kinds[at, kind]
 
     def one(lam: float, eta: float, cell: int, rep: int) -> tuple:
         draw = np.random.default_rng([seed, cell, rep])
-        vx, vy = np.exp(draw.normal(0, spread, n)), np.exp(draw.normal(0, spread, n))
-        p = [1 / (1 + np.exp(-((1 + lam) * a - b + eta))) for a, b in ((vx, vy), (vy, vx))]
-        if binary:
-            p = [draw.binomial(1, x).astype(float) for x in p]
-        got = two_parameter_fits(vx, vy, *p, np.ones((1, n)))
-        weights = draw.multinomial(n, np.full(n, 1 / n), size=boots).astype(float)
-        a, b, _, ok, _ = two_parameter_fits(vx, vy, *p, weights, (float(got[0][0]), float(got[1][0])))
+        vx, vy, p, q, many = answered(draw, lam, eta)
+        got = two_parameter_fits(vx, vy, p, q, many[None].astype(float))
+        weights = draw.multinomial(many.sum(), many / many.sum(), size=boots).astype(float)
+        a, b, _, ok, _ = two_parameter_fits(vx, vy, p, q, weights, (float(got[0][0]), float(got[1][0])))
         if not (got[3][0] and ok.any()):
             return cell, rep, None, None, None, None, None, None
         inside = [bool(lo <= t <= hi) for t, (lo, hi) in ((lam, np.percentile(a[ok], [2.5, 97.5])), (eta, np.percentile(b[ok], [2.5, 97.5])))]

@@ -104,3 +104,21 @@ def cosine_null(spark, shape: tuple[int, int], rank: int, draws: int, seed: int)
             yield pd.DataFrame(out, columns=["draw", "cosine"])
 
     return spark.range(draws).mapInPandas(run, "draw long, cosine double")
+
+
+def permuted_cosines(factors: DataFrame, key: str, seed: int) -> DataFrame:
+    """key, other, cosine, fro_one, fro_two, difference: each module with one that a derangement gives it, so with another's.
+
+    Modules are put in the order of a hash and each meets the next, the last the first: none meets itself if there are two.
+    What cosines come out is what the given modules have by chance, whatever the law of their numbers.
+    """
+    from ..functions.codes import hash_rank_key
+    from .ordered import places
+
+    ranked = places(factors.select(key, hash_rank_key(seed, F.col(key)).alias("_h")), ["_h", key], "_ix").drop("_h")
+    many = F.lit(factors.count())
+    own = factors.join(ranked, key)
+    next_ = own.withColumn("_slot", F.pmod(F.col("_ix") - 1, many)).withColumnRenamed(key, "other")
+    found = compare(own.withColumn("_slot", F.col("_ix")).select("_slot", "A", "B"), next_.select("_slot", "A", "B"), ["_slot"])
+    named = ranked.withColumnRenamed("_ix", "_slot").join(next_.select("_slot", "other"), "_slot")
+    return named.join(found, "_slot").drop("_slot")

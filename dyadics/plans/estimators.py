@@ -151,10 +151,10 @@ def sms_fit(spark, d):
 
 @query()
 def latent_index(spark, d):
-    """Moments of the latent index and its density at 0 at model A's estimates, for the first two utility specifications."""
+    """Moments of the latent index and its density at 0 at model A's estimates, for the three utility specifications."""
     rows = _structural(spark, d)
     out = None
-    for spec in (1, 2):
+    for spec in (1, 2, 3):
         found = estimate.fit(rows, 100, "nls", spec, start=estimate.ols_start(rows, 100, spec))
         one = estimate.latent(rows, found, 100, spec).select(F.lit(spec).alias("spec"), "*", F.lit(found.objective).alias("objective"), F.lit(found.converged).alias("converged"))
         out = one if out is None else out.unionByName(one)
@@ -196,10 +196,26 @@ def utility_grid(spark, d):
     return consensus.utility_grid(goods, beta)
 
 
+def _design(spark, d):
+    """Pairs of forty goods with their utilities, from the prices of all parts, and how many orders are cases of each."""
+    price = spark.read.parquet(f"{d}/part.parquet").groupBy((F.col("p_partkey") % 40).alias("g")).agg(F.pow(F.avg("p_retailprice") / 950.0, F.lit(16.0)).alias("u"))
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    pairs = o.groupBy((F.col("o_custkey") % 20).alias("x"), (20 + F.col("o_orderkey") % 20).alias("y")).agg(F.count("*").alias("weight"))
+    return pairs.join(price.select(F.col("g").alias("x"), F.col("u").alias("u_x")), "x").join(price.select(F.col("g").alias("y"), F.col("u").alias("u_y")), "y")
+
+
 @query()
 def recovery_study(spark, d):
-    """Bias, spread and coverage of two-parameter fits to simulated answers, over the whole grid."""
-    return estimate.recovery(spark, [(a, b) for a in (0.05, 0.5, 2.0, 5.0) for b in (0.0, 0.5, 1.0)], seed=20_260_730)
+    """Bias, spread and coverage of two-parameter fits to answers by chance on the orders' design: the whole grid, and the parameters fitted to the answers."""
+    fitted = estimate.lambda_eta(_with_utilities(spark, d).withColumn("all", F.lit(1)), ["all"]).first()
+    grid = [(a, b) for a in (0.05, 0.5, 2.0, 5.0) for b in (0.0, 0.5, 1.0)]
+    return estimate.recovery(spark, [*grid, (fitted["lambda"], fitted["eta"])], seed=20_260_730, design=_design(spark, d))
+
+
+@query("WITH p AS (SELECT p_partkey % 40 AS g, avg(p_retailprice) AS u FROM part GROUP BY 1), o AS (SELECT o_custkey % 20 AS x, 20 + o_orderkey % 20 AS y, count(*) AS weight FROM orders GROUP BY 1, 2) SELECT x, y, weight, round(power(a.u / 950.0::DOUBLE, 16), 6) AS u_x, round(power(b.u / 950.0::DOUBLE, 16), 6) AS u_y FROM o JOIN p a ON a.g = x JOIN p b ON b.g = y")
+def recovery_design(spark, d):
+    """The design that the recovery study takes its cases from."""
+    return _design(spark, d).select("x", "y", "weight", "u_x", "u_y")
 
 
 def _factors(spark, d):
@@ -240,10 +256,18 @@ def lowrank_power(spark, d):
     return both.select("vec_id", F.round("fro", 5).alias("fro"), (F.abs(F.col("spectral_power") - F.col("spectral")) <= 1e-6 * F.col("spectral")).alias("spectral_agrees"))
 
 
-@query()
+@query(
+    """WITH f AS (SELECT vec_id, unnest(range(8)) AS o, embedding AS e FROM embeddings), g AS (SELECT vec_id, o, unnest(range(8)) AS i, e FROM f),
+p AS (SELECT vec_id, o, i, list_sum(list_transform(range(4), lambda r: e[33 + o * 4 + r]::DOUBLE * e[1 + r * 8 + i]::DOUBLE)) AS x FROM g),
+r AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('5:' || vec_id), vec_id) - 1 AS ix, count(*) OVER () AS n FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS other FROM r a JOIN r b ON b.ix = (a.ix + 1) % a.n),
+c AS (SELECT d.vec_id, d.other, sum(x.x * y.x) / sqrt(sum(x.x * x.x) * sum(y.x * y.x)) AS cosine FROM d JOIN p x ON x.vec_id = d.vec_id JOIN p y ON y.vec_id = d.other AND y.o = x.o AND y.i = x.i GROUP BY 1, 2)
+SELECT vec_id, other, round(cosine, 6) AS cosine, round((SELECT quantile_cont(abs(cosine), 0.95) FROM c), 6) AS null_95 FROM c"""
+)
 def cosine_null(spark, d):
-    """What cosines unrelated modules of a shape have."""
-    return lowrank.cosine_null(spark, (8, 8), 4, 200, 5).agg(F.percentile(F.abs("cosine"), F.lit(0.95)).alias("null_95"))
+    """Each module's cosine with the one that a derangement gives it, and how far 95 % of these are from 0."""
+    found = lowrank.permuted_cosines(_factors(spark, d), "vec_id", 5).select("vec_id", "other", "cosine").persist()
+    return found.crossJoin(F.broadcast(found.agg(F.percentile(F.abs("cosine"), F.lit(0.95)).alias("null_95"))))  # one row
 
 
 @query("SELECT vec_id, vec_id % 28 AS layer, CASE WHEN vec_id % 3 = 0 THEN 'q_proj' END AS module, vec_id % 3 = 0 AS fits FROM embeddings")

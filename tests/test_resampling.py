@@ -132,3 +132,34 @@ def test_two_parameter_fits_tell_a_stall_from_the_least():
     assert ok[0] and lam[0] == pytest.approx(0.5, abs=1e-5) and eta[0] == pytest.approx(-0.2, abs=1e-5)
     *_, ok, _ = estimate.two_parameter_fits(v, v[::-1], p, q, np.ones((1, 3)), iterations=1)
     assert not ok[0]
+
+
+def test_a_derangement_pairs_no_module_with_itself(spark):
+    from dyadics.operators import lowrank
+
+    draw = np.random.default_rng(2)
+    rows = [(k, draw.normal(size=(2, 5)).tolist(), draw.normal(size=(6, 2)).tolist()) for k in range(41)]
+    factors = spark.createDataFrame(rows, "k int, A array<array<double>>, B array<array<double>>")
+    got = {r["k"]: r for r in lowrank.permuted_cosines(factors, "k", 3).collect()}
+    assert len(got) == 41 and sorted(r["other"] for r in got.values()) == list(range(41)) and all(k != r["other"] for k, r in got.items())
+    for k, r in got.items():
+        x, y = (np.array(rows[i][2]) @ np.array(rows[i][1]) for i in (k, r["other"]))
+        assert r["cosine"] == pytest.approx(float((x * y).sum() / np.linalg.norm(x) / np.linalg.norm(y)))
+    again = {r["k"]: r["other"] for r in lowrank.permuted_cosines(factors.repartition(7), "k", 3).collect()}
+    assert again == {k: r["other"] for k, r in got.items()}
+
+
+def test_recovery_on_a_given_design(spark):
+    draw = np.random.default_rng(1)
+    design = spark.createDataFrame([(float(a), float(b), int(n)) for a, b, n in zip(draw.gamma(4, 0.4, 60), draw.gamma(4, 0.4, 60), draw.integers(5, 60, 60), strict=True)], "u_x double, u_y double, weight long")
+    rows = estimate.recovery(spark, [(0.3, -0.4), (1.5, 0.2)], reps=60, boots=80, seed=4, design=design).collect()
+    for r in rows:
+        assert r["reps"] == 60 and r["failures"] == 0
+        assert abs(r["bias_lambda"]) < 4 * r["sd_lambda"] / math.sqrt(60) + 0.05 and abs(r["bias_eta"]) < 0.1
+        assert r["coverage_lambda"] > 0.8 and r["coverage_eta"] > 0.8 and not r["weak_identification"]
+    with pytest.raises(ValueError, match="design"):
+        estimate.DESIGN_ROWS, old = 5, estimate.DESIGN_ROWS
+        try:
+            estimate.recovery(spark, [(0.3, 0.0)], reps=1, design=design)
+        finally:
+            estimate.DESIGN_ROWS = old
