@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,12 +38,85 @@ def counted(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return out.select(*by, value, "n", (F.col("_start") + F.col("_in")).alias("before"), "total")
 
 
+#: Sought values that are followed on the driver: two a group and share. Of more groups the values are ordered in blocks.
+SOUGHT = 20_000
+#: Rows in the parts that hold the sought ranks whose values are counted without cutting the parts further.
+COUNTED_AT_ONCE = 1_000_000
+#: Parts of an octave, and of what an octave's part spans, that values are counted by.
+OCTAVE_PARTS, SPAN_PARTS = 1 << 10, 1 << 20
+
+
+def _octave(v: Column) -> Column:
+    """A whole number that never falls as ``v`` rises: the octave's part of its size, by sign; NaN is the greatest."""
+    part = F.floor(F.log2(F.abs(v)) * OCTAVE_PARTS).cast("long") + 1_100 * OCTAVE_PARTS
+    most = F.lit(1 << 40)
+    return F.when(F.isnan(v), most + 1).when(v == float("inf"), most).when(v == float("-inf"), -most).when(v > 0, part).when(v < 0, -part).otherwise(F.lit(0))
+
+
 def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """by and for each ``name: share`` the exact percentile with linear interpolation, as one aggregate of the counts.
+    """by and for each ``name: share`` the exact percentile with linear interpolation.
 
-    Unlike the built-in exact percentile no task holds all distinct values of a group.
+    Found by counting, with no exchange of values: first how many there are in each part of an octave, then in each small part
+    of the parts that hold the sought ranks, last of each value in those. Of more than SOUGHT ranks over all groups the
+    values are ordered in blocks instead; either way no task holds all values of a group, and the results are the same.
     """
     keys = by or ["_all"]
+    v = (rows if by else rows.withColumn("_all", F.lit(0))).where(F.col(value).isNotNull()).select(*keys, (F.col(value).cast("double") + 0.0).alias("_v")).persist()
+    try:
+        found = _sought(v, keys, shares)
+    finally:
+        v.unpersist()
+    if found is None:
+        return _percentiles_in_blocks(rows, by, value, shares)
+
+    def between(name: str) -> Column:
+        lo, hi = (F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("_v"))) for side in (0, 1))
+        part = F.max(F.when(F.col("name") == name, F.col("part")))
+        return F.when((part == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * part).alias(name)
+
+    return found.groupBy(*keys).agg(*map(between, shares)).select(*by, *shares)
+
+
+def _sought(v: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame | None:
+    """keys, name, side (0 or 1: the lower or the upper rank), part, _v of the sought values; None if they are too many."""
+    spark = v.sparkSession
+
+    def picked(counts: DataFrame, partition: list[str], order: str, keep: list[str]) -> DataFrame:
+        before = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        hit = (F.col("_before") <= F.col("rank")) & (F.col("rank") < F.col("_before") + F.col("_n"))
+        return placed.where(hit).select(*keys, "name", "side", "part", (F.col("rank") - F.col("_before")).alias("rank"), *keep)
+
+    def local(table: DataFrame) -> pa.Table | None:
+        some = table.limit(SOUGHT + 1).toArrow()
+        return some if some.num_rows <= SOUGHT else None
+
+    span = [F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    octaves = v.groupBy(*keys, _octave(F.col("_v")).alias("_o")).agg(*span)
+    total = F.sum("_n").over(Window.partitionBy(*keys)) - 1
+    ranks = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(s).alias("side"), f(total * p).alias("rank"), (total * p - F.floor(total * p)).alias("part")) for n, p in shares.items() for s, f in ((0, F.floor), (1, F.ceil))))
+    each = octaves.withColumn("_r", ranks).select(*keys, "_o", "_n", "_lo", "_hi", F.explode("_r").alias("_r")).select("*", "_r.*").drop("_r")
+    first = local(picked(each, [*keys, "name", "side"], "_o", ["_o", "_n", "_lo", "_hi"]))
+    if first is None:
+        return None
+    held = pa.compute.sum(first.column("_n")).as_py() or 0  # a part counts once for each rank in it
+    first = spark.createDataFrame(first)
+    if held <= COUNTED_AT_ONCE:
+        values = v.withColumn("_o", _octave(F.col("_v"))).join(F.broadcast(first.select(*keys, "_o").distinct()), [*keys, "_o"]).groupBy(*keys, "_o", "_v").agg(F.count("*").alias("_n"))
+        return spark.createDataFrame(local(picked(values.join(F.broadcast(first.drop("_n")), [*keys, "_o"]), [*keys, "name", "side"], "_v", ["_v"])))
+    first = first.drop("_n")
+    inside = F.broadcast(first.select(*keys, "_o", "_lo", "_hi").distinct())
+    small_part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SPAN_PARTS)).otherwise(F.lit(0)).alias("_p")
+    in_octave = v.withColumn("_o", _octave(F.col("_v"))).join(inside, [*keys, "_o"]).select(*keys, "_o", small_part, "_v")
+    spans = in_octave.groupBy(*keys, "_o", "_p").agg(F.count("*").alias("_n"))
+    second = spark.createDataFrame(local(picked(spans.join(F.broadcast(first), [*keys, "_o"]), [*keys, "name", "side"], "_p", ["_o", "_p"])))
+    values = in_octave.join(F.broadcast(second.select(*keys, "_o", "_p").distinct()), [*keys, "_o", "_p"]).groupBy(*keys, "_o", "_p", "_v").agg(F.count("*").alias("_n"))
+    return spark.createDataFrame(local(picked(values.join(F.broadcast(second), [*keys, "_o", "_p"]), [*keys, "name", "side"], "_v", ["_v"])))
+
+
+def _percentiles_in_blocks(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """As ``percentiles``, for any number of groups, as one aggregate of the counts of ordered values."""
+    keys = by or ["_all"]
     per = counted(rows if by else rows.withColumn("_all", F.lit(0)), keys, value)
     found = []
     for name, share in shares.items():
@@ -51,7 +126,8 @@ def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, fl
             found.append(F.max(F.when(held, F.col(value))).alias(f"_{side}_{name}"))
     out = per.groupBy(*keys).agg(F.max("total").alias("_n"), *found)
     part = lambda share: (F.col("_n") - 1) * share - F.floor((F.col("_n") - 1) * share)
-    return out.select(*by, *((F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * part(s)).alias(n) for n, s in shares.items()))
+    same = lambda n, s: (part(s) == 0) | (F.col(f"_lo_{n}") == F.col(f"_hi_{n}"))
+    return out.select(*by, *(F.when(same(n, s), F.col(f"_lo_{n}")).otherwise(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * part(s)).alias(n) for n, s in shares.items()))
 
 
 #: Knots of an order, and equal parts between two of them.

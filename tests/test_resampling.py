@@ -163,3 +163,28 @@ def test_recovery_on_a_given_design(spark):
             estimate.recovery(spark, [(0.3, 0.0)], reps=1, design=design)
         finally:
             estimate.DESIGN_ROWS = old
+
+
+@pytest.mark.parametrize(("most", "at_once"), [(20_000, 10**6), (20_000, 0), (3, 0)])
+def test_percentiles_by_counting_are_exact(spark, monkeypatch, most, at_once):
+    monkeypatch.setattr(ordered, "SOUGHT", most)
+    monkeypatch.setattr(ordered, "COUNTED_AT_ONCE", at_once)
+    draw = np.random.default_rng(8)
+    groups = {
+        "normal": draw.normal(size=999), "wide": np.exp(draw.normal(0, 40, 500)) * draw.choice([-1, 1], 500), "same": np.full(50, 0.1), "two": np.array([1.0, 2.0]), "one": np.array([-3.5]),
+        "close": 1 + draw.integers(0, 5, 400) * 2.0**-52, "zeros": np.array([0.0, -0.0, 0.0, 5e-324, -5e-324]), "ties": draw.integers(-3, 4, 700).astype(float), "odd": np.array([-np.inf, 1.0, 2.0, np.inf, 3.0]),
+    }
+    rows = spark.createDataFrame(pd.DataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [("normal", None)], columns=["g", "v"])).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    shares = {"low": 0.025, "half": 0.5, "p90": 0.9, "least": 0.0, "most": 1.0}
+    got = {r["g"]: r for r in ordered.percentiles(rows, ["g"], "v", shares).collect()}
+    assert got.keys() == groups.keys()
+    for g, xs in groups.items():
+        ordered_ = np.sort(xs)
+        for name, share in shares.items():
+            at = (len(xs) - 1) * share
+            lo, hi = ordered_[math.floor(at)], ordered_[math.ceil(at)]
+            want = lo if lo == hi else lo + (hi - lo) * (at - math.floor(at))
+            assert got[g][name] == want or np.isclose(got[g][name], want, rtol=1e-15, atol=0) or (np.isnan(want) and np.isnan(got[g][name])), (g, name)
+    whole = ordered.percentiles(rows.where("g = 'ties'"), [], "v", {"half": 0.5}).collect()
+    assert len(whole) == 1 and whole[0]["half"] == np.median(groups["ties"])
+    assert ordered.percentiles(rows.where("false"), ["g"], "v", shares).count() == 0
