@@ -8,7 +8,8 @@ unseen words have the class of their last two bytes.
 
 Counts of words and of adjacent units are summed over all training texts by shuffles. Sent to the driver are tables
 bounded by the numbers of units and classes alone. Scoring looks the more frequent words up in a bounded broadcast
-table; all other words meet their counts and classes in a join, so both are exact at any vocabulary size.
+table; all other words meet their counts and classes in a join, at any vocabulary size. Words are told apart by 56 bits of
+a hash and their suffix group.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ HELD_OUT_OF = 10
 #: Units: words of their own at most, and suffix groups of all others.
 FREQUENT, SUFFIXES = 4_096, 256
 CLASSES = 64
-#: Rounds end when the mean mutual information of adjacent classes rises by less than this share, or after so many.
-LEAST_GAIN, ROUNDS = 1e-3, 40
+#: Rounds end when the mutual information of adjacent classes rises by less than this share: they have settled. After so many
+#: they end anyway, which the results tell.
+LEAST_GAIN, ROUNDS = 2e-4, 40
 #: Words whose counts a worker holds at most (12 bytes each).
 LOOKED_UP = 1 << 18
 #: Distinct keys that a worker gathers before it hands them on.
@@ -299,8 +301,9 @@ def exchange(label: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.nda
     return label
 
 
-def cluster(pairs: DataFrame, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The labels of greatest information that rounds of exchange from ``label`` come to, and the classes after each unit."""
+def cluster(pairs: DataFrame, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The labels of greatest information that rounds of exchange from ``label`` come to, the classes after each unit, and
+    whether the rounds have settled."""
     after, before = contexts(pairs, label)
     best = information(label, after), label, after
     for _ in range(ROUNDS):
@@ -311,15 +314,15 @@ def cluster(pairs: DataFrame, label: np.ndarray) -> tuple[np.ndarray, np.ndarray
         if risen > 0:
             best = now, label, after
         if risen <= LEAST_GAIN * max(abs(best[0]), 1.0):
-            break
-    return best[1], best[2]
+            return best[1], best[2], True
+    return best[1], best[2], False
 
 
 class Model:
     """What a worker needs to give words their classes: bounded arrays."""
 
-    def __init__(self, label, looked_up, looked_count, looked_class):
-        self.label, self.looked_up, self.looked_count, self.looked_class = label, looked_up, looked_count, looked_class
+    def __init__(self, label, looked_up, looked_count, looked_class, settled):
+        self.label, self.looked_up, self.looked_count, self.looked_class, self.settled = label, looked_up, looked_count, looked_class, settled
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame, np.ndarray, int, int, int]:
@@ -329,28 +332,33 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, np.ndarray, int, int, int]:
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words_only = counts.where(F.col("word") != END_HASH)
     looked = _least_count(words_only, LOOKED_UP)
-    often = max(_least_count(words_only, FREQUENT), looked)  # word units are looked up too
-    top = words_only.where(F.col("n") >= looked).toArrow()
-    order = np.argsort(top.column("word").to_numpy())
-    looked_up, looked_count = top.column("word").to_numpy()[order], top.column("n").to_numpy()[order]
-    frequent = looked_up[looked_count >= often]
-    groups = {r["suffix"]: r["n"] for r in words_only.where(F.col("n") < often).groupBy((F.pmod("word", F.lit(SUFFIXES))).alias("suffix")).agg(F.sum("n").alias("n")).collect()}
+    # the word units: of words of the same count those that a hash puts first, so that a tie leaves no unit unused
+    often = words_only.orderBy(F.desc("n"), F.xxhash64("word"), "word").limit(FREQUENT).toArrow()
+    above = words_only.where(F.col("n") >= looked).toArrow()
+    top = dict(zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True)) | dict(zip(above.column("word").to_pylist(), above.column("n").to_pylist(), strict=True))
+    looked_up = np.array(sorted(top), dtype=np.int64)
+    looked_count = np.array([top[w] for w in looked_up.tolist()], dtype=np.int64)
+    frequent = np.sort(often.column("word").to_numpy())
+    own = np.isin(looked_up, frequent)
+    groups = {r["suffix"]: r["n"] for r in words_only.groupBy((F.pmod("word", F.lit(SUFFIXES))).alias("suffix")).agg(F.sum("n").alias("n")).collect()}
+    for w, n in zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True):
+        groups[w % SUFFIXES] -= n
     pairs = stored(unit_pairs(training, frequent), "unit-pairs")
     # to begin with, units are dealt to classes in the order of their counts
     size = np.zeros(UNITS)
-    size[: len(frequent)] = looked_count[looked_count >= often]
+    size[: len(frequent)] = looked_count[own]
     for s, n in groups.items():
         size[FREQUENT + s] = n
     label = np.zeros(UNITS, dtype=np.int64)
     label[np.argsort(-size, kind="stable")] = np.arange(UNITS) % CLASSES
     label[END] = CLASSES
-    label, after = cluster(pairs, label)
+    label, after, settled = cluster(pairs, label)
     k = CLASSES + 1
     table = np.zeros((k, k))
     np.add.at(table, label, after)
     rare = stored(rare_classes(training, frequent, label, table), "rare-classes")
     looked_class = np.zeros(len(looked_up), dtype=np.int64)
-    looked_class[looked_count >= often] = label[: len(frequent)]
+    looked_class[own] = label[: len(frequent)]
     known = rare.where(F.col("n") >= looked).select("word", "class").toArrow()
     looked_class[np.searchsorted(looked_up, known.column("word").to_numpy())] = known.column("class").to_numpy()
     # words and slots for unseen words of each class; every suffix group has one slot
@@ -360,7 +368,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, np.ndarray, int, int, int]:
         words_of[r["class"]] += r["count"]
     words_of[CLASSES] = 1
     ends = counts.where(F.col("word") == END_HASH).first()
-    return Model(label, looked_up, looked_count, looked_class), rare.where(F.col("n") < looked), words_of, total, kinds, ends["n"] if ends else 0
+    return Model(label, looked_up, looked_count, looked_class, settled), rare.where(F.col("n") < looked), words_of, total, kinds, ends["n"] if ends else 0
 
 
 def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -392,7 +400,9 @@ def _transitions(rows: DataFrame) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, settled for each row of ``docs``.
+
+    ``settled`` says whether the rounds of exchange came to an end of their own.
 
     A null or empty text is one end. Rows with a null doc_id train and are not held out. Repeated rows are counted and
     scored like others. Without training rows every count is 0. Other columns are ignored.
@@ -485,6 +495,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("up") - F.col("n_tokens") * F.lit(down)).alias("base_score"),
         (F.col("up") + F.col("path")).alias("score"),
+        F.lit(model.settled).alias("settled"),
     )
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, stored
+from .shared import fresh_path, small, stored
 
 REVISIT_BYTES = 1_000
 #: Characters of a record's block; a longer block is segmented.
@@ -73,9 +73,9 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         rows = pages.select(*columns, row.cast("string").alias("row"))
     rows = rows.withColumn("bytes", F.octet_length("body")).withColumn("digest", F.sha1(F.encode("body", "UTF-8")))
     equal = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest", "bytes").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("many")).where("many > 1")
-    # narrow rows tell which pages revisit; only those lose their bodies
-    again = rows.select("page_id", "digest", "bytes").join(equal.select("digest", "bytes", "first"), ["digest", "bytes"]).where("page_id != first.page_id").select("page_id", "digest", "first").distinct()
-    rows = rows.join(again, ["page_id", "digest"], "left")
+    # narrow rows tell which pages revisit; only those lose their bodies, and while they are within the bound no body is exchanged
+    again = stored(rows.select("page_id", "digest", "bytes").join(equal.select("digest", "bytes", "first"), ["digest", "bytes"]).where("page_id != first.page_id").select("page_id", "digest", "first").distinct(), "revisits")
+    rows = rows.join(small(again, again.count()), ["page_id", "digest"], "left")
 
     def full(number: Column, row: Column) -> Column:
         return F.concat(F.lit("page "), F.coalesce(number.cast("string"), F.lit("without id")), F.lit(" row "), row)

@@ -85,3 +85,31 @@ def test_rare_words_of_one_suffix_go_by_their_contexts(spark):
     np.add.at(table, label, after)
     got = {r["word"]: (r["n"], r["class"]) for r in brown_lm.rare_classes(training, named, label, table).collect()}
     assert got == {key("aazz"): (2, 1), key("bbzz"): (1, 4)}
+
+
+def test_ties_leave_no_unit_unused(spark, monkeypatch):
+    """More words of the same count than there are units: each unit gets one, whatever the order of the rows."""
+    words = [f"w{i:05d}" for i in range(5_530)]
+    rows = [(n * 3 + 1, " ".join(words[n * 79 : (n + 1) * 79])) for n in range(70)]
+    docs = spark.createDataFrame([r for r in rows if zlib.crc32(str(r[0]).encode()) % 10], "doc_id long, text string")
+    kinds = len({w for r in docs.collect() for w in r["text"].split()})
+    assert kinds > brown_lm.FREQUENT
+    chosen, pairs = [], brown_lm.unit_pairs
+    monkeypatch.setattr(brown_lm, "unit_pairs", lambda training, frequent: chosen.append(frequent) or pairs(training, frequent))
+    model, *_ = brown_lm.fit(docs)
+    again, *_ = brown_lm.fit(docs.repartition(7))
+    assert [len(f) for f in chosen] == [brown_lm.FREQUENT] * 2 and (chosen[0] == chosen[1]).all()
+    assert len(model.looked_up) == kinds and (model.looked_up == again.looked_up).all() and (model.label == again.label).all()
+    check(docs)
+
+
+def test_units_beyond_the_table_of_looked_up_words(docs, monkeypatch):
+    """A tie at the cut of the looked-up words keeps them out of its table; those that are units are added to it."""
+    monkeypatch.setattr(brown_lm, "LOOKED_UP", 3)
+    check(docs)
+
+
+def test_what_has_not_settled_is_told(docs, monkeypatch):
+    monkeypatch.setattr(brown_lm, "ROUNDS", 1)
+    monkeypatch.setattr(brown_lm, "LEAST_GAIN", -1.0)
+    assert {r["settled"] for r in score_documents(docs).collect()} == {False}

@@ -4,6 +4,7 @@ import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from dyadics.llm import warc
 from dyadics.llm.shared import fresh_path
@@ -118,3 +119,9 @@ def test_chunked_framing():
     assert warc.body_of(b"HTTP/1.1 200 OK\r\n\r\nplain") == b"plain"
     with pytest.raises(ValueError):
         warc.body_of(head + b"9\r\nabc\r\n0\r\n\r\n")
+
+
+def test_bodies_are_not_exchanged(spark, small_dir):
+    plan = warc.records(spark.read.parquet(f"{small_dir}/pages.parquet"), row=F.col("page_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert all("body" not in line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line)
