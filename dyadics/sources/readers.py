@@ -222,11 +222,11 @@ def framing_benchmark(rows: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     return pairs.select("scenario_id", domain.alias("domain"), differ.alias("domain_mismatch"), F.when(F.coalesce(fine, F.lit(False)), F.col("positive")).otherwise(bad).alias("positive"), "negative")
 
 
-def spreadsheet(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """The cells of a sheet as strings, with ``row``; needs pandas' spreadsheet reader. Meant for small sheets."""
-    table = pd.read_excel(path, sheet_name=sheet, header=0, dtype=str)
-    table.insert(0, "row", range(len(table)))
-    return spark.createDataFrame(table)
+def spreadsheet(spark: SparkSession, path: str, columns: list[str], sheet: str | int = 0) -> DataFrame:
+    """row and the named columns, as strings, of a sheet of a workbook; ``sheets.sheets`` reads many workbooks at once."""
+    from .sheets import named, sheets
+
+    return named(sheets(spark, path, sheet), {c: c for c in columns}).drop("file")
 
 
 def framing_pairs(rows: DataFrame, order: str = "row") -> DataFrame:
