@@ -179,7 +179,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (id, pivot) at the threshold or above on full sets. A pivot's partners are dealt out by their sizes."""
     load = pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / SHINGLES_A_TASK).alias("blocks"))
     dealt = pairs.join(load, "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("id", "pivot", "block")
-    roles = dealt.unionByName(dealt.select(F.col("pivot").alias("id"), "pivot", "block").distinct())
+    # the pivot goes to each of its blocks: known from their number, without a second join on a pivot that may be hot
+    homes = load.select(F.col("pivot").alias("id"), "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    roles = dealt.unionByName(homes)
     rows = roles.join(texts, "id").select("pivot", "block", "id", "text")
 
     def run(group: pa.Table) -> pa.Table:
