@@ -247,17 +247,27 @@ def rare_classes(training: DataFrame, frequent: np.ndarray, label: np.ndarray, t
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, label, table = shared.value
+
+        def done(word: np.ndarray, context: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            names, of = np.unique(word, return_inverse=True)
+            to = best_classes(label[FREQUENT + (names & (SUFFIXES - 1))], of, context, n, table)
+            size = np.bincount(of, weights=n * (context < k), minlength=len(names)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(size), pa.array(to)], names=["word", "n", "class"])
+
+        rest = [np.zeros(0, np.int64)] * 3  # contexts of the last word, which may go on: 2 * k at most
         for batch in batches:
-            word, lists = batch.column(0).to_numpy(), batch.column(1)
-            flat = lists.flatten()
-            of = np.repeat(np.arange(len(word)), lists.value_lengths().to_numpy())
-            context, n = flat.field("context").to_numpy(), flat.field("n").to_numpy()
-            to = best_classes(label[FREQUENT + (word & (SUFFIXES - 1))], of, context, n, table)
-            size = np.bincount(of, weights=n * (context < k), minlength=len(word)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(size), pa.array(to)], names=["word", "n", "class"])
+            word, context, n = (np.r_[x, c.to_numpy().astype(np.int64)] for x, c in zip(rest, batch.columns, strict=True))
+            if not len(word):
+                continue
+            whole = int(np.searchsorted(word, word[-1]))
+            rest = [x[whole:] for x in (word, context, n)]
+            if whole:
+                yield done(word[:whole], context[:whole], n[:whole])
+        if len(rest[0]):
+            yield done(*rest)
 
     counted = training.select("text").mapInArrow(around, "word long, context int, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
-    return counted.groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("contexts")).mapInArrow(assign, "word long, n long, class long")
+    return counted.repartition("word").sortWithinPartitions("word").mapInArrow(assign, "word long, n long, class long")
 
 
 def information(label: np.ndarray, after: np.ndarray) -> float:
