@@ -2,23 +2,57 @@
 
 from __future__ import annotations
 
-from math import comb
+from math import comb, exp, lgamma, log, log1p, pi, sqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+#: Discordant pairs up to which the tail is summed in whole numbers.
+WHOLE_NUMBERS = 1_000
+_BLOCK = 4_096
+
+
+def _stirling_rest(n: int) -> float:
+    """log(n!) less Stirling's formula."""
+    if n < 16:
+        return lgamma(n + 1) - (n + 0.5) * log(n) + n - 0.5 * log(2 * pi)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+
+
+def half_tail(n: int, k: int) -> float:
+    """Chance of at most ``k`` of ``n`` heads of a fair coin, k <= n / 2.
+
+    The largest term is by its deviance, which does not cancel however large n is; the others follow from it by their
+    ratios, downwards until they no longer count: some multiple of the square root of n.
+    """
+    if n <= WHOLE_NUMBERS:
+        return sum(comb(n, i) for i in range(k + 1)) / 2**n
+    if k == 0:
+        return 0.5**n
+    d = (n - 2 * k) / n  # the deviance is n / 2 times (1 - d) log(1 - d) + (1 + d) log(1 + d)
+    deviance = k * log1p(-d) + (n - k) * log1p(d)
+    term = sqrt(n / (2 * pi * k * (n - k))) * exp(_stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - deviance)
+    total, weight, i = 1.0, 1.0, k
+    while i > 0 and weight > 1e-18 * total:
+        steps = np.arange(i, max(i - _BLOCK, 0), -1, dtype=np.float64)
+        weights = weight * np.cumprod(steps / (n - steps + 1))
+        total, weight, i = total + float(weights.sum()), float(weights[-1]), i - len(steps)
+    return term * total
+
+
 @F.pandas_udf(DoubleType())
 def mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:
-    """Exact two-sided McNemar p-value of discordant counts, in whole-number arithmetic; 1 without discordant pairs."""
+    """Exact two-sided McNemar p-value of discordant counts; 1 without discordant pairs."""
 
     def one(x, y):
         if pd.isna(x) or pd.isna(y):
             return None
         n, k = int(x) + int(y), min(int(x), int(y))
-        return min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
+        return min(1.0, 2 * half_tail(n, k)) if n else 1.0
 
     return pd.Series([one(x, y) for x, y in zip(b, c, strict=True)], dtype="float64")
 

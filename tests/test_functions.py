@@ -1,5 +1,7 @@
 import math
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,16 @@ def test_statistics(spark):
     chi = values(spark, [(5097.22,), (8.0,), (0.0,)], "x double", st.chi2_log10_survival(F.col("x"), 8))
     assert chi[0] == pytest.approx(-1097, abs=2) and chi[1] == pytest.approx(math.log10(0.43347), abs=1e-4) and chi[2] == pytest.approx(0)
     assert values(spark, [(0.1, 0.2), (-2.0, -1.0), (-1.0, 1.0)], "a double, b double", st.interval_verdict(F.col("a"), F.col("b"))) == ["clear_increase", "clear_decrease", "no_clear_change"]
+
+
+def test_mcnemar_tail_of_many_pairs_is_that_of_whole_numbers():
+    from fractions import Fraction
+    from math import comb
+
+    for n, k in [(1_001, 0), (1_001, 1), (1_001, 500), (4_000, 1_900), (5_003, 2_501), (6_000, 2_400)]:
+        want = float(Fraction(sum(comb(n, i) for i in range(k + 1)), 2**n))
+        assert st.half_tail(n, k) == pytest.approx(want, rel=1e-12, abs=1e-300)
+    began = time.perf_counter()
+    assert st.half_tail(100_000_000, 50_000_000) == pytest.approx(0.5 + 0.5 * (2 / (np.pi * 1e8)) ** 0.5, rel=1e-9)
+    assert st.half_tail(100_000_000, 49_990_000) == pytest.approx(0.0227555, rel=1e-5)  # two standard deviations
+    assert time.perf_counter() - began < 5
