@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import prompts as pr
 from ..functions.codes import CODES, levels
@@ -30,15 +33,23 @@ def goods_pairs(goods: DataFrame, codes: list[int], per_pair: int, idx: str = "i
     return pairs.withColumn("pair", place.cast("long")).withColumn("codes", F.transform(F.sequence(F.lit(0), F.lit(per_pair - 1)), turn))
 
 
+def _surface_axes() -> dict[str, list[str]]:
+    return {"answer_style": list(pr.ACTIONS), "display_order": list(pr.DISPLAY_ORDERS), "attr_order": list(pr.ATTR_ORDERS), "paraphrase": list(pr.INTRO)}
+
+
+def _with_sides(rows: DataFrame) -> DataFrame:
+    own = F.col("perspective") == "X"
+    return rows.withColumns({"keep_good": F.when(own, F.col("x_num")).otherwise(F.col("y_num")), "trade_good": F.when(own, F.col("y_num")).otherwise(F.col("x_num"))})
+
+
 def surface_forms(cases: DataFrame, goods: DataFrame | None = None) -> DataFrame:
     """``cases`` (case_id, perspective, x_num, y_num, code) in 48 forms: the axes, keep_good, trade_good, form_id, and with goods the prompt."""
-    axes = {"answer_style": list(pr.ACTIONS), "display_order": list(pr.DISPLAY_ORDERS), "attr_order": list(pr.ATTR_ORDERS), "paraphrase": list(pr.INTRO)}
+    axes = _surface_axes()
     out = cases
     for axis, values in axes.items():
         out = out.withColumn(axis, F.explode(F.array(*map(F.lit, values))))
     own = F.col("perspective") == "X"
-    out = out.withColumns({"keep_good": F.when(own, F.col("x_num")).otherwise(F.col("y_num")), "trade_good": F.when(own, F.col("y_num")).otherwise(F.col("x_num"))})
-    out = out.withColumn("form_id", F.concat_ws(":", F.col("case_id").cast("string"), "perspective", *axes))
+    out = _with_sides(out).withColumn("form_id", F.concat_ws(":", F.col("case_id").cast("string"), "perspective", *axes))
     if goods is None:
         return out
     placed = _placed(out, goods, "keep_good", "trade_good", own)
@@ -46,6 +57,44 @@ def surface_forms(cases: DataFrame, goods: DataFrame | None = None) -> DataFrame
     return placed.withColumn("prompt", pr.surface_form(*(F.col(a) for a in axes), e, o)).select(*out.columns, "prompt")
 
 
+def surface_form_ids(cases: DataFrame) -> DataFrame:
+    """``cases`` (case_id, perspective, x_num, y_num) with keep_good, trade_good and form_ids, the ids of the 48 forms in one array."""
+    marks = [":".join(m) for m in product(*_surface_axes().values())]
+    head = F.concat_ws(":", F.col("case_id").cast("string"), "perspective", F.lit(""))
+    return _with_sides(cases).withColumn("_head", head).withColumn("form_ids", F.array(*(F.concat("_head", F.lit(m)) for m in marks))).drop("_head")
+
+
+def surface_summary(cases: DataFrame) -> DataFrame:
+    """keep_good, trade_good, forms, ids (distinct), first_id and last_id over the forms of both sides of ``cases`` (case_id, x_num, y_num).
+
+    No form leaves its task: a case's id is in the ids of all its forms, so forms of different cases are distinct, and only the
+    cases are exchanged, once, to find those that occur again.
+    """
+    own = cases.groupBy("case_id", "x_num", "y_num").agg(F.count("*").alias("n"))
+    forms = surface_form_ids(own.withColumn("perspective", F.explode(F.array(F.lit("X"), F.lit("Y")))))
+    ids = F.col("form_ids")
+    each = forms.select("keep_good", "trade_good", (F.col("n") * F.size(ids)).alias("forms"), F.size(F.array_distinct(ids)).alias("ids"), F.array_min(ids).alias("first_id"), F.array_max(ids).alias("last_id"))
+    return each.groupBy("keep_good", "trade_good").agg(F.sum("forms").alias("forms"), F.sum("ids").alias("ids"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
+
+
+def surface_prompt_digests(cases: DataFrame, goods: DataFrame) -> DataFrame:
+    """case_id, perspective, forms, prompts (distinct), prompts_md5 (of the sorted digests) of all forms of both sides of ``cases``.
+
+    A prompt depends on the goods, the code and the side, not on the case: the prompts of each such design are made once,
+    however many cases have it, and a case takes its design's digest. An id on several rows has the forms of all of them.
+    """
+    design = ["x_num", "y_num", "code"]
+    designs_ = cases.groupBy(*design).agg(F.first("case_id").alias("case_id"))
+    sides = designs_.withColumn("perspective", F.explode(F.array(F.lit("X"), F.lit("Y"))))
+    forms = surface_forms(sides, goods).select(*design, "perspective", F.md5("prompt").alias("m"))
+    lists = forms.groupBy(*design, "perspective").agg(F.array_sort(F.collect_list("m")).alias("m"))  # 48 forms
+    digest = [F.size("m").cast("long").alias("forms"), F.size(F.array_distinct("m")).cast("long").alias("prompts"), F.md5(F.concat_ws(",", "m")).alias("prompts_md5")]
+    rows = cases.select("case_id", *design).withColumn("_rows", F.count("*").over(Window.partitionBy("case_id")))
+    alone = rows.where("_rows = 1").join(lists.select(*design, "perspective", *digest), design)
+    again = rows.where("_rows > 1").join(lists, design).groupBy("case_id", "perspective").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
+    return alone.select("case_id", "perspective", "forms", "prompts", "prompts_md5").unionByName(again.select("case_id", "perspective", *digest))
+
+
 def neutral_forms(cases: DataFrame, goods: DataFrame | None = None) -> DataFrame:
     """``cases`` (case_id, x_num, y_num, code) in 4 forms without an owner: order, paraphrase, good_for_a, good_for_b, form_id, and the prompt."""
     out = cases.withColumn("order", F.explode(F.array(*map(F.lit, pr.NEUTRAL_ORDERS)))).withColumn("paraphrase", F.explode(F.array(*map(F.lit, pr.NEUTRAL))))

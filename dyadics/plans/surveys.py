@@ -76,9 +76,7 @@ def _goods_named(e: str, o: str, e1: str, e2: str, o1: str, o2: str) -> str:
 SELECT keep_good, trade_good, count(*) AS forms, count(DISTINCT form_id) AS ids, min(form_id) AS first_id, max(form_id) AS last_id FROM f GROUP BY 1, 2"""
 )
 def surface_forms(spark, d):
-    cases = _small_cases(spark, d).withColumn("perspective", F.explode(F.array(F.lit("X"), F.lit("Y"))))
-    forms = designs.surface_forms(cases)
-    return forms.groupBy("keep_good", "trade_good").agg(F.count("*").alias("forms"), F.count_distinct("form_id").alias("ids"), F.min("form_id").alias("first_id"), F.max("form_id").alias("last_id"))
+    return designs.surface_summary(_small_cases(spark, d))
 
 
 _IN_TERMS = {
@@ -97,10 +95,7 @@ SELECT case_id, perspective, count(*) AS forms, count(DISTINCT m) AS prompts, md
 )
 def surface_prompts(spark, d):
     """The prompts of all 48 forms of both sides of each case, in whole."""
-    cases = _small_cases(spark, d).withColumn("perspective", F.explode(F.array(F.lit("X"), F.lit("Y"))))
-    forms = designs.surface_forms(cases, _goods(spark, d)).select("case_id", "perspective", F.md5("prompt").alias("m"))
-    of = forms.groupBy("case_id", "perspective").agg(F.array_sort(F.collect_list("m")).alias("m"))  # 48 forms
-    return of.select("case_id", "perspective", F.size("m").cast("long").alias("forms"), F.size(F.array_distinct("m")).cast("long").alias("prompts"), F.md5(F.concat_ws(",", "m")).alias("prompts_md5"))
+    return designs.surface_prompt_digests(_small_cases(spark, d), _goods(spark, d))
 
 
 @query(

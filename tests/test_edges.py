@@ -28,3 +28,38 @@ CERTAIN = "SELECT range AS event_id, CASE WHEN range IN ({}) THEN 0.0::DOUBLE EL
 def test_certain_answers_are_as_in_the_sql(spark, tmp_path, name):
     differ, rows = against_sql(spark, tmp_path, name, events=CERTAIN.format("0, 45, 200, 201"))
     assert not differ and rows
+
+
+#: Orders of which some ids stand on several rows, with equal and with other customers.
+ORDERS = "SELECT CASE WHEN range % 17 = 3 THEN range - 1 WHEN range % 19 = 4 THEN range - range % 5 ELSE range END AS o_orderkey, range * 7 % 61 AS o_custkey FROM range(120)"
+PARTS = "SELECT range AS p_partkey, 'Brand#' || range % 7 AS p_brand FROM range(80)"
+
+
+@pytest.mark.parametrize("name", ["surface_prompts", "surface_forms"])
+def test_forms_of_cases_on_several_rows(spark, tmp_path, name):
+    differ, rows = against_sql(spark, tmp_path, name, orders=ORDERS, part=PARTS)
+    assert not differ and rows
+
+
+def test_only_cases_are_exchanged_for_their_forms(spark):
+    from pyspark.sql import functions as F
+
+    from dyadics.operators import designs
+
+    cases = spark.createDataFrame([(1, 3, 25, 4), (1, 3, 25, 4), (10, 3, 25, 7), (2, 4, 25, 80)], "case_id long, x_num int, y_num int, code int")
+    got = designs.surface_summary(cases)
+    forms = designs.surface_forms(cases.withColumn("perspective", F.explode(F.array(F.lit("X"), F.lit("Y")))))
+    want = forms.groupBy("keep_good", "trade_good").agg(F.count("*").alias("forms"), F.count_distinct("form_id").alias("ids"), F.min("form_id").alias("first_id"), F.max("form_id").alias("last_id"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = designs.surface_summary(cases)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 2
+
+
+def test_prompts_are_made_once_a_design(spark):
+    from dyadics.operators import designs
+    from dyadics.plans import surveys
+
+    cases = spark.range(2_000).selectExpr("id AS case_id", "3 AS x_num", "25 AS y_num", "cast(id % 2 AS int) AS code")
+    goods = surveys._goods(spark, "/root/testdata/sf0.001")
+    got = designs.surface_prompt_digests(cases, goods).collect()
+    assert len(got) == 4_000 and {r["forms"] for r in got} == {48} and len({r["prompts_md5"] for r in got}) == 4
