@@ -27,9 +27,12 @@ def offsets(blocked: DataFrame, by: list[str], sums: dict[str, str], descending:
     return per.select(*by, "_block", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums))
 
 
-def counted(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, value, n (rows of the value), before (rows of lesser ones) and total (rows) of each distinct value of a group."""
-    distinct = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+def counted(rows: DataFrame, by: list[str], value: str, many: str | None = None) -> DataFrame:
+    """by, value, n (rows of the value), before (rows of lesser ones) and total (rows) of each distinct value of a group.
+
+    A row stands for as many as its column ``many`` says, if it is given.
+    """
+    distinct = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(many) if many else F.count("*")).alias("n"))
     blocked = blocks(distinct, by, value)
     start = offsets(blocked, by, {"_start": "n"})
     total = distinct.groupBy(*by).agg(F.sum("n").alias("total"))

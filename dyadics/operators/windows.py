@@ -73,6 +73,27 @@ def average_rank(rows: DataFrame, by: list[str], value: str, out: str) -> DataFr
     return rows.join(ranks, [*by, value], "left")
 
 
+def rank_correlation(rows: DataFrame, by: list[str], a: str, b: str, out: str = "spearman") -> DataFrame:
+    """by and Spearman's correlation of ``a`` and ``b`` with average ranks, each among all rows of the group that have it.
+
+    Rows of equal values are one row with their number after a single exchange; the ranks are joined to these.
+    """
+    pairs = rows.groupBy(*by, a, b).agg(F.count("*").alias("_many"))
+
+    def about_middle(value: str, name: str) -> DataFrame:
+        rank = F.col("before") + (F.col("n") + 1) / 2.0
+        return counted(pairs, by, value, "_many").select(*by, value, (rank - (F.col("total") + 1) / 2.0).alias(name))
+
+    ranked = pairs.join(about_middle(a, "_x"), [*by, a], "left").join(about_middle(b, "_y"), [*by, b], "left")
+    x, y = F.col("_x"), F.col("_y")
+    w = F.when(x.isNotNull() & y.isNotNull(), F.col("_many"))
+    total = lambda c: F.sum(w * c)
+    sums = ranked.groupBy(*by).agg(F.sum(w).alias("_n"), total(x).alias("_sx"), total(y).alias("_sy"), total(x * x).alias("_xx"), total(y * y).alias("_yy"), total(x * y).alias("_xy"))
+    part = lambda s, one, two: F.col(s) - F.col(one) * F.col(two) / F.col("_n")
+    rho = F.try_divide(part("_xy", "_sx", "_sy"), F.sqrt(part("_xx", "_sx", "_sx")) * F.sqrt(part("_yy", "_sy", "_sy")))
+    return sums.select(*by, rho.alias(out))
+
+
 def cumulative_share(rows: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
     """rank by descending value (ties by ``tie``) and the share of the total up to it."""
     blocked = blocks(rows.withColumn("_one", F.lit(1)), by, value)
