@@ -188,3 +188,33 @@ def test_percentiles_by_counting_are_exact(spark, monkeypatch, most, at_once):
     whole = ordered.percentiles(rows.where("g = 'ties'"), [], "v", {"half": 0.5}).collect()
     assert len(whole) == 1 and whole[0]["half"] == np.median(groups["ties"])
     assert ordered.percentiles(rows.where("false"), ["g"], "v", shares).count() == 0
+
+
+def test_numbers_of_many_draws_are_those_of_the_generator(spark):
+    import hashlib
+
+    from dyadics.functions.codes import hash_uniform, hash_uniforms
+    from dyadics.operators.resample import _first_number
+
+    for prefix, begin, end in [("11:3:", 0, 1_234), ("7:1999:", 99_990, 100_020), ("123456:1:", 8_190, 20_000), ("11:1:", 9_999_999, 10_000_003)]:
+        got = np.concatenate(list(hash_uniforms(prefix, begin, end)))
+        assert got.tolist() == [int(hashlib.md5(f"{prefix}{k}".encode()).hexdigest()[:8], 16) for k in range(begin, end)]
+    assert next(hash_uniforms("11:5:", 17, 18))[0] == spark.range(1).select(hash_uniform(11, 5, 17)).first()[0]
+    for n in (1, 3, 1_000, 18_000_001):
+        for place in {0, 1, n // 2, n - 1, n}:
+            first = _first_number(place, n)
+            assert first == 2**32 or int(float(first * n) / 2.0**32) >= place
+            assert first == 0 or int(float((first - 1) * n) / 2.0**32) < place
+
+
+def test_rank_correlation_of_equal_rows_is_that_of_all_rows(spark):
+    from dyadics.operators import windows
+
+    draw = np.random.default_rng(3)
+    table = pd.DataFrame({"g": draw.integers(0, 3, 4_000), "a": draw.integers(0, 9, 4_000) / 2.0})
+    table["b"] = table["a"] + draw.integers(0, 40, 4_000)
+    got = {r["g"]: r["spearman"] for r in windows.rank_correlation(spark.createDataFrame(table), ["g"], "a", "b").collect()}
+    for g, own in table.groupby("g"):
+        assert got[g] == pytest.approx(own["a"].rank().corr(own["b"].rank()), abs=1e-12)
+    odd = spark.createDataFrame([(1, 1.0, None), (1, None, 2.0), (2, 1.0, 1.0), (2, 2.0, 2.0), (2, 3.0, None)], "g int, a double, b double")
+    assert {r["g"]: r["spearman"] for r in windows.rank_correlation(odd, ["g"], "a", "b").collect()} == {1: None, 2: pytest.approx(1.0)}
