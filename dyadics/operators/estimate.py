@@ -391,6 +391,8 @@ def _score_bounds(k: int, last_nonneg: bool) -> dict[int, tuple[float, float]]:
 
 #: Joint cells that are broadcast, some hundred bytes each.
 JOINT_ROWS = 1_000_000
+#: Of a larger table: joint cells a task draws, cells it holds the sums of, and joint cells of one cell in a task, about.
+CASES_A_TASK, CELLS_HELD, CASES_A_DEAL = 50_000, 1_000, 2_000_000
 
 
 def joint_cells(rows: DataFrame, case: str) -> DataFrame:
@@ -440,9 +442,21 @@ def bootstrap_errors(rows: DataFrame, estimate: Fit, items: int, width: float, c
 
         fits = spark.range(reps, numPartitions=reps).mapInPandas(run, schema)
     else:
-        keyed = joint.select(F.xxhash64("answers").alias("key"), "answers", "cases").repartition("key")
+        many = joint.count()
+        own = F.get("answers", F.lit(0))
+        keyed = joint.select(F.xxhash64("answers").alias("key"), "answers", "cases")
+        # cases of one cell lie together, in some tasks if they are many; numbers of partitions are given, so none are joined
+        keyed = keyed.repartition(1 + many // CASES_A_TASK, *(own[c] for c in CELL), F.pmod("key", F.lit(1 + many // CASES_A_DEAL)))
 
         def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[tuple, np.ndarray] = {}
+
+            def summed() -> Iterator[pd.DataFrame]:
+                for cell, total in held.items():
+                    drawn = np.flatnonzero(total[0] > 0)
+                    yield pd.DataFrame(dict(zip(CELL, cell, strict=True)) | {"n": total[0][drawn], "s": total[1][drawn], "q": total[2][drawn], "rep": drawn})
+                held.clear()
+
             for part in parts:
                 for begin in range(0, len(part), 2_000):
                     some = part.iloc[begin : begin + 2_000]
@@ -450,14 +464,19 @@ def bootstrap_errors(rows: DataFrame, estimate: Fit, items: int, width: float, c
                     flat_ = [(k, *(a[c] for c in CELL), a["p_no"]) for k, own in enumerate(some["answers"]) for a in own]
                     of, p = np.array([f[0] for f in flat_]), np.array([f[5] for f in flat_])
                     cell, at = np.unique(np.array([f[1:5] for f in flat_]).reshape(-1, 4), axis=0, return_inverse=True)
-                    for rep in range(reps):
-                        yield _drawn_cells(cell, of, at.ravel(), p, weight[:, rep]).assign(rep=rep)
-
-        parts = keyed.mapInPandas(draw, ", ".join(f"{c} long" for c in CELL) + ", n double, p_no double, rest double, rep int")
-        s, q = F.sum(F.col("n") * F.col("p_no")), F.sum(F.col("rest") + F.col("n") * F.col("p_no") * F.col("p_no"))
-        table = parts.groupBy("rep", *CELL).agg(F.sum("n").alias("n"), s.alias("_s"), q.alias("_q")).withColumn("p_no", F.col("_s") / F.col("n"))
+                    order = np.argsort(at.ravel(), kind="stable")
+                    starts, w, p = np.searchsorted(at.ravel()[order], np.arange(len(cell))), weight[of[order]].astype(float), p[order, None]
+                    sums = np.stack([np.add.reduceat(w * x, starts, axis=0) for x in (1.0, p, p * p)], axis=1)
+                    for name, total in zip(map(tuple, cell.tolist()), sums, strict=True):
+                        held[name] = held[name] + total if name in held else total
+                    if len(held) > CELLS_HELD:
+                        yield from summed()
+            yield from summed()
+
+        parts = keyed.mapInPandas(draw, ", ".join(f"{c} long" for c in CELL) + ", n double, s double, q double, rep int")
+        table = parts.groupBy("rep", *CELL).agg(F.sum("n").alias("n"), F.sum("s").alias("_s"), F.sum("q").alias("_q")).withColumn("p_no", F.col("_s") / F.col("n"))
         table = table.select("rep", *CELL, "n", "p_no", F.greatest(F.col("_q") - F.col("_s") * F.col("p_no"), F.lit(0.0)).alias("rest"))
-        fits = table.groupBy("rep").applyInPandas(lambda part: fitted(int(part["rep"].iloc[0]), part), schema)
+        fits = table.repartition(reps, "rep").groupBy("rep").applyInPandas(lambda part: fitted(int(part["rep"].iloc[0]), part), schema)
     spread = fits.select("ok", F.posexplode("values").alias("pos", "v")).groupBy("pos").agg(F.stddev_samp(F.when(F.col("ok"), F.col("v"))).alias("std_err"), F.count_if("ok").alias("reps"), F.count_if(~F.col("ok")).alias("failures"))
     names = spark.createDataFrame([(n, name, float(v)) for n, (name, v) in enumerate(zip(estimate.names, estimate.values, strict=True))], "pos int, parameter string, estimate double")
     return names.join(spread, "pos").select("parameter", "estimate", "std_err", "reps", "failures")

@@ -218,3 +218,16 @@ def test_rank_correlation_of_equal_rows_is_that_of_all_rows(spark):
         assert got[g] == pytest.approx(own["a"].rank().corr(own["b"].rank()), abs=1e-12)
     odd = spark.createDataFrame([(1, 1.0, None), (1, None, 2.0), (2, 1.0, 1.0), (2, 2.0, 2.0), (2, 3.0, None)], "g int, a double, b double")
     assert {r["g"]: r["spearman"] for r in windows.rank_correlation(odd, ["g"], "a", "b").collect()} == {1: None, 2: pytest.approx(1.0)}
+
+
+def test_errors_of_a_large_table_do_not_depend_on_how_it_is_dealt(spark, monkeypatch):
+    panel = _panel(spark, True)
+    found = estimate.smoothed_maximum_score(panel, 6)
+    monkeypatch.setattr(estimate, "JOINT_ROWS", 5)
+    errors = []
+    for task, held, deal in ((50_000, 1_000, 2_000_000), (20, 1, 10)):
+        monkeypatch.setattr(estimate, "CASES_A_TASK", task)
+        monkeypatch.setattr(estimate, "CELLS_HELD", held)
+        monkeypatch.setattr(estimate, "CASES_A_DEAL", deal)
+        errors.append({r["parameter"]: r["std_err"] for r in estimate.bootstrap_errors(panel, found, 6, found.width, reps=12).collect()})
+    assert errors[0] == pytest.approx(errors[1], rel=1e-4, abs=1e-9, nan_ok=True)
