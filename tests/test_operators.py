@@ -164,6 +164,20 @@ def test_average_ranks_in_blocks(spark):
     assert all(shares[i] == (n + 1, pytest.approx(running[n])) for n, i in enumerate(want))
 
 
+def test_blocks_do_not_depend_on_the_order_of_rows(spark):
+    from dyadics.operators import ordered
+
+    values = F.when(F.col("id") % 2 == 0, F.lit("a")).otherwise(F.lit("b")).alias("g"), F.col("id").alias("i"), (F.xxhash64("id") % 100_003 / 7.0).alias("v")
+    rows = spark.range(120_000).select(*values)
+    one, two = (ordered.blocks(rows.repartition(n, F.col("v") % n), ["g"], "v") for n in (3, 11))
+    blocks = one.join(two.select("i", F.col("_block").alias("_other")), "i").groupBy("g", "_block").agg(F.count_if(F.col("_block") != F.col("_other")).alias("differ"), F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    for group in "ab":
+        got = blocks.where(F.col("g") == group).orderBy("_block").collect()
+        assert not sum(b["differ"] for b in got)
+        assert sum(b["n"] for b in got) == 60_000 and len(got) > 200 and max(b["n"] for b in got) < 1_500
+        assert all(a["hi"] < b["lo"] for a, b in zip(got, got[1:], strict=False))
+
+
 def test_low_rank_equals_dense(spark):
     draw = np.random.default_rng(0)
     rows = [(i, draw.normal(size=(2, 5)).tolist(), draw.normal(size=(4, 2)).tolist()) for i in range(3)]
